@@ -185,6 +185,14 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     return docs.mapInArrow(run, docs.schema)
 
 
+def redact_documents(docs: DataFrame, text: str = "text", chars: str = "n_chars") -> DataFrame:
+    """``redact``, with the column of text lengths, if there is one, brought up to date."""
+    out = redact(docs, text)
+    if chars not in docs.columns:
+        return out
+    return out.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType)).select(docs.columns)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text of documents."""
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
