@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from docstrata.llm.vectors import CANDIDATES, QUERIES, best, block, blocks, every, finite, search_blocks
 
-#: Shares of a block's lists at which reading pauses to compare bounds, and the share of its candidates that may be left
-#: to resolve then.
-PAUSES, LEFT = (0.35, 0.5, 0.65, 0.8, 1.0), 0.06
+#: Reading pauses to compare bounds whenever the unread part of the lists has halved, this often; and the share of a
+#: block's candidates that may be left to resolve then.
+PAUSES, LEFT = 5, 0.06
 
 
 def added(at: np.ndarray, value: np.ndarray, n: int, dtype) -> np.ndarray:
@@ -57,18 +57,18 @@ def nra(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np
             lower = np.full(n, least.sum(), x.dtype)
             read: list[tuple[np.ndarray, np.ndarray]] = []
             depth = 0
-            for pause in PAUSES:
-                upto = max(depth + 1, int(pause * n))
+            for pause in range(1, PAUSES + 1):
+                upto = max(depth + 1, n - (n >> pause)) if pause < PAUSES else n
                 read.append((entries[end, lists, depth:upto], components[end, lists, depth:upto] * weight))
                 chunk, value = read[-1]
                 lower += added(chunk, value - least, n, x.dtype)
-                now = value[:, -1:]
-                upper = sum((added(c, v - now, n, x.dtype) for c, v in read), start=now.sum())
+                depth, now = upto, value[:, -1:]
                 bound = np.partition(lower[other], -k)[-k]
-                alive = np.flatnonzero(other & (upper >= bound))
-                if len(alive) <= few or upto >= n:
-                    break
-                depth = upto
+                if now.sum() < bound or depth >= n:  # else even what no list has shown can still qualify
+                    upper = sum((added(c, v - now, n, x.dtype) for c, v in read), start=now.sum())
+                    alive = np.flatnonzero(other & (upper >= bound))
+                    if len(alive) <= few or depth >= n:
+                        break
         score = x[alive] @ q
         if len(alive) > k:
             good = score >= np.partition(score, -k)[-k]
