@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,18 +50,22 @@ def block_topk(table: DataFrame, queries: DataFrame, k: int, block: int = 512, i
     left = rows.withColumn("c", part(c)).withColumn("q", every(q)).withColumn("pair", pair)
     right = asked.withColumn("q", part(q)).withColumn("c", every(c)).withColumn("pair", pair)
 
+    kinds = [asked.schema["id"].dataType, rows.schema["id"].dataType]
+    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("id", kinds[1]), T.StructField("score", T.DoubleType())])
+
     def scored(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, y = as_matrix(a.column("vector")), as_matrix(b.column("vector"))
-        s = (y @ x.T) / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
-        ids, asks = a.column("id").to_numpy(), b.column("id").to_numpy()
-        most = min(k, len(ids))
-        least = -np.partition(-s, most - 1, axis=1)[:, most - 1] - 1e-12  # ties stay, whatever the rounding
-        at = np.nonzero(s >= least[:, None])
-        return pa.table({"query_id": asks[at[0]], "id": ids[at[1]], "score": s[at]})
-
-    found = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(scored, "query_id long, id long, score double")
+        ids, asks = a.column("id"), b.column("id")
+        at: tuple = (np.zeros(0, int), np.zeros(0, int))
+        s = np.zeros((0, 0))
+        if a.num_rows and b.num_rows:
+            x, y = as_matrix(a.column("vector")), as_matrix(b.column("vector"))
+            s = (y @ x.T) / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+            most = min(k, a.num_rows)
+            least = -np.partition(-s, most - 1, axis=1)[:, most - 1] - 1e-8  # ties stay, whatever the rounding
+            at = np.nonzero(s >= least[:, None])
+        return pa.table([asks.take(pa.array(at[0])), ids.take(pa.array(at[1])), pa.array(s[at] if s.size else np.zeros(0))], names=["query_id", "id", "score"])
+
+    found = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(scored, schema)
     return ranked(found, ["query_id"], k)
 
 

@@ -124,7 +124,7 @@ def cluster_pruned_topk(spark, sf_dir):
     return shown(search.cluster_pruned(view, centres, retrieval.every_hundredth(view), 10, 2, "label"))
 
 
-@query("WITH b AS (SELECT item_id, text, string_split(lower(text), ' ') AS w FROM benchmark), d AS (SELECT doc_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '')) AS w FROM documents), "
+@query("WITH b AS (SELECT item_id, text, list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '') AS w FROM benchmark), d AS (SELECT doc_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '')) AS w FROM documents), "
        "c AS (SELECT b.item_id, d.doc_id, b.w AS bw, d.w AS dw FROM b JOIN d ON d.doc_id % 40 = b.item_id % 40), o AS (SELECT item_id, doc_id, CAST(len(list_intersect(list_distinct(bw), dw)) AS DOUBLE) / len(list_distinct(list_concat(bw, dw))) AS overlap FROM c) "
        "SELECT query_id, id, round(overlap, 6) AS overlap, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id AS query_id, doc_id AS id, overlap, 0.5 * 0.25 + 0.5 * overlap AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(0.5 * 0.25 + 0.5 * overlap, 9) DESC, doc_id) AS rank FROM o) WHERE rank <= 5")
 def rerank_overlap(spark, sf_dir):
