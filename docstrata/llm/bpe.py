@@ -89,7 +89,7 @@ HASHES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761
 def powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
     """base^0 .. base^(n-1) modulo 2^64, kept for the next call."""
     if len(kept.get(base, ())) < n:
-        kept[base] = np.cumprod(np.append(np.uint64(1), np.full(max(n, BATCH_CHARS + 1) - 1, base, np.uint64)))
+        kept[base] = np.cumprod(np.append(np.uint64(1), np.full(max(n, 1 << 20) - 1, base, np.uint64)))
     return kept[base][:n]
 
 

@@ -6,9 +6,10 @@ rounds throws every element into a hashed bin; the last t rounds visit one bin e
 sets stop after a few rounds, when all are full. A coordinate keeps the smallest value of the first round that reaches it.
 
 Sets that are equal share one representative (smallest id), so exact copies never meet in a bucket. In a bucket every
-member is compared with a hub only. Members that stay in other components meet further hubs, and then, in full, the
-members of the bucket's other components. So a group of m near copies costs about m comparisons, and yet every pair of
-texts in a common bucket is either verified or already connected. Links are confirmed on full sets.
+member is compared with a few hubs only, which connects most groups. Then the pairs of a bucket that are still in
+different components are compared, but for those that the similarities to their hubs rule out (a triangle inequality). So a
+group of m near copies costs about m comparisons, and yet every pair of texts in a common bucket is verified, connected
+or proven apart. Links are confirmed on full sets.
 
 Cases: a text that is null or has no words has an empty set, links with nothing and is kept. Rows that share an id are
 one node. A row whose id is null links with nothing, has a null component and is kept. Empty tables give empty results;
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from docstrata.functions.tables import materialize
 from docstrata.llm.bpe import slices, word_hashes
 
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: With 42 bands of 6 rows a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.9 with 3e-14.
 BANDS, ROWS = 42, 6
-#: Rounds in which buckets with several components meet another hub, before all their remaining pairs are compared.
-HUB_ROUNDS = 3
+#: Members of a bucket that all its others are compared with, before what is left of its pairs.
+HUBS = 3
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -179,47 +180,71 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with ``similar``, the exact similarity of their full sets, and ``linked``."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("of_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("of_b")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("n"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sum"))
-    return common.where(100 * F.col("n") >= percent * (F.col("sum") - F.col("n"))).select("a", "b")
+    union = F.col("sum") - F.col("n")
+    return common.select("a", "b", (F.col("n") / union).alias("similar"), (100 * F.col("n") >= percent * union).alias("linked"))
+
+
+def hubs_of(members: DataFrame) -> DataFrame:
+    """(key, hubs): the members that all others of a bucket are compared with: the smallest id, and some by hash."""
+    orders = [F.col("id"), *(F.xxhash64("id", F.lit(r)) for r in range(1, HUBS))]
+    chosen = [F.min(F.struct(o.alias("o"), F.col("id")))["id"].alias(f"h{r}") for r, o in enumerate(orders)]
+    return members.groupBy("key").agg(*chosen).select("key", F.array(*(f"h{r}" for r in range(HUBS))).alias("hubs"))
+
+
+def pair(x: str, y: str) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
+
+
+def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of one bucket that are still in different components and may be linked after all.
+
+    1 - similarity is a metric, so the known similarities to a common hub rule out every pair whose two differ by more
+    than the similarity that is asked for leaves. The members of a bucket's largest component only meet the others."""
+    named = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
+    alive = materialize(named.join(open_keys, "key").join(hubs_of(members), "key"), "alive")
+    each = alive.select("key", "id", F.posexplode("hubs").alias("r", "hub"))
+    known = each.select("key", "id", "r", F.col("id") == F.col("hub"), *pair("id", "hub")).toDF("key", "id", "r", "own", "a", "b").join(tested, ["a", "b"], "left")
+    similar = F.when(F.col("own"), 1.0).otherwise(F.col("similar"))
+    profile = known.groupBy("key", "id").agg(*(F.max(F.when(F.col("r") == r, similar)).alias(f"s{r}") for r in range(HUBS)))
+    alive = materialize(alive.join(profile, ["key", "id"]).where(~F.array_contains("hubs", F.col("id"))).drop("hubs"), "alive")
+    other = alive.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"), *(F.col(f"s{r}").alias(f"t{r}") for r in range(HUBS)))
+    may = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component") < F.col("component2")))
+    may &= F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    for r in range(HUBS):
+        may &= F.coalesce(F.abs(F.col(f"s{r}") - F.col(f"t{r}")) <= F.lit(1 - percent / 100 + 1e-9), F.lit(True))
+    return alive.where("component <> main").join(other, "key").where(may).select(*pair("id", "id2")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept (see the module's text)."""
     table = materialize(sketch_table(docs, id, text, words, bands, rows), "sketches")
     known = table.where("id is not null and digest is not null")
-    distinct = materialize(known.groupBy("digest").agg(F.min("id").alias("id"), F.min("n_shingles").alias("n")), "distinct")
-    # an id with several rows may stand for several sets: it is one node all the same
-    lead = known.join(distinct.select("id", "digest"), ["id", "digest"], "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
+    distinct = materialize(known.groupBy("digest").agg(F.min("id").alias("id")), "distinct")
+    lead = known.join(distinct, ["id", "digest"], "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
     shared = lead.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = materialize(lead.join(shared, "key"), "members")
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
     sets = materialize(set_table(texts, words).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "sets")
-    same = known.join(distinct.withColumnRenamed("id", "lead"), "digest").where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    several = known.select("id", "digest").distinct().groupBy("id").count().where("count > 1").select("id")
-    links = materialize(same.join(several, F.col("a") == several["id"], "left_semi").unionByName(same.limit(0)), "links")
-    of = components(links)
-    alive = members
-    near = (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m"))
-    for round_ in range(HUB_ROUNDS + 1):
-        named = alive.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        alive_now = materialize(named.join(open_keys, "key"), "alive")
-        if alive_now.isEmpty():
-            break
-        if round_ < HUB_ROUNDS:
-            order = F.col("id") if not round_ else F.xxhash64("id", F.lit(round_))
-            hubs = alive_now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"), F.col("component"))).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("m"), F.col("h.component").alias("other"))
-        else:
-            hubs = alive_now.select("key", F.col("id").alias("hub"), F.col("n").alias("m"), F.col("component").alias("other"))
-        met = alive_now.join(hubs, "key").where(F.col("component") != F.col("other") if round_ < HUB_ROUNDS else F.col("component") < F.col("other"))
-        pairs = met.where(near).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        found = confirmed(materialize(pairs, "pairs"), sets, percent)
-        of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
-        alive = alive_now.drop("component")
+    met = members.join(hubs_of(members), "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(*pair("id", "hub")).distinct()
+    tested = materialize(compared(met, sets, percent), "tested")
+    edges = tested.where("linked").select("a", "b")
+    # an id whose rows have several sets is one node all the same
+    several = materialize(known.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id"), "several")
+    if not several.isEmpty():
+        same = known.join(several, "id", "left_semi").join(distinct.withColumnRenamed("id", "lead"), "digest").where("id <> lead")
+        edges = edges.unionByName(same.select(*pair("id", "lead")))
+    of = components(edges)
+    rest = materialize(between_components(members, of, tested, percent), "rest")
+    if not rest.isEmpty():
+        found = materialize(compared(rest, sets, percent).where("linked").select("a", "b"), "found")
+        if not found.isEmpty():
+            of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
     group = distinct.join(of, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = table.select("id", "n_shingles", "digest").join(group, "digest", "left")
     component = F.coalesce("component", "id")
