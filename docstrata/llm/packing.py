@@ -60,7 +60,7 @@ def piece_table(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     return docs.select(F.col(key).alias("id"), F.col(text).alias(text)).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-#: From rank ``first`` on, a piece of this length goes to sequence ``sequence + (rank - first) // each`` at
+#: (length, first, sequence, each, offset): from rank ``first`` on, a piece of this length goes to sequence ``sequence + (rank - first) // each`` at
 #: ``offset + length * ((rank - first) % each)``.
 Interval = tuple[int, int, int, int, int]
 
@@ -80,27 +80,25 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[Interval], int
 
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
-        while left and length < capacity and (at := bisect.bisect_left(sizes, length)) < len(sizes):
-            gap = sizes[at]
-            first, many = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], sizes[at]
-            taken = min(many, left)
-            plan.append((length, rank, first, 1, capacity - gap))
-            if gap > length:
-                put(gap - length, (first, taken))
-            if many > taken:
-                put(gap, (first + taken, many - taken))
+        while left:
+            at = bisect.bisect_left(sizes, length)
+            if at < len(sizes):  # the smallest gap that takes it
+                gap = sizes[at]
+                first, many = gaps[gap].pop()
+                if not gaps[gap]:
+                    del gaps[gap], sizes[at]
+            else:
+                gap, first, many = capacity, used, -(-left // (capacity // length))
+                used += many
+            # a sequence is filled before the next: its new gap is smaller than those of its run
+            each = gap // length
+            taken = min(many * each, left)
+            full, rest = divmod(taken, each)
+            plan.append((length, rank, first, each, capacity - gap))
+            for filled, start, n in ((each, first, full), (rest, first + full, int(rest > 0)), (0, first + full + (rest > 0), many - full - (rest > 0))):
+                if n and gap - filled * length:
+                    put(gap - filled * length, (start, n))
             rank, left = rank + taken, left - taken
-        if left:
-            each = capacity // length
-            full, rest = divmod(left, each)
-            plan.append((length, rank, used, each, 0))
-            if full and capacity - each * length:
-                put(capacity - each * length, (used, full))
-            if rest:
-                put(capacity - rest * length, (used + full, 1))
-            used += full + bool(rest)
     return plan, used
 
 

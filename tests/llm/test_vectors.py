@@ -47,8 +47,6 @@ def test_nra_is_exact(kind):
     v = {"ties": rng.integers(-1, 2, (700, 5)), "sparse": rng.integers(-900, 900, (700, 16)) * (rng.random((700, 16)) < 0.2), "positive": rng.integers(0, 1024, (700, 12))}[kind]
     for dtype in (1, 2**40):  # doubles, and integers beyond them
         q, ids, score = topk.nra(np.arange(700), v * dtype if kind != "sparse" else v, np.arange(20), v[:20], 10)
-        wanted = brute_topk([(i, (x * dtype if kind != "sparse" else x) / 1024) for i, x in enumerate(v)], 0, []) or None
-        assert wanted is None
         for i in range(20):
             mine = sorted(zip(-score[q == i], ids[q == i], strict=True))[:10]
             s = (v * dtype if kind != "sparse" else v) @ v[i]
