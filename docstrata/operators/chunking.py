@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,18 @@ def recursive_chunks(docs: DataFrame, size: int, overlap: int, text: str = "text
     return docs.where(~X.is_blank(F.col(text))).mapInPandas(run, T.StructType(fields))
 
 
+@F.udtf(returnType="chunk_idx int, chunk string")
+class SplitText:
+    """The splitter as a table function: ``LATERAL split_text(text, size, overlap)`` in SQL, once it is registered."""
+
+    def eval(self, text: str, size: int, overlap: int):
+        yield from enumerate(split_text(text, size, overlap) if text else [])
+
+
+def register_split_text(spark: SparkSession) -> None:
+    spark.udtf.register("split_text", SplitText)
+
+
 def character_windows(docs: DataFrame, size: int, overlap: int, text: str = "text") -> DataFrame:
     """The splitter with characters as pieces: windows of ``size`` that start every ``size - overlap``; no Python."""
     if overlap >= size:

@@ -315,6 +315,14 @@ def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), 120, 20)
 
 
+@query()
+def sql_chunks(spark, sf_dir):
+    """The splitter from SQL."""
+    chunking.register_split_text(spark)
+    docs = table(spark, sf_dir, "documents")
+    return spark.sql("SELECT d.doc_id, s.chunk_idx, s.chunk FROM {docs} d, LATERAL split_text(d.text, 120, 20) s", docs=docs)
+
+
 @query()
 def tree_chunks(spark, sf_dir):
     found = chunking.tree_chunks(structure.node_text(structure.assign(blocks(spark, sf_dir))), 60, 10)
@@ -625,7 +633,7 @@ def stream_conversations(spark, sf_dir):
 
 @query("SELECT conv_id, array_to_string(list(role || ': ' || text ORDER BY turn), chr(10)) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 GROUP BY conv_id")
 def stream_context(spark, sf_dir):
-    found = newest(drained(spark, live.rolling_context(stream(spark, sf_dir, "conversations")), "update", "context"), "conv_id")
+    found = newest(drained(spark, live.rolling_context(stream(spark, sf_dir, "conversations"), idle=None), "update", "context"), "conv_id")
     return found.select("conv_id", F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit(": "), t)), "\n").alias("context"))
 
 

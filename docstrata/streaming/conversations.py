@@ -18,10 +18,11 @@ def live_conversations(messages: DataFrame, conv: str = "conv_id", ts: str = "ts
     return unique.groupBy(conv).agg(F.min(ts).alias("created_at"), F.max(ts).alias("last_at"), F.count("*").alias("messages"))
 
 
-def rolling_context(messages: DataFrame, n: int = 6, conv: str = "conv_id", at: str = "turn", idle: str = "7 days") -> DataFrame:
+def rolling_context(messages: DataFrame, n: int = 6, conv: str = "conv_id", at: str = "turn", idle: str | None = "7 days") -> DataFrame:
     """(conv_id, context): the newest n messages of each conversation after every batch, oldest first, ordered by ``at``
-    whatever the order of arrival. The state is n messages for each conversation and ends after ``idle``."""
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+    whatever the order of arrival. The state is n messages for each conversation and ends after ``idle``. A query that
+    is to end by itself (availableNow) takes None: a timeout by the clock asks for ever new batches."""
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,13 +32,14 @@ def rolling_context(messages: DataFrame, n: int = 6, conv: str = "conv_id", at:
         for pdf in batches:
             held = sorted([*held, *zip(pdf[at].tolist(), pdf["role"], pdf["text"], strict=True)], key=lambda m: m[0])[-n:]
         state.update(tuple(map(list, zip(*held, strict=True))))
-        state.setTimeoutDuration(milliseconds)
+        if milliseconds:
+            state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame({conv: [key[0]], "turns": [[m[0] for m in held]], "roles": [[m[1] for m in held]], "texts": [[m[2] for m in held]]})
 
     kind = messages.schema[conv].dataType.simpleString()
     rows = messages.select(conv, F.col(at).cast("long").alias(at), "role", "text")
     return rows.groupBy(conv).applyInPandasWithState(
-        run, f"{conv} {kind}, turns array<bigint>, roles array<string>, texts array<string>", "turns array<bigint>, roles array<string>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout
+        run, f"{conv} {kind}, turns array<bigint>, roles array<string>, texts array<string>", "turns array<bigint>, roles array<string>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     )
 
 

@@ -74,7 +74,7 @@ def test_streams_equal_batch(spark, tmp_path):
     def keep(batch, _):
         got.update({r.conv_id: r.texts for r in batch.collect()})
 
-    live.rolling_context(source, 4).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    live.rolling_context(source, 4, idle=None).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     batch = chat.last_messages(spark.createDataFrame(rows, MESSAGES), 4)
     assert got == {r.conv_id: [m.content for m in r.context] for r in batch.collect()}
 

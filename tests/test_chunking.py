@@ -51,3 +51,9 @@ def test_numbers_run_through(spark, parts):
     df = spark.createDataFrame([(f"f{i % 13}", i // 13) for i in range(130)], "source_file string, chunk_idx int").repartition(parts)
     found = sorted((r.source_file, r.chunk_idx, r.chunk_number) for r in C.numbered(df).collect())
     assert [n for *_, n in found] == list(range(130))
+
+
+def test_table_function(spark):
+    C.register_split_text(spark)
+    found = spark.sql("SELECT * FROM VALUES ('a b c'), (NULL) t(x), LATERAL split_text(x, 2, 0)").collect()
+    assert [(r.chunk_idx, r.chunk) for r in found] == [(0, "a b"), (1, "c")]
