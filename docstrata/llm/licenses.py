@@ -193,3 +193,29 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[R
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses named in every whole text of documents."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("detections")
+
+
+def scan_sql(rules: list[Rule] | None = None) -> str:
+    """The scan in DuckDB. Blanks between words are doubled there, so that neighbouring matches, which take one blank on
+    each side instead of looking at it, don't touch."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    doubled = lambda x: x.replace("(?<= )", " ").replace("(?= )", " ").replace(" ?", "\0").strip(" ").replace(" ", "  ").replace("\0", "(?:  )?")
+    named = ", ".join(f"({p}, {quoted(label)}, {quoted(k)}, {quoted(' ' + doubled(x) + ' ')}, {w})" for p, label, k, x, w in rules or signature_rules())
+    phrases = ", ".join(f"({quoted(' ' + p.replace(' ', '  ') + ' ')}, {len(p.split())}, {quoted(label)})" for p, label in BASE.items())
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+d AS (SELECT doc_id, len(w) AS n, '  ' || array_to_string(w, '  ') || '  ' AS w FROM w),
+p AS (SELECT * FROM (VALUES {phrases}) v(phrase, k, label)),
+b AS (SELECT doc_id, label, n, k, string_split(w, phrase) AS parts FROM d JOIN p ON contains(w, phrase)),
+c AS (SELECT doc_id, label, len(parts) - 1 AS places, len(list_filter(string_split(parts[1], ' '), lambda x: x <> '')) AS first, n - k - len(list_filter(string_split(parts[-1], ' '), lambda x: x <> '')) AS last FROM b),
+r AS (SELECT * FROM (VALUES {named}) v(priority, label, keyword, expression, weight)),
+h AS (SELECT doc_id, priority, label, weight, regexp_split_to_array(w, expression) AS parts, regexp_extract_all(w, expression) AS f FROM d JOIN r ON contains(w, keyword)),
+i AS (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM h WHERE len(f) > 0),
+x AS (SELECT doc_id, priority, label, weight, list_sum(list_transform(parts[1:i], lambda s: len(s))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda s: len(s))), 0) AS a, len(f[i]) AS m FROM i),
+k AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM x e WHERE e.doc_id = x.doc_id AND e.a <= x.a AND e.a + e.m >= x.a + x.m AND e.priority < x.priority)),
+l AS (SELECT doc_id, label, weight FROM k UNION ALL SELECT doc_id, label, {BASE_WEIGHT} FROM c),
+y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score FROM l GROUP BY doc_id),
+z AS (SELECT doc_id, sum(places) AS n_base, min(first) AS first_word, max(last) AS last_word, string_agg(label, ',' ORDER BY label) AS base_labels FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_words, CAST(coalesce(z.n_base, 0) AS BIGINT) AS n_base, CAST(z.first_word AS BIGINT) AS first_word, CAST(z.last_word AS BIGINT) AS last_word,
+  coalesce(z.base_labels, '') AS base_labels, coalesce(y.labels, '') AS labels, CAST(coalesce(y.score, 0) AS DOUBLE) AS score FROM d LEFT JOIN y USING (doc_id) LEFT JOIN z USING (doc_id)
+"""

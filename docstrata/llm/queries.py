@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docstrata.llm.ann import op9_ann
 from docstrata.llm.bpe import op4_bpe
 from docstrata.llm.kd_shards import op3_kd_shards
-from docstrata.llm.licenses import op1_licenses
+from docstrata.llm.licenses import op1_licenses, scan_sql
 from docstrata.llm.minhash import OP2_SQL, op2_minhash
 from docstrata.llm.packing import op7_packing
 from docstrata.llm.quality import op5_quality
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_licenses": scan_sql(),
     "op2_minhash": OP2_SQL,
     "op6_topk": OP6_SQL,
     "op8_url_filter": OP8_SQL,
