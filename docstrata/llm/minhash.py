@@ -7,12 +7,12 @@ sets stop after a few rounds, when all are full. A coordinate keeps the smallest
 
 Sets that are equal share one representative (smallest id), so exact copies never meet in a bucket. In a bucket every
 member is compared with a few hubs only, which connects most groups. Then the pairs of a bucket that are still in
-different components are compared, but for those that the similarities to their hubs rule out (a triangle inequality). So a
+different components are compared, but for those that the similarities to their hubs rule out. So a
 group of m near copies costs about m comparisons, and yet every pair of texts in a common bucket is verified, connected
 or proven apart. Links are confirmed on full sets.
 
 Cases: a text that is null or has no words has an empty set, links with nothing and is kept. Rows that share an id are
-one node. A row whose id is null links with nothing, has a null component and is kept. Empty tables give empty results;
+one node, with the union of their sets. A row whose id is null links with nothing, has a null component and is kept. Empty tables give empty results;
 other columns of ``docs`` are ignored.
 """
 
@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.functions.tables import materialize
@@ -33,6 +33,8 @@ BATCH_BYTES = 1_000_000
 BANDS, ROWS = 42, 6
 #: Members of a bucket that all its others are compared with, before what is left of its pairs.
 HUBS = 3
+#: Sets that an element beyond a hub may be in for it to be joined on; sets with more frequent ones meet in full.
+FEW = 64
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -181,12 +183,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with ``similar``, the exact similarity of their full sets, and ``linked``."""
+    """The pairs (a, b) with ``common``, the size of their full sets' intersection, ``similar`` and ``linked``."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("of_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("of_b")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("n"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sum"))
     union = F.col("sum") - F.col("n")
-    return common.select("a", "b", (F.col("n") / union).alias("similar"), (100 * F.col("n") >= percent * union).alias("linked"))
+    return common.select("a", "b", F.col("n").alias("common"), (F.col("n") / union).alias("similar"), (100 * F.col("n") >= percent * union).alias("linked"))
 
 
 def hubs_of(members: DataFrame) -> DataFrame:
@@ -200,25 +202,45 @@ def pair(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+def may_be_linked(percent: int, common: Column) -> Column:
+    """Whether sets of n and n2 elements with at most ``common`` in both can be linked."""
+    return F.coalesce(F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("n2") - common), F.lit(True))
+
+
+def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of one bucket that are still in different components and may be linked after all.
 
     1 - similarity is a metric, so the known similarities to a common hub rule out every pair whose two differ by more
-    than the similarity that is asked for leaves. The members of a bucket's largest component only meet the others."""
+    than the similarity that is asked for leaves. And what two sets have in common is at most the smaller of what they
+    share with the first hub, plus what both have beyond it: pairs for which the former is too little must share an
+    element beyond the hub. Elements beyond a hub that few sets have are joined; the sets that have a frequent one meet
+    each other in full. The members of a bucket's largest component only meet the others."""
     named = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
     alive = materialize(named.join(open_keys, "key").join(hubs_of(members), "key"), "alive")
+    if alive.isEmpty():
+        return alive.select(*pair("id", "id"))
     each = alive.select("key", "id", F.posexplode("hubs").alias("r", "hub"))
     known = each.select("key", "id", "r", F.col("id") == F.col("hub"), *pair("id", "hub")).toDF("key", "id", "r", "own", "a", "b").join(tested, ["a", "b"], "left")
     similar = F.when(F.col("own"), 1.0).otherwise(F.col("similar"))
-    profile = known.groupBy("key", "id").agg(*(F.max(F.when(F.col("r") == r, similar)).alias(f"s{r}") for r in range(HUBS)))
-    alive = materialize(alive.join(profile, ["key", "id"]).where(~F.array_contains("hubs", F.col("id"))).drop("hubs"), "alive")
-    other = alive.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("component2"), *(F.col(f"s{r}").alias(f"t{r}") for r in range(HUBS)))
+    profile = known.groupBy("key", "id").agg(*(F.max(F.when(F.col("r") == r, similar)).alias(f"s{r}") for r in range(HUBS)), F.max(F.when(F.col("r") == 0, F.col("common"))).alias("common"))
+    alive = materialize(alive.join(profile, ["key", "id"]).where(~F.array_contains("hubs", F.col("id"))).withColumn("hub", F.col("hubs")[0]).drop("hubs"), "alive")
+    once = alive.select("id", "hub", "n", "component").distinct()
+    beyond = once.join(sets, "id").join(sets.toDF("hub", "of_hub"), "hub").select("hub", "id", "n", "component", F.explode(F.array_except("items", "of_hub")).alias("item"))
+    beyond = materialize(beyond, "beyond")
+    shared = materialize(beyond.groupBy("hub", "item").agg(F.count("*").alias("sets")).where("sets > 1"), "shared")
+    frequent = beyond.join(shared.where(F.col("sets") > FEW).select("hub", "item"), ["hub", "item"], "left_semi").select("hub", "id").distinct().withColumn("frequent", F.lit(True))
+    rare = beyond.join(shared.where(F.col("sets") <= FEW).select("hub", "item"), ["hub", "item"], "left_semi")
+    by_item = rare.join(rare.toDF("hub", "id2", "n2", "component2", "item"), ["hub", "item"]).where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & may_be_linked(percent, F.least("n", "n2")))
+    alive = alive.join(frequent, ["hub", "id"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
+    columns = ["id", "n", "component", "common", "frequent", *(f"s{r}" for r in range(HUBS))]
+    other = alive.select("key", *(F.col(c).alias(f"{c}2") for c in columns))
     may = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component") < F.col("component2")))
-    may &= F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2")
+    may &= may_be_linked(percent, F.least("n", "n2")) & (may_be_linked(percent, F.least("common", "common2")) | F.col("frequent") & F.col("frequent2"))
     for r in range(HUBS):
-        may &= F.coalesce(F.abs(F.col(f"s{r}") - F.col(f"t{r}")) <= F.lit(1 - percent / 100 + 1e-9), F.lit(True))
-    return alive.where("component <> main").join(other, "key").where(may).select(*pair("id", "id2")).distinct()
+        may &= F.coalesce(F.abs(F.col(f"s{r}") - F.col(f"s{r}2")) <= F.lit(1 - percent / 100 + 1e-9), F.lit(True))
+    by_key = alive.where("component <> main").join(other, "key").where(may)
+    return by_key.select(*pair("id", "id2")).unionByName(by_item.select(*pair("id", "id2"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -240,7 +262,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
         same = known.join(several, "id", "left_semi").join(distinct.withColumnRenamed("id", "lead"), "digest").where("id <> lead")
         edges = edges.unionByName(same.select(*pair("id", "lead")))
     of = components(edges)
-    rest = materialize(between_components(members, of, tested, percent), "rest")
+    rest = materialize(between_components(members, of, tested, sets, percent), "rest")
     if not rest.isEmpty():
         found = materialize(compared(rest, sets, percent).where("linked").select("a", "b"), "found")
         if not found.isEmpty():
