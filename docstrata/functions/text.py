@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NBSP = " "
+NBSP = "\xa0"
 #: White space as Python's str.strip sees it, for Java's regular expressions.
-WHITE = r"[\s\x1c-\x1f\x85   -     　]"
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 #: Image types by extension; "convert" marks vector formats.
 MIME_TYPES = {

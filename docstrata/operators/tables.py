@@ -12,7 +12,7 @@ TABLE = ["doc_id", "table_id"]
 
 def cleaned(cells: DataFrame, strip: bool = False) -> DataFrame:
     """No-break spaces and line breaks become blanks."""
-    text = F.translate("text", "  \n", "  ")
+    text = F.translate("text", f"{X.NBSP}\n", "  ")
     return cells.withColumn("text", X.strip(text) if strip else text)
 
 

@@ -63,7 +63,7 @@ def test_figures(spark):
 def test_descriptions_reach_the_text(spark):
     rows = [("Heading 1", "A"), ("Normal", "see ", "png"), ("Normal", "Fig 1")]
     nodes, _, _ = ingest.build_tree(blocks(spark, rows), lambda f: f.withColumn("description", F.lit("(a box)")))
-    assert nodes.first().text == "see(a box)Fig 1"
+    assert nodes.first().text == "see (a box)Fig 1"
 
 
 def test_assemble_flatten_renest(spark):
