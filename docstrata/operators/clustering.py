@@ -116,7 +116,11 @@ def three_levels(vectors: DataFrame, l1: int = 50, l2: int = 10, l3: int = 10, s
     usable = vectors.where("vector is not null")
     n = usable.count()
     features = usable.withColumn("_v", array_to_vector("vector"))
-    if n > l1:
+    different = usable.select("vector").distinct()
+    if n > l1 and different.limit(l1 + 1).count() <= l1:  # at most one cluster for each distinct vector
+        named = different.withColumn("cluster_l1", F.row_number().over(Window.orderBy("vector")) - 1)
+        first = usable.join(F.broadcast(named), "vector").select(*usable.columns, "cluster_l1")
+    elif n > l1:
         model = KMeans(k=l1, seed=seed, featuresCol="_v", predictionCol="cluster_l1", maxIter=20).fit(features)
         first = model.transform(features).drop("_v")
     else:

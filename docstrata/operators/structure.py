@@ -157,12 +157,12 @@ def with_vectors(texts: DataFrame, vectors: DataFrame, doc: str = "document_name
 
 def renest(embedded: DataFrame, doc: str = "document_name") -> DataFrame:
     """Nested documents with vectors, from rows (doc, path, kind, text, vector): titles and descriptions as
-    {text, embedding}, chunks as {chunk, embedding}."""
+    {title | description, embedding}, chunks as {chunk, embedding}."""
     index = lambda n: F.try_element_at(F.split("path", "/"), F.lit(n)).try_cast("int")
     part = F.split("path", "/")
     place = lambda name, at: F.coalesce(F.when(F.try_element_at(part, F.lit(at)) == name, index(at + 1)), F.lit(-1))
     rows = embedded.select(doc, "kind", "text", F.col("vector").alias("embedding"), index(2).alias("section_idx"), place("subsections", 3).alias("subsection_idx"), place("subsubsections", 5).alias("subsubsection_idx"), F.element_at(part, -1).try_cast("int").alias("chunk_idx"))
-    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct("text", "embedding")), ignorenulls=True).alias(kind)
+    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct(F.col("text").alias(kind), "embedding")), ignorenulls=True).alias(kind)
     chunks = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "chunk", F.struct("chunk_idx", F.col("text").alias("chunk"), "embedding")))), lambda x: F.struct(x["chunk"].alias("chunk"), x["embedding"].alias("embedding")))
     nodes = rows.groupBy(doc, *INDEXES).agg(of("title"), of("description"), chunks.alias("chunks"))
     ordered = lambda name, idx, fields: F.transform(F.array_sort(F.collect_list(F.struct(idx, *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name)

@@ -75,7 +75,7 @@ def test_assemble_flatten_renest(spark):
     assert texts["content/0/subsections/0/subsubsections/0/text_content"] == "c" and texts["content/1/title"] == "B"
     vectors = flat.select("document_name", "path", F.array(F.length("text").cast("float")).alias("vector"))
     nested = structure.renest(structure.with_vectors(flat, vectors)).first().content
-    assert [s.title.text for s in nested] == ["A", "B"] and [s.title.text for s in nested[0].subsections] == ["A1", "A2"]
+    assert [s.title.title for s in nested] == ["A", "B"] and [s.title.title for s in nested[0].subsections] == ["A1", "A2"]
     assert nested[0].subsections[0].subsubsections[0].title.embedding == [3.0]
 
 
