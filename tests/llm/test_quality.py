@@ -49,7 +49,8 @@ def test_odd_rows(spark, documents):
 def test_one_kind_of_label(spark, documents):
     docs = documents([(i, f"text {i}") for i in range(30)])
     labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
-    assert {r.score for r in Q.score(s := Q.statistics_table(docs), Q.fit(Q.labelled(s, labels))).collect()} == {1.0}
+    stats = Q.statistics_table(docs)
+    assert {r.score for r in Q.score(stats, Q.fit(Q.labelled(stats, labels))).collect()} == {1.0}
 
 
 def test_empty(spark, documents):
