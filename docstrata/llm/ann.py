@@ -28,8 +28,6 @@ from docstrata.llm.vectors import CANDIDATES, QUERIES, best, block, blocks, fini
 SAMPLE, PARTITIONS, NEIGHBOURS, RECALL, SEED = 6000, 16, 10, 0.97, 11
 #: Rounds of the graph partitioning, and the classifier's hidden units, epochs, batch and rate.
 SWEEPS, HIDDEN, EPOCHS, BATCH, RATE = 20, 96, 30, 256, 3e-3
-#: Candidates whose distances are computed exactly, for each of the k wanted.
-RERANKED = 4
 
 
 def nearest(x: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
@@ -144,20 +142,44 @@ def fit(x: np.ndarray, partitions: int = PARTITIONS, recall: float = RECALL, k:
     return m
 
 
+def distinct_enough(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of all rows but those that can't be among the k nearest of any query: of equal vectors, the k first rows of
+    an id and then the 2k of smallest ids stay, so that k are left without a query's own id."""
+    _, group = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+
+    def place_within(*keys: np.ndarray) -> np.ndarray:
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+        start = np.flatnonzero(fresh)
+        return np.arange(len(order)) - start[np.cumsum(fresh) - 1]
+
+    order = order[place_within(group[order], ids[order]) < k]
+    return np.sort(order[place_within(group[order]) < 2 * k])
+
+
 def rerank(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of a block for each query: products choose candidates, exact differences rank them."""
+    """The k nearest of a block for each query, ties to the smaller id: products rule out what is farther than k others
+    whatever the rounding, exact differences rank all the rest."""
     x, q = vectors.astype(np.float64), queries.astype(np.float64)
-    rough = (x**2).sum(axis=1)[None, :] - 2 * q @ x.T
-    rough[query_ids[:, None] == ids[None, :]] = np.inf
-    most = min(len(ids), RERANKED * k)
-    chosen = np.argpartition(rough, most - 1, axis=1)[:, :most]
-    exact = np.sqrt(((x[chosen] - q[:, None, :]) ** 2).sum(axis=2))
-    exact[np.take_along_axis(rough, chosen, axis=1) == np.inf] = np.inf
+    held = distinct_enough(ids, x, k)
+    ids, x = ids[held], x[held]
+    squares = (x**2).sum(axis=1)
+    rough = squares[None, :] - 2 * q @ x.T
+    # Rounding of a product or of a squared difference is below (width + 3) eps (|q| + |x|)^2.
+    number = np.finfo(np.float64)
+    margin = 8 * (x.shape[1] + 16) * (number.eps * (np.sqrt((q**2).sum(axis=1))[:, None] + np.sqrt(squares)[None, :]) ** 2 + number.tiny)
+    other = query_ids[:, None] != ids[None, :]
+    most = min(len(ids), k)
+    limit = np.partition(np.where(other, rough + margin, np.inf), most - 1, axis=1)[:, most - 1]
+    near = other & ~(rough - margin > limit[:, None])
     out = []
     for i, qid in enumerate(query_ids.tolist()):
-        order = np.lexsort((ids[chosen[i]], exact[i]))[:k]
-        order = order[np.isfinite(exact[i][order])]
-        out.append((np.full(len(order), qid), ids[chosen[i]][order], exact[i][order]))
+        chosen = np.flatnonzero(near[i])
+        exact = np.sqrt(((x[chosen] - q[i]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[chosen], exact))[:k]
+        order = order[np.isfinite(exact[order])]
+        out.append((np.full(len(order), qid), ids[chosen][order], exact[order]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 

@@ -95,6 +95,43 @@ def test_ann_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["copies", "own copies", "equally far", "far away"])
+def test_ann_rerank_keeps_ties(kind):
+    """More ties than k in a block: the smaller ids win, in whatever order the rows lie."""
+    rng = np.random.default_rng(5)
+    ids, x = rng.permutation(6000), rng.normal(size=(6000, 16))
+    asked = np.array([7, 8, 9])
+    if kind == "copies":
+        x[rng.permutation(6000)[:2000]] = 0.01
+    elif kind == "own copies":  # the asking ids are repeated too, and come before all others
+        x[:2000] = 0.01
+        ids[:60] = 7
+    elif kind == "equally far":
+        x[:4000] = 0
+        x[np.arange(4000), rng.integers(0, 16, 4000)] = rng.choice([-0.1, 0.1], 4000)
+    else:
+        x = np.where(rng.random(6000) < 0.4, 0.0, rng.integers(1, 9, 6000))[:, None] * 1e-9 + 1e3 + np.zeros((6000, 16))
+    q = np.zeros((3, 16)) + (1e3 if kind == "far away" else 0)
+    exact = np.sqrt(((x[None, :, :] - q[:, None, :]) ** 2).sum(axis=2))
+    for order in (np.arange(6000), rng.permutation(6000)):
+        found = ann.rerank(ids[order], x[order], asked, q, 10)
+        for i, a in enumerate(asked):
+            wanted = sorted((d, j) for d, j in zip(exact[i].tolist(), ids.tolist(), strict=True) if j != a)[:10]
+            assert sorted(zip(found[2][found[0] == a].tolist(), found[1][found[0] == a].tolist(), strict=True)) == wanted
+
+
+def test_ann_copies_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATES", 500)
+    rng = np.random.default_rng(6)
+    v = float32(rng, 6000, 8)
+    v[rng.permutation(6000)[:3000]] = v[0]
+    rows = [(i, v[i].tolist()) for i in rng.permutation(6000).tolist()]
+    same = [i for i in range(6000) if (v[i] == v[0]).all()]
+    df = table(spark, rows)
+    found = sorted(map(tuple, ann.neighbours(df, df.where(F.col("vec_id").isin(0, same[5])), 10).collect()))
+    assert found == [(q, r + 1, i, 0.0) for q in (0, same[5]) for r, i in enumerate([j for j in same if j != q][:10])]
+
+
 def test_partition_is_balanced_and_cuts_few_edges():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(800, 6)) + 6 * rng.integers(0, 2, (800, 6))
