@@ -23,7 +23,7 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_WEIGHT = 0.9
 #: Whatever a phrase or a rule matches contains a match of this.
-GATE = r"(?i)licen[cs]e|spdx|creative|gpl|bsd|apache|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|wtfpl|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+GATE = r"(?i)licen[cs]e|spdx|creative|gpl|bsd|apache|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|wtfpl|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|no[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+attribution"
 
 #: label, keyword (in every match of the title), expression of titles, expression of identifiers ("" for none).
 LICENSES = [
@@ -41,7 +41,7 @@ LICENSES = [
     ("gpl-2", "gpl", r"(?:gnu )?gpl ?(?:version )?v?2(?: 0)?(?: or later| only)?", r"gpl 2 0(?: only| or later)?"),
     ("gpl-2", "general", r"(?:gnu )?general public licen[cs]e (?:version|v) ?2(?: 0)?(?: or later| or any later version)?", r""),
     ("gpl-1", "general", r"(?:gnu )?general public licen[cs]e (?:version|v) ?1(?: 0)?(?: or later)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl", "general", r"gnu general public licen[cs]e|gnu gpl", r""),
+    ("gpl", "gnu", r"gnu general public licen[cs]e|gnu gpl", r""),
     ("gfdl", "documentation", r"gnu free documentation licen[cs]e(?: (?:version|v) ?1 [123])?", r"gfdl 1 [123](?: only| or later)?"),
     ("apache-2", "apache", r"apache (?:software )?licen[cs]e(?: ?version| ?v)? ?2(?: 0)?", r"apache 2 0"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v )?1 1", r"apache 1 1"),
@@ -77,7 +77,7 @@ LICENSES = [
     ("libpng", "libpng", r"libpng licen[cs]e(?: version 2)?", r"libpng 2 0"),
     ("unlicense", "unlicense", r"the unlicense|unlicense licen[cs]e", r"unlicense"),
     ("wtfpl", "wtfpl", r"wtfpl(?: version 2| v2)?", r"wtfpl"),
-    ("python-2", "python", r"python software foundation licen[cs]e(?: version 2)?|psf licen[cs]e(?: agreement)?", r"psf 2 0|python 2 0"),
+    ("python-2", "licen", r"python software foundation licen[cs]e(?: version 2)?|psf licen[cs]e(?: agreement)?", r"psf 2 0|python 2 0"),
     ("php-3", "php", r"php licen[cs]e(?: (?:version |v )?3 0?1)?", r"php 3 0?1"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby"),
     ("openssl", "openssl", r"openssl(?: ssleay)? licen[cs]e", r"openssl"),

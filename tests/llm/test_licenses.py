@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from re import _constants, _parser
 
 from compare import DATA
 from pyspark.sql import functions as F
@@ -65,6 +67,39 @@ def test_gate_holds_for_every_rule():
             assert gate.search(text), text
 
 
+def forms(parsed):
+    """All texts that an expression of literals, sets, alternatives and optional parts matches."""
+    out = [""]
+    for op, arg in parsed:
+        if op is _constants.LITERAL:
+            more = [chr(arg)]
+        elif op is _constants.IN:
+            more = [c for kind, v in arg for c in ([chr(v)] if kind is _constants.LITERAL else map(chr, range(v[0], v[1] + 1)))]
+        elif op is _constants.BRANCH:
+            more = [f for branch in arg[1] for f in forms(branch)]
+        elif op is _constants.SUBPATTERN:
+            more = forms(arg[3])
+        else:
+            assert op is _constants.MAX_REPEAT and arg[:2] == (0, 1)
+            more = ["", *forms(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_alternative(spark, documents, monkeypatch):
+    """Each form of every title and identifier, in every kind of signature, against a brute force without keyword or gate."""
+    texts = []
+    for _, _, title, id in L.LICENSES:
+        for f in forms(_parser.parse(title)):
+            texts += [f, f"Released under the {f.upper()}", f"a {f} b".replace(" ", "_-\n")]
+        for f in forms(_parser.parse(id)) if id else ():
+            texts += [f"SPDX-License-Identifier: {f}", f"https://opensource.org/licenses/{f}"]
+    found = {r.doc_id: r for r in L.scan(documents(list(enumerate(texts)))).collect()}
+    monkeypatch.setattr(sys.modules[__name__], "RULES", [(p, label, "", x, w) for p, label, _, x, w in RULES])
+    assert [t for i, t in enumerate(texts) if columns(found[i]) != brute(t)] == []
+    assert all(found[i].labels for i in range(len(texts)))
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(str(DATA / "sf0.001" / "documents.parquet"))
     texts = {r.doc_id: r.text for r in docs.collect()}
