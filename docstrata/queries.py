@@ -637,7 +637,9 @@ def stream_context(spark, sf_dir):
     return found.select("conv_id", F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit(": "), t)), "\n").alias("context"))
 
 
-@query()
+@query(ORACLES["idle_sessions"])
 def stream_sessions(spark, sf_dir):
-    events = stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return drained(spark, live.live_sessions(events), "append", "sessions").drop("_batch")
+    stamped = lambda events: events.withColumn("ts", F.col("ts").cast("timestamp"))
+    written = drained(spark, live.live_sessions(stamped(stream(spark, sf_dir, "events"))), "append", "sessions").drop("_batch")
+    found = live.flushed(written, stamped(table(spark, sf_dir, "events")))
+    return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "requests")

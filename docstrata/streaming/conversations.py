@@ -1,4 +1,5 @@
-"""Streams of messages: conversation list, rolling context, busy sessions. With availableNow they equal their batch twins."""
+"""Streams of messages: conversation list, rolling context, busy sessions. With availableNow they equal their batch twins;
+sessions do so with ``flushed``, as those that the watermark has not passed are still open when such a query ends."""
 
 from __future__ import annotations
 
@@ -46,3 +47,11 @@ def rolling_context(messages: DataFrame, n: int = 6, conv: str = "conv_id", at:
 def live_sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = chat.IDLE, late: str = "1 hour") -> DataFrame:
     """``busy_sessions`` as a stream, for append mode: a session is emitted when the watermark has passed its end."""
     return chat.busy_sessions(events.withWatermark(ts, late), key, ts, gap)
+
+
+def flushed(written: DataFrame, events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = chat.IDLE) -> DataFrame:
+    """What ``live_sessions`` has written of a finite input, and the sessions that were open when the input ended. Sessions of
+    a key are written in order of time, so that the open ones are those of the events after the last that was written."""
+    last = written.groupBy(F.col(key).alias("_key")).agg(F.max("end").alias("_end"))
+    rest = events.join(last, F.col(key).eqNullSafe(F.col("_key")), "left").where(F.col("_end").isNull() | (F.col(ts) >= F.col("_end")))
+    return written.unionByName(chat.busy_sessions(rest.drop("_key", "_end"), key, ts, gap))

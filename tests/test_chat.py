@@ -90,3 +90,14 @@ def test_sessions_and_late_events(spark, tmp_path):
     out = []
     live.live_sessions(source).writeStream.foreachBatch(lambda b, _: out.extend((r.user_id, r.requests) for r in b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(out) == [(1, 1), (1, 1), (1, 2), (2, 1)]  # the last is still open
+
+
+def test_flushed_sessions_equal_batch(spark):
+    """Open sessions, of a busy key, a key never written and a null key, are neither lost nor doubled."""
+    start = dt.datetime(2024, 1, 1)
+    at = [(k, start + dt.timedelta(seconds=s)) for k in (1, None) for s in (0, 600, 1201, 90_000, 90_500, 91_000)] + [(2, start + dt.timedelta(seconds=91_000))]
+    events = spark.createDataFrame(at, "user_id long, ts timestamp")
+    every = chat.busy_sessions(events)
+    written = every.where(F.col("end") < F.lit(start + dt.timedelta(seconds=87_400)))
+    assert written.count() == 4 and every.count() == 7
+    assert sorted(map(repr, live.flushed(written, events).collect())) == sorted(map(repr, every.collect()))
