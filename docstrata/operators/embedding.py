@@ -44,6 +44,13 @@ def encode(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray
     return rows.mapInPandas(run, T.StructType([*texts.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))]))
 
 
+def word_chunks(texts: DataFrame, n: int = MAX_TOKENS, text: str = "text") -> DataFrame:
+    """``texts`` with ``chunk_idx`` and ``chunk``: every word of a text once, in runs of n; texts without words have one empty chunk."""
+    words = texts.withColumn("_words", F.explode(F.array(F.coalesce(X.tokens(F.col(text)), F.array().cast("array<string>")))))  # split once
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_words") - 1) / n).cast("int")))
+    return words.select(*texts.columns, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("_words", i * n + 1, n), " "))).alias("chunk_idx", "chunk"))
+
+
 def encode_distinct(texts: DataFrame, encoder: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
     """``texts`` with vectors, each distinct text encoded once: ``encoder`` sees a frame of the one column ``text``."""
     vectors = encoder(texts.select(text).where(F.col(text).isNotNull()).distinct())

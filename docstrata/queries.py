@@ -365,7 +365,8 @@ def encoded_texts(spark, sf_dir):
         return model
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embedding.encode(docs, load, max_tokens=256).select("doc_id", "vector")
+    chunks = embedding.word_chunks(docs, 256).drop("text")
+    return embedding.encode(chunks, load, max_tokens=256, text="chunk").select("doc_id", "chunk_idx", "vector")
 
 
 @query("SELECT 'width' AS issue, count(*) AS n FROM embeddings WHERE vec_id % 11 = 3 UNION ALL SELECT 'missing', count(*) FROM embeddings WHERE vec_id % 13 = 5 AND vec_id % 11 <> 3")

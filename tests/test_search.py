@@ -92,6 +92,27 @@ def test_encoders(spark):
     assert [r.vector for r in seen if r.text is None] == [None]
 
 
+def test_encoded_texts_are_whole(spark):
+    """The vectors of a document's chunks count the letters of all of its words."""
+    from compare import DATA
+
+    from docstrata.functions import text as X
+    from docstrata.queries import encoded_texts
+
+    small = str(DATA / "sf0.001")
+    words = {r.doc_id: r.w or [] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", X.tokens(F.col("text")).alias("w")).collect()}
+    seen: dict = {}
+    for r in encoded_texts(spark, small).collect():
+        seen.setdefault(r.doc_id, []).append((r.chunk_idx, r.vector))
+    assert max(map(len, words.values())) > 256 and seen.keys() == words.keys()
+    for i, w in words.items():
+        vectors = [v for _, v in sorted(seen[i])]
+        assert len(vectors) == max(1, -(-len(w) // 256))
+        assert sum(v[0] - v[1] for v in vectors) == sum(map(len, w)) and sum(v[2] for v in vectors) == sum(x.count("e") for x in w)
+    odd = embedding.word_chunks(spark.createDataFrame([(1, None), (2, ""), (3, "a b  c")], "id long, text string"), 2).collect()
+    assert sorted((r.id, r.chunk_idx, r.chunk) for r in odd) == [(1, 0, ""), (2, 0, ""), (3, 0, "a b"), (3, 1, "c")]
+
+
 def test_ingest_and_baseline(spark, tmp_path):
     rows = []
     for d in range(3):
