@@ -6,7 +6,9 @@ in ascending order, each to all its positions at once, and the lists of the pair
 As merges only ever happen inside a word, equal words share one result.
 
 Cases: a null or empty text has no tokens and decodes to ""; the vocabulary's added tokens are found in a text before
-anything else, as the tokenizers library does; repeated rows are encoded alike; other columns pass through untouched.
+anything else, as the tokenizers library does; a text longer than BATCH_CHARS passes in parts, cut between words; repeated
+rows are encoded alike; other columns pass through untouched, but for one named like the result, which is replaced; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +35,7 @@ SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 OTHER, LETTER, NUMBER, BLANK, WHITE = range(5)
 #: Characters laid out at once, and words a worker remembers: both bound its memory.
 BATCH_CHARS, MAX_WORDS = 3_000_000, 1_500_000
+BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
 def character_classes() -> np.ndarray:
@@ -82,27 +86,59 @@ def word_starts(codes: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> n
     return np.flatnonzero(start)
 
 
-#: Odd multipliers of two polynomial hashes modulo 2^64, and what spreads the code points.
-HASHES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
+#: Words of up to eight times this many bytes are hashed and compared by blocks of eight, longer ones each on its own.
+BLOCKS = 8
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
-def powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
-    """base^0 .. base^(n-1) modulo 2^64, kept for the next call."""
-    if len(kept.get(base, ())) < n:
-        kept[base] = np.cumprod(np.append(np.uint64(1), np.full(max(n, 1 << 20) - 1, base, np.uint64)))
-    return kept[base][:n]
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finalizer."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """64-bit hashes of codes[start:end], from one running sum over all codes."""
-    base, spread = HASHES[which]
-    spread_codes = (codes + np.uint32(1)).astype(np.uint64) * np.uint64(spread)
-    spread_codes ^= spread_codes >> np.uint64(29)
-    spread_codes *= powers(base, len(codes))
-    total = np.append(np.uint64(0), np.cumsum(spread_codes))
-    back = powers(pow(base, -1, 1 << 64), len(codes))
-    found = (total[ends] - total[starts]) * back[starts]
-    return found ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def spaced(raw: bytes) -> np.ndarray:
+    """Bytes with the eight spare ones at the end that ``word_hashes`` and ``same_words`` may look at."""
+    return np.frombuffer(raw + bytes(8), np.uint8)
+
+
+def block_of(octets: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes at each start as one number, zero beyond the ``left`` bytes of the word."""
+    every = np.ndarray(len(octets) - 7, "<u8", octets, strides=(1,))
+    return every[starts] & MASKS[np.minimum(left, 8)]
+
+
+def word_hashes(octets: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of octets[start : start + size], mixed block by block; words of one size and up to eight bytes never
+    share one."""
+    h = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    short = sizes <= 8 * BLOCKS
+    for r in range(BLOCKS):
+        at = np.flatnonzero(short & (sizes > 8 * r))
+        if not len(at):
+            break
+        h[at] = mix(h[at] * np.uint64(0xC2B2AE3D27D4EB4F) ^ block_of(octets, starts[at] + 8 * r, sizes[at] - 8 * r))
+    for i in np.flatnonzero(~short).tolist():
+        a = int(starts[i])
+        h[i] = int.from_bytes(hashlib.blake2b(octets[a : a + int(sizes[i])], digest_size=8).digest(), "little")
+    return h
+
+
+def same_words(octets: np.ndarray, starts: np.ndarray, others: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether octets[start : start + size] and the word of that size in ``others`` are the same bytes."""
+    same = np.ones(len(starts), bool)
+    short = sizes <= 8 * BLOCKS
+    for r in range(BLOCKS):
+        here = np.flatnonzero(short & (sizes > 8 * r))
+        if not len(here):
+            break
+        left = sizes[here] - 8 * r
+        same[here] &= block_of(octets, starts[here] + 8 * r, left) == block_of(others, at[here] + 8 * r, left)
+    for i in np.flatnonzero(~short).tolist():
+        a, b, n = int(starts[i]), int(at[i]), int(sizes[i])
+        same[i] = np.array_equal(octets[a : a + n], others[b : b + n])
+    return same
 
 
 class Vocabulary:
@@ -138,11 +174,8 @@ class Vocabulary:
         return np.where(self.pairs[at] == key, self.ranks[at], -1)
 
 
-def encode_words(words: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words, number of ids of each word), by the pair occurrence index."""
-    raw = [w.encode() for w in words]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    octets = np.frombuffer(b"".join(raw), np.uint8)
+def encode_words(octets: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words, number of ids of each word) of words laid end to end, by the pair occurrence index."""
     n = len(octets)
     symbol = np.append(v.byte_ids[octets], -1)
     ends = np.cumsum(sizes)
@@ -209,39 +242,56 @@ class Encoder:
     def __init__(self, text: str):
         self.v = Vocabulary(text)
         self.classes = character_classes()
+        # added tokens are found from the left, the longest first
+        names = sorted((t for t in self.v.added if t), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, names))})") if names else None
+        self.may_cut = not any(" " in t for t in names)
         self.forget()
 
     def forget(self) -> None:
-        #: Known words in the order of their keys: the key, a second hash, the place of its ids and their number.
-        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def learn(self, text: str, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Places of the words that begin at ``starts`` among the known ones; new ones are encoded.
+        #: Keys of known words, sorted, and the word of each; of each word its bytes and its ids, and where both are.
+        self.key, self.word = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.octets, self.at, self.bytes = spaced(b""), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        Words are told apart by two 64-bit hashes; where the second one differs, the batch fails rather than err."""
-        ends = np.append(starts[1:], len(codes))
-        key, check = word_hashes(codes, starts, ends, 0), word_hashes(codes, starts, ends, 1)
-        if len(self.key) > MAX_WORDS:
-            self.forget()
+    def by_key(self, key: np.ndarray, octets: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The known word of each key; the first word of a key that is new is encoded and known from then on."""
         own, first, of = np.unique(key, return_index=True, return_inverse=True)
         at = np.searchsorted(self.key, own)
         new = np.append(self.key, np.uint64(0))[at] != own
         new |= at == len(self.key)
         if new.any():
             where = first[new]
-            ids, sizes = encode_words([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], self.v)
-            place = len(self.flat) + np.cumsum(sizes) - sizes
+            raw, n = octets.tobytes(), sizes[where]
+            raw = b"".join([raw[a:b] for a, b in zip(starts[where].tolist(), (starts[where] + n).tolist(), strict=True)])
+            ids, found = encode_words(np.frombuffer(raw, np.uint8), n, self.v)
+            known = len(self.start)
+            self.at, self.bytes = np.append(self.at, len(self.octets) - 8 + np.cumsum(n) - n), np.append(self.bytes, n)
+            self.octets = spaced(self.octets[:-8].tobytes() + raw)
+            self.start, self.size = np.append(self.start, len(self.flat) + np.cumsum(found) - found), np.append(self.size, found)
             self.flat = np.append(self.flat, ids)
-            at_new = at[new]
-            self.key, self.check = np.insert(self.key, at_new, own[new]), np.insert(self.check, at_new, check[where])
-            self.start, self.size = np.insert(self.start, at_new, place), np.insert(self.size, at_new, sizes)
+            self.word = np.insert(self.word, at[new], known + np.arange(len(n)))
+            self.key = np.insert(self.key, at[new], own[new])
             at = at + np.cumsum(new) - new
-        number = at[of]
-        if (self.check[number] != check).any():
-            raise ValueError("two words share a 64-bit hash")
-        return number
+        return self.word[at][of]
+
+    def learn(self, octets: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The known word of each octets[start : start + size]; new ones are encoded.
+
+        A word is known by its bytes: its hash only says where to look, and a word that finds another there looks on."""
+        if len(self.key) > MAX_WORDS:
+            self.forget()
+        key = word_hashes(octets, starts, sizes)
+        word = self.by_key(key, octets, starts, sizes)
+        while True:
+            other = self.bytes[word] != sizes
+            alike = np.flatnonzero(~other)
+            other[alike] = ~same_words(octets, starts[alike], self.octets, self.at[word[alike]], sizes[alike])
+            at = np.flatnonzero(other)
+            if not len(at):
+                return word
+            key[at] = mix(key[at] + np.uint64(1))
+            word[at] = self.by_key(key[at], octets, starts[at], sizes[at])
 
     def segments(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without added tokens."""
@@ -252,48 +302,60 @@ class Encoder:
             return [np.zeros(0, np.uint32)] * len(texts)
         codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         starts = word_starts(codes, bounds[sizes > 0], self.classes)
-        number = self.learn(whole, codes, starts)
-        size = self.size[number]
+        octets = spaced(whole.encode())
+        at = starts if len(octets) == len(codes) + 8 else np.flatnonzero((octets[:-8] & 0xC0) != 0x80)[starts]
+        word = self.learn(octets, at, np.append(at[1:], len(octets) - 8) - at)
+        size = self.size[word]
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[number] - (ends - size), size)]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[word] - (ends - size), size)]
         firsts = np.searchsorted(starts, np.append(bounds, len(whole)))
         cut = np.append(0, ends)[firsts]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        """Ids of each text, in batches of about BATCH_CHARS characters."""
-        done: list[np.ndarray] = []
+        """Ids of each text, in batches of about BATCH_CHARS characters; longer texts pass in parts."""
+        done: list[list[np.ndarray]] = []
         batch: list[str] = []
+        owners: list[int] = []
         chars = 0
+
+        def flush() -> None:
+            for i, ids in zip(owners, self.encode_batch(batch), strict=True):
+                done[i].append(ids)
+            batch.clear()
+            owners.clear()
+
         for text in texts:
-            batch.append(text or "")
-            chars += len(batch[-1])
-            if chars >= BATCH_CHARS:
-                done += self.encode_batch(batch)
-                batch, chars = [], 0
-        return done + self.encode_batch(batch)
+            done.append([])
+            for part in self.parts(text or ""):
+                batch.append(part)
+                owners.append(len(done) - 1)
+                chars += len(part)
+                if chars >= BATCH_CHARS:
+                    flush()
+                    chars = 0
+        flush()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in done]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A text, cut before blanks between two words where it is longer than BATCH_CHARS; no token spans such a place."""
+        a = 0
+        while len(text) - a > BATCH_CHARS and self.may_cut and (m := BETWEEN_WORDS.search(text, a + BATCH_CHARS)):
+            yield text[a : m.start()]
+            a = m.start()
+        yield text[a:] if a else text
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        added = [t for t in self.v.added if t]
-        if not any(t in x for x in texts for t in added):
+        if not self.added or not any(t in x for x in texts for t in self.v.added if t):
             return self.segments(texts)
-        pieces: list[list[str | int]] = []
-        for x in texts:
-            parts: list[str | int] = [x]
-            for token in added:
-                parts = [q for p in parts for q in (between(p.split(token), self.v.added[token]) if isinstance(p, str) else [p])]
-            pieces.append(parts)
-        ids = iter(self.segments([p for parts in pieces for p in parts if isinstance(p, str)]))
-        return [np.concatenate([next(ids) if isinstance(p, str) else np.array([p], np.uint32) for p in parts]) for parts in pieces]
+        cut = [self.added.split(x) for x in texts]  # texts and added tokens in turn
+        ids = iter(self.segments([p for parts in cut for p in parts[::2]]))
+        return [np.concatenate([np.array([self.v.added[p]], np.uint32) if i % 2 else next(ids) for i, p in enumerate(parts)]) for parts in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.v.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def between(parts: list[str], token: int) -> list[str | int]:
-    return [x for p in parts for x in (token, p)][1:]
-
-
 #: The encoder of this Python worker, kept from task to task.
 _kept: dict[str, Encoder] = {}
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.functions.tables import materialize
-from docstrata.llm.bpe import slices, word_hashes
+from docstrata.llm.bpe import mix, slices, spaced, word_hashes
 
 BATCH_BYTES = 1_000_000
 #: With 42 bands of 6 rows a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.9 with 3e-14.
@@ -38,13 +38,6 @@ FEW = 64
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit finalizer."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 SEPARATES = np.zeros(256, bool)
 SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -53,11 +46,11 @@ LOWER[65:91] += 32
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all sets, sorted and distinct in each; where each set starts, and the end)."""
-    octets = LOWER[np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)]
-    gap = SEPARATES[octets]
+    octets = LOWER[spaced(b"".join(t + b" " for t in texts))]
+    gap = SEPARATES[octets[:-8]]
     before = np.append(True, gap[:-1])
     starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-    h = mix(word_hashes(octets, starts, ends, 0))
+    h = word_hashes(octets, starts, ends - starts)
     text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     word_at = np.append(0, np.searchsorted(starts, text_ends))
     n_words = np.diff(word_at)

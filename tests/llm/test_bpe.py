@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,6 +58,37 @@ def test_long_text():
     same(["word " * 50_000, "a" * 5_000])
 
 
+def test_long_texts_pass_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 50)
+    rng = random.Random(4)
+    letters = ["word", " ", " ", "\n", "'re", "é", "x1", "<|endoftext|>", "  ", "don't", "."]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    assert any(len(list(ENCODER.parts(t))) > 2 for t in texts)
+    same(texts)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse():
+    """A Thue-Morse word and its complement have one value under every odd base modulo 2^64."""
+    flip = str.maketrans("ab", "ba")
+    texts = [t for n in (64, 1024, 2048) for t in (thue_morse(n), thue_morse(n).translate(flip))]
+    same(texts)
+    same([" ".join(texts)])
+
+
+def test_words_with_one_hash(monkeypatch):
+    """Words are told apart by their bytes, whatever their hashes."""
+    monkeypatch.setattr(bpe, "word_hashes", lambda octets, starts, sizes: (sizes % 3).astype(np.uint64))
+    encoder = bpe.Encoder(VOCABULARY)
+    texts = ["one two six ten red blue gold x y z", "two one " + "q" * 100 + " " + "r" * 100, thue_morse(128), "one zebra"]
+    for _ in range(2):
+        for t, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == REFERENCE.encode(t, add_special_tokens=False).ids
+
+
 def test_digests(spark, documents):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, None), (5, ODD[5]), (None, "x")]
     docs = documents(rows, ids=F.lit(1), n_tokens=F.lit("clash"))

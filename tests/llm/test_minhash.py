@@ -103,6 +103,13 @@ def test_sketches_estimate_similarity():
     assert abs((s[0] == s[1]).mean() - 0.8) < 0.12
 
 
+def test_words_that_polynomial_hashes_confuse(spark, documents):
+    t = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    u = t.translate(str.maketrans("ab", "ba"))
+    found = check(spark, documents, [(1, t), (2, u), (3, f"{t} x"), (4, f"{u} x"), (5, t[:1024]), (6, u[:1024])], 2)
+    assert all(r.kept for r in found)
+
+
 def test_small_sets_fill():
     s = minhash.sketches(np.array([5, 5, 9], np.uint64), np.array([0, 1, 1, 3]), 64)
     assert (s[0] != minhash.EMPTY).all() and (s[1] == minhash.EMPTY).all() and (s[2] != minhash.EMPTY).all()
