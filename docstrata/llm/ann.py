@@ -5,15 +5,20 @@ to predict them from a vector, and so extends the partitioning to every row. Eac
 partition. A query goes to its most probable partitions, as many as reach ``recall`` on sampled vectors that the
 classifier was not trained on, and is reranked there by exact distances on the original vectors.
 
-Bounds: the sample has at most ``sample`` rows (those of smallest hash), the classifier a fixed size; every row is
-indexed, and large partitions are cut into blocks. Cases: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do rows with a null id; vectors of another width than the most common one of the sample take
-no part; a query's own id is no candidate; repeated rows are candidates each; of several vectors for a query's id the
-smallest asks; without queries or candidates there are no rows.
+The number of partitions is the power of two that leaves ``held`` rows in each, about, up to ``partitions``. Vectors of different
+widths don't meet; each of the ``WIDTHS`` most common widths has a classifier of its own, all vectors of the rarer ones
+meet every query of their width.
+
+Bounds: a sample has at most ``sample`` rows (those of smallest hash), a classifier a fixed size; every row is indexed, and
+large partitions are cut into blocks. Cases: vectors that are null, empty, zero, or hold null or non-finite components
+take no part, nor do rows with a null id; a query's own id is no candidate; repeated rows are candidates each; equal
+distances are ordered by id before anything is cut; of several vectors for a query's id the smallest asks; other columns
+are ignored, whatever their names; without queries or candidates there are no rows.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,18 +30,22 @@ from pyspark.sql import types as T
 from docstrata.functions.tables import materialize
 from docstrata.llm.vectors import CANDIDATES, QUERIES, best, block, blocks, finite, matrix, search_blocks
 
-SAMPLE, PARTITIONS, NEIGHBOURS, RECALL, SEED = 6000, 16, 10, 0.97, 11
+SAMPLE, HELD, PARTITIONS, NEIGHBOURS, RECALL, SEED = 8192, 128, 256, 10, 0.95, 11
+#: Widths with a classifier of their own; queries that are compared with a block at once.
+WIDTHS, TOGETHER = 4, 256
 #: Rounds of the graph partitioning, and the classifier's hidden units, epochs, batch and rate.
 SWEEPS, HIDDEN, EPOCHS, BATCH, RATE = 20, 96, 30, 256, 3e-3
 
 
 def nearest(x: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """Places of the k nearest rows of x for each query, without the place ``own``."""
-    d = (x**2).sum(axis=1)[None, :] - 2 * queries @ x.T
-    if own is not None:
-        d[np.arange(len(queries)), own] = np.inf
-    k = min(k, len(x))
-    return np.argpartition(d, k - 1, axis=1)[:, :k]
+    squares, k, out = (x**2).sum(axis=1), min(k, len(x)), []
+    for a in range(0, len(queries), TOGETHER):
+        d = squares[None, :] - 2 * queries[a : a + TOGETHER] @ x.T
+        if own is not None:
+            d[np.arange(len(d)), own[a : a + TOGETHER]] = np.inf
+        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
+    return np.concatenate(out)
 
 
 def balanced_partition(graph: np.ndarray, parts: int, x: np.ndarray, random: np.random.Generator) -> np.ndarray:
@@ -117,11 +126,12 @@ def train(x: np.ndarray, wanted: np.ndarray, random: np.random.Generator) -> Rou
 
 
 def fit(x: np.ndarray, partitions: int = PARTITIONS, recall: float = RECALL, k: int = NEIGHBOURS, seed: int = SEED) -> Router:
-    """A router for the sample x; ``probes`` is the least number of partitions that reaches ``recall`` on a fifth of the
-    sample that the classifier did not see, against exact neighbours among all of it."""
+    """A router for the sample x with at most ``partitions`` partitions; ``probes`` is the least number of them that
+    reaches ``recall`` on a fifth of the sample that the classifier did not see, against exact neighbours among all of it."""
     random = np.random.default_rng(seed)
     n, d = x.shape
-    if n < 20 * partitions:
+    partitions = min(partitions, 1 << max(0, (n // 20).bit_length() - 1))  # twenty rows to learn from, at least
+    if partitions == 1:
         return Router(np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
     graph = nearest(x, x, min(k, n - 1), np.arange(n))
     label = balanced_partition(graph, partitions, x, random)
@@ -161,43 +171,61 @@ def distinct_enough(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
 def rerank(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k nearest of a block for each query, ties to the smaller id: products rule out what is farther than k others
     whatever the rounding, exact differences rank all the rest."""
-    x, q = vectors.astype(np.float64), queries.astype(np.float64)
+    x = vectors.astype(np.float64)
     held = distinct_enough(ids, x, k)
     ids, x = ids[held], x[held]
     squares = (x**2).sum(axis=1)
-    rough = squares[None, :] - 2 * q @ x.T
-    # Rounding of a product or of a squared difference is below (width + 3) eps (|q| + |x|)^2.
-    number = np.finfo(np.float64)
-    margin = 8 * (x.shape[1] + 16) * (number.eps * (np.sqrt((q**2).sum(axis=1))[:, None] + np.sqrt(squares)[None, :]) ** 2 + number.tiny)
-    other = query_ids[:, None] != ids[None, :]
-    most = min(len(ids), k)
-    limit = np.partition(np.where(other, rough + margin, np.inf), most - 1, axis=1)[:, most - 1]
-    near = other & ~(rough - margin > limit[:, None])
-    out = []
-    for i, qid in enumerate(query_ids.tolist()):
-        chosen = np.flatnonzero(near[i])
-        exact = np.sqrt(((x[chosen] - q[i]) ** 2).sum(axis=1))
-        order = np.lexsort((ids[chosen], exact))[:k]
-        order = order[np.isfinite(exact[order])]
-        out.append((np.full(len(order), qid), ids[chosen][order], exact[order]))
+    number, most, out = np.finfo(np.float64), min(len(ids), k), []
+    for a in range(0, len(queries), TOGETHER):
+        q, asking = queries[a : a + TOGETHER].astype(np.float64), query_ids[a : a + TOGETHER]
+        rough = squares[None, :] - 2 * q @ x.T
+        # Rounding of a product or of a squared difference is below (width + 3) eps (|q| + |x|)^2.
+        margin = 8 * (x.shape[1] + 16) * (number.eps * (np.sqrt((q**2).sum(axis=1))[:, None] + np.sqrt(squares)[None, :]) ** 2 + number.tiny)
+        other = asking[:, None] != ids[None, :]
+        limit = np.partition(np.where(other, rough + margin, np.inf), most - 1, axis=1)[:, most - 1]
+        near = other & ~(rough - margin > limit[:, None])
+        for i, qid in enumerate(asking.tolist()):
+            chosen = np.flatnonzero(near[i])
+            exact = np.sqrt(((x[chosen] - q[i]) ** 2).sum(axis=1))
+            order = np.lexsort((ids[chosen], exact))[:k]
+            order = order[np.isfinite(exact[order])]
+            out.append((np.full(len(order), qid), ids[chosen][order], exact[order]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def routed(table: DataFrame, m: Router, probes: int) -> DataFrame:
-    """``table(id, vector)`` with ``part``: a row for each of the ``probes`` most probable partitions."""
+def routed(table: DataFrame, routers: dict[int, tuple[int, Router]], rest: int, every_probe: bool) -> DataFrame:
+    """``table(id, vector)`` with ``slot``: a row for the most probable partition, or each of the ``probes`` most probable ones.
+
+    ``routers`` gives the first slot and the router of a width; vectors of other widths have the slot ``rest``."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                p = m.probabilities(matrix(pa.Table.from_batches([batch]), "vector").astype(np.float64))
-                part = np.argsort(-p, axis=1, kind="stable")[:, :probes]
-                again = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), part.shape[1])))
-                yield pa.RecordBatch.from_arrays([*again.columns, pa.array(part.ravel().astype(np.int32))], names=["id", "vector", "part"])
-
-    return table.select("id", "vector").mapInArrow(run, T.StructType([table.schema["id"], table.schema["vector"], T.StructField("part", T.IntegerType())]))
+            widths = batch.column(1).value_lengths().to_numpy()
+            for width in np.unique(widths).tolist():
+                some = batch.filter(pa.array(widths == width))
+                first, m = routers.get(width, (rest, None))
+                part = np.zeros((some.num_rows, 1), int)
+                if m is not None:
+                    p = m.probabilities(matrix(pa.Table.from_batches([some]), "vector").astype(np.float64))
+                    part = np.argsort(-p, axis=1, kind="stable")[:, : m.probes if every_probe else 1]
+                again = some.take(pa.array(np.repeat(np.arange(some.num_rows), part.shape[1])))
+                yield pa.RecordBatch.from_arrays([*again.columns, pa.array((first + part.ravel()).astype(np.int32))], names=["id", "vector", "slot"])
+
+    return table.select("id", "vector").mapInArrow(run, T.StructType([table.schema["id"], table.schema["vector"], T.StructField("slot", T.IntegerType())]))
+
+
+def learned(rows: DataFrame, k: int, sample: int, held: int, partitions: int, recall: float) -> list[tuple[int, Router]]:
+    """(width, router) of the most common widths of ``rows(id, vector)``, each from the rows of smallest hash."""
+    common = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").limit(WIDTHS).collect()
+    out = []
+    for r in common:
+        drawn = rows.where(F.size("vector") == r.width).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()  # at most ``sample`` rows
+        wanted = min(partitions, 1 << round(math.log2(max(1, r["count"] / held))))
+        out.append((r.width, fit(matrix(drawn, "vector"), wanted, recall, k)))
+    return out
 
 
-def neighbours(table: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, partitions: int = PARTITIONS, recall: float = RECALL) -> DataFrame:
+def neighbours(table: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, held: int = HELD, partitions: int = PARTITIONS, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k nearest rows of each query, by Euclidean distance."""
 
     def whole(df: DataFrame) -> DataFrame:
@@ -205,20 +233,18 @@ def neighbours(table: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec
         return vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
 
     rows, asked = whole(table), whole(queries).groupBy("id").agg(F.min("vector").alias("vector"))
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()  # at most ``sample`` rows
-    widths = drawn.column("vector").combine_chunks().value_lengths().to_numpy() if drawn.num_rows else np.zeros(1, int)
-    width = int(np.bincount(widths).argmax())
-    x = matrix(drawn.filter(pa.array(widths == width)), "vector") if drawn.num_rows else np.zeros((0, 1))
-    m = fit(x, partitions, recall, k)
-    alike = F.size("vector") == width
-    index = materialize(routed(rows.where(alike), m, 1), "index")
-    sizes = {r.part: r["count"] for r in index.groupBy("part").count().collect()}  # a row for each partition
-    per_part = [blocks(sizes.get(p, 0), CANDIDATES) for p in range(m.w2.shape[1])]
+    routers: dict[int, tuple[int, Router]] = {}
+    rest = 0
+    for width, m in learned(rows, k, sample, held, partitions, recall):
+        routers[width] = (rest, m)
+        rest += m.w2.shape[1]
+    index = materialize(routed(rows, routers, rest, False), "index")
+    sizes = {r.slot: r["count"] for r in index.groupBy("slot").count().collect()}  # a row for each partition
+    n_blocks = F.element_at(F.lit([blocks(sizes.get(p, 0), CANDIDATES) for p in range(rest + 1)]), F.col("slot") + 1)
     q = blocks(asked.count(), QUERIES)
-    pair = F.struct("part", "c", "q")
-    n_blocks = F.element_at(F.lit(per_part), F.col("part") + 1)
+    pair = F.struct(F.size("vector").alias("width"), "slot", "c", "q")
     left = index.withColumn("c", F.pmod(F.xxhash64("id", "vector"), n_blocks).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(q - 1)))).withColumn("pair", pair)
-    right = routed(asked.where(alike), m, m.probes).withColumn("q", block(F.col("id"), q)).withColumn("c", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("pair", pair)
+    right = routed(asked, routers, rest, True).withColumn("q", block(F.col("id"), q)).withColumn("c", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumn("pair", pair)
     found = search_blocks(left, right, lambda ids, v, query_ids, qs: rerank(ids, v, query_ids, qs, k), "double")
     return best(found, k, F.col("score").asc())
 

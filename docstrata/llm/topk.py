@@ -10,7 +10,9 @@ and hence exact: nothing is lost, ties included.
 Cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of different widths do
 not meet; rows with a null id take no part; a query's own id is no candidate of it, however often it occurs; rows that
 repeat are candidates each; of several vectors for a query's id the smallest asks; with fewer than k candidates all are
-returned; no queries, no rows.
+returned; equal scores are ordered by id within a block already, so that no block returns more than k rows for a query;
+components and scores beyond 64 bits take the nearest 64-bit value; other columns are ignored, whatever their names; no
+queries, no rows.
 """
 
 from __future__ import annotations
@@ -21,9 +23,14 @@ from pyspark.sql import functions as F
 
 from docstrata.llm.vectors import CANDIDATES, QUERIES, best, block, blocks, every, finite, search_blocks
 
-#: Reading pauses to compare bounds whenever the unread part of the lists has halved, this often; and the share of a
-#: block's candidates that may be left to resolve then.
-PAUSES, LEFT = 5, 0.06
+#: Reading pauses to compare bounds at 1/64, 1/32, ... 1/2 of the lists, then whenever the unread part has halved, this
+#: often each; and the share of a block's candidates that may be left to resolve then.
+PAUSES, LEFT = 6, 0.06
+
+
+def pauses(n: int) -> list[int]:
+    """Depths at which bounds are compared, up to n."""
+    return sorted({n >> p for p in range(1, PAUSES + 1)} | {n - (n >> p) for p in range(1, PAUSES)} | {n} - {0})
 
 
 def added(at: np.ndarray, value: np.ndarray, n: int, dtype) -> np.ndarray:
@@ -36,9 +43,11 @@ def added(at: np.ndarray, value: np.ndarray, n: int, dtype) -> np.ndarray:
 
 
 def nra(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, ids, scores) of the k best candidates of each query, more where scores tie."""
+    """(query ids, ids, scores) of the k best candidates of each query, ties to the smaller id."""
     n, d = vectors.shape
-    largest = max(float(np.abs(vectors).max(initial=0)), float(np.abs(queries).max(initial=0)))
+    largest = max(abs(int(f(v))) for v in (vectors, queries) for f in (np.min, np.max))
+    if largest * largest * d >= 2**63:
+        return beyond_64_bits(ids, vectors, query_ids, queries, k)
     exact = largest * largest * d < 2**52
     x, queries = (v.astype(np.float64 if exact else np.int64) for v in (vectors, queries))
     rising = np.argsort(x, axis=0, kind="stable").T  # list j: the candidates by their component j
@@ -57,8 +66,7 @@ def nra(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np
             lower = np.full(n, least.sum(), x.dtype)
             read: list[tuple[np.ndarray, np.ndarray]] = []
             depth = 0
-            for pause in range(1, PAUSES + 1):
-                upto = max(depth + 1, n - (n >> pause)) if pause < PAUSES else n
+            for upto in pauses(n):
                 read.append((entries[end, lists, depth:upto], components[end, lists, depth:upto] * weight))
                 chunk, value = read[-1]
                 lower += added(chunk, value - least, n, x.dtype)
@@ -70,10 +78,19 @@ def nra(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np
                     if len(alive) <= few or depth >= n:
                         break
         score = x[alive] @ q
-        if len(alive) > k:
-            good = score >= np.partition(score, -k)[-k]
-            alive, score = alive[good], score[good]
-        out.append((np.full(len(alive), qid), ids[alive], score))
+        first = np.lexsort((ids[alive], -score))[:k]
+        out.append((np.full(len(first), qid), ids[alive[first]], score[first]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def beyond_64_bits(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``nra`` for components whose products don't fit: in whole numbers of any size, one query after the other."""
+    x, out = vectors.astype(object), []
+    for qid, q in zip(query_ids.tolist(), queries.astype(object), strict=True):
+        there = np.flatnonzero(ids != qid)
+        score = np.array([min(max(s, -(2**63)), 2**63 - 1) for s in x[there] @ q], np.int64)
+        first = np.array(sorted(range(len(there)), key=lambda i: (-int(score[i]), int(ids[there[i]])))[:k], int)
+        out.append((np.full(len(first), qid), ids[there[first]], score[first]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a candidate block and of a query block.
-CANDIDATES, QUERIES = 8192, 512
+CANDIDATES, QUERIES = 8192, 2048
 
 
 def finite(vector: Column) -> Column:

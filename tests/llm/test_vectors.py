@@ -45,12 +45,12 @@ def test_topk_in_blocks(spark, monkeypatch):
 def test_nra_is_exact(kind):
     rng = np.random.default_rng(2)
     v = {"ties": rng.integers(-1, 2, (700, 5)), "sparse": rng.integers(-900, 900, (700, 16)) * (rng.random((700, 16)) < 0.2), "positive": rng.integers(0, 1024, (700, 12))}[kind]
-    for dtype in (1, 2**40):  # doubles, and integers beyond them
+    for dtype in (1, 2**18, 2**40):  # doubles, integers beyond them, integers of any size
         q, ids, score = topk.nra(np.arange(700), v * dtype if kind != "sparse" else v, np.arange(20), v[:20], 10)
+        assert (np.bincount(q) == 10).all()
         for i in range(20):
             mine = sorted(zip(-score[q == i], ids[q == i], strict=True))[:10]
-            s = (v * dtype if kind != "sparse" else v) @ v[i]
-            s = s.astype(object)
+            s = [min(max(x, -(2**63)), 2**63 - 1) for x in ((v * dtype if kind != "sparse" else v).astype(object) @ v[i].astype(object))]
             theirs = sorted((-s[j], j) for j in range(700) if j != i)[:10]
             assert [(int(a), int(b)) for a, b in mine] == [(int(a), int(b)) for a, b in theirs]
 
@@ -71,6 +71,20 @@ def test_ann_odd_rows(spark):
     assert [f[3] for f in found] == [0.0, 0.25, 0.25]
 
 
+def test_ann_every_width(spark, monkeypatch):
+    """Vectors meet those of their own width, the rarest widths too, and columns with clashing names don't matter."""
+    monkeypatch.setattr(ann, "WIDTHS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=d).round(2).tolist()) for i, d in enumerate([8] * 300 + [3] * 60 + [1] * 20 + [5])]
+    df = table(spark, rows, kind="array<double>", id=F.lit("clash"), vector=F.lit(1), slot=F.lit(2), pair=F.lit(3), score=F.lit(4), width=F.lit(5))
+    asked = [0, 310, 360, 379, 380]
+    found = sorted(map(tuple, ann.neighbours(df, df.where(F.col("vec_id").isin(*asked)), 10, recall=1.0).collect()))
+    wanted = []
+    for q in asked:
+        near = sorted((float(np.sqrt(sum((a - b) ** 2 for a, b in zip(rows[q][1], v, strict=True)))), i) for i, v in rows if i != q and len(v) == len(rows[q][1]))[:10]
+        wanted += [(q, r + 1, i) for r, (_, i) in enumerate(near)]
+    assert [f[:3] for f in found] == wanted
+
 def test_empty(spark):
     df = table(spark, [])
     assert topk.topk(df, df).collect() == [] and ann.neighbours(df, df).collect() == []
@@ -78,8 +92,9 @@ def test_empty(spark):
     assert topk.topk(one, one.where("vec_id = 0")).collect() == [] and ann.neighbours(one, one.where("vec_id = 0")).collect() == []
 
 
-def test_ann_recall_and_scores(spark):
-    d = str(DATA / "sf0.1")
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_s"])
+def test_ann_recall_and_scores(spark, size):
+    d = str(DATA / size)
     df = spark.read.parquet(f"{d}/embeddings.parquet")
     x = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
     ids, m = np.array(list(x)), np.array(list(x.values()))
