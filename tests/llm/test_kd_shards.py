@@ -11,15 +11,6 @@ from pyspark.sql import functions as F
 from docstrata.llm import kd_shards as K
 
 
-def keys_of(spark, docs, columns=("source", "lang")):
-    """The sort keys of the rows, as the operator makes them."""
-    base = K.coordinates(docs, "doc_id", "text", list(columns))
-    dims = [f"d{i}" for i in range(2 + len(columns))]
-    b = base.agg(*(f(d).alias(f"{d}_{f.__name__}") for d in dims for f in (F.min, F.max))).first()
-    tie = F.col("crc") * F.lit(1 << K.HASH_BITS) + F.col("hash")
-    return base.select("id", "size", "crc", *((K.scaled(d, b[f"{d}_min"], b[f"{d}_max"]) * F.lit(1 << (K.CRC_BITS + K.HASH_BITS)) + tie).alias(f"k{i}") for i, d in enumerate(dims))).collect()
-
-
 def brute(rows, first, end, dims=4):
     """{place of row: shard}."""
     if end - first == 1 or not rows:
@@ -43,7 +34,7 @@ def brute(rows, first, end, dims=4):
 
 def test_against_recursion(spark):
     docs = spark.read.parquet(str(DATA / "sf0.001" / "documents.parquet"))
-    rows = keys_of(spark, docs)
+    rows = K.keyed(docs, "doc_id", "text", ["source", "lang"], 7, K.TOGETHER).collect()
     place = brute(rows, 0, 7)
     wanted = sorted((r.id, place[id(r)]) for r in rows)
     found = K.kd_shards(docs, shards=7, tolerance=0.0).collect()
@@ -74,6 +65,22 @@ def test_hot_groups_are_cut(spark, documents):
     assert len(sizes) == 8 and max(sizes.values()) < 1.1 * mean and min(sizes.values()) > 0.9 * mean
 
 
+def test_copies_stay_together(spark, documents):
+    """Copies under other ids and sources share a shard; a group that is larger is in neighbouring ones; bytes stay equal."""
+    rng = random.Random(4)
+    texts = ["t" * rng.randint(50, 900) + str(i) for i in range(500)]
+    rows = [(i, texts[rng.randrange(500)] if i % 10 else "hot") for i in range(4000)]
+    docs = documents(rows).withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"))).withColumn("lang", (F.col("doc_id") % 3).cast("string"))
+    found = K.kd_shards(docs, shards=8, together=0.1).collect()
+    shards, sizes, text_of = {}, {}, dict(rows)
+    for r in found:
+        shards.setdefault(text_of[r.doc_id], set()).add(r.shard)
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.size
+    share = sum(sizes.values()) / 8
+    assert all(len(s) == 1 for t, s in shards.items() if t != "hot")
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 0.25 * share
+
+
 def test_odd_rows(spark, documents):
     docs = documents([(1, None), (1, None), (2, ""), (None, "x"), (5, "y" * 100_000)], shard=F.lit("clash"), size=F.lit("c"), node=F.lit(1), hash=F.lit(2)).withColumn("source", F.lit(None).cast("string"))
     found = K.kd_shards(docs, shards=4).collect()
