@@ -5,15 +5,17 @@ space; a text with fewer words is one shingle). A sketch has ``bands * rows`` co
 rounds throws every element into a hashed bin; the last t rounds visit one bin each, so every coordinate fills, and most
 sets stop after a few rounds, when all are full. A coordinate keeps the smallest value of the first round that reaches it.
 
-Sets that are equal share one representative (smallest id), so exact copies never meet in a bucket. In a bucket every
-member is compared with a few hubs only, which connects most groups. Then the pairs of a bucket that are still in
-different components are compared, but for those that the similarities to their hubs rule out. So a
-group of m near copies costs about m comparisons, and yet every pair of texts in a common bucket is verified, connected
-or proven apart. Links are confirmed on full sets.
-
-Cases: a text that is null or has no words has an empty set, links with nothing and is kept. Rows that share an id are
-one node, with the union of their sets. A row whose id is null links with nothing, has a null component and is kept. Empty tables give empty results;
-other columns of ``docs`` are ignored.
+Equal sets are one node, so exact copies never meet in a bucket. In a bucket every
+member is compared with a few hubs only, the smallest set first, which connects most groups. What is still in different
+components is compared where it can be linked after all: what two sets share is at most what both have of the smallest
+hub, which alone never suffices unless both are linked to that hub, plus what they share beyond it. So sets that
+share a rare element beyond their hub meet through that element, and only sets with a frequent one meet by bucket,
+less those that the similarities to their hubs rule out. A group of m near copies costs about m comparisons, and yet
+every pair of texts in a common bucket is verified, connected or proven apart. Links are confirmed on full sets.
+
+Cases: a text that is null or has no words has an empty set, links with nothing and is kept. Rows that share an id share
+their component, whatever their texts, and each text links by its own set. A row whose id is null links with nothing, has a
+null component and is kept. Empty tables give empty results; other columns of ``docs`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -133,24 +135,28 @@ def sketch_table(docs: DataFrame, id: str, text: str, words: int, bands: int, ro
             flat, at = shingle_sets(texts_of(batch, "text"), words)
             keys = band_keys(sketches(flat, at, bands * rows), bands, rows)
             full = np.diff(at) > 0
-            digests = [hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if a < b else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             cuts = np.append(0, np.cumsum(full) * bands).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(keys[full].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(np.diff(at)), pa.array(digests, pa.binary()), lists], names=["id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), pa.array(np.diff(at)), digests_of(flat, at), lists], names=["id", "n_shingles", "digest", "keys"])
 
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """(id, items) from (id, text): the full sets, as array<long>."""
+def digests_of(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A digest of each set, null for an empty one."""
+    return pa.array([hashlib.blake2b(flat[a:b].tobytes(), digest_size=16).digest() if a < b else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+
+
+def set_table(texts: DataFrame, words: int) -> DataFrame:
+    """(digest, items) of each ``text``: the full sets, as array<long>."""
 
     def run(batches):
         for batch in slices(batches, "text", BATCH_BYTES):
             flat, at = shingle_sets(texts_of(batch, "text"), words)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), lists], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([digests_of(flat, at), lists], names=["digest", "items"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, items array<long>")
+    return texts.select("text").mapInArrow(run, "digest binary, items array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,8 +191,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def hubs_of(members: DataFrame) -> DataFrame:
-    """(key, hubs): the members that all others of a bucket are compared with: the smallest id, and some by hash."""
-    orders = [F.col("id"), *(F.xxhash64("id", F.lit(r)) for r in range(1, HUBS))]
+    """(key, hubs): the members that all others of a bucket are compared with: the smallest set, and some by hash."""
+    orders = [F.col("n"), *(F.xxhash64("id", F.lit(r)) for r in range(1, HUBS))]
     chosen = [F.min(F.struct(o.alias("o"), F.col("id")))["id"].alias(f"h{r}") for r, o in enumerate(orders)]
     return members.groupBy("key").agg(*chosen).select("key", F.array(*(f"h{r}" for r in range(HUBS))).alias("hubs"))
 
@@ -197,17 +203,17 @@ def pair(x: str, y: str) -> list:
 
 def may_be_linked(percent: int, common: Column) -> Column:
     """Whether sets of n and n2 elements with at most ``common`` in both can be linked."""
-    return F.coalesce(F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("n2") - common), F.lit(True))
+    return F.lit(100) * common >= F.lit(percent) * (F.col("n") + F.col("n2") - common)
 
 
 def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of one bucket that are still in different components and may be linked after all.
 
-    1 - similarity is a metric, so the known similarities to a common hub rule out every pair whose two differ by more
-    than the similarity that is asked for leaves. And what two sets have in common is at most the smaller of what they
-    share with the first hub, plus what both have beyond it: pairs for which the former is too little must share an
-    element beyond the hub. Elements beyond a hub that few sets have are joined; the sets that have a frequent one meet
-    each other in full. The members of a bucket's largest component only meet the others."""
+    The first hub h is no larger than any other member, so if two members x and y shared enough to be linked within h,
+    each would be linked to h, and they would be in one component. Hence x and y must share an element beyond h. Elements
+    that few sets have beyond a hub are joined; the sets that have a frequent one meet by bucket. 1 - similarity is a
+    metric, so the known similarities to a common hub rule out every pair whose two differ by more than the similarity
+    that is asked for leaves. The members of a bucket's largest component only meet the others."""
     named = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
     alive = materialize(named.join(open_keys, "key").join(hubs_of(members), "key"), "alive")
@@ -216,7 +222,7 @@ def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, set
     each = alive.select("key", "id", F.posexplode("hubs").alias("r", "hub"))
     known = each.select("key", "id", "r", F.col("id") == F.col("hub"), *pair("id", "hub")).toDF("key", "id", "r", "own", "a", "b").join(tested, ["a", "b"], "left")
     similar = F.when(F.col("own"), 1.0).otherwise(F.col("similar"))
-    profile = known.groupBy("key", "id").agg(*(F.max(F.when(F.col("r") == r, similar)).alias(f"s{r}") for r in range(HUBS)), F.max(F.when(F.col("r") == 0, F.col("common"))).alias("common"))
+    profile = known.groupBy("key", "id").agg(*(F.max(F.when(F.col("r") == r, similar)).alias(f"s{r}") for r in range(HUBS)))
     alive = materialize(alive.join(profile, ["key", "id"]).where(~F.array_contains("hubs", F.col("id"))).withColumn("hub", F.col("hubs")[0]).drop("hubs"), "alive")
     once = alive.select("id", "hub", "n", "component").distinct()
     beyond = once.join(sets, "id").join(sets.toDF("hub", "of_hub"), "hub").select("hub", "id", "n", "component", F.explode(F.array_except("items", "of_hub")).alias("item"))
@@ -226,13 +232,13 @@ def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, set
     rare = beyond.join(shared.where(F.col("sets") <= FEW).select("hub", "item"), ["hub", "item"], "left_semi")
     by_item = rare.join(rare.toDF("hub", "id2", "n2", "component2", "item"), ["hub", "item"]).where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & may_be_linked(percent, F.least("n", "n2")))
     alive = alive.join(frequent, ["hub", "id"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
-    columns = ["id", "n", "component", "common", "frequent", *(f"s{r}" for r in range(HUBS))]
+    columns = ["id", "n", "component", "frequent", *(f"s{r}" for r in range(HUBS))]
     other = alive.select("key", *(F.col(c).alias(f"{c}2") for c in columns))
     may = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component") < F.col("component2")))
-    may &= may_be_linked(percent, F.least("n", "n2")) & (may_be_linked(percent, F.least("common", "common2")) | F.col("frequent") & F.col("frequent2"))
+    may &= may_be_linked(percent, F.least("n", "n2"))
     for r in range(HUBS):
         may &= F.coalesce(F.abs(F.col(f"s{r}") - F.col(f"s{r}2")) <= F.lit(1 - percent / 100 + 1e-9), F.lit(True))
-    by_key = alive.where("component <> main").join(other, "key").where(may)
+    by_key = alive.where("frequent and component <> main").join(other.where("frequent2"), "key").where(may)
     return by_key.select(*pair("id", "id2")).unionByName(by_item.select(*pair("id", "id2"))).distinct()
 
 
@@ -240,36 +246,53 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     """One row per row of ``docs``: id, n_shingles, component_id, kept (see the module's text)."""
     table = materialize(sketch_table(docs, id, text, words, bands, rows), "sketches")
     known = table.where("id is not null and digest is not null")
-    distinct = materialize(known.groupBy("digest").agg(F.min("id").alias("id")), "distinct")
-    lead = known.join(distinct, ["id", "digest"], "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
+    distinct = known.groupBy("digest").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    distinct = materialize(distinct, "distinct")
+    lead = known.join(distinct.withColumnRenamed("least", "id"), ["id", "digest"]).select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
     shared = lead.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
     members = materialize(lead.join(shared, "key"), "members")
-    texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(members.select("id").distinct(), "id", "left_semi")
-    sets = materialize(set_table(texts, words).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "sets")
+    of_members = materialize(distinct.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi"), "of-members")
+    texts = docs.select(F.col(id).cast("long").alias("least"), F.col(text).alias("text")).join(of_members.select("least").distinct(), "least", "left_semi")
+    sets = set_table(texts, words).groupBy("digest").agg(F.first("items").alias("items")).join(of_members, "digest").select(F.col("node").alias("id"), "items")
+    sets = materialize(sets, "sets")
     met = members.join(hubs_of(members), "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(*pair("id", "hub")).distinct()
     tested = materialize(compared(met, sets, percent), "tested")
     edges = tested.where("linked").select("a", "b")
-    # an id whose rows have several sets is one node all the same
     several = materialize(known.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id"), "several")
-    if not several.isEmpty():
-        same = known.join(several, "id", "left_semi").join(distinct.withColumnRenamed("id", "lead"), "digest").where("id <> lead")
-        edges = edges.unionByName(same.select(*pair("id", "lead")))
+    if not several.isEmpty():  # the texts of one id belong together
+        own = known.join(several, "id", "left_semi").join(distinct, "digest").select("id", "node").distinct()
+        edges = edges.unionByName(own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
     of = components(edges)
     rest = materialize(between_components(members, of, tested, sets, percent), "rest")
     if not rest.isEmpty():
         found = materialize(compared(rest, sets, percent).where("linked").select("a", "b"), "found")
         if not found.isEmpty():
             of = components(of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
-    group = distinct.join(of, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = table.select("id", "n_shingles", "digest").join(group, "digest", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id), "n_shingles", F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    of = of.withColumnRenamed("id", "node").join(distinct, "node").select("component", "digest", "least")
+    of = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
+    group = distinct.join(of, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"))
+    out = known.select("id", "n_shingles", "digest").join(group, "digest").select("id", "n_shingles", "component_id")
+    empty = table.where("id is not null and digest is null").select("id", "n_shingles")
+    # an id may have a text without words and another with some
+    both = materialize(table.where("id is not null").groupBy("id").agg(F.count("digest").alias("full"), F.count("*").alias("all")).where("full > 0 and full < all").select("id"), "both")
+    if both.isEmpty():
+        empty = empty.withColumn("component_id", F.col("id"))
+    else:
+        other = out.join(both, "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("other"))
+        empty = empty.join(other, "id", "left").select("id", "n_shingles", F.coalesce("other", "id").alias("component_id"))
+    out = out.unionByName(empty).unionByName(table.where("id is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id. Rows whose id is null stay."""
+    """``docs`` with one document of each group: that of the smallest id. Rows whose id is null stay. Of rows that repeat an
+    id and a text one stays, the smallest by its other columns, which must have an order; texts that differ stay, whatever their id."""
     kept = near_duplicates(docs, id, text, **parameters).where(F.col("kept") & F.col(id).isNotNull()).select(id).distinct()
-    return docs.where(F.col(id).isNotNull()).join(kept, id, "left_semi").dropDuplicates([id]).select(docs.columns).unionByName(docs.where(F.col(id).isNull()))
+    rest = [F.col(c) for c in docs.columns if c not in (id, text)]
+    rows = docs.where(F.col(id).isNotNull()).join(kept, id, "left_semi")
+    once = rows.groupBy(id, text).agg(F.min(F.struct(F.lit(0).alias("_0"), *rest)).alias("_rest"))
+    back = [F.col(c) if c in (id, text) else F.col("_rest").getField(c).alias(c) for c in docs.columns]
+    return once.select(*back).unionByName(docs.where(F.col(id).isNull()))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,32 @@ def test_one_of_each_group_stays(spark, documents):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "other words in here now")]
 
 
+def test_texts_of_one_id_stay(spark, documents):
+    """Rows that share an id and not a text are other documents; of repeated ones the smallest by the other columns stays."""
+    rows = [(1, "a b c d e f g"), (1, "totally different words in this one"), (1, None), (2, "a b c d e f g"), (2, "some more text of its own")]
+    docs = documents(rows).unionByName(documents(rows).withColumn("source", F.lit("r")))
+    kept = minhash.deduplicated(docs.repartition(5)).collect()
+    assert sorted((r.doc_id, r.text or "", r.source) for r in kept) == [(1, "", "r"), (1, "a b c d e f g", "r"), (1, "totally different words in this one", "r")]
+    assert kept[0].__fields__ == docs.columns
+
+
+def test_ids_with_several_texts(spark, documents):
+    """Such an id is one node with all of its words, and meets whatever shares a bucket with one of its texts."""
+    rng = random.Random(9)
+    rows = corpus(9, 60, 2)
+    rows += [(i, rows[rng.randrange(60)][1]) for i in range(0, 60, 7)]
+    check(spark, documents, rows, 2)
+
+
+def test_template_with_frequent_additions(spark, documents):
+    """A family near the threshold, with additions that many members share: pairs meet beyond the hub, none is lost."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(60)]
+    extra = [[f"x{k}{i}" for i in range(12)] for k in range(3)]
+    rows = [(i, " ".join(base + (extra[i % 4] if i % 4 < 3 else []) + [f"own{i}_{j}" for j in range(rng.randint(0, 14))])) for i in range(160)]
+    check(spark, documents, rows, 2)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     common, a, b = rng.integers(1 << 62, size=800), rng.integers(1 << 62, size=100), rng.integers(1 << 62, size=100)
