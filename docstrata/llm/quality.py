@@ -2,11 +2,13 @@
 
 One pass over the texts gives each row a few statistics. Training adds up, partition by partition, the normal equations
 of the Fourier features of the labelled rows (a matrix of fixed size), solves the ridge on the driver, and calibrates
-with pooled adjacent violators over a fixed number of score bins. Scoring is narrow.
+with pooled adjacent violators over a fixed number of score bins. Calibration sees each labelled row through a ridge
+that was fitted without the row's fold. Scoring is narrow.
 
-Cases: a null or empty text has statistics of zero and is scored like any other; rows with a null or repeated id are
-scored each on its own; a label that is null is no label, several labels of an id count each; without labels of both
-kinds every score is the share of label 1, or 0.5 without labels. Other columns are no inputs.
+Cases: a null or empty text is one empty line (``distinct_lines`` is 1, all else 0) and is scored like any other; a very long text
+passes alone, in arrays of a few times its size; rows with a null or repeated id are scored each on its own; a label
+that is null is no label, several labels of an id count each; without labels of both kinds every score is the share of
+label 1, or 0.5 without labels. Other columns are no inputs, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from docstrata.functions.tables import materialize
 from docstrata.llm.bpe import slices, with_columns
 
 BATCH_BYTES = 2_000_000
-FEATURES, RIDGE, WIDTH, SEED, BINS = 256, 1e-3, 2.5, 7, 512
+FEATURES, RIDGE, WIDTH, SEED, BINS, FOLDS = 256, 1e-3, 2.5, 7, 512, 4
 STATISTICS = (
     "log_bytes", "upper", "lower", "digit", "blank", "newline", "beyond_ascii", "stop", "comma", "mark", "bar", "symbol", "other_punctuation", "top_symbol",
     "log_words", "word_bytes", "word_spread", "long_words", "log_lines", "line_words", "distinct_lines", "marked_words", "capital_words",
@@ -134,6 +136,11 @@ def pooled(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
+def fold_of(stats: np.ndarray) -> np.ndarray:
+    """A fold for each row, from its statistics alone."""
+    return (np.abs(stats).sum(axis=1) * 1e6).astype(np.int64) * 40503 // 64 % FOLDS
+
+
 def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, width: float = WIDTH, seed: int = SEED) -> Model:
     """The model of ``labelled(stats, label)``; all labelled rows count."""
     d = len(STATISTICS)
@@ -148,16 +155,27 @@ def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, wid
         m.levels = np.full(2, ones / n if n else 0.5)
         return m
     k = features + 1
+    upper = np.triu_indices(k)
+    size = len(upper[0]) + k + 1
 
     def equations(s, y, m=m):
-        z = m.features(s)
-        return np.concatenate([(z.T @ z).reshape(-1), z.T @ y])
+        fold, z = fold_of(s), m.features(s)
+        parts = [np.concatenate([(z[at].T @ z[at])[upper], z[at].T @ y[at], [len(at)]]) for at in (np.flatnonzero(fold == f) for f in range(FOLDS))]
+        return np.concatenate(parts)
+
+    total = sums(rows, equations, FOLDS * size).reshape(FOLDS, size)
+
+    def solved(e):
+        a = np.zeros((k, k))
+        a[upper] = e[: len(upper[0])]
+        return np.linalg.solve(a + np.triu(a, 1).T + ridge * max(e[-1], 1) * np.eye(k) / k, e[len(upper[0]) : -1])
 
-    total = sums(rows, equations, k * k + k)
-    m.solution = np.linalg.solve(total[: k * k].reshape(k, k) + ridge * n * np.eye(k) / k, total[k * k :])
+    m.solution = solved(total.sum(axis=0))
+    others = np.stack([solved(total.sum(axis=0) - e) for e in total], axis=1)  # a ridge without each fold
 
     def binned(s, y, m=m):
-        b = np.clip((m.raw(s) + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
+        raw = (m.features(s) @ others)[np.arange(len(s)), fold_of(s)]
+        b = np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(int)
         return np.concatenate([np.bincount(b, minlength=BINS), np.bincount(b, y, BINS)]).astype(float)
 
     counts = sums(rows, binned, 2 * BINS)
