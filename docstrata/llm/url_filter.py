@@ -7,8 +7,10 @@ captures on the same pair. An ``allow`` list that matches overrides all ``block`
 
 Cases: an entry takes effect on its day; several of one day apply in the order add, remove; a remove without an add, and
 an add of what is there, change nothing; a capture with a null or unreadable URL or a null day matches nothing and is not
-blocked; captures that repeat are decided each; host names are compared in lower case, URLs as they are without their
-fragment. Empty lists block nothing, an empty table gives an empty result.
+blocked; captures that repeat are decided each; host names are compared in lower case and without a dot at their end, an address
+in brackets or of digits has no domains above it, URLs are compared as they are without their fragment; columns of the
+captures named ``lists`` or ``blocked`` are replaced, all others stay, whatever their names. Empty lists block nothing, an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)"
 
 
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case; null without one."""
-    host = F.lower(F.regexp_extract(url, HOST, 1))
+    host = F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
     return F.when(host != "", host)
 
 
@@ -41,33 +43,34 @@ def intervals(entries: DataFrame) -> DataFrame:
 def suffixes(host: Column) -> Column:
     """The domains that a host belongs to, itself included, the bare top level excluded."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
+    address = host.rlike(r"^(?:\[.*\]|[0-9.]+)$")
+    return F.when(address, F.array(host)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")))
 
 
 def decide(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """``captures`` with ``lists`` (names of the matching lists, sorted, comma-joined) and ``blocked``."""
     open_ = intervals(entries)
-    asked = captures.withColumn("_host", host_of(F.col(url))).withColumn("_url", plain_url(F.col(url)))
-    pairs = asked.where(F.col("_host").isNotNull() & F.col(day).isNotNull()).select("_host", F.col(day).alias("_day")).distinct()
-    probes = pairs.select("_host", "_day", F.explode(F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("_host").alias("key"))), F.transform(suffixes(F.col("_host")), lambda s: F.struct(F.lit("domain").alias("kind"), s.alias("key"))))).alias("p")).select("_host", "_day", "p.*")
-
-    def active(at: Column) -> Column:
-        return (at >= F.col("opened")) & (F.col("closed").isNull() | (at < F.col("closed")))
+    asked = captures.select(F.struct(*captures.columns).alias("row"), host_of(F.col(url)).alias("host"), plain_url(F.col(url)).alias("plain"), F.col(day).alias("at"))
+    pairs = asked.where("host is not null and at is not null").select("host", "at").distinct()
+    keys = F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key"))), F.transform(suffixes(F.col("host")), lambda s: F.struct(F.lit("domain").alias("kind"), s.alias("key"))))
+    probes = pairs.select("host", "at", F.explode(keys).alias("p")).select("host", "at", "p.*")
+    active = (F.col("at") >= F.col("opened")) & (F.col("closed").isNull() | (F.col("at") < F.col("closed")))
 
     def matched(found: DataFrame, by: list[str], lists: str) -> DataFrame:
-        return found.groupBy(*by).agg(F.collect_set(F.struct("list", "effect")).alias(lists))  # at most the number of lists
+        return found.where(active).groupBy(*by).agg(F.collect_set(F.struct("list", "effect")).alias(lists))  # at most the number of lists
 
-    hosts = matched(probes.join(open_, ["kind", "key"]).where(active(F.col("_day"))), ["_host", "_day"], "_hosts")
-    urls = asked.where(F.col(day).isNotNull()).select("_url", F.col(day).alias("_day")).distinct()
-    by_url = matched(urls.join(open_.where("kind = 'url'"), F.col("_url") == F.col("key")).where(active(F.col("_day"))), ["_url", "_day"], "_urls")
-    both = asked.withColumn("_day", F.col(day)).join(hosts, ["_host", "_day"], "left").join(by_url, ["_url", "_day"], "left")
+    hosts = matched(probes.join(open_, ["kind", "key"]), ["host", "at"], "by_host")
+    urls = asked.where("at is not null").select("plain", "at").distinct()
+    by_url = matched(urls.join(open_.where("kind = 'url'"), F.col("plain") == F.col("key")), ["plain", "at"], "by_url")
+    both = asked.join(hosts, ["host", "at"], "left").join(by_url, ["plain", "at"], "left")
     none = F.array().cast("array<struct<list:string,effect:string>>")
-    found = both.withColumn("_all", F.array_union(F.coalesce("_hosts", none), F.coalesce("_urls", none)))
+    found = both.withColumn("all", F.array_union(F.coalesce("by_host", none), F.coalesce("by_url", none)))
 
     def has(effect: str) -> Column:
-        return F.exists("_all", lambda x: x["effect"] == effect)
+        return F.exists("all", lambda x: x["effect"] == effect)
 
-    return found.select(*captures.columns, F.array_join(F.array_sort(F.array_distinct(F.transform("_all", lambda x: x["list"]))), ",").alias("lists"), (has("block") & ~has("allow")).alias("blocked"))
+    kept = [F.col("row").getField(c).alias(c) for c in captures.columns if c not in ("lists", "blocked")]
+    return found.select(*kept, F.array_join(F.array_sort(F.array_distinct(F.transform("all", lambda x: x["list"]))), ",").alias("lists"), (has("block") & ~has("allow")).alias("blocked"))
 
 
 def number(of: Column) -> Column:
@@ -100,9 +103,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH p AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day,
-  nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host, string_split(url, '#')[1] AS plain FROM pages),
+  nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1)), '.'), '') AS host, string_split(url, '#')[1] AS plain FROM pages),
 n AS (SELECT DISTINCT host AS key, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS h FROM p WHERE host IS NOT NULL),
-x AS (SELECT DISTINCT CASE WHEN len(w) < 2 THEN key ELSE w[-2] || '.' || w[-1] END AS key FROM (SELECT key, string_split(key, '.') AS w FROM n)),
+x AS (SELECT DISTINCT CASE WHEN len(w) < 2 OR regexp_full_match(key, '\[.*\]|[0-9.]+') THEN key ELSE w[-2] || '.' || w[-1] END AS key FROM (SELECT key, string_split(key, '.') AS w FROM n)),
 d AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS h FROM x),
 u AS (SELECT DISTINCT plain AS key, CAST('0x' || substr(md5(plain), 1, 6) AS BIGINT) AS h FROM p WHERE url IS NOT NULL),
 i AS (

@@ -23,9 +23,12 @@ def brute(captures, entries):
     for page, url, day in captures:
         lists = set()
         if url and day:
-            host = url.split("://", 1)[1].split("/")[0].split("#")[0].split("?")[0].split("@")[-1].split(":")[0].lower() if "://" in url else None
+            host = url.split("://", 1)[1].split("/")[0].split("#")[0].split("?")[0].split("@")[-1].lower() if "://" in url else None
+            if host is not None:
+                host = host[: host.index("]") + 1] if host.startswith("[") else host.split(":")[0].rstrip(".")
+            address = host is not None and set(host) <= {*"0123456789."} or (host or "").startswith("[")
             for (name, effect, kind, key), changes in state.items():
-                hit = url.split("#")[0] == key if kind == "url" else host is not None and (host == key or kind == "domain" and host.endswith("." + key))
+                hit = url.split("#")[0] == key if kind == "url" else host is not None and (host == key or kind == "domain" and not address and host.endswith("." + key))
                 now = None
                 for d, action in sorted(changes):
                     now = action if d <= day else now
@@ -41,6 +44,7 @@ def test_against_loop(spark):
     hosts = ["a.example.com", "b.example.com", "example.com", "x.org", "HOT.net"]
     captures = [(i, f"http://{rng.choice(hosts)}/p{rng.randint(0, 3)}{rng.choice(('', '#top'))}", DAY + dt.timedelta(rng.randint(0, 30))) for i in range(400)]
     captures += [(900, None, DAY), (901, "http://x.org/", None), (902, "no url", DAY), (903, "http://u@x.org:80?q", DAY), (0, captures[0][1], captures[0][2])]
+    captures += [(910 + i, u, DAY + dt.timedelta(15)) for i, u in enumerate(("http://[2001:db8::1]:80/x", "http://A.Example.com./p", "http://10.0.0.1/", "https://u:p@10.0.0.1:8/", "http:///none"))]
     keys = {"host": ["a.example.com", "hot.net", "x.org"], "domain": ["example.com", "x.org", "net"], "url": ["http://x.org/p1", "http://HOT.net/p2"]}
     entries = []
     for _ in range(120):
@@ -48,8 +52,11 @@ def test_against_loop(spark):
         name = rng.choice(("one", "two", "ok"))
         entries.append((name, "allow" if name == "ok" else "block", kind, rng.choice(keys[kind]), DAY + dt.timedelta(rng.randint(0, 30)), rng.choice(("add", "remove"))))
     entries = [e for e in entries if e[3] != "net"] + [("one", "block", "host", None, DAY, "add"), ("one", "block", "host", "x.org", None, "add"), entries[0] if entries[0][3] != "net" else entries[1]]
-    df = spark.createDataFrame(captures, CAPTURES).withColumns({"lists_of": F.lit(1), "key": F.lit("clash"), "kind": F.lit(0), "opened": F.lit(0)})
-    found = U.decide(df, spark.createDataFrame(entries, ENTRIES))
+    entries += [("one", "block", "host", "[2001:db8::1]", DAY, "add"), ("two", "block", "host", "10.0.0.1", DAY, "add"), ("one", "block", "domain", "0.1", DAY, "add")]
+    clashes = {c: F.lit(f"my {c}") for c in ("key", "kind", "opened", "row", "host", "_host", "at", "all", "by_host", "lists", "blocked")}
+    found = U.decide(spark.createDataFrame(captures, CAPTURES).withColumns(clashes), spark.createDataFrame(entries, ENTRIES))
+    assert found.columns == ["page_id", "url", "day", *(c for c in clashes if c not in ("lists", "blocked")), "lists", "blocked"]
+    assert all(r[c] == f"my {c}" for r in found.take(5) for c in clashes if c not in ("lists", "blocked"))
     assert sorted(((r.page_id, r.lists, r.blocked) for r in found.collect()), key=repr) == brute(captures, entries)
 
 
