@@ -6,12 +6,12 @@ rounds throws every element into a hashed bin; the last t rounds visit one bin e
 sets stop after a few rounds, when all are full. A coordinate keeps the smallest value of the first round that reaches it.
 
 Equal sets are one node, so exact copies never meet in a bucket. In a bucket every
-member is compared with a few hubs only, the smallest set first, which connects most groups. What is still in different
-components is compared where it can be linked after all: what two sets share is at most what both have of the smallest
-hub, which alone never suffices unless both are linked to that hub, plus what they share beyond it. So sets that
-share a rare element beyond their hub meet through that element, and only sets with a frequent one meet by bucket,
-less those that the similarities to their hubs rule out. A group of m near copies costs about m comparisons, and yet
-every pair of texts in a common bucket is verified, connected or proven apart. Links are confirmed on full sets.
+member is compared with a few hubs only, which connects most groups. What is still in different components is compared
+where it can be linked after all: what two sets share is at most what both have of their hub, plus what they share
+beyond it. So sets that share a rare element beyond their hub meet through that element, and by bucket meet only sets that
+have enough of the hub or a frequent element beyond it, less those that the similarities to their hubs rule out. A
+group of m near copies costs about m comparisons, and yet every pair of texts in a common bucket is verified,
+connected or proven apart. Links are confirmed on full sets.
 
 Cases: a text that is null or has no words has an empty set, links with nothing and is kept. Rows that share an id share
 their component, whatever their texts, and each text links by its own set. A row whose id is null links with nothing, has a
@@ -191,8 +191,8 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def hubs_of(members: DataFrame) -> DataFrame:
-    """(key, hubs): the members that all others of a bucket are compared with: the smallest set, and some by hash."""
-    orders = [F.col("n"), *(F.xxhash64("id", F.lit(r)) for r in range(1, HUBS))]
+    """(key, hubs): the members that all others of a bucket are compared with: the first, and some by hash."""
+    orders = [F.col("id"), *(F.xxhash64("id", F.lit(r)) for r in range(1, HUBS))]
     chosen = [F.min(F.struct(o.alias("o"), F.col("id")))["id"].alias(f"h{r}") for r, o in enumerate(orders)]
     return members.groupBy("key").agg(*chosen).select("key", F.array(*(f"h{r}" for r in range(HUBS))).alias("hubs"))
 
@@ -209,11 +209,11 @@ def may_be_linked(percent: int, common: Column) -> Column:
 def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of one bucket that are still in different components and may be linked after all.
 
-    The first hub h is no larger than any other member, so if two members x and y shared enough to be linked within h,
-    each would be linked to h, and they would be in one component. Hence x and y must share an element beyond h. Elements
-    that few sets have beyond a hub are joined; the sets that have a frequent one meet by bucket. 1 - similarity is a
-    metric, so the known similarities to a common hub rule out every pair whose two differ by more than the similarity
-    that is asked for leaves. The members of a bucket's largest component only meet the others."""
+    1 - similarity is a metric, so the known similarities to a common hub rule out every pair whose two differ by more
+    than the similarity that is asked for leaves. And what two sets have in common is at most the smaller of what they
+    share with the first hub, plus what both have beyond it: pairs for which the former is too little must share an
+    element beyond the hub. Elements beyond a hub that few sets have are joined; the sets that have a frequent one meet
+    each other by bucket. The members of a bucket's largest component only meet the others."""
     named = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component").alias("main")).where("low < high").select("key", "main")
     alive = materialize(named.join(open_keys, "key").join(hubs_of(members), "key"), "alive")
@@ -222,7 +222,7 @@ def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, set
     each = alive.select("key", "id", F.posexplode("hubs").alias("r", "hub"))
     known = each.select("key", "id", "r", F.col("id") == F.col("hub"), *pair("id", "hub")).toDF("key", "id", "r", "own", "a", "b").join(tested, ["a", "b"], "left")
     similar = F.when(F.col("own"), 1.0).otherwise(F.col("similar"))
-    profile = known.groupBy("key", "id").agg(*(F.max(F.when(F.col("r") == r, similar)).alias(f"s{r}") for r in range(HUBS)))
+    profile = known.groupBy("key", "id").agg(*(F.max(F.when(F.col("r") == r, similar)).alias(f"s{r}") for r in range(HUBS)), F.max(F.when(F.col("r") == 0, F.col("common"))).alias("common"))
     alive = materialize(alive.join(profile, ["key", "id"]).where(~F.array_contains("hubs", F.col("id"))).withColumn("hub", F.col("hubs")[0]).drop("hubs"), "alive")
     once = alive.select("id", "hub", "n", "component").distinct()
     beyond = once.join(sets, "id").join(sets.toDF("hub", "of_hub"), "hub").select("hub", "id", "n", "component", F.explode(F.array_except("items", "of_hub")).alias("item"))
@@ -232,13 +232,13 @@ def between_components(members: DataFrame, of: DataFrame, tested: DataFrame, set
     rare = beyond.join(shared.where(F.col("sets") <= FEW).select("hub", "item"), ["hub", "item"], "left_semi")
     by_item = rare.join(rare.toDF("hub", "id2", "n2", "component2", "item"), ["hub", "item"]).where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & may_be_linked(percent, F.least("n", "n2")))
     alive = alive.join(frequent, ["hub", "id"], "left").withColumn("frequent", F.coalesce("frequent", F.lit(False)))
-    columns = ["id", "n", "component", "frequent", *(f"s{r}" for r in range(HUBS))]
+    columns = ["id", "n", "component", "common", "frequent", *(f"s{r}" for r in range(HUBS))]
     other = alive.select("key", *(F.col(c).alias(f"{c}2") for c in columns))
     may = (F.col("component") != F.col("component2")) & ((F.col("component2") == F.col("main")) | (F.col("component") < F.col("component2")))
-    may &= may_be_linked(percent, F.least("n", "n2"))
+    may &= may_be_linked(percent, F.least("n", "n2")) & (may_be_linked(percent, F.least("common", "common2")) | F.col("frequent") & F.col("frequent2"))
     for r in range(HUBS):
         may &= F.coalesce(F.abs(F.col(f"s{r}") - F.col(f"s{r}2")) <= F.lit(1 - percent / 100 + 1e-9), F.lit(True))
-    by_key = alive.where("frequent and component <> main").join(other.where("frequent2"), "key").where(may)
+    by_key = alive.where("component <> main").join(other, "key").where(may)
     return by_key.select(*pair("id", "id2")).unionByName(by_item.select(*pair("id", "id2"))).distinct()
 
 
