@@ -1,12 +1,14 @@
 """Secrets in texts: base patterns, and assignment-aware lexing.
 
 The lexer reads source and configuration syntax (``name = "literal"``, ``"name": 'literal'``, ``NAME=literal``,
-``name := other``, ``a = b + "literal"``) into pairs of a target name and the literals or names on its right. Constants
-are propagated: a literal belongs to every name that it reaches through other names of the same text. A literal is a
+``name := other``, ``a = b + "literal"``, strings and YAML blocks over several lines, concatenations in parentheses) into pairs of a target name and the literals
+or names on its right. A name stands with those of the objects around it, by braces or by indentation. Constants are
+propagated: a literal belongs to every name that it reaches through other names of the same text, wherever they are defined. A literal is a
 secret if the most sensitive name that it reaches, times how much it looks like a secret, is at least THRESHOLD.
 
-Cases: a null or empty text has no spans; repeated rows are scanned alike; spans are code points, end exclusive, sorted
-by start and then by kind in the order of KINDS; other columns pass through.
+Cases: a null or empty text has no spans; a very long text is read line by line; repeated rows are scanned alike; spans are
+code points, end exclusive, sorted by start and then by kind in the order of KINDS; equal spans of one kind count once. ``find``
+keeps the key alone, ``redact`` all columns, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
     "auth": 0.7, "bearer": 0.9, "signature": 0.6, "salt": 0.6, "private": 0.6, "key": 0.6, "access": 0.5, "encryption": 0.6, "webhook": 0.6, "dsn": 0.7, "cookie": 0.6,
 }
-HARMLESS = {"example", "sample", "dummy", "public", "name", "path", "file", "url", "uri", "count", "length", "size", "type", "field", "label", "id", "primary", "foreign", "index", "sort", "limit", "max", "min", "expires", "ttl"}
+HARMLESS = {"example", "sample", "dummy", "public", "name", "path", "file", "url", "uri", "count", "length", "size", "type", "field", "label", "id", "primary", "foreign", "index", "sort", "limit", "max", "min", "expires", "ttl", "user", "username", "host", "port", "domain", "email", "version", "region"}
+#: What a name keeps of the sensitivity of the objects around it.
+INHERITED = 0.8
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$?\{.*\}|%\w+%|changeme|placeholder|none|null|true|false|undefined|your[\w-]*|redacted|todo)$")
 THRESHOLD = 0.5
 
@@ -47,6 +51,12 @@ QUOTED = r"""\"(?:[^"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`"""
 #: A name, an assignment sign, and the terms joined by + on its right.
 TERM = rf"(?:{QUOTED}|[^\s\"'`,;+(){{}}\[\]]++)"
 PAIR = re.compile(rf"""(?<![\w$.-])(?P<name>{NAME})["']?\]?[ \t]*+(?::=|=>|[:=](?![=:/]))[ \t]*+(?P<right>{TERM}(?:[ \t]*+\+[ \t]*+{TERM})*+)""")
+#: What a line with braces or brackets is made of: an object that a name opens, a pair, and what opens and closes without a name.
+SCAN = re.compile(rf"""(?<![\w$.-])(?P<holder>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+[{{\[]|{PAIR.pattern}|(?P<open>[{{\[])|(?P<close>[}}\]])|(?:{QUOTED})(?![ \t]*(?:[:=]))""")
+HOLDER = re.compile(rf"""[ \t]*(?:-[ \t]+)?["']?(?P<name>{NAME})["']?[ \t]*:[ \t]*(?P<block>[|>][+-]?[0-9]?)?[ \t]*\r?\Z""")
+TRIPLE = re.compile(rf"""(?<![\w$.-])(?P<name>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?P<mark>\"\"\"|\'\'\')(?P<body>.*?)(?P=mark)""", re.DOTALL)
+GROUPED = re.compile(rf"""(?<![\w$.-])(?P<name>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+\((?P<right>(?:\s*+\+?\s*+(?:{QUOTED}))++)\s*+\)""")
+FRAME = re.compile(r"-----(?:BEGIN|END)[A-Z ]*-----")
 TERMS = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[^\s\"'`,;+(){{}}\[\]]+)")
 IS_NAME = re.compile(rf"{NAME}\Z")
 SUBWORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -57,6 +67,7 @@ Span = tuple[int, int, str]
 def name_score(name: str) -> float:
     """How sensitive a name is, 0 to 1."""
     words = [w.lower() for w in SUBWORDS.findall(name)]
+    words = [w[:-1] if w.endswith("s") and w[:-1] in SENSITIVE else w for w in words]
     joined = {a + b for a, b in zip(words, words[1:])}  # noqa: B905
     found = [SENSITIVE[w] for w in {*words, *joined} if w in SENSITIVE]
     if not found or words[-1] in HARMLESS or {"public", "example", "sample"} & {*words}:
@@ -76,38 +87,109 @@ def literal_score(value: str, quoted: bool) -> float:
     return min(1.0, entropy / 3.0) * (1.0 if kinds >= 2 else 0.8)
 
 
+def compact(value: str) -> str:
+    """A literal over several lines as one, without the frame of a key; as it is where a line has blanks inside."""
+    if "\n" not in value:
+        return value
+    lines = [x.strip() for x in FRAME.sub("", value).split("\n")]
+    return value if any(" " in x or "\t" in x for x in lines) else "".join(lines)
+
+
+def stripped(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span without white space at its ends."""
+    return a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())
+
+
+class Assignments:
+    """The pairs of one text: literals and names by target name, and the names that stand around each."""
+
+    def __init__(self, text: str):
+        self.literals: dict[str, list[tuple[int, int, bool]]] = {}
+        self.bare: list[tuple[str, int, int]] = []
+        self.around: dict[str, set[str]] = {}
+        self.text = text
+        if '"""' in text or "'''" in text:
+            for m in TRIPLE.finditer(text):
+                self.put(m["name"], (), *stripped(text, *m.span("body")), True)
+        if "(" in text:
+            for m in GROUPED.finditer(text):
+                self.terms(m["name"], (), m["right"], m.start("right"))
+        self.read_lines()
+
+    def put(self, name: str, holders: tuple[str, ...], a: int, b: int, quoted: bool) -> None:
+        self.literals.setdefault(name, []).append((a, b, quoted))
+        self.around.setdefault(name, set()).update(holders)
+
+    def terms(self, name: str, holders: tuple[str, ...], right: str, at: int) -> None:
+        self.around.setdefault(name, set()).update(holders)
+        for t in TERMS.finditer(right):
+            a, b = at + t.start(), at + t.end()
+            if t["quoted"]:
+                self.put(name, holders, a + 1, b - 1, True)
+            else:
+                self.bare.append((name, a, b))
+
+    def read_lines(self) -> None:
+        at, nested, block = 0, [], None  # nested: (indentation, or None for a brace; name)
+        for line in self.text.split("\n"):
+            indent = len(line) - len(line.lstrip(" \t"))
+            blank = indent == len(line)
+            if block and not blank and indent <= block[1]:
+                self.put(block[0], block[2], *stripped(self.text, block[3], at), True)
+                block = None
+            if not block and not blank:
+                while nested and nested[-1][0] is not None and indent <= nested[-1][0]:
+                    nested.pop()
+                if ":" in line or "=" in line or nested and ("}" in line or "]" in line):
+                    block = self.read(line, at, indent, nested)
+            at += len(line) + 1
+        if block:
+            self.put(block[0], block[2], *stripped(self.text, block[3], len(self.text)), True)
+
+    def read(self, line: str, at: int, indent: int, nested: list) -> tuple | None:
+        """Reads one line; what it says if a block of lines follows that belongs to a name."""
+        holders = lambda: tuple(n for _, n in nested if n)
+        braces = any(c in line for c in "{}[]")
+        for m in (SCAN if braces else PAIR).finditer(line):
+            if not braces or m["name"]:
+                self.terms(m["name"], holders(), m["right"], at + m.start("right"))
+            elif m["holder"] or m["open"]:
+                nested.append((None, m["holder"]))
+            elif m["close"]:
+                while nested and nested.pop()[0] is not None:
+                    pass
+        if h := HOLDER.match(line):
+            if h["block"]:
+                return h["name"], indent, holders(), at + len(line) + 1
+            nested.append((indent, h["name"]))
+        return None
+
+
 def lexed(text: str) -> list[Span]:
     """Literals that reach a sensitive name."""
     if "=" not in text and ":" not in text:
         return []
-    literals: dict[str, list[tuple[int, int, bool]]] = {}
+    found = Assignments(text)
+    known = found.around.keys()
     sources: dict[str, set[str]] = {}
-    at = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            for m in PAIR.finditer(line):
-                name = m["name"]
-                for t in TERMS.finditer(m["right"]):
-                    a, b = at + m.start("right") + t.start(), at + m.start("right") + t.end()
-                    if t["quoted"]:
-                        literals.setdefault(name, []).append((a + 1, b - 1, True))
-                    elif IS_NAME.match(t["bare"]) and t["bare"] in literals.keys() | sources.keys():
-                        sources.setdefault(name, set()).add(t["bare"])
-                    else:
-                        literals.setdefault(name, []).append((a, b, False))
-        at += len(line) + 1
+    for name, a, b in found.bare:
+        if IS_NAME.match(text[a:b]) and text[a:b] in known:
+            sources.setdefault(name, set()).add(text[a:b])
+        else:
+            found.put(name, (), a, b, False)
     best: dict[tuple[int, int, bool], float] = {}
-    for name in literals.keys() | sources.keys():
-        if score := name_score(name):
+    for name, holders in found.around.items():
+        score = max([name_score(name), *(INHERITED * name_score(f"{h} {name}") for h in holders)])
+        if score:
             seen, ahead = {name}, [name]
             while ahead:
                 now = ahead.pop()
-                for x in literals.get(now, ()):
+                for x in found.literals.get(now, ()):
                     best[x] = max(best.get(x, 0.0), score)
                 new = sources.get(now, set()) - seen
                 seen |= new
                 ahead += new
-    return [(a, b, "lexed") for (a, b, quoted), score in best.items() if score * literal_score(text[a:b], quoted) >= THRESHOLD]
+    return sorted({(a, b, "lexed") for (a, b, quoted), score in best.items() if a < b and score * literal_score(compact(text[a:b]), quoted) >= THRESHOLD})
 
 
 def base(text: str) -> list[Span]:

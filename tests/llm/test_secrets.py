@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 from compare import DATA
@@ -58,6 +59,52 @@ def test_constants_are_propagated():
     assert values('head = "Ab12Cd34"\npassword = head + "Ef56Gh78"') == ["Ab12Cd34", "Ef56Gh78"] or set(values('head = "Ab12Cd34"\npassword = head + "Ef56Gh78"')) == {"Ab12Cd34", "Ef56Gh78"}
 
 
+def test_names_are_used_before_they_are_defined():
+    assert values('client_secret = B\nB = A\nA = "Qw3Er5Ty7Ui9"') == ["Qw3Er5Ty7Ui9"]
+
+
+def test_nested_names():
+    assert values('credentials:\n  prod:\n    value: "Ab12Cd34Ef56"\ncolours:\n  value2: "Zz12Cd34Ef99"') == ["Ab12Cd34Ef56"]
+    assert values('{"secrets": {"main": "Ab12Cd34Ef56"}, "colours": {"sea": "Zz12Cd34Ef99"}}') == ["Ab12Cd34Ef56"]
+    assert values('{\n "secrets": {\n  "main": "Ab12Cd34Ef56"\n },\n "sea": "Zz12Cd34Ef99"\n}') == ["Ab12Cd34Ef56"]
+    assert values('tokens: [\n x = "Ab12Cd34Ef56"]\ny = "Zz12Cd34Ef99"') == ["Ab12Cd34Ef56"]
+
+
+def test_several_lines():
+    assert values('private_key = """\n-----BEGIN KEY-----\nAb12Cd34Ef56\nGh78Ij90Kl12\n-----END KEY-----\n"""') == ["-----BEGIN KEY-----\nAb12Cd34Ef56\nGh78Ij90Kl12\n-----END KEY-----"]
+    assert values('secret: |\n  Ab12Cd34Ef56\n  Gh78Ij90Kl12\nother: x') == ["Ab12Cd34Ef56\n  Gh78Ij90Kl12"]
+    assert values('password = ("Ab12Cd34"\n   "Ef56Gh78")') == ["Ab12Cd34", "Ef56Gh78"]
+    assert values('secret: |\n  some words of prose\n  and more\n') == []
+
+
+def test_random_programs():
+    """Programs of assignments in random order and syntax: a literal is found if a walk over all names from a sensitive one meets it."""
+    rng = random.Random(4)
+    for _ in range(150):
+        names = [f"{rng.choice(('db_password', 'colour', 'shape', 'api_token', 'width'))}_{i}x" for i in range(8)]
+        lines, own, refers = [], {}, {n: set() for n in names}
+        for i, n in enumerate(names):
+            sign, quote = rng.choice((" = ", "=", ": ", " := ")), rng.choice("'\"")
+            if rng.random() < 0.5:
+                own[n] = f"Zk{i}{rng.randrange(10**9):09d}q"
+                lines.append(f"{n}{sign}{quote}{own[n]}{quote}")
+            else:
+                other = rng.choice(names)
+                refers[n].add(other)
+                lines.append(f"{n}{sign}{other}")
+        rng.shuffle(lines)
+        wanted = set()
+        for n in names:
+            if "password" in n or "token" in n:
+                reached, now = {n}, [n]
+                while now:
+                    new = refers[now.pop()] - reached
+                    reached |= new
+                    now += new
+                wanted |= {own[r] for r in reached if r in own}
+        assert set(values("\n".join(lines))) == wanted, lines
+
+
 def test_harmless():
     assert values('password_file = "/etc/Shadow123"') == []
     assert values('password = "changeme"') == []
