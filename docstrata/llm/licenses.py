@@ -1,29 +1,37 @@
 """License scans by ordered signature rules, native DataFrame operations only.
 
-A cheap pattern finds the texts that may name a license at all; only those are normalized to their words. Each rule has a
-keyword, a regular expression over the normalized words, a label and a weight; a rule's place in the list is its priority. The
+A text is reduced to its words, once. A few literals find the texts that may name a license at all. Each rule has a
+keyword, a regular expression over the words, a label and a weight; a rule's place in the list is its priority. The
 expression runs only where the keyword occurs. A detection that lies inside one of higher priority is suppressed;
 what remains gives labels and a score.
 
-The rules come from a table of licenses: each has a hand-written expression for its titles and its identifiers, and four
-kinds of signature are made of it (identifier tag, grant, address, bare title, in that order of priority; within a kind, in the
-order of the table, special licenses before general ones).
+The expressions are written by hand: titles and identifiers of licenses, sentences of their texts and notices, and their
+addresses. Five kinds of signature are made of them (identifier tag, notice, grant, address, bare title, in that order of
+priority; within a kind, in the order of the tables, special licenses before general ones).
 
 Cases: a null text counts as empty and has no words; repeated rows are scanned alike; a phrase or rule that occurs several
-times counts at each place; other columns are ignored; an empty table gives an empty result. Narrow: no shuffle.
+times counts at each place; a long text with many detections compares each with those that overlap it only; other columns
+are ignored, whatever their names; an empty table gives an empty result. Narrow: no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words, base phrases and their labels.
+#: Words, what lies between them, base phrases and their labels.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 BASE_WEIGHT = 0.9
-#: Whatever a phrase or a rule matches contains a match of this.
-GATE = r"(?i)licen[cs]e|spdx|creative|gpl|bsd|apache|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|wtfpl|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by|no[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+attribution"
+#: Whatever a phrase or a rule matches contains one of these.
+GATE = (
+    "licen", "spdx", "creative", "gpl", "bsd", "apache", "public domain", "wtfpl", "cc0", "cc by", "no attribution", "hereby grant", "redistribut", "above copyright", "advertising", "unencumbered", "altered source", "held liable", "waived all",
+    "commercial purposes", "modified material", "medium or format", "retain this notice", "good not evil", "managed service", "perl itself", "strictly prohibited", "making python", "openssl", "includes php", "gemma",
+    "mozilla org", "eclipse org", "zoy org", "sil org", "bsl11", "names of its", "deal with the software", "deal in the software", "views and conclusions",
+)
 
 #: label, keyword (in every match of the title), expression of titles, expression of identifiers ("" for none).
 LICENSES = [
@@ -106,26 +114,137 @@ LICENSES = [
     ("cc-by-sa", "creative", r"creative commons attribution share ?alike(?: [1-4] [05])?", r""),
     ("cc-by", "creative", r"creative commons attribution(?: licen[cs]e)?(?: [1-4] [05])?", r""),
     ("public-domain", "domain", r"(?:dedicated to|placed in|released into|in) the public domain", r""),
+    ("pddl-1", "domain", r"open data commons public domain dedication and licen[cs]e", r"pddl 1 0"),
+    ("cdla-permissive-2", "data", r"community data licen[cs]e agreement permissive(?: version)? 2 0", r"cdla permissive 2 0"),
+    ("cdla-sharing-1", "data", r"community data licen[cs]e agreement sharing(?: version)? 1 0", r"cdla sharing 1 0"),
+    ("ogl-3", "government", r"open government licen[cs]e (?:version |v ?)3(?: 0)?", r"ogl uk 3 0"),
+    ("ogl", "government", r"open government licen[cs]e", r""),
+    ("llama", "llama", r"llama(?: ?[2-4])?(?: [0-9])? community licen[cs]e(?: agreement)?", r""),
+    ("gemma", "gemma", r"gemma terms of use|gemma licen[cs]e", r""),
+]
+
+#: label, keyword, expression: sentences of license texts and of the notices that go with them.
+NOTICES = [
+    ("ncsa", "deal", r"to deal with the software without restriction including without limitation"),
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "deal", r"to deal in the software without restriction including without limitation"),
+    ("mit", "permission notice", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("boost-1", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[cs]e"),
+    ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "hereby", r"permission to use copy modify (?:and )?distribute(?: and sell)? this software and its documentation for any purpose is hereby granted(?: without fee)?"),
+    ("x11", "advertising", r"except as contained in this notice the names? of (?:[^ ]+ ){1,12}shall not be used in advertising or otherwise to promote the sale"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3-clause", "endorse", r"neither the names? of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-2-clause", "views", r"the views and conclusions contained in the software and documentation are those of the authors"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", r"redistributions (?:of source code must retain|in binary form must reproduce) the above copyright notice this list of conditions and the following disclaimer"),
+    ("agpl-3", "affero", r"gnu affero general public licen[cs]e as published by the free software foundation(?: either)? version 3 of the licen[cs]e"),
+    ("lgpl-3", "lesser", r"gnu lesser general public licen[cs]e as published by the free software foundation(?: either)? version 3 of the licen[cs]e"),
+    ("lgpl-2.1", "lesser", r"gnu lesser general public licen[cs]e as published by the free software foundation(?: either)? version 2 1 of the licen[cs]e"),
+    ("gpl-3", "general", r"gnu general public licen[cs]e as published by the free software foundation(?: either)? version 3 of the licen[cs]e"),
+    ("gpl-2", "general", r"gnu general public licen[cs]e as published by the free software foundation(?: either)? version 2 of the licen[cs]e"),
+    ("agpl", "affero", r"you should have received a copy of the gnu affero general public licen[cs]e along with"),
+    ("lgpl", "lesser", r"you should have received a copy of the gnu lesser general public licen[cs]e along with"),
+    ("gpl", "general", r"you should have received a copy of the gnu general public licen[cs]e along with"),
+    ("gpl", "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed"),
+    ("wtfpl", "verbatim", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"),
+    ("wtfpl", "public", r"do what the fuck you want to public licen[cs]e"),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the licen[cs]e you may obtain a copy of the licen[cs]e at"),
+    ("apache-2", "apache", r"the asf licenses this file to you under the apache licen[cs]e version 2 0"),
+    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-1.1", "mozilla", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1"),
+    ("epl-2", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v? ?2 0"),
+    ("epl-1", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v1 0"),
+    ("cddl-1", "distribution", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("zlib", "liable", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("cc0-1", "waived", r"to the extent possible under law (?:[^ ]+ ){1,12}has waived all copyright and related or neighbou?ring rights"),
+    ("cc-by-nc", "material", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "material", r"if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-sa", "material", r"if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e as the original"),
+    ("cc", "material", r"copy and redistribute the material in any medium or format"),
+    ("ofl-1.1", "font", r"this font software is licensed under the sil open font licen[cs]e"),
+    ("python-2", "python", r"psf is making python available to licensee on an as is basis"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php-3", "php", r"this product includes php software freely available from"),
+    ("perl-5", "perl", r"(?:you can |you may )?redistribute it and or modify it under the same terms as perl itself"),
+    ("ms-pl", "accompanying", r"this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e"),
+    ("bsl-1.1", "production", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("beerware", "stuff", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("proprietary", "copying", r"unauthori[sz]ed copying of (?:this file|this software) via any medium is strictly prohibited"),
+]
+
+#: label, keyword, expression: addresses of license texts, as words.
+ADDRESSES = [
+    ("apache-2", "apache org", r"apache org licenses license 2 0"),
+    ("apache-1.1", "apache org", r"apache org licenses license 1 1"),
+    ("apache-1", "apache org", r"apache org licenses license 1 0"),
+    ("agpl-3", "gnu org", r"gnu org licenses agpl 3 0"),
+    ("agpl", "gnu org", r"gnu org licenses agpl"),
+    ("lgpl-3", "gnu org", r"gnu org licenses lgpl 3 0"),
+    ("lgpl-2.1", "gnu org", r"gnu org licenses (?:old licenses )?lgpl 2 1"),
+    ("lgpl", "gnu org", r"gnu org (?:licenses|copyleft) lgpl"),
+    ("gpl-3", "gnu org", r"gnu org licenses gpl 3 0"),
+    ("gpl-2", "gnu org", r"gnu org licenses (?:old licenses )?gpl 2 0"),
+    ("gpl", "gnu org", r"gnu org (?:licenses|copyleft) gpl"),
+    ("gfdl", "gnu org", r"gnu org licenses fdl(?: 1 [123])?"),
+    ("mit", "opensource org", r"opensource org licenses? mit(?: license)?(?: php)?"),
+    ("bsd", "opensource org", r"opensource org licenses? bsd license(?: php)?"),
+    ("mpl-2", "mozilla org", r"mozilla org (?:en us )?mpl 2 0"),
+    ("mpl-1.1", "mozilla org", r"mozilla org (?:en us )?mpl (?:mpl )?1 1"),
+    ("epl-2", "eclipse org", r"eclipse org legal epl (?:v ?20|2 0|v ?2 0)"),
+    ("epl-1", "eclipse org", r"eclipse org legal epl v ?10"),
+    ("boost-1", "boost org", r"boost org licen[cs]e 1 0(?: txt)?"),
+    ("unlicense", "unlicense org", r"unlicense org"),
+    ("wtfpl", "wtfpl", r"wtfpl net|zoy org wtfpl"),
+    ("ofl-1.1", "sil org", r"scripts sil org (?:cms scripts page php site id nrsi (?:amp )?id )?ofl|scripts sil org ofl"),
+    ("ofl-1.1", "openfontlicense", r"openfontlicense org"),
+    ("zlib", "zlib", r"zlib net zlib license"),
+    ("php-3", "php net", r"php net license 3 01"),
+    ("python-2", "python org", r"docs python org (?:[^ ]+ )?license"),
+    ("openssl", "openssl org", r"openssl org source license"),
+    ("postgresql", "postgresql org", r"postgresql org about licen[cs]e"),
+    ("odbl-1", "opendatacommons", r"opendatacommons org licenses odbl(?: 1 0)?"),
+    ("odc-by-1", "opendatacommons", r"opendatacommons org licenses by(?: 1 0)?"),
+    ("pddl-1", "opendatacommons", r"opendatacommons org licenses pddl(?: 1 0)?"),
+    ("ogl-3", "nationalarchives", r"nationalarchives gov uk doc open government licen[cs]e version 3"),
+    ("artistic-2", "perlfoundation", r"perlfoundation org artistic license 2 0"),
+    ("artistic-1", "perl org", r"dev perl org licenses artistic"),
+    ("elastic-2", "elastic co", r"elastic co licensing elastic license"),
+    ("sspl-1", "mongodb com", r"mongodb com licensing server side public license"),
+    ("bsl-1.1", "mariadb com", r"mariadb com bsl11"),
+    ("cecill-2.1", "cecill info", r"cecill info licen[cs]es"),
+    ("llama", "llama", r"llama meta com (?:llama[0-9]* )?license"),
+    ("gemma", "google dev", r"ai google dev gemma terms"),
+    ("cc-by-nc-nd", "creativecommons", r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons", r"creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by [1-4] [05]"),
+    ("cc0-1", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "creativecommons", r"creativecommons org publicdomain mark 1 0"),
 ]
 
 GRANT = r"(?:(?:dual )?licen[cs]ed|released|distributed|redistributed|available|published|provided|offered|covered|governed|made available|shared) (?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?(?:{title})(?: licen[cs]e)?"
-ADDRESS = r"(?:https? )?(?:www )?(?:opensource org licen[cs]es|spdx org licen[cs]es|choosealicense com licen[cs]es|apache org licen[cs]es|gnu org licen[cs]es|creativecommons org licen[cs]es) (?:licen[cs]e )?(?:{id})"
-#: The four kinds of signature: name, expression, weight.
-KINDS = (("tag", r"spdx licen[cs]e identifier (?:{id})", 1.0), ("grant", GRANT, 0.95), ("address", ADDRESS, 0.85), ("title", r"(?:{title})", 0.7))
+CATALOGUE = r"(?:opensource org licenses?|spdx org licenses|choosealicense com licenses) {id}"
 
 Rule = tuple[int, str, str, str, float]
 
 
-def signature_rules(licenses: list[tuple[str, str, str, str]] = LICENSES) -> list[Rule]:
+def signature_rules() -> list[Rule]:
     """(priority, label, keyword, expression, weight), in order of priority."""
-    out: list[Rule] = []
-    for kind, shape, weight in KINDS:
-        for label, keyword, title, id in licenses:
-            if "{id}" in shape and not id:
-                continue
-            keyword = {"tag": "identifier", "address": "licen"}.get(kind, keyword)
-            out.append((len(out), label, keyword, f"(?<= ){shape.format(title=title, id=id)}(?= )", weight))
-    return out
+    tags = [(label, "identifier", rf"spdx licen[cs]e identifier (?:{id})", 1.0) for label, _, _, id in LICENSES if id]
+    notices = [(*n, 0.98) for n in NOTICES]
+    grants = [(label, keyword, GRANT.format(title=title), 0.95) for label, keyword, title, _ in LICENSES]
+    addresses = [(*n, 0.85) for n in ADDRESSES] + [(label, "licens", CATALOGUE.format(id=f"(?:{id})"), 0.85) for label, _, _, id in LICENSES if id]
+    titles = [(label, keyword, rf"(?:{title})", 0.7) for label, keyword, title, _ in LICENSES]
+    found = tags + notices + grants + addresses + titles
+    return [(p, label, keyword, f"(?<= ){x}(?= )", weight) for p, (label, keyword, x, weight) in enumerate(found)]
 
 
 def count_of(text: Column, one: str) -> Column:
@@ -133,15 +252,17 @@ def count_of(text: Column, one: str) -> Column:
 
 
 def rule_array(rules: list[Rule]) -> Column:
-    return F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(k).alias("keyword"), F.lit(x).alias("expression"), F.lit(w).alias("weight")) for p, label, k, x, w in rules))
+    """The rules as one constant, which a single literal brings to Spark."""
+    named = [dict(zip(("priority", "label", "keyword", "expression", "weight"), r, strict=True)) for r in rules]
+    return F.from_json(F.lit(json.dumps(named)), "array<struct<priority:int,label:string,keyword:string,expression:string,weight:double>>")
 
 
 def detections(words: Column, rules: list[Rule]) -> Column:
-    """array<struct<a, b, priority, label, weight>>: all matches of the rules whose keyword occurs, as places in ``words``."""
+    """array<struct<a, b, priority, label, weight>>: all matches of the rules whose keyword occurs, as places in ``words``. The
+    rules are one constant array: an expression for each of them would take longer to plan than to run."""
 
     def spans(r: Column) -> Column:
-        found = F.regexp_extract_all(words, r["expression"], F.lit(0))
-        between = F.split(words, r["expression"], -1)
+        found, between = F.regexp_extract_all(words, r["expression"], F.lit(0)), F.split(words, r["expression"], -1)
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
 
         def step(so_far: Column, i: Column) -> Column:
@@ -157,22 +278,29 @@ def detections(words: Column, rules: list[Rule]) -> Column:
 
 
 def unsuppressed(found: Column) -> Column:
-    """Detections that lie in none of higher priority."""
+    """Detections that lie in none of higher priority. In order of their starts, the longest first, whatever a detection can
+    lie in comes before it and is still open where it starts."""
+    in_order = F.array_sort(F.transform(found, lambda d: F.struct(d["a"].alias("a"), (-d["b"]).alias("z"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight"))))
+    kind = "array<struct<a:int,z:int,priority:int,label:string,weight:double>>"
+    start = F.struct(F.array().cast(kind).alias("open"), F.array().cast(kind).alias("out"))
 
-    def inside(d: Column, e: Column) -> Column:
-        return (e["a"] <= d["a"]) & (e["b"] >= d["b"]) & (e["priority"] < d["priority"])
+    def step(so_far: Column, d: Column) -> Column:
+        alive = F.filter(so_far["open"], lambda e: -e["z"] > d["a"])
+        inside = F.exists(alive, lambda e: (e["z"] <= d["z"]) & (e["priority"] < d["priority"]))
+        return F.struct(F.concat(alive, F.array(d)).alias("open"), F.when(inside, so_far["out"]).otherwise(F.concat(so_far["out"], F.array(d))).alias("out"))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: inside(d, e)))
+    kept = F.aggregate(in_order, start, step, lambda x: x["out"])
+    return F.transform(kept, lambda d: F.struct(d["a"].alias("a"), (-d["z"]).alias("b"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight")))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score, detections) of every whole text;
     detections are array<struct<a, b, priority, label, weight>> in characters of the normalized words."""
     rules = signature_rules() if rules is None else rules
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lower = F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    named = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), " "), F.lit(" "))
-    rows = docs.select(F.col(key).alias("key"), F.regexp_count(whole, F.lit(WORD)).cast("long").alias("n_words"), F.when(whole.rlike(GATE), named).alias("words"))
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.col(key).alias("key"), F.trim(F.regexp_replace(lower, BETWEEN, " ")).alias("plain"))
+    n_words = F.when(F.col("plain") == "", 0).otherwise(count_of(F.col("plain"), " ") + 1)
+    rows = rows.select("key", n_words.cast("long").alias("n_words"), F.when(F.exists(F.lit(list(GATE)), lambda x: F.contains(F.col("plain"), x)), F.concat(F.lit(" "), "plain", F.lit(" "))).alias("words"))
     places = []
     for phrase, label in BASE.items():
         parts, size = F.split("words", f" {phrase}(?= )", -1), len(phrase.split())
