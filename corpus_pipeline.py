@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: quality, near-duplicates, secrets, packing."""
+"""From raw documents to packed training sequences: quality, near-duplicates, secrets, packing.
+
+Cases, by stage: texts that are null or empty are scored like any other, are never near-duplicates, hold no secrets, and are packed
+as the end token alone. Rows that repeat an id and a text become one; texts that differ stay, also under one id, as do
+rows without an id; ties go to the smaller id. Very long texts pass whole. Other columns, whatever their names, pass
+through the first three stages; an empty table stays empty, and without labels nothing is rejected."""
 
 from __future__ import annotations
 
@@ -13,7 +18,7 @@ from docstrata.llm.secrets import redact_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier does not reject; it learns from the labels of those at hand."""
+    """The documents that the quality classifier does not reject; it learns from the labels of those at hand, held-out ones excepted."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
