@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,18 +36,20 @@ def as_matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def block_topk(table: DataFrame, queries: DataFrame, k: int, block: int = 512, id: str = "id", vector: str = "vector") -> DataFrame:
-    """(query_id, id, score, rank) of the k rows with the largest cosine for each query.
+def block_topk(table: DataFrame, queries: DataFrame, k: int, block: int = 512, id: str = "id", vector: str = "vector", by: str | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of the k rows with the largest cosine for each query; with ``by``, among the rows that
+    share its value with the query, which may have several rows then.
 
-    Queries come in blocks of ``block`` rows, each of which meets every partition of ``table`` once: the blocks are
-    paired with row groups by key, each pair is one product of two matrices, and only k rows of it for each query go on."""
-    usable = lambda df, name: df.select(F.col(name).alias("id"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull() & (norm(F.col("vector")) > 0))
+    Queries come in blocks of ``block`` rows, each of which meets every block of rows once: the blocks are paired by key,
+    each pair is one product of two matrices, and only k rows of it for each query go on."""
+    group = F.col(by) if by else F.lit(0)
+    usable = lambda df, name: df.select(F.col(name).alias("id"), F.col(vector).alias("vector"), group.alias("g")).where(F.col("vector").isNotNull() & (norm(F.col("vector")) > 0))
     rows, asked = usable(table, id), usable(queries, "query_id")
-    n_queries, n_rows = asked.count(), rows.count()
-    q, c = max(1, -(-n_queries // block)), max(1, -(-n_rows // (16 * block)))
+    largest = lambda df: df.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    q, c = max(1, -(-largest(asked) // block)), max(1, -(-largest(rows) // (16 * block)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    pair = F.struct("c", "q")
+    pair = F.struct("g", "c", "q")
     left = rows.withColumn("c", part(c)).withColumn("q", every(q)).withColumn("pair", pair)
     right = asked.withColumn("q", part(q)).withColumn("c", every(c)).withColumn("pair", pair)
 
@@ -55,17 +58,24 @@ def block_topk(table: DataFrame, queries: DataFrame, k: int, block: int = 512, i
 
     def scored(a: pa.Table, b: pa.Table) -> pa.Table:
         ids, asks = a.column("id"), b.column("id")
-        at: tuple = (np.zeros(0, int), np.zeros(0, int))
-        s = np.zeros((0, 0))
+        at: list[np.ndarray] = [np.zeros(0, int)]
+        found: list[np.ndarray] = [np.zeros(0)]
         if a.num_rows and b.num_rows:
             x, y = as_matrix(a.column("vector")), as_matrix(b.column("vector"))
             s = (y @ x.T) / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
-            most = min(k, a.num_rows)
-            least = -np.partition(-s, most - 1, axis=1)[:, most - 1] - 1e-8  # ties stay, whatever the rounding
-            at = np.nonzero(s >= least[:, None])
-        return pa.table([asks.take(pa.array(at[0])), ids.take(pa.array(at[1])), pa.array(s[at] if s.size else np.zeros(0))], names=["query_id", "id", "score"])
-
-    found = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(scored, schema)
+            place = np.empty(len(x), int)
+            place[np.array(pc.sort_indices(ids))] = np.arange(len(x))
+            most = min(k, len(x))
+            least = -np.partition(-s, most - 1, axis=1)[:, most - 1] - 1e-8  # ties, whatever the rounding
+            for i in range(len(y)):
+                near = np.flatnonzero(s[i] >= least[i])
+                near = near[np.lexsort((place[near], -np.round(s[i, near], 9)))[:k]]
+                at.append(near)
+                found.append(s[i, near])
+        who = np.repeat(np.arange(len(at) - 1), [len(x) for x in at[1:]])
+        return pa.table([asks.take(pa.array(who, pa.int64())), ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(found))], names=["query_id", "id", "score"])
+
+    found = left.select("id", "vector", "pair").groupBy("pair").cogroup(right.select("id", "vector", "pair").groupBy("pair")).applyInArrow(scored, schema)
     return ranked(found, ["query_id"], k)
 
 

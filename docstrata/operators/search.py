@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docstrata.functions import text as X
 from docstrata.functions import vectors as V
+from docstrata.functions.tables import materialize
 from docstrata.operators import nodes as N
 
 
@@ -27,13 +31,16 @@ class Limits:
     chunks: int = 3
 
 
-def best_children(hits: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best children of each (query, hit): (query_id, parent_id, id, score, rank) and the nodes' other columns.
+def best_children(hits: DataFrame, nodes: DataFrame, k: int, named: str | None = None) -> DataFrame:
+    """The k best children of each (query, hit): (query_id, parent_id, id, score, rank), the nodes' other columns, and those
+    of ``hits(query_id, id, query, ...)``: the query's vector travels with its hits, and so do the ids of all that is
+    above, each as ``named``.
 
-    ``hits`` are few for each query, so the candidates are found by an equi-join on the parent before any score is computed."""
-    candidates = nodes.join(hits.select("query_id", F.col("id").alias("parent_id")), "parent_id")
-    scored = candidates.join(queries.select("query_id", F.col("vector").alias("_q")), "query_id").withColumn("score", V.cosine(F.col("vector"), F.col("_q")))
-    return V.ranked(scored.where("score is not null").drop("_q", "vector"), ["query_id", "parent_id"], k)
+    ``hits`` are few for each query, so one equi-join on the parent finds the candidates before any score is computed."""
+    more = [c for c in hits.columns if c not in ("query_id", "id", "score", "rank", "parent_id")]
+    above = hits.select("query_id", F.col("id").alias("parent_id"), *more, *([F.col("id").alias(named)] if named else []))
+    scored = nodes.join(above, "parent_id").withColumn("score", V.cosine(F.col("vector"), F.col("query")))
+    return V.ranked(scored.where("score is not null").drop("vector"), ["query_id", "parent_id"], k)
 
 
 def discover(scopes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
@@ -41,33 +48,25 @@ def discover(scopes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     return V.block_topk(scopes, queries, k)
 
 
-def search_sections(hits: DataFrame, sections: DataFrame, queries: DataFrame, k: int = 2, exclude: bool = True) -> DataFrame:
+def search_sections(hits: DataFrame, sections: DataFrame, k: int = 2, exclude: bool = True) -> DataFrame:
     """Nearest sections of each document hit, boilerplate left out where sections have titles."""
     usable = sections.where(~N.boilerplate(F.col("title"))) if exclude and "title" in sections.columns else sections
-    return best_children(hits, usable, queries, k)
+    return best_children(hits, usable, k, "parent_document")
 
 
 def hierarchical(queries: DataFrame, scopes: DataFrame, sections: DataFrame, subsections: DataFrame, subsubsections: DataFrame, chunks: DataFrame, limits: Limits = Limits()) -> dict[str, DataFrame]:
-    """Five frames of hits, each with its parents' ids: documents, sections, subsections, subsubsections, chunks."""
+    """Five frames of hits, each with its parents' ids: documents, sections, subsections, subsubsections, chunks. Hits of a
+    level are few and stored, so that no level is searched twice."""
     documents = discover(scopes, queries, limits.documents)
-    found = {"documents": documents, "sections": search_sections(documents, sections, queries, limits.sections)}
-    found["subsections"] = best_children(found["sections"], subsections, queries, limits.subsections)
-    found["subsubsections"] = N.chunk_counts(best_children(found["subsections"], subsubsections, queries, limits.subsubsections), chunks)
-    containers = found["subsections"].select("query_id", "id").unionByName(found["subsubsections"].select("query_id", "id"))
-    hits = best_children(containers, chunks, queries, limits.chunks)
-    found["chunks"] = annotated(hits, found)
-    return found
-
-
-def annotated(chunks: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
-    """Chunk hits with the ids of all that is above them; parent_subsubsection is null under a subsection."""
-    third = found["subsubsections"].select("query_id", F.col("id").alias("parent_subsubsection"), F.col("parent_id").alias("parent_subsection"))
-    second = found["subsections"].select("query_id", F.col("id").alias("parent_subsection"), F.col("parent_id").alias("parent_section"))
-    first = found["sections"].select("query_id", F.col("id").alias("parent_section"), F.col("parent_id").alias("parent_document"))
-    nested = chunks.withColumnRenamed("parent_id", "parent_subsubsection").join(third, ["query_id", "parent_subsubsection"])
-    direct = chunks.withColumnRenamed("parent_id", "parent_subsection").join(second.select("query_id", "parent_subsection"), ["query_id", "parent_subsection"], "left_semi")
-    both = nested.unionByName(direct, allowMissingColumns=True)
-    return both.join(second, ["query_id", "parent_subsection"]).join(first, ["query_id", "parent_section"])
+    asked = documents.join(queries.select("query_id", F.col("vector").alias("query")), "query_id")
+    first = search_sections(asked, sections, limits.sections)
+    second = materialize(best_children(first, subsections, limits.subsections, "parent_section"), "subsections")
+    third = materialize(best_children(second, subsubsections, limits.subsubsections, "parent_subsection"), "subsubsections")
+    direct = second.withColumn("parent_subsection", F.col("id")).withColumn("parent_subsubsection", F.lit(None).cast(third.schema["id"].dataType))
+    named = ["query_id", "id", "query", "parent_document", "parent_section", "parent_subsection", "parent_subsubsection"]
+    containers = direct.select(named).unionByName(third.withColumn("parent_subsubsection", F.col("id")).select(named))
+    found = {"documents": documents, "sections": first, "subsections": second, "subsubsections": N.chunk_counts(third, chunks), "chunks": best_children(containers, chunks, limits.chunks)}
+    return {level: f.drop("query") for level, f in found.items()}
 
 
 def flat(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -80,9 +79,7 @@ def cluster_pruned(chunks: DataFrame, centroids: DataFrame, queries: DataFrame,
     chunks are stored by cluster."""
     scored = V.block_topk(centroids.withColumnRenamed(cluster, "id"), queries, n_probe)
     probed = scored.select("query_id", F.col("id").cast(chunks.schema[cluster].dataType).alias(cluster))
-    asked = probed.join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
-    found = chunks.join(asked, cluster).withColumn("score", V.cosine(F.col("vector"), F.col("_q")))
-    return V.ranked(found.where("score is not null").select("query_id", "id", "score"), ["query_id"], k)
+    return V.block_topk(chunks, probed.join(queries.select("query_id", "vector"), "query_id"), k, by=cluster)
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -98,6 +95,42 @@ def rerank(candidates: DataFrame, k: int, weight: float = 0.5, question: str = "
     return V.ranked(blended.drop("rank"), ["query_id"], k)
 
 
+def overlap_topk(texts: DataFrame, questions: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """(query_id, id, overlap): the k texts(id, content) with the largest ``overlap`` with each of questions(query_id, question),
+    ties to the smaller id, among all texts. Blocks of questions meet blocks of texts by key; a pair counts common words as sums of
+    rows of a matrix (word of a question, question), and k texts of it for each question go on."""
+    words = lambda c: F.array_distinct(X.tokens(F.lower(c)))
+    rows = texts.select("id", words(F.col("content")).alias("words"))
+    asked = questions.select(F.col("query_id").alias("id"), words(F.col("question")).alias("words"))
+    q, c = max(1, -(-asked.count() // block)), max(1, -(-rows.count() // (8 * block)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = rows.withColumn("c", part(c)).withColumn("q", every(q)).groupBy("c", "q")
+    right = asked.withColumn("q", part(q)).withColumn("c", every(c)).groupBy("c", "q")
+    schema = T.StructType([T.StructField("query_id", asked.schema["id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("overlap", T.DoubleType())])
+
+    def common(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "overlap": []})
+        known: dict[str, int] = {}
+        pairs = [(known.setdefault(w, len(known)), i) for i, ws in enumerate(b["words"]) for w in (() if ws is None else ws)]
+        of = np.zeros((len(known) + 1, len(b)))
+        if pairs:
+            of[tuple(np.array(pairs).T)] = 1
+        a = a.sort_values("id", kind="stable")
+        sizes = np.array([0 if ws is None else len(ws) for ws in a["words"]])
+        count = np.zeros((len(a), len(b)))
+        for i, ws in enumerate(a["words"]):
+            count[i] = of[[known[w] for w in (() if ws is None else ws) if w in known]].sum(axis=0)
+        union = sizes[:, None] + of.sum(axis=0)[None, :] - count
+        share = np.divide(count, union, out=np.zeros_like(count), where=union > 0)
+        best = np.argsort(-np.round(share, 9), axis=0, kind="stable")[:k]
+        return pd.DataFrame({"query_id": b["id"].to_numpy()[np.repeat(np.arange(len(b)), len(best))], "id": a["id"].to_numpy()[best.T.ravel()], "overlap": np.take_along_axis(share, best, axis=0).T.ravel()})
+
+    found = left.cogroup(right).applyInPandas(common, schema)
+    return V.ranked(found, ["query_id"], k, score="overlap").drop("rank")
+
+
 def context(chunks: DataFrame, cut: int = 300) -> DataFrame:
     """(query_id, context): the hits in rank order, each with its names and the first ``cut`` characters."""
     line = F.format_string("[%s] %s / %s / %s: %s", F.col("rank").cast("string"), "document", "section", "subsection", X.truncated(F.col("content"), cut))
