@@ -34,11 +34,12 @@ def embed_tree(texts: DataFrame, encoder: Encoder) -> DataFrame:
 
 def ingest(blocks: DataFrame, encoder: Encoder, path: str, clusters: int = 5) -> dict[str, int]:
     """Blocks to node tables at ``path``, a folder for each level with a cluster for each node; rows written of each."""
-    tree, _, _ = build_tree(blocks)
-    documents = structure.assemble(chunking.tree_chunks(tree)).withColumnRenamed("doc_id", "document_name").withColumn("document_name", F.col("document_name").cast("string"))
+    tree, tables, figures = build_tree(blocks)
+    nested = structure.assemble(chunking.tree_chunks(tree), tables=tables, figures=figures)
+    documents = materialize(nested.select(F.col("doc_id").cast("string").alias("document_name"), "content"), "documents")
     texts = materialize(structure.flatten(documents), "texts")
     vectors = embed_tree(texts, encoder)
-    nested = materialize(structure.renest(vectors.where(F.col("kind").isin("title", "description", "chunk"))), "embedded")
+    nested = materialize(structure.renest(vectors, documents), "embedded")
     written = {}
     for level, table in nodes.load(nested).items():
         if level == "document" or "vector" not in table.columns:

@@ -46,23 +46,37 @@ def is_scope(title: Column) -> Column:
 
 def load(documents: DataFrame) -> dict[str, DataFrame]:
     """The five node tables from documents(document_name, content) whose titles and descriptions are
-    {title | description, embedding} and whose chunks are {chunk, embedding}."""
+    {title | description, embedding} and whose chunks are {chunk, embedding}: ids, parents' ids, and the texts that the
+    level has (title, description, summary, text_content), null where the documents have no such field."""
     name = F.col("document_name")
     sections = documents.select(name, F.posexplode("content").alias("i", "n"))
     subs = sections.select("document_name", "i", F.posexplode("n.subsections").alias("j", "n"))
-    has_third = "subsubsections" in subs.schema["n"].dataType.names
     id1, id2 = node_id("document_name", "i"), node_id("document_name", "i", "j")
-    section = sections.select(id1.alias("id"), node_id("document_name").alias("parent_id"), "i", "document_name", F.col("n.title.title").alias("title"), F.col("n.description.description").alias("description"), section_vector(F.col("n.title.embedding"), F.col("n.description.embedding")).alias("vector"))
-    subsection = subs.select(id2.alias("id"), id1.alias("parent_id"), F.col("n.title.title").alias("title"), F.col("n.title.embedding").alias("vector"))
-    chunks = subs.select(id2.alias("parent_id"), F.lit("subsection").alias("parent_level"), F.posexplode("n.chunks").alias("k", "c"))
-    tables = {}
-    if has_third:
+
+    def texts(nodes: DataFrame, *fields: str) -> list[Column]:
+        there = nodes.schema["n"].dataType.names
+        nested = lambda f: F.col(f"n.{f}.{f}") if f in ("title", "description") else F.col(f"n.{f}")
+        return [(nested(f) if f in there else F.lit(None).cast("string")).alias(f) for f in fields]
+
+    def vector(nodes: DataFrame, field: str) -> Column:
+        return F.col(f"n.{field}.embedding") if field in nodes.schema["n"].dataType.names else F.lit(None).cast("array<float>")
+
+    def chunks_of(nodes: DataFrame, id: Column, level: str) -> DataFrame:
+        return nodes.select(id.alias("parent_id"), F.lit(level).alias("parent_level"), F.posexplode("n.chunks").alias("k", "c"))
+
+    section = sections.select(id1.alias("id"), node_id("document_name").alias("parent_id"), "i", *texts(sections, "title", "description", "summary"), section_vector(vector(sections, "title"), vector(sections, "description")).alias("vector"))
+    subsection = subs.select(id2.alias("id"), id1.alias("parent_id"), *texts(subs, "title", "description", "summary", "text_content"), subsection_vector(vector(subs, "title"), vector(subs, "description")).alias("vector"))
+    tables = {"section": section.drop("i"), "subsection": subsection}
+    chunks = [chunks_of(subs, id2, "subsection")] if "chunks" in subs.schema["n"].dataType.names else []
+    if "subsubsections" in subs.schema["n"].dataType.names:
         thirds = subs.select("document_name", "i", "j", F.posexplode("n.subsubsections").alias("l", "n"))
         id3 = node_id("document_name", "i", "j", "l")
-        tables["subsubsection"] = thirds.select(id3.alias("id"), id2.alias("parent_id"), F.col("n.title.title").alias("title"), F.col("n.title.embedding").alias("vector"))
-        chunks = chunks.unionByName(thirds.select(id3.alias("parent_id"), F.lit("subsubsection").alias("parent_level"), F.posexplode("n.chunks").alias("k", "c")))
-    tables |= {"section": section.drop("i", "document_name"), "subsection": subsection}
-    tables["chunk"] = chunks.select(node_id("parent_id", F.lit("chunks"), "k").alias("id"), "parent_id", "parent_level", F.col("c.chunk").alias("content"), F.col("c.embedding").alias("vector"))
+        tables["subsubsection"] = thirds.select(id3.alias("id"), id2.alias("parent_id"), *texts(thirds, "title", "text_content"), vector(thirds, "title").alias("vector"))
+        if "chunks" in thirds.schema["n"].dataType.names:
+            chunks.append(chunks_of(thirds, id3, "subsubsection"))
+    if chunks:
+        every = chunks[0] if len(chunks) == 1 else chunks[0].unionByName(chunks[1])
+        tables["chunk"] = every.select(node_id("parent_id", F.lit("chunks"), "k").alias("id"), "parent_id", "parent_level", F.col("c.chunk").alias("content"), F.col("c.embedding").alias("vector"))
     tables["document"] = documents.select(node_id("document_name").alias("id"), name).join(scope(section), F.col("id") == F.col("doc"), "left").drop("doc")
     return tables
 

@@ -48,7 +48,7 @@ def counts_by(rows: DataFrame, *by: str) -> DataFrame:
 
 def block_counts(assigned: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, figures, tables, paragraphs, headings) of each document's blocks."""
-    images = F.coalesce(F.size("images"), F.lit(0)) if "images" in assigned.columns else F.lit(0)
+    images = F.when(F.col("images").isNotNull(), F.size("images")).otherwise(0) if "images" in assigned.columns else F.lit(0)
     return assigned.groupBy(doc).agg(F.sum(images).alias("figures"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if((F.col("kind") == "paragraph") & F.col("level").isNull()).alias("paragraphs"), F.count_if(F.col("level").isNotNull()).alias("headings"))
 
 

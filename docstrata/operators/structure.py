@@ -79,14 +79,22 @@ def table_entries(assigned: DataFrame, doc: str = "doc_id", pos: str = "pos") ->
 
 def figures(assigned: DataFrame, doc: str = "doc_id", pos: str = "pos", reach: int = 3) -> DataFrame:
     """Images with a caption among the next ``reach`` blocks: id, name (the caption), placeholder, the node's text so
-    far as ``last_paragraph``, image, indexes and titles. Images without a caption are left out."""
+    far as ``last_paragraph``, image, indexes and titles. Images without a caption are left out.
+
+    Captions and texts are found without the images, which join their blocks at the end. A node's text is put
+    together once, with the place in it where each figure stands."""
+    texts = assigned.withColumn("_images", F.when(F.col("images").isNotNull(), F.size("images")).otherwise(0)).drop("images")
     w = Window.partitionBy(doc).orderBy(pos)
+    clean = X.strip(X.clean_nbsp(F.col("text")))
     caption = F.coalesce(*(F.when(X.starts_caption(t := F.lead("text", i).over(w)), X.strip(X.clean_nbsp(t))) for i in range(1, reach + 1)))
-    node = Window.partitionBy(doc, *INDEXES).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    paragraph = F.when((F.col("kind") == "paragraph") & F.col("level").isNull(), X.strip(X.clean_nbsp(F.col("text"))))
-    so_far = F.concat(F.array_join(F.collect_list(paragraph).over(node), ""), F.coalesce(X.strip(X.clean_nbsp(F.col("text"))), F.lit("")))
-    found = assigned.withColumn("figure_name", caption).withColumn("last_paragraph", so_far).where("attached and figure_name is not null and size(images) > 0")
-    one = found.select("*", F.posexplode("images").alias("image_pos", "image"))
+    paragraph = F.when((F.col("kind") == "paragraph") & F.col("level").isNull(), clean)
+    before = Window.partitionBy(doc, *INDEXES).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    placed = texts.withColumn("figure_name", caption).withColumn("_own", F.coalesce(clean, F.lit(""))).withColumn("_paragraph", paragraph).withColumn("_before", F.coalesce(F.sum(F.length("_paragraph")).over(before), F.lit(0)).cast("int"))
+    found = placed.where("attached and figure_name is not null and _images > 0").drop("_paragraph", "_images", "text", "kind", "level")
+    nodes = placed.where("_paragraph is not null").join(found.select(doc, *INDEXES).distinct(), [doc, *INDEXES], "left_semi").groupBy(doc, *INDEXES).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_paragraph"))), lambda x: x["_paragraph"]), "").alias("_text"))
+    named = found.join(nodes, [doc, *INDEXES], "left").withColumn("last_paragraph", F.concat(F.substring(F.coalesce("_text", F.lit("")), F.lit(1), F.col("_before")), "_own")).drop("_text", "_own", "_before")
+    images = assigned.where("size(images) > 0").select(doc, pos, F.posexplode("images").alias("image_pos", "image"))
+    one = named.join(images, [doc, pos])
     return one.select(
         doc, pos, "image_pos", F.sha2(F.concat_ws("/", F.col(doc).cast("string"), F.col(pos).cast("string"), F.col("image_pos").cast("string")), 256).alias("figure_id"), "figure_name",
         F.concat(F.lit("<<<"), "figure_name", F.lit(">>>")).alias("placeholder"), "last_paragraph", F.col("image.bytes").alias("image_bytes"), F.col("image.ext").alias("image_ext"),
@@ -121,13 +129,22 @@ def flatten(documents: DataFrame) -> DataFrame:
             own = F.concat(own, chunks)
         return nodes.select("document_name", F.explode(own).alias("x")).select("document_name", "x.*")
 
+    def children(nodes: DataFrame, name: str, idx: str) -> DataFrame | None:
+        """The nodes one level down, None where documents have no such level."""
+        if nodes is None or name not in nodes.schema["node"].dataType.names:
+            return None
+        return nodes.select(*(c for c in nodes.columns if c != "node"), F.posexplode(f"node.{name}").alias(idx, "node"))
+
+    fields = ["title", "description", "text_content"]
     sections = documents.select("document_name", F.posexplode("content").alias("i", "node"))
-    subs = sections.select("document_name", "i", F.posexplode("node.subsections").alias("j", "node"))
-    subsubs = subs.select("document_name", "i", "j", F.posexplode("node.subsubsections").alias("k", "node"))
+    subs = children(sections, "subsections", "j")
     s, t = F.concat(F.lit("content/"), F.col("i").cast("string")), F.concat(F.lit("/subsections/"), F.col("j").cast("string"))
-    u = F.concat(F.lit("/subsubsections/"), F.col("k").cast("string"))
-    fields = ["title", "description", "text_content"]
-    return texts(sections, s, fields).unionByName(texts(subs, F.concat(s, t), fields)).unionByName(texts(subsubs, F.concat(s, t, u), fields))
+    found = texts(sections, s, fields)
+    if subs is not None:
+        found = found.unionByName(texts(subs, F.concat(s, t), fields))
+        if (subsubs := children(subs, "subsubsections", "k")) is not None:
+            found = found.unionByName(texts(subsubs, F.concat(s, t, F.lit("/subsubsections/"), F.col("k").cast("string")), fields))
+    return found
 
 
 def assemble(nodes: DataFrame, doc: str = "doc_id", tables: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
@@ -155,17 +172,50 @@ def with_vectors(texts: DataFrame, vectors: DataFrame, doc: str = "document_name
     return texts.where(F.col("kind").isin(*keep)).join(vectors, [doc, "path"], "left")
 
 
-def renest(embedded: DataFrame, doc: str = "document_name") -> DataFrame:
-    """Nested documents with vectors, from rows (doc, path, kind, text, vector): titles and descriptions as
-    {title | description, embedding}, chunks as {chunk, embedding}."""
-    index = lambda n: F.try_element_at(F.split("path", "/"), F.lit(n)).try_cast("int")
+def renest(embedded: DataFrame, documents: DataFrame, doc: str = "document_name") -> DataFrame:
+    """``documents`` with vectors from rows (doc, path, kind, text, vector): titles and descriptions become
+    {title | description, embedding}, chunks {chunk, embedding}, in their places; all else stays as it is. A text
+    without a row keeps its text and has no vector; a document without sections has null for its content."""
     part = F.split("path", "/")
+    index = lambda n: F.try_element_at(part, F.lit(n)).try_cast("int")
     place = lambda name, at: F.coalesce(F.when(F.try_element_at(part, F.lit(at)) == name, index(at + 1)), F.lit(-1))
-    rows = embedded.select(doc, "kind", "text", F.col("vector").alias("embedding"), index(2).alias("section_idx"), place("subsections", 3).alias("subsection_idx"), place("subsubsections", 5).alias("subsubsection_idx"), F.element_at(part, -1).try_cast("int").alias("chunk_idx"))
-    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct(F.col("text").alias(kind), "embedding")), ignorenulls=True).alias(kind)
-    chunks = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "chunk", F.struct("chunk_idx", F.col("text").alias("chunk"), "embedding")))), lambda x: F.struct(x["chunk"].alias("chunk"), x["embedding"].alias("embedding")))
-    nodes = rows.groupBy(doc, *INDEXES).agg(of("title"), of("description"), chunks.alias("chunks"))
-    ordered = lambda name, idx, fields: F.transform(F.array_sort(F.collect_list(F.struct(idx, *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name)
-    third = nodes.where("subsubsection_idx >= 0").groupBy(doc, "section_idx", "subsection_idx").agg(ordered("subsubsections", "subsubsection_idx", ["title", "chunks"]))
-    second = nodes.where("subsection_idx >= 0 and subsubsection_idx < 0").join(third, [doc, "section_idx", "subsection_idx"], "left").groupBy(doc, "section_idx").agg(ordered("subsections", "subsection_idx", ["title", "description", "chunks", "subsubsections"]))
-    return nodes.where("subsection_idx < 0 and subsubsection_idx < 0").join(second, [doc, "section_idx"], "left").groupBy(doc).agg(ordered("content", "section_idx", ["title", "description", "subsections"]))
+    rows = embedded.where(F.col("kind").isin("title", "description", "chunk")).select(doc, "kind", F.col("vector"), index(2).alias("section_idx"), place("subsections", 3).alias("subsection_idx"), place("subsubsections", 5).alias("subsubsection_idx"), F.element_at(part, -1).try_cast("int").alias("chunk_idx"))
+    key = [doc, *INDEXES]
+    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct("vector")), ignorenulls=True).alias(f"_{kind}")
+    own = rows.where("kind <> 'chunk'").groupBy(*key).agg(of("title"), of("description"))
+    chunk_vectors = rows.where("kind = 'chunk'").select(*key, "chunk_idx", F.col("vector").alias("embedding"))
+
+    def with_children(nodes: DataFrame, children: DataFrame | None, at: list[str], name: str) -> tuple[DataFrame, list[str]]:
+        """``nodes(at..., node)`` with their vectors, their fields as columns, and the next level's nodes in place."""
+        fields = [f for f in nodes.schema["node"].dataType.names if f != name]
+        flat = nodes.select(*at, *(F.lit(-1).alias(i) for i in INDEXES[len(at) - 1 :]), *(F.col("node").getField(f).alias(f) for f in fields)).join(own, key, "left")
+        for f in ("title", "description"):
+            if f in fields:
+                flat = flat.withColumn(f, F.struct(F.col(f).alias(f), F.col(f"_{f}.vector").alias("embedding")))
+        if "chunks" in fields:
+            each = flat.select(*key, F.posexplode("chunks").alias("chunk_idx", "chunk")).join(chunk_vectors, [*key, "chunk_idx"], "left")
+            lists = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk", "embedding"))), lambda x: F.struct(x["chunk"].alias("chunk"), x["embedding"].alias("embedding"))).alias("_chunks"))
+            kind = lists.schema["_chunks"].dataType.simpleString()
+            flat = flat.join(lists, key, "left").withColumn("chunks", F.when(F.col("chunks").isNotNull(), F.coalesce("_chunks", F.array().cast(kind)))).drop("_chunks")
+        if children is not None:
+            flat = flat.join(children, at, "left")
+            fields = [*fields, name]
+        return flat, fields
+
+    def gathered(flat: DataFrame, fields: list[str], by: list[str], idx: str, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(idx, *fields)))
+        return flat.groupBy(*by).agg(F.transform(ordered, lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name))
+
+    sections = documents.select(doc, F.posexplode("content").alias("section_idx", "node"))
+    level = lambda nodes, name: name in nodes.schema["node"].dataType.names
+    second = third = None
+    if level(sections, "subsections"):
+        subs = sections.select(doc, "section_idx", F.posexplode("node.subsections").alias("subsection_idx", "node"))
+        if level(subs, "subsubsections"):
+            below = subs.select(doc, "section_idx", "subsection_idx", F.posexplode("node.subsubsections").alias("subsubsection_idx", "node"))
+            third = gathered(*with_children(below, None, key, ""), key[:3], "subsubsection_idx", "subsubsections")
+        second = gathered(*with_children(subs, third, key[:3], "subsubsections"), key[:2], "subsection_idx", "subsections")
+    content = gathered(*with_children(sections, second, key[:2], "subsections"), [doc], "section_idx", "content")
+    return documents.drop("content").join(content, doc, "left").select(documents.columns)
+
+

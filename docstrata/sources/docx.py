@@ -53,6 +53,8 @@ def blocks_of(content: bytes) -> Iterator[tuple]:
         if "word/_rels/document.xml.rels" in names:
             links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+        if body is None:
+            raise ValueError("no body")
         for pos, e in enumerate(x for x in body if x.tag in (f"{W}p", f"{W}tbl")):
             if e.tag == f"{W}tbl":
                 yield pos, "table", None, None, [], cells_of(e)
@@ -70,11 +72,14 @@ def blocks_of(content: bytes) -> Iterator[tuple]:
 
 
 def read_docx(spark: SparkSession, path: str, parts: int = 0) -> DataFrame:
-    """Blocks of all DOCX files; ``parts`` spreads the files by size before they are parsed. A file that can't be read
-    yields one block of kind "unreadable" with the reason as text."""
+    """Blocks of all DOCX files; ``parts`` spreads the files by size before they are parsed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
     files = files.select(X.stem(F.col("path")).alias("doc_name"), "content", "length")
-    files = files.repartition(parts, "length", "doc_name") if parts else files
+    return docx_blocks(files.repartition(parts, "length", "doc_name") if parts else files)
+
+
+def docx_blocks(files: DataFrame) -> DataFrame:
+    """Blocks of files(doc_name, content). A file that can't be read yields one block of kind "unreadable" with the reason as text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_name", "pos", "kind", "style", "text", "images", "cells"]
@@ -82,7 +87,7 @@ def read_docx(spark: SparkSession, path: str, parts: int = 0) -> DataFrame:
             for name, content in zip(pdf["doc_name"], pdf["content"], strict=True):
                 try:
                     rows = [(name, *b) for b in blocks_of(content)]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as x:
+                except Exception as x:  # whatever is wrong with one file, the others are read
                     rows = [(name, 0, "unreadable", None, f"{type(x).__name__}: {x}", [], [])]
                 as_dicts = [(*r[:5], [{"ext": e, "bytes": b} for e, b in r[5]], [[{"text": t, "span": s} for t, s in c] for c in r[6]]) for r in rows]
                 yield pd.DataFrame(as_dicts, columns=columns)

@@ -13,7 +13,7 @@ FIGURES = "figures_meta_data ARRAY<STRUCT<figure_id STRING, last_paragraph STRIN
 SUBSUB = f"STRUCT<title STRING, text_content STRING, chunks ARRAY<STRING>, {FIGURES}, {TABLES}>"
 SUB = f"STRUCT<title STRING, description STRING, summary STRING, text_content STRING, chunks ARRAY<STRING>, {TABLES}, {FIGURES}, subsubsections ARRAY<{SUBSUB}>>"
 DOCUMENT = f"document_name STRING, content ARRAY<STRUCT<title STRING, description STRING, summary STRING, {TABLES}, {FIGURES}, subsections ARRAY<{SUB}>>>, _corrupt STRING"
-FLAT = "file_content ARRAY<STRUCT<chunk STRING, embedding ARRAY<FLOAT>>>"
+FLAT = "source_file STRING, file_content ARRAY<STRUCT<chunk STRING, embedding ARRAY<FLOAT>>>"
 
 
 def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
@@ -30,18 +30,19 @@ def split_unreadable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_raw(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """(file_name, value): whole files as text, for validation."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(X.file_name(F.col("_metadata.file_path")).alias("file_name"), "value")
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select(X.file_name(F.col("_metadata.file_path")).alias("file_name"), "value")
 
 
-def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+def read_markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """(source_file, text): whole Markdown files."""
-    return read_raw(spark, path, "*.md").select(F.col("file_name").alias("source_file"), F.col("value").alias("text"))
+    return read_raw(spark, path, glob).select(F.col("file_name").alias("source_file"), F.col("value").alias("text"))
 
 
 def read_flat_embedded(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, chunk_idx, content, embedding) of flat files; entries without a chunk or a vector are left out."""
+    """(source_file, chunk_idx, content, embedding) of flat files, each named as it says or else by its own name; entries without
+    a chunk or a vector are left out."""
     files = spark.read.schema(FLAT).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    rows = files.select(X.file_name(F.col("_metadata.file_path")).alias("source_file"), F.posexplode("file_content").alias("chunk_idx", "x"))
+    rows = files.select(F.coalesce("source_file", X.file_name(F.col("_metadata.file_path"))).alias("source_file"), F.posexplode("file_content").alias("chunk_idx", "x"))
     return usable_chunks(rows.select("source_file", "chunk_idx", F.col("x.chunk").alias("content"), F.col("x.embedding").alias("embedding")))
 
 

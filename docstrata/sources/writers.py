@@ -34,9 +34,18 @@ def write_embedded(documents: DataFrame, path: str, name: str = "file_path") ->
 
 
 def write_flat(chunks: DataFrame, path: str, file: str = "source_file") -> None:
-    """{"file_content": [{chunk, embedding}, ...]} for each file, in order."""
+    """A JSON file {"source_file": ..., "file_content": [{chunk, embedding}, ...]} for each source file, chunks in order."""
     entries = F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("content").alias("chunk"), "embedding"))), lambda x: F.struct(x["chunk"].alias("chunk"), x["embedding"].alias("embedding")))
-    chunks.groupBy(file).agg(F.to_json(F.struct(entries.alias("file_content"))).alias("value")).write.mode("overwrite").partitionBy(file).text(path)
+    chunks.groupBy(F.col(file).alias("source_file")).agg(entries.alias("file_content")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+
+
+def write_repaired(checked: DataFrame, path: str) -> int:
+    """The repaired copies of ``validation.checked_again`` as JSON lines (fixed_name, fixed); how many there are. Files that
+    needed no repair, or allow none, are left out."""
+    seen = Observation()
+    fixed = checked.where(F.startswith("status", F.lit("fixed"))).select("fixed_name", "fixed").observe(seen, F.count(F.lit(1)).alias("n"))
+    fixed.write.mode("overwrite").json(path)
+    return seen.get["n"]
 
 
 def write_results(results: DataFrame, path: str, column: str = "result") -> None:
@@ -44,6 +53,9 @@ def write_results(results: DataFrame, path: str, column: str = "result") -> None
     results.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
-def write_lines(lines: DataFrame, path: str, by: tuple[str, ...] = ("doc_id", "table_id")) -> None:
-    """Rows of ``tables.delimited`` as text files, a folder for each table."""
-    lines.sort(*by, "row").select(*by, F.col("line").alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+def write_lines(lines: DataFrame, path: str, by: tuple[str, ...] = ("doc_id", "table_id"), tables_together: int = 1000) -> None:
+    """Rows of ``tables.delimited`` as tab-separated text (table, line): whole tables next to each other, lines in order, about
+    ``tables_together`` tables in a file."""
+    parts = max(1, -(-lines.select(*by).distinct().count() // tables_together))
+    named = lines.select(F.concat_ws("/", *by).alias("table"), "row", "line").repartitionByRange(parts, "table").sortWithinPartitions("table", "row")
+    named.select(F.concat_ws("\t", "table", "line").alias("value")).write.mode("overwrite").text(path)

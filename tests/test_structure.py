@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstrata.jobs import ingest
-from docstrata.operators import structure, tables
+from docstrata.operators import embedding, structure, tables
 from docstrata.sources import docx
 
 BLOCKS = "doc_id string, pos int, kind string, style string, text string, images array<struct<ext string, bytes binary>>"
@@ -74,9 +74,25 @@ def test_assemble_flatten_renest(spark):
     texts = {r.path: r.text for r in flat.collect()}
     assert texts["content/0/subsections/0/subsubsections/0/text_content"] == "c" and texts["content/1/title"] == "B"
     vectors = flat.select("document_name", "path", F.array(F.length("text").cast("float")).alias("vector"))
-    nested = structure.renest(structure.with_vectors(flat, vectors)).first().content
+    nested = structure.renest(structure.with_vectors(flat, vectors), tree).first().content
     assert [s.title.title for s in nested] == ["A", "B"] and [s.title.title for s in nested[0].subsections] == ["A1", "A2"]
     assert nested[0].subsections[0].subsubsections[0].title.embedding == [3.0]
+    assert nested[0].description.description == "a" and nested[0].subsections[0].text_content == "b" and nested[0].subsections[0].subsubsections[0].text_content == "c"
+
+
+def test_renest_keeps_the_document(spark):
+    """Every other field, texts without a vector, empty lists, repeated chunks, and documents without sections."""
+    sub = "struct<title:string,text_content:string,summary:string,chunks:array<string>,tables:array<struct<name:string>>>"
+    docs = spark.createDataFrame([("d", [("T", "D", "sum", [("S", "body", "s2", ["c", "...", "c"], [("t",)]), (None, "x", None, [], [])]), ("U", "", None, None)], 7), ("e", [], 8), ("f", None, 9)], f"document_name string, content array<struct<title:string,description:string,summary:string,subsections:array<{sub}>>>, extra int")
+    flat = structure.flatten(docs)
+    vectors = embedding.embeddable(flat).select("document_name", "path", F.array(F.length("text").cast("float")).alias("vector"))
+    found = {r.document_name: r for r in structure.renest(structure.with_vectors(flat, vectors), docs).collect()}
+    one, two = found["d"].content
+    assert (one.title.title, one.title.embedding, one.description.embedding, one.summary, found["d"].extra) == ("T", [1.0], [1.0], "sum", 7)
+    s = one.subsections[0]
+    assert [(c.chunk, c.embedding) for c in s.chunks] == [("c", [1.0]), ("...", None), ("c", [1.0])] and (s.text_content, s.summary, s.tables[0].name) == ("body", "s2", "t")
+    assert one.subsections[1].title == (None, None) and one.subsections[1].chunks == [] and one.subsections[1].text_content == "x"
+    assert two.description == ("", None) and not two.subsections and (found["e"].extra, found["f"].extra) == (8, 9)
 
 
 @pytest.mark.parametrize("parts", [1, 7])
