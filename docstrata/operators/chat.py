@@ -124,9 +124,9 @@ def newest_first(conversations: DataFrame, last: str = "last_at", conv: str = "c
     return conversations.orderBy(F.desc_nulls_last(last), conv)
 
 
-def oldest_first(messages: DataFrame, conv_id, at: str = "turn") -> DataFrame:
-    """One conversation's messages in order."""
-    return messages.where(F.col("conv_id") == conv_id).orderBy(at)
+def oldest_first(messages: DataFrame, conv_id=None, at: str = "turn") -> DataFrame:
+    """The messages of one conversation, or of all, in order."""
+    return (messages if conv_id is None else messages.where(F.col("conv_id") == conv_id)).orderBy("conv_id", at)
 
 
 def grouped_by_date(conversations: DataFrame, today: Column, last: str = "last_at") -> DataFrame:

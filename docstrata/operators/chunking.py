@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstrata.functions import text as X
+from docstrata.functions.tables import materialize
 
 #: Separators from coarse to fine ("" is characters); sizes and overlaps of the tree and of flat files.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -116,12 +117,17 @@ def flat_chunks(files: DataFrame, size: int = FLAT[0], overlap: int = FLAT[1], l
     return recursive_chunks(files, size, overlap, length=length)
 
 
+#: Files whose counts one task adds up, about.
+ADDED_TOGETHER = 100_000
+
+
 def numbered(chunks: DataFrame, file: str = "source_file", idx: str = "chunk_idx") -> DataFrame:
     """``chunk_number``: runs through all chunks in the order (file, idx). Only the counts per file are summed up in
-    order, in blocks of files, never the chunks."""
-    counts = chunks.groupBy(file).agg(F.count("*").alias("_n"))
-    blocks = counts.withColumn("_block", F.substring(F.col(file).cast("string"), 1, 2))  # blocks follow the order of names
-    starts = blocks.groupBy("_block").agg(F.sum("_n").alias("_b")).withColumn("_before", F.coalesce(F.sum("_b").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_block", "_before")
-    within = Window.partitionBy("_block").orderBy(F.col(file).cast("string")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, "_block").select(file, (F.col("_offset") + F.col("_before")).alias("_offset"))
+    order, in ranges of files, never the chunks; files are ordered as strings."""
+    counts = chunks.groupBy(file).agg(F.count("*").alias("_n")).withColumn("_name", F.col(file).cast("string"))
+    parts = max(1, -(-counts.count() // ADDED_TOGETHER))
+    ranges = materialize(counts.repartitionByRange(parts, "_name").withColumn("_range", F.spark_partition_id()), "counts")
+    before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranges.groupBy("_range").agg(F.sum("_n").alias("_sum")).withColumn("_before", before("_sum", Window.orderBy("_range"))).select("_range", "_before")  # a row for each range
+    offsets = ranges.withColumn("_offset", before("_n", Window.partitionBy("_range").orderBy("_name"))).join(starts, "_range").select(file, (F.col("_offset") + F.col("_before")).alias("_offset"))
     return chunks.join(offsets, file).withColumn("chunk_number", (F.col("_offset") + F.col(idx)).cast("long")).drop("_offset")

@@ -13,9 +13,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docstrata.functions.tables import materialize
-from docstrata.functions.vectors import as_matrix, squared_distance
+from docstrata.functions.vectors import as_matrix
 
 SEED = 42
 
@@ -48,9 +49,14 @@ def lloyd(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 50) -> np.ndarr
     return label
 
 
-def per_parent(vectors: DataFrame, clusters: int = 5, parent: str = "parent_id", id: str = "id", vector: str = "vector") -> DataFrame:
+#: Children of one parent that one task clusters; larger groups are clustered by all tasks together.
+TOGETHER = 10_000
+
+
+def per_parent(vectors: DataFrame, clusters: int = 5, parent: str = "parent_id", id: str = "id", vector: str = "vector", together: int = TOGETHER) -> DataFrame:
     """(id, parent, cluster): an independent k-means for the children of each parent, k at most the number of distinct
-    vectors. Children of one parent are a few dozen rows; groups that ``small_groups`` decides never reach Python."""
+    vectors. Groups that ``small_groups`` decides never reach Python; those above ``together`` rows go through ``level``, whose rounds
+    are narrow, so that no group has to fit one task."""
     decided = small_groups(vectors.select(parent, id, vector), parent, vector)
     keys = [vectors.schema[id], vectors.schema[parent]]
 
@@ -60,8 +66,16 @@ def per_parent(vectors: DataFrame, clusters: int = 5, parent: str = "parent_id",
         k = min(clusters, len(np.unique(x, axis=0)))
         return pd.DataFrame({id: pdf[id], parent: pdf[parent], "cluster": lloyd(x, k).astype("int32")})
 
-    rest = decided.where("cluster is null").groupBy(parent).applyInPandas(run, T.StructType([*keys, T.StructField("cluster", T.IntegerType())]))
-    return decided.where("cluster is not null").select(id, parent, F.col("cluster").cast("int")).unionByName(rest)
+    rest = decided.where("cluster is null").drop("cluster")
+    large = rest.groupBy(parent).agg(F.count("*").alias("n")).where(F.col("n") > together).select(parent)
+    large = materialize(large, "large-groups")
+    done = decided.where("cluster is not null").select(id, parent, F.col("cluster").cast("int"))
+    few = rest
+    if not large.isEmpty():
+        few = rest.join(large, parent, "left_anti")
+        named = materialize(rest.join(large, parent, "left_semi").select(F.col(parent).alias("group"), F.col(id).alias("id"), F.col(vector).alias("vector")), "large")
+        done = done.unionByName(level(named, ["group"], "cluster", clusters).select(F.col("id").alias(id), F.col("group").alias(parent), "cluster"))
+    return done.unionByName(few.groupBy(parent).applyInPandas(run, T.StructType([*keys, T.StructField("cluster", T.IntegerType())])))
 
 
 def assigned(vectors: DataFrame, centres: dict[tuple, np.ndarray], by: list[str], name: str) -> DataFrame:
@@ -97,13 +111,10 @@ def level(vectors: DataFrame, by: list[str], name: str, k: int, rounds: int = 8,
         centres.setdefault(tuple(r[b] for b in by), []).append(r["vector"])
     now = {key: np.array(c, float) for key, c in centres.items()}
     for _ in range(rounds):
-        d = assigned(vectors, now, by, name).select(*by, name, F.posexplode("vector").alias("dim", "x"))
-        means = d.groupBy(*by, name, "dim").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy(*by, name).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
         moved = {key: c.copy() for key, c in now.items()}
-        for r in means.collect():
-            key = tuple(r[b] for b in by)
-            if key in moved:
-                moved[key][r[name]] = [p.x for p in r["v"]]
+        for key, mean in vector_means(assigned(vectors, now, by, name), [*by, name]).items():
+            if key[:-1] in moved:
+                moved[key[:-1]][key[-1]] = mean
         done = all(np.allclose(moved[key], now[key], atol=1e-6) for key in now)
         now = moved
         if done:
@@ -130,19 +141,72 @@ def three_levels(vectors: DataFrame, l1: int = 50, l2: int = 10, l3: int = 10, s
     return level(second, ["cluster_l1", "cluster_l2"], "cluster_l3", l3, seed=seed)
 
 
+def partial_sums(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
+    """(by..., n, sum): each task's sums of the vectors of each group, a row for a group and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for batch in batches:
+            if batch.num_rows:
+                x = as_matrix(batch.column(batch.schema.get_field_index(vector)))
+                keys = list(zip(*(batch.column(batch.schema.get_field_index(b)).to_pylist() for b in by), strict=True))
+                of = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+                at = np.array([of[key] for key in keys])
+                sums = np.zeros((len(of), x.shape[1]))
+                np.add.at(sums, at, x)
+                for key, n, total in zip(of, np.bincount(at).tolist(), sums, strict=True):
+                    one = held.setdefault(key, [0, np.zeros(x.shape[1])])
+                    one[0] += n
+                    one[1] += total
+        columns = [list(c) for c in zip(*held, strict=True)] or [[]] * len(by)
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.tolist() for _, s in held.values()], pa.list_(pa.float64()))], names=[*by, "n", "sum"])
+
+    fields = [to_arrow_schema(T.StructType([rows.schema[b]])).field(0) for b in by]
+    schema = T.StructType([*(rows.schema[b] for b in by), T.StructField("n", T.LongType()), T.StructField("sum", T.ArrayType(T.DoubleType()))])
+    return rows.select(*by, vector).where(F.col(vector).isNotNull()).mapInArrow(run, schema)
+
+
+def means(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
+    """(by..., vector): the mean of each group's vectors, from partial sums of each task."""
+    dims = partial_sums(rows, by, vector).select(*by, "n", F.posexplode("sum").alias("_dim", "_x")).groupBy(*by, "_dim").agg((F.sum("_x") / F.sum("n")).alias("_x"))
+    return dims.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_x"))), lambda p: p["_x"]).alias(vector))
+
+
+def vector_means(rows: DataFrame, by: list[str]) -> dict[tuple, np.ndarray]:
+    """The means as a dictionary: as many as there are clusters."""
+    return {tuple(r[b] for b in by): np.array(r["vector"]) for r in means(rows, by).collect()}
+
+
 def centroids(vectors: DataFrame, cluster: str = "cluster", vector: str = "vector") -> DataFrame:
-    """(cluster, vector): the mean of each cluster, partial sums by dimension."""
-    d = vectors.select(cluster, F.posexplode(vector).alias("_dim", "_x"))
-    means = d.groupBy(cluster, "_dim").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    return means.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_x"))), lambda p: p["_x"]).alias(vector))
+    """(cluster, vector): the mean of each cluster."""
+    return means(vectors, [cluster], vector)
+
+
+#: Centroids that ``nearest_centroid`` takes at most: a bound on what each task holds.
+CENTRES = 65_536
 
 
 def nearest_centroid(vectors: DataFrame, centres: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """(id, cluster, distance): the nearest of the centroids, as many as the parameters say; ties to the smaller cluster."""
-    both = vectors.select("id", "vector").join(F.broadcast(centres.select(cluster, F.col("vector").alias("_c"))))
-    d = both.withColumn("_d", squared_distance(F.col("vector"), F.col("_c")))
-    best = F.min(F.struct(F.round("_d", 9).alias("d"), F.col(cluster).alias("c")))
-    return d.groupBy("id").agg(best.alias("b")).select("id", F.col("b.c").alias(cluster), F.col("b.d").alias("distance"))
+    """(id, cluster, distance): the nearest of at most CENTRES centroids for each row, repeated ids included; ties to the
+    smaller cluster. Narrow."""
+    known = centres.select(cluster, "vector").orderBy(cluster).limit(CENTRES + 1).collect()
+    if len(known) > CENTRES:
+        raise ValueError(f"more than {CENTRES} centroids")
+    c, field = np.array([r["vector"] for r in known], float), to_arrow_schema(T.StructType([centres.schema[cluster]])).field(0)
+    names = pa.array([r[cluster] for r in known], field.type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows if len(c) else 0, 256):
+                part = batch.slice(a, 256)
+                x = as_matrix(part.column(1))
+                d = np.round(np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1), 9)
+                best = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), names.take(pa.array(best)), pa.array(d[np.arange(len(best)), best])], names=["id", cluster, "distance"])
+
+    schema = T.StructType([vectors.schema["id"], centres.schema[cluster], T.StructField("distance", T.DoubleType())])
+    return vectors.select("id", "vector").where("vector is not null").mapInArrow(run, schema)
 
 
 def sizes(vectors: DataFrame, levels: tuple[str, ...] = ("cluster_l1", "cluster_l2", "cluster_l3")) -> DataFrame:

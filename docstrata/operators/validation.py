@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,52 +51,66 @@ def is_object(value: Column) -> Column:
 def issues(files: DataFrame, file: str = "file_name", raw: str = "value") -> DataFrame:
     """(file, section, subsection, chunk, part, message): one row per issue, in the order file, section, subsection,
     chunk, part; indexes are -1 above their level. What lies below something unusable is not looked at. Broken JSON is
-    "unreadable". Keys whose value is JSON null count as there."""
-    docs = files.select(F.col(file).alias("file"), F.try_parse_json(raw).alias("d"))
+    "unreadable". Keys whose value is JSON null count as there. Each text is parsed once; its issues are one array."""
     none = F.lit(-1)
-
-    def rows(df: DataFrame, section: Column, subsection: Column, chunk: Column, found: list[Column]) -> DataFrame:
-        every = F.array(*(F.struct(F.lit(i).alias("part"), m.alias("message")) for i, m in enumerate(found)))
-        return df.select("file", section.alias("section"), subsection.alias("subsection"), chunk.alias("chunk"), F.explode(every).alias("x")).where("x.message is not null").select("file", "section", "subsection", "chunk", "x.part", "x.message")
+    kind_ = "array<struct<section:int,subsection:int,chunk:int,part:int,message:string>>"
+
+    def listed(section: Column, subsection: Column, chunk: Column, found: list[Column]) -> Column:
+        every = F.array(*(F.struct(section.alias("section"), subsection.alias("subsection"), chunk.alias("chunk"), F.lit(i).alias("part"), m.alias("message")) for i, m in enumerate(found)))
+        return F.filter(every, lambda x: x["message"].isNotNull()).cast(kind_)
+
+    def below(value: Column, of: Callable[[Column, Column], Column]) -> Column:
+        """The issues of all elements of a list, in order; none if it is no list."""
+        return F.coalesce(F.flatten(F.transform(items(value), of)), F.array().cast(kind_))
+
+    def of_chunk(i: Column, j: Column) -> Callable[[Column, Column], Column]:
+        def check(c: Column, k: Column) -> Column:
+            good = is_object(c)
+            return listed(i, j, k, [
+                issue(~good, "Chunk ", k, " in subsection ", j, ", section ", i, " is not a dictionary"),
+                issue(good & missing(at(c, "chunk")) & missing(at(c, "content")), "Chunk ", k, " in subsection ", j, ", section ", i, " is missing content field"),
+                issue(good & not_a(at(c, "embedding"), "ARRAY"), "Chunk ", k, " in subsection ", j, ", section ", i, " has invalid embedding format"),
+            ])
+
+        return check
+
+    def of_subsection(i: Column) -> Callable[[Column, Column], Column]:
+        def check(s: Column, j: Column) -> Column:
+            good, title = is_object(s), at(s, "title")
+            own = listed(i, j, none, [
+                issue(~good, "Subsection ", j, " in section ", i, " is not a dictionary"),
+                issue(good & missing(title), "Subsection ", j, " in section ", i, " is missing 'title' field"),
+                issue(good & is_object(title) & missing(at(title, "title")), "Subsection ", j, " in section ", i, " has malformed title dictionary"),
+                issue(good & is_object(title) & not_a(at(title, "embedding"), "ARRAY"), "Subsection ", j, " in section ", i, " has invalid title embedding format"),
+                issue(good & not_a(at(s, "chunks"), "ARRAY"), "Subsection ", j, " in section ", i, " 'chunks' is not a list"),
+            ])
+            return F.concat(own, below(at(s, "chunks"), of_chunk(i, j)))
+
+        return check
+
+    def of_section(s: Column, i: Column) -> Column:
+        good, title, text = is_object(s), at(s, "title"), at(s, "description")
+        own = listed(i, none, none, [
+            issue(~good, "Section ", i, " is not a dictionary"),
+            issue(good & missing(title), "Section ", i, " is missing 'title' field"),
+            issue(good & is_object(title) & missing(at(title, "title")), "Section ", i, " has malformed title dictionary (missing 'title' key)"),
+            issue(good & is_object(title) & not_a(at(title, "embedding"), "ARRAY"), "Section ", i, " has invalid title embedding format"),
+            issue(good & is_object(text) & missing(at(text, "description")), "Section ", i, " has malformed description dictionary (missing 'description' key)"),
+            issue(good & is_object(text) & not_a(at(text, "embedding"), "ARRAY"), "Section ", i, " has invalid description embedding format"),
+            issue(good & not_a(at(s, "subsections"), "ARRAY"), "Section ", i, " 'subsections' is not a list"),
+        ])
+        return F.concat(own, below(at(s, "subsections"), of_subsection(i)))
 
     d = F.col("d")
-    top = rows(docs, none, none, none, [
+    top = listed(none, none, none, [
         issue(d.isNull(), "unreadable JSON"),
         issue(d.isNotNull() & ~is_object(d), "JSON data is not a dictionary"),
         issue(is_object(d) & missing(at(d, "document_name")), "Missing 'document_name' field"),
         issue(is_object(d) & missing(at(d, "content")), "Missing 'content' field"),
         issue(is_object(d) & not_a(at(d, "content"), "ARRAY"), "'content' field is not a list"),
     ])
-    sections = docs.where(is_object(d)).select("file", F.posexplode(items(at(d, "content"))).alias("i", "s"))
-    s, i = F.col("s"), F.col("i")
-    title, text = at(s, "title"), at(s, "description")
-    good = is_object(s)
-    first = rows(sections, i, none, none, [
-        issue(~good, "Section ", i, " is not a dictionary"),
-        issue(good & missing(title), "Section ", i, " is missing 'title' field"),
-        issue(good & is_object(title) & missing(at(title, "title")), "Section ", i, " has malformed title dictionary (missing 'title' key)"),
-        issue(good & is_object(title) & not_a(at(title, "embedding"), "ARRAY"), "Section ", i, " has invalid title embedding format"),
-        issue(good & is_object(text) & missing(at(text, "description")), "Section ", i, " has malformed description dictionary (missing 'description' key)"),
-        issue(good & is_object(text) & not_a(at(text, "embedding"), "ARRAY"), "Section ", i, " has invalid description embedding format"),
-        issue(good & not_a(at(s, "subsections"), "ARRAY"), "Section ", i, " 'subsections' is not a list"),
-    ])
-    subs = sections.where(good).select("file", "i", F.posexplode(items(at(s, "subsections"))).alias("j", "s"))
-    j = F.col("j")
-    second = rows(subs, i, j, none, [
-        issue(~good, "Subsection ", j, " in section ", i, " is not a dictionary"),
-        issue(good & missing(title), "Subsection ", j, " in section ", i, " is missing 'title' field"),
-        issue(good & is_object(title) & missing(at(title, "title")), "Subsection ", j, " in section ", i, " has malformed title dictionary"),
-        issue(good & is_object(title) & not_a(at(title, "embedding"), "ARRAY"), "Subsection ", j, " in section ", i, " has invalid title embedding format"),
-        issue(good & not_a(at(s, "chunks"), "ARRAY"), "Subsection ", j, " in section ", i, " 'chunks' is not a list"),
-    ])
-    chunks = subs.where(good).select("file", "i", "j", F.posexplode(items(at(s, "chunks"))).alias("k", "s"))
-    k = F.col("k")
-    third = rows(chunks, i, j, k, [
-        issue(~good, "Chunk ", k, " in subsection ", j, ", section ", i, " is not a dictionary"),
-        issue(good & missing(at(s, "chunk")) & missing(at(s, "content")), "Chunk ", k, " in subsection ", j, ", section ", i, " is missing content field"),
-        issue(good & not_a(at(s, "embedding"), "ARRAY"), "Chunk ", k, " in subsection ", j, ", section ", i, " has invalid embedding format"),
-    ])
-    return top.unionByName(first).unionByName(second).unionByName(third)
+    docs = files.select(F.col(file).alias("file"), F.try_parse_json(raw).alias("d"))
+    return docs.select("file", F.explode(F.concat(top, below(at(d, "content"), of_section))).alias("x")).select("file", "x.*")
 
 
 def repaired(raw: str, name: str = "") -> tuple[str, int]:

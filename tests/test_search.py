@@ -9,7 +9,7 @@ from docstrata.functions import vectors as V
 from docstrata.jobs import ingest, retrieval
 from docstrata.operators import clustering, embedding, nodes, search
 from docstrata.sources import readers, writers
-from docstrata.streaming.ingest import ingest_stream, stored
+from docstrata.streaming.ingest import compacted, current, ingest_stream
 
 
 def vectors(spark, n=300, d=6, parts=4):
@@ -142,7 +142,7 @@ def test_reading_and_writing(spark, tmp_path):
     chunks = spark.createDataFrame([("f", 1, "y", [2.0]), ("f", 0, "x", [1.0]), ("f", 2, None, [1.0])], "source_file string, chunk_idx int, content string, embedding array<float>")
     writers.write_flat(readers.usable_chunks(chunks), str(tmp_path / "flat"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "flat")).collect()]
-    assert lines == ['{"file_content":[{"chunk":"x","embedding":[1.0]},{"chunk":"y","embedding":[2.0]}]}']
+    assert lines == ['{"source_file":"f","file_content":[{"chunk":"x","embedding":[1.0]},{"chunk":"y","embedding":[2.0]}]}']
     assert writers.store(chunks, str(tmp_path / "s"), ("source_file",)) == 3
 
 
@@ -152,4 +152,11 @@ def test_stream_ingest(spark, tmp_path):
         spark.createDataFrame([("a.md", text), (f"b{n}.md", "x")], "source_file string, text string").coalesce(1).write.parquet(str(source / f"p{n}"))
         stream = spark.readStream.schema("source_file string, text string").option("recursiveFileLookup", True).parquet(str(source))
         ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / "checkpoint"), 10, 1).awaitTermination()
-    assert {(r.source_file, r.chunk) for r in stored(spark, str(tmp_path / "store")).collect()} == {("a.md", "three"), ("b0.md", "x"), ("b1.md", "x")}
+    shown = lambda store: {(r.source_file, r.chunk) for r in current(spark, str(tmp_path / store)).collect()}
+    assert shown("store") == {("a.md", "three"), ("b0.md", "x"), ("b1.md", "x")}
+    spark.createDataFrame([("a.md", "")], "source_file string, text string").write.parquet(str(source / "p2"))
+    stream = spark.readStream.schema("source_file string, text string").option("recursiveFileLookup", True).parquet(str(source))
+    ingest_stream(stream, str(tmp_path / "store"), str(tmp_path / "checkpoint"), 10, 1).awaitTermination()
+    assert shown("store") == {("b0.md", "x"), ("b1.md", "x")}
+    compacted(spark, str(tmp_path / "store"), str(tmp_path / "compact"))
+    assert shown("compact") == shown("store") and current(spark, str(tmp_path / "none")) is None
