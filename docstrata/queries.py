@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,27 +12,9 @@ from docstrata.functions import text as X
 from docstrata.functions.tables import shared_folder
 from docstrata.jobs import retrieval
 from docstrata.operators import chat, chunking, clustering, embedding, nodes, search, stats, structure, tables, validation
+from docstrata.registry import ORACLES, QUERIES, Query, query, table
 from docstrata.streaming import conversations as live
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- retrieval -------------------------------------------------------------------------------------------------------
 
 NODES = """n AS (SELECT vec_id AS id, CAST(floor(vec_id / 100) AS BIGINT) AS doc_id, label, CASE WHEN vec_id % 100 = 0 THEN 'scope' WHEN vec_id % 100 <= 4 THEN 'section'
@@ -125,12 +107,13 @@ def cluster_pruned_topk(spark, sf_dir):
 
 
 @query("WITH b AS (SELECT item_id, text, list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '') AS w FROM benchmark), d AS (SELECT doc_id, text, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '')) AS w FROM documents), "
-       "c AS (SELECT b.item_id, d.doc_id, b.w AS bw, d.w AS dw FROM b JOIN d ON d.doc_id % 40 = b.item_id % 40), o AS (SELECT item_id, doc_id, CAST(len(list_intersect(list_distinct(bw), dw)) AS DOUBLE) / len(list_distinct(list_concat(bw, dw))) AS overlap FROM c) "
+       "c AS (SELECT b.item_id, d.doc_id, b.w AS bw, d.w AS dw FROM b, d), o AS (SELECT item_id, doc_id, CAST(len(list_intersect(list_distinct(bw), dw)) AS DOUBLE) / len(list_distinct(list_concat(bw, dw))) AS overlap FROM c) "
        "SELECT query_id, id, round(overlap, 6) AS overlap, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT item_id AS query_id, doc_id AS id, overlap, 0.5 * 0.25 + 0.5 * overlap AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(0.5 * 0.25 + 0.5 * overlap, 9) DESC, doc_id) AS rank FROM o) WHERE rank <= 5")
 def rerank_overlap(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), (F.col("item_id") % 40).alias("slot"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), (F.col("doc_id") % 40).alias("slot"))
-    found = search.rerank(docs.join(asked, "slot").withColumn("score", F.lit(0.25)), 5)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    candidates = search.overlap_topk(docs, asked, 20).drop("overlap").join(docs, "id").join(asked, "query_id")
+    found = search.rerank(candidates.withColumn("score", F.lit(0.25)), 5)
     return found.select("query_id", "id", F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -166,6 +149,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "pos", F.when(at == 7, F.concat(F.lit("Fig. "), "line")).otherwise(F.col("line")).alias("text"), level.alias("level"), F.when(at.isin(3, 9), "table").otherwise("paragraph").alias("kind"))
 
 
+def with_images(placed: DataFrame) -> DataFrame:
+    """``placed`` with an image in every twelfth block."""
+    return placed.withColumn("images", F.when(F.col("pos") % 12 == 5, F.array(F.struct(F.lit("png").alias("ext"), F.encode(F.col("text"), "utf-8").alias("bytes")))))
+
+
 @query(f"WITH {SQL_BLOCKS} SELECT doc_id, pos, level, section_idx, subsection_idx, subsubsection_idx, attached FROM t")
 def heading_tree(spark, sf_dir):
     return structure.assign(blocks(spark, sf_dir)).select("doc_id", "pos", "level", *structure.INDEXES, "attached")
@@ -193,8 +181,7 @@ z AS (SELECT *, CASE WHEN regexp_matches(lower(trim(a)), '^(fig|note)') THEN tri
 SELECT z.doc_id, z.pos, z.figure_name, '<<<' || z.figure_name || '>>>' AS placeholder, coalesce((SELECT string_agg(p.clean, '' ORDER BY p.pos) FROM t p WHERE p.doc_id = z.doc_id AND p.section_idx = z.section_idx AND p.subsection_idx = z.subsection_idx AND p.subsubsection_idx = z.subsubsection_idx AND p.pos < z.pos AND p.kind = 'paragraph' AND p.level IS NULL), '') || z.clean AS last_paragraph, z.section_idx, z.subsection_idx, z.subsubsection_idx
 FROM z WHERE attached AND figure_name IS NOT NULL AND pos % 12 = 5""")
 def figure_captions(spark, sf_dir):
-    image = F.when(F.col("pos") % 12 == 5, F.array(F.struct(F.lit("png").alias("ext"), F.encode(F.col("text"), "utf-8").alias("bytes"))))
-    found = structure.figures(structure.assign(blocks(spark, sf_dir).withColumn("images", image)))
+    found = structure.figures(with_images(structure.assign(blocks(spark, sf_dir))))
     return found.select("doc_id", "pos", "figure_name", "placeholder", "last_paragraph", *structure.INDEXES)
 
 
@@ -224,22 +211,22 @@ def orphan_chunks(spark, sf_dir):
     return found.select("id", "parent_id")
 
 
-@query(f"WITH {SQL_BLOCKS} SELECT doc_id, 0 AS figures, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'paragraph' AND level IS NULL) AS paragraphs, count(*) FILTER (level IS NOT NULL) AS headings FROM t GROUP BY doc_id")
+@query(f"WITH {SQL_BLOCKS} SELECT doc_id, count(*) FILTER (pos % 12 = 5) AS figures, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'paragraph' AND level IS NULL) AS paragraphs, count(*) FILTER (level IS NOT NULL) AS headings FROM t GROUP BY doc_id")
 def block_counts(spark, sf_dir):
-    return stats.block_counts(blocks(spark, sf_dir))
+    return stats.block_counts(with_images(blocks(spark, sf_dir)))
 
 
 # ---- tables ----------------------------------------------------------------------------------------------------------
 
 SQL_CELLS = """c AS (SELECT doc_id, CAST(r - 1 AS INTEGER) AS row, CAST(k - 1 AS INTEGER) AS col, CASE WHEN (r + k) % 3 = 0 THEN '' ELSE words[k] END AS text FROM (
   SELECT doc_id, r, list_filter(string_split(lines[r], ' '), lambda x: x <> '') AS words FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS r) u),
-  LATERAL (SELECT unnest(range(1, least(len(words), 5) + 1)) AS k) v)"""
+  LATERAL (SELECT unnest(range(1, len(words) + 1)) AS k) v)"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as rows of tables: the first five words are cells, every third cell is blank."""
+    """Lines of documents as rows of tables: words are cells, every third cell is blank."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("row", "line"))
-    words = F.slice(F.filter(F.split("line", " "), lambda w: w != ""), 1, 5)
+    words = F.filter(F.split("line", " "), lambda w: w != "")
     found = lines.select("doc_id", F.lit(0).alias("table_id"), "row", F.posexplode(words).alias("col", "text"))
     return found.withColumn("text", F.when((F.col("row") + F.col("col") + 2) % 3 == 0, "").otherwise(F.col("text")))
 
@@ -329,11 +316,17 @@ def tree_chunks(spark, sf_dir):
     return found.select("doc_id", *structure.INDEXES, F.posexplode("chunks").alias("chunk_idx", "chunk"))
 
 
-@query("WITH f AS (SELECT doc_id, embedding FROM documents JOIN embeddings ON vec_id = doc_id % 500), t AS (SELECT * FROM f WHERE doc_id % 3 <> 0) SELECT a.flat_vectors, a.flat_per_document, a.flat_bytes, b.tree_vectors, b.tree_per_document, b.tree_bytes, 100 * (1 - b.tree_bytes / a.flat_bytes) AS saved_percent "
-       "FROM (SELECT count(*) AS flat_vectors, count(*) / count(DISTINCT doc_id) AS flat_per_document, CAST(sum(4 * len(embedding)) AS BIGINT) AS flat_bytes FROM f) a, (SELECT count(*) AS tree_vectors, count(*) / count(DISTINCT doc_id) AS tree_per_document, CAST(sum(4 * len(embedding)) AS BIGINT) AS tree_bytes FROM t) b")
+SQL_TREE_WINDOWS = f"""WITH {SQL_NODES}, whole AS (SELECT doc_id, unnest(range(0, greatest(length(text) - 100, 1), 400)) AS i FROM documents WHERE length(text) > 0),
+below AS (SELECT doc_id, unnest(range(0, greatest(length(text) - 100, 1), 400)) AS i FROM x WHERE level > 1 AND length(text) > 0)"""
+
+
+@query(f"""{SQL_TREE_WINDOWS} SELECT a.flat_vectors, a.flat_per_document, a.flat_bytes, b.tree_vectors, b.tree_per_document, b.tree_bytes, 100 * (1 - b.tree_bytes / a.flat_bytes) AS saved_percent
+FROM (SELECT count(*) AS flat_vectors, count(*) / count(DISTINCT doc_id) AS flat_per_document, CAST(256 * count(*) AS BIGINT) AS flat_bytes FROM whole) a, (SELECT count(*) AS tree_vectors, count(*) / count(DISTINCT doc_id) AS tree_per_document, CAST(256 * count(*) AS BIGINT) AS tree_bytes FROM below) b""")
 def store_comparison(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 500).alias("vec_id")).join(table(spark, sf_dir, "embeddings"), "vec_id")
-    return stats.store_comparison(joined, joined.where("doc_id % 3 <> 0"), vector="embedding")
+    """The chunks of whole texts beside those below the sections of their trees, a vector of 64 numbers for each."""
+    below = structure.node_text(structure.assign(blocks(spark, sf_dir))).where("level > 1").select("doc_id", *structure.INDEXES, "text")
+    with_vector = lambda chunks: chunks.select("doc_id", F.array_repeat(F.length("chunk").cast("float"), 64).alias("vector"))
+    return stats.store_comparison(with_vector(windows(spark, sf_dir)), with_vector(chunking.character_windows(below, 500, 100)))
 
 
 # ---- vectors and clusters --------------------------------------------------------------------------------------------
@@ -356,7 +349,9 @@ def hashed_vectors(spark, sf_dir):
     return embedding.hashed_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), 64).select("doc_id", "vector")
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, CAST(i AS INTEGER) AS chunk_idx, array_to_string(list_slice(w, 256 * i + 1, 256 * i + 256), ' ') AS c FROM w, LATERAL (SELECT unnest(range(0, greatest(0, (len(w) - 1) // 256) + 1)) AS i) u)
+SELECT doc_id, chunk_idx, [CAST(length(c) AS FLOAT), CAST(length(c) - length(replace(c, ' ', '')) AS FLOAT), CAST(length(c) - length(replace(c, 'e', '')) AS FLOAT)] AS vector FROM c""")
 def encoded_texts(spark, sf_dir):
     def load():
         def model(texts: list[str]) -> np.ndarray:
@@ -549,7 +544,7 @@ def markdown_html(spark, sf_dir):
     return rows.select("conv_id", "turn", X.markdown_html(F.col("text"), F.col("role")).alias("html"))
 
 
-@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' Bytes' WHEN b < 1048576 THEN regexp_replace(printf('%.2f', b / 1024.0), '\\.?0+$', '') || ' KB' ELSE regexp_replace(printf('%.2f', b / 1048576.0), '\\.?0+$', '') || ' MB' END AS size FROM (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS b FROM documents)")
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' Bytes' WHEN b < 1048576 THEN regexp_replace(printf('%.2f', round(b / 1024.0, 2)), '\\.?0+$', '') || ' KB' ELSE regexp_replace(printf('%.2f', round(b / 1048576.0, 2)), '\\.?0+$', '') || ' MB' END AS size FROM (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS b FROM documents)")
 def file_size(spark, sf_dir):
     sized = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("b"))
     return sized.select("doc_id", X.human_size(F.col("b")).alias("size"))
@@ -564,38 +559,47 @@ def mime_route(spark, sf_dir):
 
 # ---- validation ------------------------------------------------------------------------------------------------------
 
-#: JSON texts by doc_id % 7: valid, no name, content a string, section a number, title without title, chunk without text, broken.
-SHAPES = (
-    '{"document_name": "D", "content": [{"title": "T", "subsections": []}]}',
-    '{"content": []}',
-    '{"document_name": "D", "content": "none"}',
-    '{"document_name": "D", "content": [7, {"title": "T"}]}',
-    '{"document_name": "D", "content": [{"title": {"embedding": "x"}, "subsections": {}}]}',
-    '{"document_name": "D", "content": [{"title": "T", "subsections": [{"chunks": [{"embedding": 1}, "c"]}, 3]}]}',
-    '{"document_name": ',
-)
-SHAPE_ISSUES = (
-    (), ("Missing 'document_name' field",), ("'content' field is not a list",), ("Section 0 is not a dictionary",),
-    ("Section 0 has malformed title dictionary (missing 'title' key)", "Section 0 has invalid title embedding format", "Section 0 'subsections' is not a list"),
-    ("Subsection 0 in section 0 is missing 'title' field", "Chunk 0 in subsection 0, section 0 is missing content field", "Chunk 0 in subsection 0, section 0 has invalid embedding format", "Chunk 1 in subsection 0, section 0 is not a dictionary", "Subsection 1 in section 0 is not a dictionary"),
-    ("unreadable JSON",),
-)
+#: What is wrong with a document's JSON, by doc_id % 8: nothing, no name, content a string, a number for the first section, titles without
+#: a text, subsections without a title, cut short, chunks without a text.
+SQL_ISSUES = f"""{SQL_NODES},
+i AS (SELECT doc_id, 'Missing ''document_name'' field' AS message FROM documents WHERE doc_id % 8 = 1
+  UNION ALL SELECT doc_id, chr(39) || 'content'' field is not a list' FROM documents WHERE doc_id % 8 = 2
+  UNION ALL SELECT doc_id, 'Section 0 is not a dictionary' FROM documents WHERE doc_id % 8 = 3
+  UNION ALL SELECT doc_id, 'Section ' || section_idx || ' has malformed title dictionary (missing ''title'' key)' FROM x WHERE level = 1 AND doc_id % 8 = 4
+  UNION ALL SELECT doc_id, 'Section ' || section_idx || ' has invalid title embedding format' FROM x WHERE level = 1 AND doc_id % 8 = 4
+  UNION ALL SELECT doc_id, 'Subsection ' || subsection_idx || ' in section ' || section_idx || ' is missing ''title'' field' FROM x WHERE level = 2 AND doc_id % 8 = 5
+  UNION ALL SELECT doc_id, 'unreadable JSON' FROM documents WHERE doc_id % 8 = 6
+  UNION ALL SELECT doc_id, 'Chunk 0 in subsection ' || subsection_idx || ', section ' || section_idx || ' is missing content field' FROM x WHERE level = 2 AND doc_id % 8 = 7
+  UNION ALL SELECT doc_id, 'Chunk 0 in subsection ' || subsection_idx || ', section ' || section_idx || ' has invalid embedding format' FROM x WHERE level = 2 AND doc_id % 8 = 7)"""
 
 
 def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = F.array(*map(F.lit, SHAPES))
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name"), F.element_at(shapes, (F.col("doc_id") % 7 + 1).cast("int")).alias("value"))
-
-
-SQL_ISSUES = "i AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}')".format(k, m.replace("'", "''")) for k, ms in enumerate(SHAPE_ISSUES) for m in ms) + ") v(k, message))"
-
-
-@query(f"WITH {SQL_ISSUES} SELECT 'in/' || doc_id || '.json' AS file, message FROM documents JOIN i ON i.k = doc_id % 7")
+    """The tree of every document as JSON, damaged by a rule."""
+    tree = structure.assemble(structure.node_text(structure.assign(blocks(spark, sf_dir))))
+    name, content = F.col("doc_id").cast("string").alias("document_name"), F.col("content")
+    as_json = lambda c: F.to_json(F.struct(name, c.alias("content")))
+    no_titles = F.transform(content, lambda s: s.withField("title", F.struct(F.lit("x").alias("embedding"))))
+    below = lambda change: F.transform(content, lambda s: s.withField("subsections", F.transform(s["subsections"], change)))
+    number_first = F.concat(F.lit('{"document_name":"D","content":[7,'), F.substring(F.to_json(content), F.lit(2), F.length(F.to_json(content))), F.lit("}"))
+    rules = [
+        as_json(content), F.to_json(F.struct("content")), as_json(F.lit("none")), number_first, as_json(no_titles), as_json(below(lambda u: u.dropFields("title"))),
+        F.substring(as_json(content), F.lit(1), F.length(as_json(content)) - 1), as_json(below(lambda u: u.withField("chunks", F.array(F.struct(F.lit(1).alias("embedding")))))),
+    ]
+    value = F.coalesce(*(F.when(F.col("doc_id") % 8 == k, rule) for k, rule in enumerate(rules)))
+    return tree.select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name"), value.alias("value"))
+
+
+@query(f"WITH {SQL_ISSUES} SELECT 'in/' || doc_id || '.json' AS file, message FROM i")
 def validate_issues(spark, sf_dir):
     return validation.issues(json_files(spark, sf_dir)).select("file", "message")
 
 
-@query(f"WITH {SQL_ISSUES}, c AS (SELECT d.doc_id, count(i.k) AS n_issues FROM documents d LEFT JOIN i ON i.k = d.doc_id % 7 GROUP BY d.doc_id) SELECT count(*) AS processed, count(*) FILTER (doc_id % 7 <> 6) AS successful, count(*) FILTER (doc_id % 7 = 6) AS failed, count(*) FILTER (doc_id % 7 BETWEEN 1 AND 5) AS fixed FROM c")
+@query(f"WITH {SQL_ISSUES} SELECT 'in/' || doc_id || '.json' AS file, regexp_replace(message, '[0-9]+', 'n', 'g') AS kind, count(*) AS count FROM i GROUP BY ALL")
+def issue_counts(spark, sf_dir):
+    return validation.issue_counts(validation.issues(json_files(spark, sf_dir)))
+
+
+@query(f"WITH {SQL_ISSUES}, c AS (SELECT d.doc_id, (SELECT count(*) FROM i WHERE i.doc_id = d.doc_id) AS n FROM documents d) SELECT count(*) AS processed, count(*) FILTER (doc_id % 8 <> 6) AS successful, count(*) FILTER (doc_id % 8 = 6) AS failed, count(*) FILTER (doc_id % 8 <> 6 AND n > 0) AS fixed FROM c")
 def repair_status(spark, sf_dir):
     return validation.run_summary(validation.checked_again(json_files(spark, sf_dir)))
 
@@ -605,7 +609,7 @@ def repair_status(spark, sf_dir):
 
 def drained(spark: SparkSession, rows: DataFrame, mode: str, name: str) -> DataFrame:
     """What a stream has written once all of its input is read: each batch is appended with its number."""
-    out = f"{shared_folder(spark)}/docstrata/{name}-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}"
+    out = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/_b={number}")
@@ -644,3 +648,8 @@ def stream_sessions(spark, sf_dir):
     written = drained(spark, live.live_sessions(stamped(stream(spark, sf_dir, "events"))), "append", "sessions").drop("_batch")
     found = live.flushed(written, stamped(table(spark, sf_dir, "events")))
     return found.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "requests")
+
+
+# ---- the queries of the other modules ----------------------------------------------------------------------------------
+
+from docstrata import queries_files, queries_text  # noqa: E402, F401
