@@ -57,3 +57,12 @@ def test_table_function(spark):
     C.register_split_text(spark)
     found = spark.sql("SELECT * FROM VALUES ('a b c'), (NULL) t(x), LATERAL split_text(x, 2, 0)").collect()
     assert [(r.chunk_idx, r.chunk) for r in found] == [(0, "a b"), (1, "c")]
+
+
+def test_numbers_over_ranges_of_files(spark, monkeypatch):
+    """Files in many ranges, with a common prefix; names that are numbers are ordered as strings."""
+    monkeypatch.setattr(C, "ADDED_TOGETHER", 7)
+    rows = [(i, k) for i in range(60) for k in range(i % 4 + 1)]
+    found = C.numbered(spark.createDataFrame(rows, "source_file int, chunk_idx int")).collect()
+    order = sorted(rows, key=lambda r: (str(r[0]), r[1]))
+    assert {(r.source_file, r.chunk_idx): r.chunk_number for r in found} == {r: n for n, r in enumerate(order)}

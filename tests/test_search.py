@@ -69,6 +69,68 @@ def test_kmeans(spark):
     assert again == found
 
 
+def test_kmeans_of_a_large_group(spark):
+    """A parent with more children than one task takes is clustered by all tasks, like the others."""
+    rng = np.random.default_rng(2)
+    rows = [(i, 0 if i < 300 else i % 5 + 1, (rng.normal(size=3) * 0.1 + 9 * (i % 2)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, vector array<double>")
+    found = {r.id: (r.parent_id, r.cluster) for r in clustering.per_parent(df, 2, together=100).collect()}
+    assert {i: p for i, (p, _) in found.items()} == {i: p for i, p, _ in rows}
+    for p in range(6):
+        assert len({(i % 2, found[i][1]) for i, q, _ in rows if q == p}) == 2
+
+
+def test_means_and_nearest(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 90, i % 7, rng.normal(size=5).tolist()) for i in range(200)] + [(5, 3, None)]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>").repartition(6)
+    means = {r.label: np.array(r.vector) for r in clustering.centroids(df, "label").collect()}
+    by = {k: np.array([v for _, x, v in rows if x == k and v]).mean(axis=0) for k in range(7)}
+    assert all(np.allclose(means[k], by[k]) for k in by) and len(means) == 7
+    found = sorted((r.id, r.label, r.distance) for r in clustering.nearest_centroid(df, clustering.centroids(df, "label"), "label").collect())
+    wanted = sorted((i, *min((round(float(((np.array(v) - by[k]) ** 2).sum()), 9), k) for k in by)[::-1]) for i, _, v in rows if v)
+    assert [f[:2] for f in found] == [w[:2] for w in wanted] and np.allclose([f[2] for f in found], [w[2] for w in wanted])
+    assert clustering.nearest_centroid(df, clustering.centroids(df.limit(0), "label"), "label").collect() == []
+
+
+@pytest.mark.parametrize("by", [None, "g"])
+def test_block_topk_ties_and_groups(spark, by):
+    """More ties than k in every block: the smaller ids win; with groups, a query only meets its own."""
+    rows = [(f"r{i:04d}", i % 3, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(900)] + [("none", 0, None), ("zero", 0, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, g int, vector array<double>")
+    asked = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 2, [1.0, 0.0]), (2, 1, [0.0, 2.0])] if by else [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 2.0])], "query_id long, g int, vector array<double>")
+    found = [(r.query_id, r.id) for r in V.block_topk(df, asked, 5, block=16, by=by).orderBy("query_id", "rank").collect()]
+    groups = {1: (0, 2), 2: (1,)} if by else {1: (0, 1, 2), 2: (0, 1, 2)}
+    assert found == [(q, x) for q in (1, 2) for x in sorted(i for i, g, v in rows if v and v[2 - 1 if q == 2 else 0] > 0 and g in groups[q])[:5]]
+
+
+def test_overlap_topk(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(30)}"
+    texts = [(i, " ".join(word() for _ in range(rng.integers(0, 12))).upper() if i % 9 else None) for i in range(200)]
+    asked = [(i, " ".join(word() for _ in range(rng.integers(0, 6)))) for i in range(20)] + [(99, None)]
+    found = search.overlap_topk(spark.createDataFrame(texts, "id long, content string"), spark.createDataFrame(asked, "query_id long, question string"), 4, block=8).collect()
+
+    def share(a, b):
+        x, y = {*(a or "").lower().split()}, {*(b or "").lower().split()}
+        return len(x & y) / len(x | y) if x | y else 0.0
+
+    wanted = {(q, i, round(s, 9)) for q, a in asked for s, i in [(-n, i) for n, i in sorted((-share(a, t), i) for i, t in texts)[:4]]}
+    assert {(r.query_id, r.id, round(r.overlap, 9)) for r in found} == wanted
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from docstrata.functions import tables
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_folder(cluster)
+    cluster.conf = SimpleNamespace(get=lambda k, d: "hdfs://x/y/")
+    assert tables.shared_folder(cluster) == "hdfs://x/y/docstrata/a"
+
+
 def test_three_levels(spark):
     found = clustering.three_levels(vectors(spark, 400), 4, 3, 2)
     rows = found.collect()
