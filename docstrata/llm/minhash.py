@@ -246,7 +246,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     """One row per row of ``docs``: id, n_shingles, component_id, kept (see the module's text)."""
     table = materialize(sketch_table(docs, id, text, words, bands, rows), "sketches")
     known = table.where("id is not null and digest is not null")
-    distinct = known.groupBy("digest").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id())
+    several = materialize(known.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id"), "several")
+    repeats = not several.isEmpty()
+    # a set is known by its smallest id, so that originals come before their copies, or by a number of its own where that id has several sets
+    distinct = known.groupBy("digest").agg(F.min("id").alias("least"))
+    if repeats:
+        own = F.when(F.col("several"), -1 - F.monotonically_increasing_id()).otherwise(F.col("least"))
+        distinct = distinct.join(several.select(F.col("id").alias("least"), F.lit(True).alias("several")), "least", "left").withColumn("node", own).drop("several")
+    else:
+        distinct = distinct.withColumn("node", F.col("least"))
     distinct = materialize(distinct, "distinct")
     lead = known.join(distinct.withColumnRenamed("least", "id"), ["id", "digest"]).select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct()
     shared = lead.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
@@ -258,8 +266,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     met = members.join(hubs_of(members), "key").select("id", F.explode("hubs").alias("hub")).where("id <> hub").select(*pair("id", "hub")).distinct()
     tested = materialize(compared(met, sets, percent), "tested")
     edges = tested.where("linked").select("a", "b")
-    several = materialize(known.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id"), "several")
-    if not several.isEmpty():  # the texts of one id belong together
+    if repeats:  # the texts of one id belong together
         own = known.join(several, "id", "left_semi").join(distinct, "digest").select("id", "node").distinct()
         edges = edges.unionByName(own.join(own.groupBy("id").agg(F.min("node").alias("b")), "id").select(F.col("node").alias("a"), "b"))
     of = components(edges)
