@@ -45,8 +45,9 @@ def block_topk(table: DataFrame, queries: DataFrame, k: int, block: int = 512, i
     group = F.col(by) if by else F.lit(0)
     usable = lambda df, name: df.select(F.col(name).alias("id"), F.col(vector).alias("vector"), group.alias("g")).where(F.col("vector").isNotNull() & (norm(F.col("vector")) > 0))
     rows, asked = usable(table, id), usable(queries, "query_id")
-    largest = lambda df: df.groupBy("g").count().agg(F.max("count")).first()[0] or 0
-    q, c = max(1, -(-largest(asked) // block)), max(1, -(-largest(rows) // (16 * block)))
+    sizes = asked.select(F.lit(block).alias("most"), "g").unionAll(rows.select(F.lit(16 * block), "g")).groupBy("most", "g").count()
+    largest = {r.most: r.n for r in sizes.groupBy("most").agg(F.max("count").alias("n")).collect()}  # two rows
+    q, c = (max(1, -(-largest.get(most, 0) // most)) for most in (block, 16 * block))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     pair = F.struct("g", "c", "q")

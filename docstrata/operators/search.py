@@ -55,13 +55,13 @@ def search_sections(hits: DataFrame, sections: DataFrame, k: int = 2, exclude: b
 
 
 def hierarchical(queries: DataFrame, scopes: DataFrame, sections: DataFrame, subsections: DataFrame, subsubsections: DataFrame, chunks: DataFrame, limits: Limits = Limits()) -> dict[str, DataFrame]:
-    """Five frames of hits, each with its parents' ids: documents, sections, subsections, subsubsections, chunks. Hits of a
-    level are few and stored, so that no level is searched twice."""
+    """Five frames of hits, each with its parents' ids: documents, sections, subsections, subsubsections, chunks. Hits of
+    subsections, which two levels start from, are stored."""
     documents = discover(scopes, queries, limits.documents)
     asked = documents.join(queries.select("query_id", F.col("vector").alias("query")), "query_id")
     first = search_sections(asked, sections, limits.sections)
     second = materialize(best_children(first, subsections, limits.subsections, "parent_section"), "subsections")
-    third = materialize(best_children(second, subsubsections, limits.subsubsections, "parent_subsection"), "subsubsections")
+    third = best_children(second, subsubsections, limits.subsubsections, "parent_subsection")
     direct = second.withColumn("parent_subsection", F.col("id")).withColumn("parent_subsubsection", F.lit(None).cast(third.schema["id"].dataType))
     named = ["query_id", "id", "query", "parent_document", "parent_section", "parent_subsection", "parent_subsubsection"]
     containers = direct.select(named).unionByName(third.withColumn("parent_subsubsection", F.col("id")).select(named))

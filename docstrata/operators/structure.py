@@ -86,11 +86,12 @@ def figures(assigned: DataFrame, doc: str = "doc_id", pos: str = "pos", reach: i
     texts = assigned.withColumn("_images", F.when(F.col("images").isNotNull(), F.size("images")).otherwise(0)).drop("images")
     w = Window.partitionBy(doc).orderBy(pos)
     clean = X.strip(X.clean_nbsp(F.col("text")))
-    caption = F.coalesce(*(F.when(X.starts_caption(t := F.lead("text", i).over(w)), X.strip(X.clean_nbsp(t))) for i in range(1, reach + 1)))
+    texts = texts.withColumn("_caption", F.when(X.starts_caption(F.col("text")), clean))
+    caption = F.coalesce(*(F.lead("_caption", i).over(w) for i in range(1, reach + 1)))
     paragraph = F.when((F.col("kind") == "paragraph") & F.col("level").isNull(), clean)
     before = Window.partitionBy(doc, *INDEXES).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     placed = texts.withColumn("figure_name", caption).withColumn("_own", F.coalesce(clean, F.lit(""))).withColumn("_paragraph", paragraph).withColumn("_before", F.coalesce(F.sum(F.length("_paragraph")).over(before), F.lit(0)).cast("int"))
-    found = placed.where("attached and figure_name is not null and _images > 0").drop("_paragraph", "_images", "text", "kind", "level")
+    found = placed.where("attached and figure_name is not null and _images > 0").drop("_paragraph", "_images", "_caption", "text", "kind", "level")
     nodes = placed.where("_paragraph is not null").join(found.select(doc, *INDEXES).distinct(), [doc, *INDEXES], "left_semi").groupBy(doc, *INDEXES).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_paragraph"))), lambda x: x["_paragraph"]), "").alias("_text"))
     named = found.join(nodes, [doc, *INDEXES], "left").withColumn("last_paragraph", F.concat(F.substring(F.coalesce("_text", F.lit("")), F.lit(1), F.col("_before")), "_own")).drop("_text", "_own", "_before")
     images = assigned.where("size(images) > 0").select(doc, pos, F.posexplode("images").alias("image_pos", "image"))
