@@ -261,18 +261,21 @@ def detections(words: Column, rules: list[Rule]) -> Column:
     """array<struct<a, b, priority, label, weight>>: all matches of the rules whose keyword occurs, as places in ``words``. The
     rules are one constant array: an expression for each of them would take longer to plan than to run."""
 
-    def spans(r: Column) -> Column:
-        found, between = F.regexp_extract_all(words, r["expression"], F.lit(0)), F.split(words, r["expression"], -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-
+    def places(s: Column) -> Column:
         def step(so_far: Column, i: Column) -> Column:
-            a = so_far["at"] + F.length(F.get(between, i))
-            b = a + F.length(F.get(found, i))
+            a = so_far["at"] + F.length(F.get(s["between"], i))
+            b = a + F.length(F.get(s["found"], i))
             return F.struct(b.alias("at"), F.concat(so_far["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
 
-        at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-        places = F.aggregate(at, start, step, lambda x: x["out"])
-        return F.transform(places, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))
+        at = F.when(F.size(s["found"]) > 0, F.sequence(F.lit(0), F.size(s["found"]) - 1)).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+        return F.aggregate(at, start, step, lambda x: x["out"])
+
+    def spans(r: Column) -> Column:
+        # what the expression finds is bound to a lambda's argument, else it would be found again at every step
+        cut = F.struct(F.regexp_extract_all(words, r["expression"], F.lit(0)).alias("found"), F.split(words, r["expression"], -1).alias("between"))
+        found = F.flatten(F.transform(F.array(cut), places))
+        return F.transform(found, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))
 
     return F.flatten(F.transform(F.filter(rule_array(rules), lambda r: F.contains(words, r["keyword"])), spans))
 
