@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import public_tokenizers
 import pytest
 from compare import DATA
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from docstrata.functions.tables import materialize
+from docstrata.llm import quality as Q
+from docstrata.llm import secrets
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_minhash import brute as all_pairs  # noqa: E402
+from test_quality import plain_statistics  # noqa: E402
 
 SMALL = str(DATA / "sf0.001")
 
@@ -48,5 +61,46 @@ def test_empty(spark, documents, stage):
     assert corpus_pipeline.STAGES[stage][1](spark, documents([]), SMALL).collect() == []
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SMALL).count() > 0
+def plain_run(docs, labels):
+    """The pipeline one document after the other: (doc_id, piece, start, length, ids_crc32) of all pieces."""
+    stats = np.array([plain_statistics(t) for _, t in docs])
+    held_out = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in docs])
+    known = np.array([i in labels for i, _ in docs]) & ~held_out
+    s, y = stats[known], np.array([labels.get(i, 0) for i, _ in docs])[known]
+    random = np.random.default_rng(Q.SEED)
+    d = s.shape[1]
+    m = Q.Model(s.mean(axis=0), s.std(axis=0) + 1e-9, random.normal(0, 1 / (Q.WIDTH * np.sqrt(d) / 2), (d, Q.FEATURES)), random.uniform(0, 2 * np.pi, Q.FEATURES), None, None, None)
+    z, fold = m.features(s), Q.fold_of(s)
+    ridge = lambda a, b: np.linalg.solve(a.T @ a + Q.RIDGE * len(a) * np.eye(a.shape[1]) / a.shape[1], a.T @ b)
+    m.solution = ridge(z, y)
+    raw = np.zeros(len(y))
+    for f in range(Q.FOLDS):
+        raw[fold == f] = z[fold == f] @ ridge(z[fold != f], y[fold != f])
+    bins = np.clip((raw + 0.5) / 2 * Q.BINS, 0, Q.BINS - 1).astype(int)
+    there = np.unique(bins)
+    m.knots = (there + 0.5) / Q.BINS * 2 - 0.5
+    level = Q.pooled(np.array([y[bins == b].mean() for b in there]), np.array([(bins == b).sum() for b in there], float))
+    m.levels = np.clip(level + 1e-4 * (m.knots - 0.5), 0, 1)
+    good = [doc for doc, ok in zip(docs, m.score(stats) >= 0.5, strict=True) if ok]
+    component = all_pairs(good, 5)
+    tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = []
+    for i, t in good:
+        if component[i] == i:
+            ids = np.array([*tokens.encode(secrets.redacted(t or "", "[SECRET]"), add_special_tokens=False).ids, 2], "<u4")
+            first = len(ids) % 1024 or min(len(ids), 1024)
+            for piece, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], [*range(first, len(ids) + 1, 1024)], strict=True)):
+                out.append((i, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+    return sorted(out)
+
+
+def test_run_against_a_plain_one(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    found = corpus_pipeline.run(spark, SMALL).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == plain_run(docs, labels)
+    filled = {}
+    for r in sorted(found, key=lambda r: r.offset):
+        assert filled.get(r.sequence_id, 0) == r.offset
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 1024 and len(filled) <= sum(filled.values()) // 1024 + 3
