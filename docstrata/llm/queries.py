@@ -16,6 +16,7 @@ from docstrata.llm.quality import op5_quality
 from docstrata.llm.secrets import op10_secrets
 from docstrata.llm.topk import OP6_SQL, op6_topk
 from docstrata.llm.url_filter import OP8_SQL, op8_url_filter
+from docstrata.llm.vector_dedup import OP12_SQL, op12_vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_ann": op9_ann,
     "op10_secrets": op10_secrets,
+    "op12_vector_dedup": op12_vector_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +37,5 @@ ORACLES: dict[str, str] = {
     "op2_minhash": OP2_SQL,
     "op6_topk": OP6_SQL,
     "op8_url_filter": OP8_SQL,
+    "op12_vector_dedup": OP12_SQL,
 }
