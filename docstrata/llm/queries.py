@@ -14,6 +14,7 @@ from docstrata.llm.minhash import OP2_SQL, op2_minhash
 from docstrata.llm.packing import op7_packing
 from docstrata.llm.quality import op5_quality
 from docstrata.llm.secrets import op10_secrets
+from docstrata.llm.token_alignment import op11_alignment
 from docstrata.llm.topk import OP6_SQL, op6_topk
 from docstrata.llm.url_filter import OP8_SQL, op8_url_filter
 from docstrata.llm.vector_dedup import OP12_SQL, op12_vector_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_ann": op9_ann,
     "op10_secrets": op10_secrets,
+    "op11_alignment": op11_alignment,
     "op12_vector_dedup": op12_vector_dedup,
 }
 
