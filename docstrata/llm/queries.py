@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm.ann import op9_ann
 from docstrata.llm.bpe import op4_bpe
+from docstrata.llm.collocations import OP13_SQL, op13_collocations
 from docstrata.llm.kd_shards import op3_kd_shards
 from docstrata.llm.licenses import op1_licenses, scan_sql
 from docstrata.llm.minhash import OP2_SQL, op2_minhash
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op11_alignment": op11_alignment,
     "op12_vector_dedup": op12_vector_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -40,4 +42,5 @@ ORACLES: dict[str, str] = {
     "op6_topk": OP6_SQL,
     "op8_url_filter": OP8_SQL,
     "op12_vector_dedup": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }

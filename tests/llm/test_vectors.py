@@ -92,9 +92,13 @@ def test_empty(spark):
     assert topk.topk(one, one.where("vec_id = 0")).collect() == [] and ann.neighbours(one, one.where("vec_id = 0")).collect() == []
 
 
-@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "check_s"])
-def test_ann_recall_and_scores(spark, size):
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1", "10,000 rows"])
+def test_ann_recall_and_scores(spark, size, tmp_path):
     d = str(DATA / size)
+    if "rows" in size:  # more rows than the sample has
+        d = str(tmp_path)
+        x = np.random.default_rng(9).normal(size=(10_000, 64))
+        table(spark, [(i, v.tolist()) for i, v in enumerate(np.float32(x / np.sqrt((x**2).sum(axis=1))[:, None]))]).write.parquet(f"{d}/embeddings.parquet")
     df = spark.read.parquet(f"{d}/embeddings.parquet")
     x = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
     ids, m = np.array(list(x)), np.array(list(x.values()))
