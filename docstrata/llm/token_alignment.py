@@ -23,6 +23,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from docstrata.functions.tables import materialize
 from docstrata.llm.bpe import BATCH_CHARS, encoder, read_vocabulary, slices
 
-BATCH_BYTES, MAX_WORDS = 4_000_000, 300_000
+BATCH_BYTES, MAX_WORDS = 2_000_000, 200_000
 #: A blank after another character: no piece of the model has one there, so no token of either side spans its left edge.
 CUT = re.compile(r"(?<=[^ ]) ")
 WORD = re.compile(r" +[^ ]*")
@@ -57,32 +59,45 @@ class Pieces:
         self.word: dict[str, int] = {}
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; the model itself puts a space before it."""
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts; the model itself puts a space before each."""
         if not self.by_word:
-            return np.array(self.model.encode(text), np.int32)
-        whole, out, a = " " + text, [], 0
-        while a < len(whole):
-            cut = CUT.search(whole, a + BATCH_CHARS) if len(whole) - a > BATCH_CHARS else None
-            b = cut.start() if cut else len(whole)
-            out.append(self.part(WORD.findall(whole, a, b)))
-            a = b
-        return out[0] if len(out) == 1 else np.concatenate(out)
-
-    def part(self, words: list[str]) -> np.ndarray:
+            return [np.array(x, np.int32) for x in self.model.encode(texts, num_threads=1)]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        batch: list[tuple[int, list[str]]] = []
+        chars = 0
+        for i, text in enumerate(texts):
+            whole, a = " " + text if text else "", 0
+            while a < len(whole):
+                cut = CUT.search(whole, a + BATCH_CHARS) if len(whole) - a > BATCH_CHARS else None
+                b = cut.start() if cut else len(whole)
+                batch.append((i, WORD.findall(whole, a, b)))
+                chars, a = chars + b - a, b
+                if chars >= BATCH_CHARS:
+                    self.part(batch, out)
+                    batch, chars = [], 0
+        self.part(batch, out)
+        return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
+
+    def part(self, batch: list[tuple[int, list[str]]], out: list[list[np.ndarray]]) -> None:
+        """Adds the ids of each list of words to its text's; new words are encoded."""
         if len(self.word) > MAX_WORDS:
             self.forget()
-        if new := list(dict.fromkeys(w for w in words if w not in self.word)):
+        words = [w for _, some in batch for w in some]
+        if new := list(set(words).difference(self.word)):
             ids = [x or self.blank for x in self.model.encode([w[1:] for w in new], num_threads=1)]  # a blank at the end is a word
-            size = np.array([len(x) for x in ids], np.int64)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.append(self.start, len(self.flat) + np.cumsum(size) - size)
             self.size = np.append(self.size, size)
-            self.flat = np.append(self.flat, np.array([i for x in ids for i in x], np.int32))
+            self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), np.int32, size.sum()))
             self.word.update(zip(new, range(len(self.word), len(self.word) + len(new))))
         at = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
         size = self.size[at]
-        ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - size), size)]
+        ends = np.append(0, np.cumsum(size))
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], size)]
+        cuts = ends[np.cumsum([0, *(len(some) for _, some in batch)])].tolist()
+        for (i, _), a, b in zip(batch, cuts, cuts[1:]):  # noqa: B905
+            out[i].append(ids[a:b])
 
 
 #: The models of this Python worker, kept from task to task.
@@ -101,17 +116,19 @@ def plain(vocabulary: str) -> str:
     return json.dumps(json.loads(vocabulary) | {"added_tokens": []})
 
 
-def connected(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Union-find over the edges (x, y) of n nodes, all at once: the smallest node of each one's component."""
+def united(n: int, link_a: np.ndarray, link_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union-find over links in the order of the bytes: of each of n A tokens, and of each B token, the first A token of its component.
+
+    Every B token hooks to its first A token, and so do that token's other A tokens, each of which has no earlier link than this; then
+    paths are compressed until all lead to a root."""
     parent = np.arange(n)
-    while len(x):
-        p, q = parent[x], parent[y]
-        apart = p != q
-        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
-        np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
-        while (up := parent[parent]).tobytes() != parent.tobytes():
-            parent = up
-    return parent
+    first = np.append(True, link_b[1:] != link_b[:-1])[: len(link_b)]
+    head = link_a[first]
+    hooked = link_a[~first]
+    parent[hooked] = head[link_b[~first]]
+    while ((up := parent[parent[hooked]]) != parent[hooked]).any():
+        parent[hooked] = up
+    return parent, parent[head]
 
 
 class Alignment:
@@ -119,15 +136,18 @@ class Alignment:
     which text, ``group_a`` and ``group_b`` of which group; ``link_a`` and ``link_b`` are the places of the linked tokens."""
 
     def __init__(self, a: list[np.ndarray], b: list[np.ndarray], size_a: np.ndarray, size_b: np.ndarray):
-        self.n = len(a)
+        self.n, self.many = len(a), (len(size_a), len(size_b))
         self.a, self.b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
         self.of_a, self.of_b = (np.repeat(np.arange(self.n), [len(t) for t in x]) for x in (a, b))
         end_a, end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
-        ends = np.union1d(end_a, end_b)  # every stretch between two ends is one link
-        self.link_a, self.link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        head = connected(len(self.a) + len(self.b), self.link_a, len(self.a) + self.link_b)
+        mark = np.zeros((int(end_a[-1]) if len(end_a) else 0) + 1, np.int8)
+        mark[end_a] = 1
+        mark[end_b] |= 2
+        kind = mark[np.flatnonzero(mark)]  # every stretch of bytes between two ends is one link
+        ends_a, ends_b = kind & 1, kind >> 1
+        self.link_a, self.link_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
         # components lie side by side, on both sides in one order
-        self.group_a, self.group_b = (np.cumsum(np.append(0, h[1:] != h[:-1])[: len(h)]) for h in (head[: len(self.a)], head[len(self.a) :]))
+        self.group_a, self.group_b = (np.cumsum(np.append(False, h[1:] != h[:-1])[: len(h)]) for h in united(len(self.a), self.link_a, self.link_b))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text its A tokens, B tokens, groups and links."""
@@ -141,24 +161,29 @@ class Alignment:
         in_a, in_b = np.bincount(self.group_a, minlength=n), np.bincount(self.group_b, minlength=n)
         at_a = np.arange(len(self.a)) + (np.cumsum(in_b) - in_b)[self.group_a]
         at_b = np.arange(len(self.b)) + np.cumsum(in_a)[self.group_b]
-        said = np.empty((len(self.a) + len(self.b), 2), object)
-        for at, ids, group, ends_with in ((at_a, self.a, self.group_a, "|"), (at_b, self.b, self.group_b, ";")):
-            own, inverse = np.unique(ids, return_inverse=True)
-            said[at, 0] = np.array([*map(str, own.tolist()), ""], object)[inverse]
+        said = np.empty(len(self.a) + len(self.b), object)
+        for at, ids, group, many, ends_with in zip((at_a, at_b), (self.a, self.b), (self.group_a, self.group_b), self.many, "|;", strict=True):
             last = np.append(group[1:] != group[:-1], True)[: len(ids)]
-            said[at, 1] = np.where(last, ends_with, ",")
+            said[at] = numerals(many, ends_with)[ids + last * many]
         tokens = np.cumsum(np.bincount(self.of_a, minlength=self.n) + np.bincount(self.of_b, minlength=self.n))
         a = 0
         for b in tokens.tolist():
-            yield "".join(said[a:b].ravel().tolist())[:-1]
+            yield "".join(said[a:b].tolist())[:-1]
             a = b
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct pairs of ids, sorted; then of each text its distinct pairs: the text, the pair's place among them, its links."""
-        key = self.a[self.link_a] << 32 | self.b[self.link_b]
-        own, inverse = np.unique(key, return_inverse=True)
-        held, n = np.unique(self.of_a[self.link_a] * max(len(own), 1) + inverse, return_counts=True)
-        return own >> 32, own & 0xFFFFFFFF, held // max(len(own), 1), held % max(len(own), 1), n
+        pair = self.a[self.link_a] * self.many[1] + self.b[self.link_b]
+        all_ = self.many[0] * self.many[1]
+        in_text, n = np.unique(self.of_a[self.link_a] * all_ + pair, return_counts=True)  # texts of a batch times pairs: below 2^63
+        own, place = np.unique(in_text % all_, return_inverse=True)
+        return own // self.many[1], own % self.many[1], in_text // all_, place, n
+
+
+@cache
+def numerals(many: int, ends_with: str) -> np.ndarray:
+    """The numbers below ``many`` with a comma, then with ``ends_with``."""
+    return np.array([f"{i}{c}" for c in (",", ends_with) for i in range(many)], object)
 
 
 def token_lists(texts: list[bytes | None], e, p: Pieces) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -166,7 +191,7 @@ def token_lists(texts: list[bytes | None], e, p: Pieces) -> tuple[list[np.ndarra
     none = np.zeros(0, np.int64)
     said = [None if not t else t.decode("utf-8", "replace") for t in texts]
     a = e.encode(" " + t if t else "" for t in said)
-    b = [p.encode(t) if t else none for t in said]
+    b = p.encode([t or "" for t in said])
     for i, t in enumerate(texts):
         if t and (b"".join(map(e.v.bytes.__getitem__, a[i].tolist())) != b" " + t or b"".join(map(p.bytes.__getitem__, b[i].tolist())) != b" " + t):
             a[i] = b[i] = none

@@ -99,22 +99,25 @@ def test_long_texts_are_cut_between_words(both, monkeypatch):
     whole = p.model.encode(text)
     monkeypatch.setattr(A, "BATCH_CHARS", 50)
     monkeypatch.setattr(A, "MAX_WORDS", 40)
-    assert p.encode(text).tolist() == whole == both(text)[1]
+    assert [x.tolist() for x in p.encode([text, "", "a ", text])] == [whole, [], p.model.encode("a "), whole] and whole == both(text)[1]
 
 
 def test_union_find():
+    """Components of overlapping cuts, chains over a whole text included, against labels that spread along the links."""
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 400):
-        x, y = rng.integers(0, n, n), rng.integers(0, n, n)
-        label = list(range(n))
-        for a, b in [*zip(x.tolist(), y.tolist(), strict=True)] * n:
-            label[a] = label[b] = min(label[a], label[b])
-            if n > 50:
-                break
-        if n <= 50:
-            assert A.connected(n, x, y).tolist() == label
-        order = rng.permutation(n)  # a path in any order
-        assert (A.connected(n, order[:-1], order[1:]) == 0).all()
+        for chain in (False, True):
+            ends = [np.unique(np.append(rng.integers(1, 4 * n + 1, n), 4 * n)) for _ in range(2)] if not chain else [np.append(np.arange(2, 4 * n, 2), 4 * n), np.append(np.arange(1, 4 * n, 2), 4 * n)]
+            cuts = np.union1d(*ends)
+            link_a, link_b = (np.searchsorted(e, cuts) for e in ends)
+            label = list(range(len(ends[0]))), [10**9] * len(ends[1])
+            for _ in range(len(cuts) if n <= 50 else 2 * len(cuts)):
+                was = [list(x) for x in label]
+                for a, b in zip(link_a.tolist(), link_b.tolist(), strict=True):
+                    label[0][a] = label[1][b] = min(label[0][a], label[1][b])
+                if was == [list(x) for x in label]:
+                    break
+            assert [x.tolist() for x in A.united(len(ends[0]), link_a, link_b)] == [list(x) for x in label]
 
 
 def test_empty_table(spark, documents):
