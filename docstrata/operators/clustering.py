@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -17,8 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from docstrata.functions.tables import materialize
 from docstrata.functions.vectors import as_matrix
-
-SEED = 42
+from docstrata.operators.kmeans import SEED, TOGETHER, kmeans
 
 
 def small_groups(vectors: DataFrame, parent: str = "parent_id", vector: str = "vector", most: int = 3) -> DataFrame:
@@ -31,114 +28,21 @@ def small_groups(vectors: DataFrame, parent: str = "parent_id", vector: str = "v
     return ranked.withColumn("_distinct", distinct).withColumn("cluster", label).drop("_rank", "_distinct")
 
 
-def lloyd(x: np.ndarray, k: int, seed: int = SEED, rounds: int = 50) -> np.ndarray:
-    """Labels of a small group, from spread-out starting points."""
-    random = np.random.default_rng(seed)
-    centres = x[[random.integers(len(x))]]
-    while len(centres) < k:
-        d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-        centres = np.vstack([centres, x[d.argmax()]])
-    label = np.full(len(x), -1)
-    for _ in range(rounds):
-        new = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        if (new == label).all():
-            break
-        label = new
-        for c in np.unique(label):
-            centres[c] = x[label == c].mean(axis=0)
-    return label
-
-
-#: Children of one parent that one task clusters; larger groups are clustered by all tasks together.
-TOGETHER = 10_000
-
-
 def per_parent(vectors: DataFrame, clusters: int = 5, parent: str = "parent_id", id: str = "id", vector: str = "vector", together: int = TOGETHER) -> DataFrame:
-    """(id, parent, cluster): an independent k-means for the children of each parent, k at most the number of distinct
-    vectors. Groups that ``small_groups`` decides never reach Python; those above ``together`` rows go through ``level``, whose rounds
-    are narrow, so that no group has to fit one task."""
-    decided = small_groups(vectors.select(parent, id, vector), parent, vector)
-    keys = [vectors.schema[id], vectors.schema[parent]]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id)
-        x = np.stack(pdf[vector].to_numpy()).astype(float)
-        k = min(clusters, len(np.unique(x, axis=0)))
-        return pd.DataFrame({id: pdf[id], parent: pdf[parent], "cluster": lloyd(x, k).astype("int32")})
-
-    rest = decided.where("cluster is null").drop("cluster")
-    large = rest.groupBy(parent).agg(F.count("*").alias("n")).where(F.col("n") > together).select(parent)
-    large = materialize(large, "large-groups")
-    done = decided.where("cluster is not null").select(id, parent, F.col("cluster").cast("int"))
-    few = rest
-    if not large.isEmpty():
-        few = rest.join(large, parent, "left_anti")
-        named = materialize(rest.join(large, parent, "left_semi").select(F.col(parent).alias("group"), F.col(id).alias("id"), F.col(vector).alias("vector")), "large")
-        done = done.unionByName(level(named, ["group"], "cluster", clusters).select(F.col("id").alias(id), F.col("group").alias(parent), "cluster"))
-    return done.unionByName(few.groupBy(parent).applyInPandas(run, T.StructType([*keys, T.StructField("cluster", T.IntegerType())])))
-
-
-def assigned(vectors: DataFrame, centres: dict[tuple, np.ndarray], by: list[str], name: str) -> DataFrame:
-    """``vectors`` with the place of the nearest centre among those of its ``by`` values (-> 0 without any); narrow.
-    The centres are as many as the parameters say."""
+    """(id, parent, cluster): an independent k-means for the children of each parent, with min(``clusters``, distinct vectors)
+    clusters; parents with at most three distinct vectors are as in ``small_groups``, rows without a vector get 0. A parent of any size
+    goes through the same steps (see ``kmeans``)."""
+    return kmeans(vectors.select(id, parent, vector), [parent], clusters, ranked=3, vector=vector, together=together).select(id, parent, "cluster")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = as_matrix(batch.column(batch.schema.get_field_index("vector")))
-            keys = list(zip(*(batch.column(batch.schema.get_field_index(b)).to_pylist() for b in by), strict=True)) if by else [()] * len(x)
-            label = np.zeros(len(x), np.int32)
-            places: dict[tuple, list[int]] = {}
-            for i, key in enumerate(keys):
-                places.setdefault(key, []).append(i)
-            for key, at in places.items():
-                if (c := centres.get(key)) is not None:
-                    label[at] = ((x[at] ** 2).sum(axis=1)[:, None] - 2 * x[at] @ c.T + (c**2).sum(axis=1)[None]).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label)], names=[*batch.schema.names, name])
-
-    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField(name, T.IntegerType())]))
-
-
-def level(vectors: DataFrame, by: list[str], name: str, k: int, rounds: int = 8, seed: int = SEED) -> DataFrame:
-    """One more level of clusters, for all groups at once: each Lloyd round is a narrow assignment and one aggregate of
-    sums per (group, cluster). Groups with at most k rows are not split and get 0."""
-    sizes = vectors.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > k)
-    order = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("id", F.lit(seed)), "id"))
-    starts = vectors.join(sizes.drop("n"), by, "left_semi").withColumn("_n", order).where(F.col("_n") <= k)
-    centres: dict[tuple, list] = {}
-    for r in starts.select(*by, "vector").collect():  # k rows for each cluster of the level above
-        centres.setdefault(tuple(r[b] for b in by), []).append(r["vector"])
-    now = {key: np.array(c, float) for key, c in centres.items()}
-    for _ in range(rounds):
-        moved = {key: c.copy() for key, c in now.items()}
-        for key, mean in vector_means(assigned(vectors, now, by, name), [*by, name]).items():
-            if key[:-1] in moved:
-                moved[key[:-1]][key[-1]] = mean
-        done = all(np.allclose(moved[key], now[key], atol=1e-6) for key in now)
-        now = moved
-        if done:
-            break
-    return assigned(vectors, now, by, name)
-
-
-def three_levels(vectors: DataFrame, l1: int = 50, l2: int = 10, l3: int = 10, seed: int = SEED) -> DataFrame:
-    """``vectors(id, vector)`` with cluster_l1, cluster_l2, cluster_l3; the row key is kept throughout."""
-    usable = vectors.where("vector is not null")
-    n = usable.count()
-    features = usable.withColumn("_v", array_to_vector("vector"))
-    different = usable.select("vector").distinct()
-    if n > l1 and different.limit(l1 + 1).count() <= l1:  # at most one cluster for each distinct vector
-        named = different.withColumn("cluster_l1", F.row_number().over(Window.orderBy("vector")) - 1)
-        first = usable.join(F.broadcast(named), "vector").select(*usable.columns, "cluster_l1")
-    elif n > l1:
-        model = KMeans(k=l1, seed=seed, featuresCol="_v", predictionCol="cluster_l1", maxIter=20).fit(features)
-        first = model.transform(features).drop("_v")
-    else:
-        first = usable.withColumn("cluster_l1", F.lit(0))
-    first = materialize(first, "cluster-l1")
-    second = materialize(level(first, ["cluster_l1"], "cluster_l2", l2, seed=seed), "cluster-l2")
-    return level(second, ["cluster_l1", "cluster_l2"], "cluster_l3", l3, seed=seed)
+
+def three_levels(vectors: DataFrame, l1: int = 50, l2: int = 10, l3: int = 10, seed: int = SEED, together: int = TOGETHER) -> DataFrame:
+    """``vectors(id, vector)`` with cluster_l1, cluster_l2, cluster_l3; the row key is kept throughout. Groups of at most as many rows
+    as there are clusters are not split and get 0. Rows without a vector drop out."""
+    now, names = vectors.where("vector is not null"), []
+    for k in (l1, l2, l3):
+        names.append(f"cluster_l{len(names) + 1}")
+        now = materialize(kmeans(now, names[:-1], k, more_than=k, seed=seed, together=together).withColumnRenamed("cluster", names[-1]), names[-1])
+    return now
 
 
 def partial_sums(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
@@ -173,40 +77,69 @@ def means(rows: DataFrame, by: list[str], vector: str = "vector") -> DataFrame:
     return dims.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_dim", "_x"))), lambda p: p["_x"]).alias(vector))
 
 
-def vector_means(rows: DataFrame, by: list[str]) -> dict[tuple, np.ndarray]:
-    """The means as a dictionary: as many as there are clusters."""
-    return {tuple(r[b] for b in by): np.array(r["vector"]) for r in means(rows, by).collect()}
-
-
 def centroids(vectors: DataFrame, cluster: str = "cluster", vector: str = "vector") -> DataFrame:
     """(cluster, vector): the mean of each cluster."""
     return means(vectors, [cluster], vector)
 
 
-#: Centroids that ``nearest_centroid`` takes at most: a bound on what each task holds.
-CENTRES = 65_536
+#: Numbers of the centroids that a task holds at once.
+CENTRE_NUMBERS = 4_000_000
 
 
 def nearest_centroid(vectors: DataFrame, centres: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """(id, cluster, distance): the nearest of at most CENTRES centroids for each row, repeated ids included; ties to the
-    smaller cluster. Narrow."""
-    known = centres.select(cluster, "vector").orderBy(cluster).limit(CENTRES + 1).collect()
-    if len(known) > CENTRES:
-        raise ValueError(f"more than {CENTRES} centroids")
-    c, field = np.array([r["vector"] for r in known], float), to_arrow_schema(T.StructType([centres.schema[cluster]])).field(0)
-    names = pa.array([r[cluster] for r in known], field.type)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows if len(c) else 0, 256):
-                part = batch.slice(a, 256)
-                x = as_matrix(part.column(1))
-                d = np.round(np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1), 9)
-                best = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), names.take(pa.array(best)), pa.array(d[np.arange(len(best)), best])], names=["id", cluster, "distance"])
-
-    schema = T.StructType([vectors.schema["id"], centres.schema[cluster], T.StructField("distance", T.DoubleType())])
-    return vectors.select("id", "vector").where("vector is not null").mapInArrow(run, schema)
+    """(id, cluster, distance): the nearest of any number of centroids for each row, repeated ids included; ties to the
+    smaller cluster; distances are squared and rounded to 9 places.
+
+    Centroids that one task can hold go to all of them. More are cut into blocks, each of which all rows pass by, and a row keeps the
+    best of its blocks."""
+    counted = centres.agg(F.count("*"), F.max(F.size("vector"))).first()
+    most = max(1, CENTRE_NUMBERS // max(counted[1] or 1, 1))
+    n_blocks = -(-counted[0] // most)
+    field = to_arrow_schema(T.StructType([centres.schema[cluster]])).field(0)
+    schema = T.StructType([*(vectors.select("id").schema.fields), centres.schema[cluster], T.StructField("distance", T.DoubleType())])
+
+    def passed(part: pa.RecordBatch, c: np.ndarray, squares: np.ndarray, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        """One product shows which centroids may be nearest, whatever the rounding; exact differences decide among these."""
+        for a in range(0, part.num_rows, 256):
+            some = part.slice(a, 256)
+            x = as_matrix(some.column(some.schema.get_field_index("vector")))
+            own = (x**2).sum(axis=1)[:, None]
+            rough = own - 2 * x @ c.T + squares[None]
+            margin = 1e-9 + 16 * (x.shape[1] + 16) * np.finfo(float).eps * (own + squares[None])
+            row, at = np.nonzero(rough - margin <= (rough + margin).min(axis=1)[:, None])
+            exact = np.round(((x[row] - c[at]) ** 2).sum(axis=1), 9)
+            order = np.lexsort((at, exact, row))
+            first = order[np.append(True, row[order][1:] != row[order][:-1])]
+            yield pa.RecordBatch.from_arrays([*(some.column(n) for n in some.schema.names if n != "vector"), names.take(pa.array(at[first])), pa.array(exact[first])], names=[*(n for n in some.schema.names if n != "vector"), cluster, "distance"])
+
+    def held(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        table = table.sort_by(cluster)
+        c = as_matrix(table.column("vector"))
+        return c, (c**2).sum(axis=1), table.column(cluster).combine_chunks().cast(field.type)
+
+    rows = vectors.select("id", "vector").where("vector is not null")
+    if n_blocks <= 1:
+        known = centres.select(cluster, "vector").where("vector is not null").toArrow()  # of CENTRE_NUMBERS numbers at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c = held(known) if known.num_rows else None
+            for batch in batches:
+                if c and batch.num_rows:
+                    yield from passed(batch, *c)
+
+        return rows.mapInArrow(run, schema)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [pa.Table.from_batches([r]) for batch in a.drop_columns(["pair"]).combine_chunks().to_batches() for r in passed(batch, *held(b.drop_columns(["pair"])))] if a.num_rows and b.num_rows else []
+        return pa.concat_tables(out) if out else pa.table({"at": pa.array([], pa.int64()), "id": pa.array([], a.schema.field("id").type), cluster: pa.array([], field.type), "distance": pa.array([], pa.float64())})
+
+    numbered = materialize(rows.withColumn("at", F.monotonically_increasing_id()), "rows")  # repeated ids are rows of their own
+    row_blocks = -(-numbered.count() // 16_384) or 1
+    deal = lambda by, n: F.pmod(F.xxhash64(by), F.lit(n)).cast("int")
+    left = numbered.withColumn("r", deal("at", row_blocks)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("at", "id", "vector", F.struct("r", "c").alias("pair"))
+    right = centres.select(cluster, "vector").where("vector is not null").withColumn("c", deal(cluster, n_blocks)).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))).select(cluster, "vector", F.struct("r", "c").alias("pair"))
+    found = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(meet, T.StructType([T.StructField("at", T.LongType()), *schema.fields]))
+    return found.groupBy("at").agg(F.first("id").alias("id"), F.min(F.struct("distance", cluster)).alias("x")).select("id", f"x.{cluster}", "x.distance")
 
 
 def sizes(vectors: DataFrame, levels: tuple[str, ...] = ("cluster_l1", "cluster_l2", "cluster_l3")) -> DataFrame:

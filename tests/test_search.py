@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from compare import DATA
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import vectors as V
 from docstrata.jobs import ingest, retrieval
-from docstrata.operators import clustering, embedding, nodes, search
+from docstrata.operators import clustering, embedding, kmeans, nodes, search
 from docstrata.sources import readers, writers
 from docstrata.streaming.ingest import compacted, current, ingest_stream
 
@@ -93,6 +95,73 @@ def test_means_and_nearest(spark):
     assert clustering.nearest_centroid(df, clustering.centroids(df.limit(0), "label"), "label").collect() == []
 
 
+def inertia(x, label):
+    return sum(((x[label == c] - x[label == c].mean(axis=0)) ** 2).sum() for c in np.unique(label))
+
+
+def local_kmeans(x, k, rng, starts=10):
+    """k-means++ and Lloyd, the best of several starts."""
+    best = np.inf
+    for _ in range(starts):
+        c = x[[rng.integers(len(x))]]
+        while len(c) < k:
+            d = ((x[:, None] - c[None]) ** 2).sum(axis=2).min(axis=1)
+            c = np.vstack([c, x[rng.choice(len(x), p=d / d.sum())]])
+        for _ in range(100):
+            label = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.stack([x[label == i].mean(axis=0) if (label == i).any() else c[i] for i in range(k)])
+        best = min(best, inertia(x, label))
+    return best
+
+
+def by_id(df, *columns):
+    return {r.id: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+@pytest.mark.parametrize("together", [10, 10_000])
+def test_kmeans_at_any_size(spark, together):
+    """One parent with 40 equal vectors and 4 others has min(k, distinct) clusters, whatever a task may hold."""
+    rng = np.random.default_rng(11)
+    rows = [(i, 1, [1.0, 1.0, 1.0]) for i in range(40)] + [(40 + i, 1, (9 * rng.normal(size=3)).tolist()) for i in range(4)]
+    rows += [(100 + i, 2, rng.normal(size=3).tolist()) for i in range(200)] + [(400 + i, None, rng.normal(size=3).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, vector array<double>")
+    found = by_id(clustering.per_parent(df, 5, together=together), "parent_id", "cluster")
+    assert len(found) == len(rows)
+    assert sorted(Counter(c for p, c in found.values() if p == 1).values()) == [1, 1, 1, 1, 40]
+    for parent in (2, None):
+        own = [(i, v) for i, p, v in rows if p == parent]
+        label, x = np.array([found[i][1] for i, _ in own]), np.array([v for _, v in own])
+        assert sorted(set(label.tolist())) == [0, 1, 2, 3, 4]
+        assert inertia(x, label) <= 1.05 * local_kmeans(x, 5, rng)
+
+
+def test_kmeans_of_many_blocks_equals_that_of_one(spark, monkeypatch):
+    """Steps as Spark jobs, with sums in a tree, and steps within a task give the same clusters of well separated groups."""
+    monkeypatch.setattr(kmeans, "FAN_IN", 2)
+    rng = np.random.default_rng(12)
+    centres = 20 * rng.normal(size=(7, 4))
+    rows = [(i, i % 2, (centres[i % 7] + rng.normal(size=4) * 0.3).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, vector array<double>")
+    found = by_id(clustering.per_parent(df, 7, together=100), "parent_id", "cluster")
+    one = by_id(clustering.per_parent(df, 7), "parent_id", "cluster")
+    for labels in (found, one):
+        assert len({(p, c, i % 7) for i, (p, c) in labels.items()}) == 14
+    again = by_id(clustering.per_parent(df.repartition(5), 7, together=100), "parent_id", "cluster")
+    assert again == found
+
+
+def test_nearest_of_many_centroids(spark, monkeypatch):
+    """Centroids that no task may hold at once are met in blocks; ties go to the smaller cluster, repeated ids stay."""
+    rng = np.random.default_rng(13)
+    x, c = rng.integers(0, 4, (300, 3)).astype(float), rng.integers(0, 4, (40, 3)).astype(float)
+    df = spark.createDataFrame([(i % 250, v.tolist()) for i, v in enumerate(x)] + [(1, None)], "id long, vector array<double>")
+    centres = spark.createDataFrame([(f"c{i:02d}", v.tolist()) for i, v in enumerate(c)] + [("none", None)], "name string, vector array<double>")
+    wanted = sorted((i % 250, *min((float(((v - one) ** 2).sum()), f"c{j:02d}") for j, one in enumerate(c))[::-1]) for i, v in enumerate(x))
+    for numbers in (10**6, 30):
+        monkeypatch.setattr(clustering, "CENTRE_NUMBERS", numbers)
+        assert sorted(map(tuple, clustering.nearest_centroid(df, centres, "name").collect())) == wanted
+
+
 @pytest.mark.parametrize("by", [None, "g"])
 def test_block_topk_ties_and_groups(spark, by):
     """More ties than k in every block: the smaller ids win; with groups, a query only meets its own."""
