@@ -10,7 +10,7 @@ rank, and as many to the right of no lower rank, so a fragment ends where a rare
 several occurrences of its pivot belongs to the first one. Equal fragments of a batch become one with a count. Fragments are
 routed to their pivots, and each pivot's n-grams are counted where its fragments are; no other pivot has the same n-gram, so
 infrequent ones end there. Very frequent words only keep fragments of words as frequent, so no pivot gets a large share; the
-fragments of a pivot with more than ``HOT`` rows are dealt over several tasks by hash, and the counts of these are added afterwards.
+fragments of a word that occurs more than ``HOT`` times are dealt over several cells by hash, and the counts of these are added afterwards.
 
 The parts of a frequent phrase are frequent, hence all counts that a score needs are at hand. Of an m-gram's longer phrases
 those of m + 1 words decide whether it is dropped: a count that survives to a longer one survives each step to it. Products are
@@ -135,35 +135,37 @@ def fragments_of(rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fragments(batches: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """(pivot, at, words, n) from ``batches`` and ``frequent(lang, word, rank)``; words are ranks."""
+    """(pivot, cell, cells, at, words, n) from ``batches`` and ``frequent(lang, word, rank, cells)``; words are ranks."""
     each = batches.select("batch", F.posexplode(F.arrays_zip("lang", "word")).alias("code", "x")).select("batch", "code", "x.*")
-    ranks = each.join(frequent, ["lang", "word"]).select(F.col("batch").alias("of"), "code", "rank")
+    ranks = each.join(frequent, ["lang", "word"]).select(F.col("batch").alias("of"), "code", "rank", "cells")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        code, known = right.column("code").to_numpy(), right.column("rank").to_numpy()
-        out = []
-        for row in range(left.num_rows):  # one, as a batch is a row
-            codes = left.column("codes").combine_chunks()[row].values.to_numpy()
-            rank = np.full(int(max(codes.max(initial=-1), code.max(initial=-1))) + 2, -1, np.int64)  # the last one is for -1
-            rank[code] = known
-            out.append(fragments_of(rank[codes], longest))
-        flat, size, at, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 4
+        code, known, cells = (right.column(c).to_numpy() for c in ("code", "rank", "cells"))
+        codes = left.column("codes").combine_chunks().flatten().to_numpy()  # a batch is one row
+        rank = np.full(int(max(codes.max(initial=-1), code.max(initial=-1))) + 2, -1, np.int64)  # the last one is for -1
+        rank[code] = known
+        flat, size, at, n = fragments_of(rank[codes], longest)
         cuts = np.append(0, np.cumsum(size))
-        return pa.table([pa.array(flat[cuts[:-1] + at]), pa.array(at.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat)), pa.array(n)], names=["pivot", "at", "words", "n"])
+        pivot = flat[cuts[:-1] + at]
+        order = np.argsort(known)
+        of = cells[order][np.searchsorted(known[order], pivot)] if len(pivot) else np.zeros(0, np.int64)
+        place = np.arange(len(flat)) - np.repeat(cuts[:-1], size)
+        drawn = np.add.reduceat((flat * 0x9E3779B1 + 1) * (2 * place + 3), cuts[:-1]) if len(pivot) else pivot
+        cell = (drawn >> 7) % np.maximum(of, 1)
+        words = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
+        return pa.table([pa.array(pivot), pa.array(cell.astype(np.int32)), pa.array(of.astype(np.int32)), pa.array(at.astype(np.int32)), words, pa.array(n)], names=["pivot", "cell", "cells", "at", "words", "n"])
 
-    return batches.select("batch", "codes").groupBy("batch").cogroup(ranks.groupBy("of")).applyInArrow(run, "pivot long, at int, words array<long>, n long")
+    return batches.select("batch", "codes").groupBy("batch").cogroup(ranks.groupBy("of")).applyInArrow(run, "pivot long, cell int, cells int, at int, words array<long>, n long")
 
 
 def mined(found: DataFrame, least: int, longest: int) -> DataFrame:
-    """(words, a) of all n-grams of 2 to ``longest`` words that occur ``least`` times, counted pivot by pivot."""
-    hot = found.groupBy("pivot").count().where(F.col("count") > HOT).select("pivot", F.ceil(F.col("count") / HOT).cast("int").alias("cells"))
-    dealt = found.join(hot, "pivot", "left").select("pivot", F.coalesce("cells", F.lit(1)).alias("cells"), "at", "words", "n")
-    dealt = dealt.withColumn("cell", F.when(F.col("cells") > 1, F.pmod(F.xxhash64("words"), "cells").cast("int")).otherwise(0)).repartition("pivot", "cell")
+    """(gram, a) of all n-grams of 2 to ``longest`` words that occur ``least`` times, counted pivot by pivot."""
     starts = F.sequence(F.lit(0), F.col("at"))
     sizes = lambda i: F.filter(F.sequence(F.lit(2), F.lit(longest)), lambda s: (i + s > F.col("at")) & (i + s <= F.size("words")))
     grams = F.flatten(F.transform(starts, lambda i: F.transform(sizes(i), lambda s: F.slice("words", i + 1, s))))
-    # the rows of a pivot's cell are together already, so this needs no other exchange
-    counted = dealt.select("pivot", "cell", "cells", "n", F.explode(grams).alias("gram")).groupBy("pivot", "cell", "cells", "gram").agg(F.sum("n").alias("a"))
+    # the rows of a pivot's cell are together then, so the counts need no other exchange
+    dealt = found.repartition("pivot", "cell").select("pivot", "cell", "cells", "n", F.explode(grams).alias("gram"))
+    counted = dealt.groupBy("pivot", "cell", "cells", "gram").agg(F.sum("n").alias("a"))
     counted = materialize(counted.where((F.col("cells") > 1) | (F.col("a") >= least)), "counted")
     whole = counted.where("cells = 1").select("gram", "a")
     added = counted.where("cells > 1").groupBy("gram").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
@@ -177,7 +179,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     # ranks order the words by frequency, whatever their language, as far as sorted ranges can: numbers grow along them
     frequent = materialize(words.where(F.col("f") >= least).orderBy("f", "lang", "word").withColumn("rank", F.monotonically_increasing_id()), "frequent")
-    grams = materialize(mined(materialize(fragments(batches, frequent.select("lang", "word", "rank"), longest), "fragments"), least, longest), "grams")
+    cells = F.ceil(F.col("f") / HOT).cast("int").alias("cells")
+    grams = materialize(mined(fragments(batches, frequent.select("lang", "word", "rank", cells), longest), least, longest), "grams")
     counts = grams.unionByName(frequent.select(F.array("rank").alias("gram"), F.col("f").alias("a")))
     several = grams.select("gram", "a", F.element_at("gram", 1).alias("rank")).join(frequent.select("rank", "lang"), "rank").join(totals, "lang")
     # an n-gram is dropped for one of a word more, of which it is the beginning or the end, that occurs as often
