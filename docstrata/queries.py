@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import text as X
 from docstrata.functions.tables import shared_folder
 from docstrata.jobs import retrieval
-from docstrata.operators import chat, chunking, clustering, embedding, nodes, search, stats, structure, tables, validation
+from docstrata.operators import chat, chunking, clustering, embedding, long_texts, nodes, search, stats, structure, tables, validation
 from docstrata.registry import ORACLES, QUERIES, Query, query, table
 from docstrata.streaming import conversations as live
 
@@ -302,6 +302,15 @@ def recursive_chunks(spark, sf_dir):
     return chunking.recursive_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"), 120, 20)
 
 
+@query("SELECT doc_id, true AS same FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> ''")
+def long_text_chunks(spark, sf_dir):
+    """Texts that come in slices, split by many tasks together, have the chunks of the splitter in one task."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = long_texts.split_distributed(long_texts.text_slices(docs, chars=10_000), 120, 20, grid=50_000)
+    both = apart.withColumnRenamed("chunk", "other").drop("n_tokens").join(chunking.recursive_chunks(docs, 120, 20), ["doc_id", "chunk_idx"], "full")
+    return both.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("other"), F.lit(False))).alias("same"))
+
+
 @query()
 def sql_chunks(spark, sf_dir):
     """The splitter from SQL."""
