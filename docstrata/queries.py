@@ -640,14 +640,13 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("SELECT user_id, min(ts) AS created_at, max(ts) AS last_at, count(*) AS messages FROM events GROUP BY user_id")
 def stream_conversations(spark, sf_dir):
     events = stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    found = live.live_conversations(events, "user_id", "ts", "event_id", "60 days")
-    rows = newest(drained(spark, found, "update", "conversations"), "user_id")
-    return rows.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "last_at")), "messages")
+    written = drained(spark, live.live_conversations(events, "user_id", "ts", "event_id", "60 days"), "update", "conversations")
+    return live.current_list(written, "user_id").select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "last_at")), "messages")
 
 
 @query("SELECT conv_id, array_to_string(list(role || ': ' || text ORDER BY turn), chr(10)) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6 GROUP BY conv_id")
 def stream_context(spark, sf_dir):
-    found = newest(drained(spark, live.rolling_context(stream(spark, sf_dir, "conversations"), idle=None), "update", "context"), "conv_id")
+    found = newest(drained(spark, live.rolling_context(stream(spark, sf_dir, "conversations")), "update", "context"), "conv_id")
     return found.select("conv_id", F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit(": "), t)), "\n").alias("context"))
 
 

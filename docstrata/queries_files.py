@@ -18,7 +18,7 @@ from docstrata.functions.tables import materialize, shared_folder
 from docstrata.jobs import retrieval
 from docstrata.operators import chat, chunking, embedding, nodes, search, structure, tables, validation
 from docstrata.registry import ORACLES, query, table
-from docstrata.sources import docx, readers, writers
+from docstrata.sources import docx, readers, versioned, writers
 from docstrata.streaming import ingest
 
 
@@ -328,3 +328,19 @@ def newest_conversations(spark, sf_dir):
 def messages_in_order(spark, sf_dir):
     """The messages of all conversations, the oldest of each first."""
     return chat.oldest_first(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+
+
+@query(f"WITH {Q.SQL_TITLED} SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'Title ' || conv_id ELSE title END AS title, count(*) AS messages FROM c JOIN conversations USING (conv_id) WHERE conv_id % 4 <> 1 OR conv_id % 8 = 1 GROUP BY ALL")
+def stored_changes(spark, sf_dir):
+    """Conversations in a versioned store: all are added, some deleted, some renamed, the buckets compacted, and half of the deleted ones added again."""
+    messages, listed = Q.messages(spark, sf_dir), Q.titled(spark, sf_dir)
+    store = versioned.create(spark, new_folder(spark, "store"), listed.schema, messages.schema, buckets=8)
+    store.append(listed, messages)
+    ids = messages.select("conv_id").distinct()
+    store.delete(ids.where("conv_id % 4 = 1"))
+    store.rename(ids.where("conv_id % 5 = 0").select("conv_id", F.concat(F.lit("Title "), F.col("conv_id").cast("string")).alias("title")))
+    store.compacted()
+    store.append(listed.where("conv_id % 8 = 1"), messages.where("conv_id % 8 = 1"))
+    store.rename(ids.where("conv_id % 5 = 0 AND conv_id % 8 = 1").select("conv_id", F.concat(F.lit("Title "), F.col("conv_id").cast("string")).alias("title")))
+    counts = store.read("messages").groupBy("conv_id").agg(F.count("*").alias("messages"))
+    return store.read("conversations").join(counts, "conv_id").select("conv_id", "title", "messages")

@@ -3,45 +3,40 @@ sessions do so with ``flushed``, as those that the watermark has not passed are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docstrata.operators import chat
+from docstrata.streaming import stateful
+
+
+def live_conversations(messages: DataFrame, conv: str = "conv_id", ts: str = "ts", id: str = "message_id", late: str = "1 hour", idle: str = "7 days", stored: DataFrame | None = None) -> DataFrame:
+    """(conv, opened_at, created_at, last_at, messages, closed), for update mode: a row for each change of a conversation.
+
+    A message that is delivered twice counts once. A conversation without messages for ``idle``, by the watermark, is closed: it is written once
+    more, leaves the state, and opens anew (``opened_at``) with a later message. The query may start with ``stored`` conversations (conv, created_at,
+    last_at, messages), which go on from there. ``current_list`` folds what is written into one row for each conversation."""
+    return stateful.listed(messages, conv, ts, id, late, idle, stored)
+
+
+def current_list(written: DataFrame, conv: str = "conv_id", stored: DataFrame | None = None) -> DataFrame:
+    """(conv, created_at, last_at, messages) from the rows that ``live_conversations`` has written, in any order, and the stored
+    conversations that the query started with. Counts only grow while a conversation is open, so the largest is the newest."""
+    each = written.groupBy(conv, "opened_at").agg(F.min("created_at").alias("created_at"), F.max("last_at").alias("last_at"), F.max("messages").alias("messages"))
+    if stored is not None:  # those that have not changed since
+        rows = stored.select(conv, F.col("created_at").alias("opened_at"), "created_at", "last_at", F.col("messages").cast("long").alias("messages"))
+        each = each.unionByName(rows).groupBy(conv, "opened_at").agg(F.min("created_at").alias("created_at"), F.max("last_at").alias("last_at"), F.max("messages").alias("messages"))
+    return each.groupBy(conv).agg(F.min("created_at").alias("created_at"), F.max("last_at").alias("last_at"), F.sum("messages").alias("messages"))
+
 
+def rolling_context(messages: DataFrame, n: int = 6, conv: str = "conv_id", at: str = "turn", id: str | None = None, ts: str | None = None, idle: str | None = "7 days", late: str = "1 hour") -> DataFrame:
+    """(conv_id, turns, roles, texts): the newest n messages of a conversation after every batch that changes them, oldest first,
+    ordered by ``at`` and then by id, whatever the order of arrival; for update mode.
 
-def live_conversations(messages: DataFrame, conv: str = "conv_id", ts: str = "ts", id: str = "message_id", late: str = "1 hour") -> DataFrame:
-    """(conv, created_at, last_at, messages), for update mode; a message that is delivered twice counts once."""
-    unique = messages.withWatermark(ts, late).dropDuplicatesWithinWatermark([id])
-    return unique.groupBy(conv).agg(F.min(ts).alias("created_at"), F.max(ts).alias("last_at"), F.count("*").alias("messages"))
-
-
-def rolling_context(messages: DataFrame, n: int = 6, conv: str = "conv_id", at: str = "turn", idle: str | None = "7 days") -> DataFrame:
-    """(conv_id, context): the newest n messages of each conversation after every batch, oldest first, ordered by ``at``
-    whatever the order of arrival. The state is n messages for each conversation and ends after ``idle``. A query that
-    is to end by itself (availableNow) takes None: a timeout by the clock asks for ever new batches."""
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = [tuple(x) for x in zip(*state.get, strict=True)] if state.exists else []
-        for pdf in batches:
-            held = sorted([*held, *zip(pdf[at].tolist(), pdf["role"], pdf["text"], strict=True)], key=lambda m: m[0])[-n:]
-        state.update(tuple(map(list, zip(*held, strict=True))))
-        if milliseconds:
-            state.setTimeoutDuration(milliseconds)
-        yield pd.DataFrame({conv: [key[0]], "turns": [[m[0] for m in held]], "roles": [[m[1] for m in held]], "texts": [[m[2] for m in held]]})
-
-    kind = messages.schema[conv].dataType.simpleString()
-    rows = messages.select(conv, F.col(at).cast("long").alias(at), "role", "text")
-    return rows.groupBy(conv).applyInPandasWithState(
-        run, f"{conv} {kind}, turns array<bigint>, roles array<string>, texts array<string>", "turns array<bigint>, roles array<string>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    )
+    A message that is delivered again changes nothing; ``id`` names it, or else its place, role and text do. The state is n messages for each
+    conversation, written one by one as they change. With event times ``ts`` a conversation ends after ``idle``, by the watermark; without,
+    none ends. Messages without a place take no part."""
+    return stateful.newest_messages(messages, n, conv, at, id, ts, idle, late)
 
 
 def live_sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = chat.IDLE, late: str = "1 hour") -> DataFrame:

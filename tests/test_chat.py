@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -74,11 +75,60 @@ def test_streams_equal_batch(spark, tmp_path):
     def keep(batch, _):
         got.update({r.conv_id: r.texts for r in batch.collect()})
 
-    live.rolling_context(source, 4, idle=None).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    live.rolling_context(source, 4).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     batch = chat.last_messages(spark.createDataFrame(rows, MESSAGES), 4)
     assert got == {r.conv_id: [m.content for m in r.context] for r in batch.collect()}
 
 
+def play(spark, tmp_path, batches, schema, make):
+    """Rows that a stream writes, a list for each batch of its input; and the rows of state after each."""
+    for n, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+        time.sleep(0.01)  # files are read in the order of their times
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = []
+    q = make(source).writeStream.foreachBatch(lambda b, _: out.append(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return out, [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in q.recentProgress]
+
+
+T0 = dt.datetime(2024, 1, 1)
+
+
+def at(hours):
+    return T0 + dt.timedelta(hours=hours)
+
+
+TIMED = "conv_id long, turn int, role string, text string, message_id string, ts timestamp"
+
+
+def test_context_survives_redelivery_and_expires(spark, tmp_path):
+    message = lambda c, t, h: (c, t, "user", f"{c}-{t}", f"m{c}.{t}", at(h))
+    batches = [[message(1, t, t / 10) for t in range(5)], [message(1, 4, 0.4), message(1, 0, 0.0)], [message(1, 5, 0.5), message(1, 4, 0.4)], [message(2, 0, 50)], [message(2, 1, 50.1)], [message(1, 9, 50.2)], [message(1, 9, 50.2)]]
+    out, _ = play(spark, tmp_path, batches, TIMED, lambda s: live.rolling_context(s, 3, id="message_id", ts="ts", idle="5 hours", late="1 hour"))
+    found = [[(r.conv_id, r.texts) for r in b] for b in out]
+    assert [b for b in found if b] == [[(1, ["1-2", "1-3", "1-4"])], [(1, ["1-3", "1-4", "1-5"])], [(2, ["2-0"])], [(2, ["2-0", "2-1"])], [(1, ["1-9"])]]
+
+
+def test_conversations_close_and_open_again(spark, tmp_path):
+    """Totals equal the batch operator's, whatever was closed meanwhile; the state only holds what is at work."""
+    schema = "conv_id long, message_id string, ts timestamp"
+    row = lambda c, i, h: (c, f"{c}.{i}", at(h))
+    batches = [[row(day, i, 24 * day + i) for i in range(3)] + [row(day, 0, 24 * day)] for day in range(12)]
+    batches[9].append(row(0, 7, 24 * 9))  # opens a closed conversation again
+    batches[10].append(row(0, 7, 24 * 9))  # delivered again
+    batches[11].append(row(5, 99, 0))  # late
+    stored = spark.createDataFrame([(0, at(-5), at(-1), 4), (77, at(-9), at(-8), 2)], "conv_id long, created_at timestamp, last_at timestamp, messages long")
+    out, state = play(spark, tmp_path, batches, schema, lambda s: live.live_conversations(s, late="1 hour", idle="20 hours", stored=stored))
+    written = spark.createDataFrame([r for b in out for r in b])
+    rows = spark.createDataFrame([r for b in batches for r in b][:-1], schema).dropDuplicates(["message_id"])
+    wanted = {r.conv_id: (r.created_at, r.last_at, r.messages) for r in chat.conversation_list(rows).collect()} | {77: (at(-9), at(-8), 2)}
+    wanted[0] = (at(-5), wanted[0][1], wanted[0][2] + 4)
+    assert {r.conv_id: (r.created_at, r.last_at, r.messages) for r in live.current_list(written, stored=stored).collect()} == wanted
+    assert written.where("closed and conv_id = 0").count() >= 1 and written.where("conv_id = 0").select("opened_at").distinct().count() == 2
+    assert max(state[4:]) <= max(state[:4]) + 6  # it doesn't grow with the conversations
+
+
 def test_sessions_and_late_events(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     at = [(1, start + dt.timedelta(seconds=s)) for s in (0, 600, 1201, 5000)] + [(2, start), (2, start + dt.timedelta(days=3))]
