@@ -9,7 +9,8 @@ is the pivot of the fragment around it that can hold n-grams of its own: up to `
 rank, and as many to the right of no lower rank, so a fragment ends where a rarer or an infrequent word stands, and an n-gram with
 several occurrences of its pivot belongs to the first one. Equal fragments of a batch become one with a count. Fragments are
 routed to their pivots, and each pivot's n-grams are counted where its fragments are; no other pivot has the same n-gram, so
-infrequent ones end there. Very frequent words only keep fragments of words as frequent, so no pivot gets a large share; the
+infrequent ones end there. There an n-gram is only counted where those
+of one word less within it are frequent. Very frequent words only keep fragments of words as frequent, so no pivot gets a large share; the
 fragments of a word that occurs more than ``HOT`` times are dealt over several cells by hash, and the counts of these are added afterwards.
 
 The parts of a frequent phrase are frequent, hence all counts that a score needs are at hand. Of an m-gram's longer phrases
@@ -18,7 +19,7 @@ decimals of 38 digits.
 
 Cases: a null or empty text has no words; a null language is ``und`` and one with that name; rows that repeat count again, whatever their id;
 a text longer than a batch is cut between pieces, and a piece is in memory whole; ties are ordered by count and then by the bytes of the phrase; bytes that are not UTF-8
-are kept as they are; other columns are ignored, whatever their names; an empty table gives no rows.
+are kept as they are; there may be 2^31 frequent words; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from docstrata.functions.tables import materialize
 from docstrata.llm.bpe import slices
 
-BATCH_BYTES, HOT = 4_000_000, 500_000
+BATCH_BYTES, PART_BYTES, HOT = 12_000_000, 2_000_000, 200_000
+#: Fragments that are mined at once, about.
+TOGETHER = 200_000
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: A-Z to a-z, tabs to blanks, the ends of pieces to line breaks.
 TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
@@ -50,9 +53,9 @@ class Codes(dict):
 
 
 def parts(text: bytes) -> Iterator[bytes]:
-    """A text in parts of about BATCH_BYTES, cut between pieces."""
+    """A text in parts of about PART_BYTES, cut between pieces."""
     a = 0
-    while len(text) - a > BATCH_BYTES and (b := text.find(b"\n", a + BATCH_BYTES)) >= 0:
+    while len(text) - a > PART_BYTES and (b := text.find(b"\n", a + PART_BYTES)) >= 0:
         yield text[a:b]
         a = b
     yield text[a:]
@@ -62,11 +65,10 @@ def coded(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """Batches of texts as WORDS: the distinct words, how often each occurs, and the texts as codes, -1 between pieces. Narrow."""
 
     def run(batches):
-        number = 0
-        for part in slices(batches, "text", BATCH_BYTES):
-            known: dict[str, Codes] = {}
-            codes: dict[str, list[np.ndarray]] = {}
-            size = 0
+        number, size = 0, 0
+        known: dict[str, Codes] = {}
+        codes: dict[str, list[np.ndarray]] = {}
+        for part in slices(batches, "text", PART_BYTES):
             for t, name in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("lang").to_pylist(), strict=True):
                 for p in parts((t or b"").translate(TO)):
                     own = known.setdefault(name, Codes({b"\n": 0, b"": 1}))
@@ -76,9 +78,8 @@ def coded(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     if size >= BATCH_BYTES:
                         yield batch(number, known, codes)
                         number, size, known, codes = number + 1, 0, {}, {}
-            if codes:
-                yield batch(number, known, codes)
-                number += 1
+        if codes:
+            yield batch(number, known, codes)
 
     def batch(number, known, codes):
         flat, words, langs, base = [], [], [], 0
@@ -135,41 +136,95 @@ def fragments_of(rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fragments(batches: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """(pivot, cell, cells, at, words, n) from ``batches`` and ``frequent(lang, word, rank, cells)``; words are ranks."""
+    """(pivot, cell, fragment, n) from ``batches`` and ``frequent(lang, word, rank, cells)``: a fragment is the place of its pivot and its
+    words, ranks, as 32-bit numbers; ``cell`` is -1 where a pivot has only one."""
     each = batches.select("batch", F.posexplode(F.arrays_zip("lang", "word")).alias("code", "x")).select("batch", "code", "x.*")
     ranks = each.join(frequent, ["lang", "word"]).select(F.col("batch").alias("of"), "code", "rank", "cells")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         code, known, cells = (right.column(c).to_numpy() for c in ("code", "rank", "cells"))
         codes = left.column("codes").combine_chunks().flatten().to_numpy()  # a batch is one row
-        rank = np.full(int(max(codes.max(initial=-1), code.max(initial=-1))) + 2, -1, np.int64)  # the last one is for -1
+        rank = np.full(int(max(codes.max(initial=-1), code.max(initial=-1))) + 2, -1, np.int32)  # the last one is for -1
         rank[code] = known
         flat, size, at, n = fragments_of(rank[codes], longest)
-        cuts = np.append(0, np.cumsum(size))
-        pivot = flat[cuts[:-1] + at]
+        first = np.cumsum(size) - size
+        pivot = flat[first + at]
         order = np.argsort(known)
-        of = cells[order][np.searchsorted(known[order], pivot)] if len(pivot) else np.zeros(0, np.int64)
-        place = np.arange(len(flat)) - np.repeat(cuts[:-1], size)
-        drawn = np.add.reduceat((flat * 0x9E3779B1 + 1) * (2 * place + 3), cuts[:-1]) if len(pivot) else pivot
-        cell = (drawn >> 7) % np.maximum(of, 1)
-        words = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
-        return pa.table([pa.array(pivot), pa.array(cell.astype(np.int32)), pa.array(of.astype(np.int32)), pa.array(at.astype(np.int32)), words, pa.array(n)], names=["pivot", "cell", "cells", "at", "words", "n"])
-
-    return batches.select("batch", "codes").groupBy("batch").cogroup(ranks.groupBy("of")).applyInArrow(run, "pivot long, cell int, cells int, at int, words array<long>, n long")
+        of = cells[order][np.searchsorted(known[order], pivot)] if len(pivot) else pivot
+        place = np.arange(len(flat)) - np.repeat(first, size)
+        drawn = np.add.reduceat((flat * 0x9E3779B1 + 1) * (2 * place + 3), first) if len(pivot) else pivot
+        cell = np.where(of > 1, (drawn >> 7) % np.maximum(of, 1), -1)
+        told = np.insert(flat, first, at).astype("<i4")
+        ends = np.append(0, np.cumsum(size + 1) * 4).astype(np.int32)
+        told = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(told)])
+        return pa.table([pa.array(pivot.astype(np.int32)), pa.array(cell.astype(np.int32)), told, pa.array(n)], names=["pivot", "cell", "fragment", "n"])
+
+    return batches.select("batch", "codes").groupBy("batch").cogroup(ranks.groupBy("of")).applyInArrow(run, "pivot int, cell int, fragment binary, n long")
+
+
+def count_grams(words: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, n: np.ndarray, least: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(grams as rows, counts, a fragment of each) of every length, of the n-grams that hold the pivots of the fragments
+    ``words[start : start + size]`` and occur at least ``least`` times; n-grams grow from frequent ones by a word to the right, or to the left where
+    the pivot, whose first place in an n-gram is the same wherever it occurs, is its last word."""
+    many = int(words.max(initial=0)) + 1
+    rows = np.arange(len(start))
+    of, i, name, total = rows, at, words[start + at], None  # each pivot alone
+    for s in range(2, longest + 1):
+        last = of[i + s - 2 == at[of]], i[i + s - 2 == at[of]], name[i + s - 2 == at[of]]
+        to_right = i + s - 1 < size[of]
+        to_left = last[1] >= 1
+        right = name[to_right] * many + words[start[of[to_right]] + i[to_right] + s - 1]
+        left = -1 - (last[2][to_left] * many + words[start[last[0][to_left]] + last[1][to_left] - 1])
+        of, i = np.concatenate([of[to_right], last[0][to_left]]), np.concatenate([i[to_right], last[1][to_left] - 1])
+        _, first, name = np.unique(np.concatenate([right, left]), return_index=True, return_inverse=True)
+        total = np.bincount(name, n[of], len(first)).astype(np.int64)
+        good = total >= least[of[first]]
+        yield words[(start[of[first]] + i[first])[good][:, None] + np.arange(s)[None]], total[good], of[first][good]
+        kept = good[name]
+        of, i, name = of[kept], i[kept], name[kept]
 
 
 def mined(found: DataFrame, least: int, longest: int) -> DataFrame:
     """(gram, a) of all n-grams of 2 to ``longest`` words that occur ``least`` times, counted pivot by pivot."""
-    starts = F.sequence(F.lit(0), F.col("at"))
-    sizes = lambda i: F.filter(F.sequence(F.lit(2), F.lit(longest)), lambda s: (i + s > F.col("at")) & (i + s <= F.size("words")))
-    grams = F.flatten(F.transform(starts, lambda i: F.transform(sizes(i), lambda s: F.slice("words", i + 1, s))))
-    # the rows of a pivot's cell are together then, so the counts need no other exchange
-    dealt = found.repartition("pivot", "cell").select("pivot", "cell", "cells", "n", F.explode(grams).alias("gram"))
-    counted = dealt.groupBy("pivot", "cell", "cells", "gram").agg(F.sum("n").alias("a"))
-    counted = materialize(counted.where((F.col("cells") > 1) | (F.col("a") >= least)), "counted")
-    whole = counted.where("cells = 1").select("gram", "a")
-    added = counted.where("cells > 1").groupBy("gram").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
-    return whole.unionByName(added)
+
+    def run(batches):
+        held: list[pa.Table] = []
+        rows = 0
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            rows += b.num_rows
+            if rows >= TOGETHER:  # all that belongs to the last pivot and cell may not be here yet
+                t = pa.concat_tables(held)
+                pivot, cell = (t.column(c).to_numpy() for c in ("pivot", "cell"))
+                cut = int(np.flatnonzero((pivot != pivot[-1]) | (cell != cell[-1]))[-1]) + 1 if (pivot[0], cell[0]) != (pivot[-1], cell[-1]) else 0
+                if cut:
+                    yield from grams(t.slice(0, cut))
+                    held, rows = [t.slice(cut).combine_chunks()], len(t) - cut
+        if rows:
+            yield from grams(pa.concat_tables(held))
+
+    def grams(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        told = t.column("fragment").combine_chunks()
+        size = np.diff(np.frombuffer(told.buffers()[1], np.int32)[told.offset : told.offset + len(told) + 1]) // 4 - 1
+        flat = np.frombuffer(told.buffers()[2], "<i4")[np.frombuffer(told.buffers()[1], np.int32)[told.offset] // 4 :][: int(size.sum()) + len(size)].astype(np.int64)
+        first = np.cumsum(size + 1) - size - 1
+        cell = t.column("cell").to_numpy()
+        for found_, a, of in count_grams(flat, first + 1, size.astype(np.int64), flat[first], t.column("n").to_numpy(), np.where(cell < 0, least, 1), longest):
+            cuts = np.arange(0, found_.size + 1, found_.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(found_.ravel().astype(np.int32))), pa.array(a), pa.array(cell[of] < 0)], names=["gram", "a", "whole"])
+
+    dealt = found.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell")
+    counted = materialize(dealt.mapInArrow(run, "gram array<int>, a long, whole boolean"), "counted")
+    added = counted.where(~F.col("whole")).groupBy("gram").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return counted.where("whole").select("gram", "a").unionByName(added)
+
+
+def ranked_words(words: DataFrame) -> DataFrame:
+    """(lang, word, f, rank): ranks run from 0, from rare to frequent; of the sorted ranges only the sizes are added up."""
+    ranges = materialize(words.orderBy("f", "lang", "word").withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "ranges")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranges.join(sizes.select("part", before.alias("before")), "part").select("lang", "word", "f", (F.col("before") + F.col("i")).cast("int").alias("rank"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -177,8 +232,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     batches = materialize(coded(docs, text, lang), "batches")
     words = materialize(batches.select(F.explode(F.arrays_zip("lang", "word", "n")).alias("x")).select("x.*").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    # ranks order the words by frequency, whatever their language, as far as sorted ranges can: numbers grow along them
-    frequent = materialize(words.where(F.col("f") >= least).orderBy("f", "lang", "word").withColumn("rank", F.monotonically_increasing_id()), "frequent")
+    frequent = materialize(ranked_words(words.where(F.col("f") >= least)), "frequent")
     cells = F.ceil(F.col("f") / HOT).cast("int").alias("cells")
     grams = materialize(mined(fragments(batches, frequent.select("lang", "word", "rank", cells), longest), least, longest), "grams")
     counts = grams.unionByName(frequent.select(F.array("rank").alias("gram"), F.col("f").alias("a")))

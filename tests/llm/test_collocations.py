@@ -77,7 +77,7 @@ def test_hot_pivots_are_dealt(spark, monkeypatch):
 
 
 def test_long_texts_are_cut_between_pieces(monkeypatch):
-    monkeypatch.setattr(C, "BATCH_BYTES", 10)
+    monkeypatch.setattr(C, "PART_BYTES", 10)
     text = b"one two three\nfour\n\nfive six seven eight nine ten eleven\na"
     found = list(C.parts(text))
     assert b"".join(found) == text and len(found) > 2 and all(p.startswith(b"\n") for p in found[1:])
@@ -99,6 +99,21 @@ def test_each_ngram_is_in_one_fragment():
         assert found == Counter(tuple(rank[i : i + k].tolist()) for k in range(2, 6) for i in range(len(rank) - k + 1) if (rank[i : i + k] >= 0).all())
 
 
+def test_grams_grow_from_frequent_ones():
+    """Counts of all n-grams of the fragments of a text, pivot by pivot, above a threshold."""
+    rng = np.random.default_rng(7)
+    for v, least in ((2, 1), (5, 1), (5, 4), (30, 3)):
+        rank = rng.integers(-1, v, 600)
+        words, size, at, n = C.fragments_of(rank, 5)
+        start = np.cumsum(size) - size
+        order = np.argsort(words[start + at], kind="stable")
+        found = {}
+        for grams, a, _ in C.count_grams(words, start[order], size[order], at[order], n[order], np.full(len(n), least), 5):
+            found |= {tuple(g): x for g, x in zip(grams.tolist(), a.tolist(), strict=True)}
+        counts = Counter(tuple(rank[i : i + k].tolist()) for k in range(2, 6) for i in range(len(rank) - k + 1) if (rank[i : i + k] >= 0).all())
+        assert found == {g: a for g, a in counts.items() if a >= least}
+
+
 def test_empty_table(spark):
     assert mine(spark, [], 1) == [] and mine(spark, [(None, None)], 1) == []
 
