@@ -1,12 +1,14 @@
 """Secrets in texts: base patterns, and assignment-aware lexing.
 
 The lexer reads source and configuration syntax (``name = "literal"``, ``"name": 'literal'``, ``NAME=literal``,
-``name := other``, ``a = b + "literal"``, strings and YAML blocks over several lines, concatenations in parentheses) into pairs of a target name and the literals
-or names on its right. A name stands with those of the objects around it, by braces or by indentation. Constants are
-propagated: a literal belongs to every name that it reaches through other names of the same text, wherever they are defined. A literal is a
+``name := other``, ``a = b + "literal"``, ``a = b || "literal"`` and the like, strings and YAML blocks over several lines, concatenations in parentheses,
+``<name>literal</name>``, ``<x key="name" value="literal"/>``) into pairs of a target name and the literals
+or names on its right. A name stands with those of the objects around it, by braces or by indentation; an object hands on to those
+within it what of its name and of those around it can make a name more sensitive, which is a few kinds of words, however deep it lies. Constants are
+propagated, from the most sensitive name down, each name once: a literal belongs to every name that it reaches through other names of the same text, wherever they are defined. A literal is a
 secret if the most sensitive name that it reaches, times how much it looks like a secret, is at least THRESHOLD.
 
-Cases: a null or empty text has no spans; a very long text is read line by line; repeated rows are scanned alike; spans are
+Cases: a null or empty text has no spans; a very long text is read line by line, in time in proportion to it, whatever is left open in it; repeated rows are scanned alike; spans are
 code points, end exclusive, sorted by start and then by kind in the order of KINDS; equal spans of one kind count once. ``find``
 keeps the key alone, ``redact`` all columns, whatever their names; an empty table gives an empty result.
 """
@@ -17,7 +19,8 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,12 +53,19 @@ NAME = r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
 QUOTED = r"""\"(?:[^"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`"""
 #: A name, an assignment sign, and the terms joined by + on its right.
 TERM = rf"(?:{QUOTED}|[^\s\"'`,;+(){{}}\[\]]++)"
-PAIR = re.compile(rf"""(?<![\w$.-])(?P<name>{NAME})["']?\]?[ \t]*+(?::=|=>|[:=](?![=:/]))[ \t]*+(?P<right>{TERM}(?:[ \t]*+\+[ \t]*+{TERM})*+)""")
+#: What joins terms: concatenation, and defaults for what is missing.
+JOINS = ("+", "||", "??", "or", "?:")
+JOIN = r"(?:[ \t]*+(?:\+|\|\||\?\?|\?:)[ \t]*+|[ \t]++or[ \t]++)"
+PAIR = re.compile(rf"""(?<![\w$.-])(?P<name>{NAME})["']?\]?[ \t]*+(?::=|=>|[:=](?![=:/]))[ \t]*+(?P<right>{TERM}(?:{JOIN}{TERM})*+)""")
 #: What a line with braces or brackets is made of: an object that a name opens, a pair, and what opens and closes without a name.
 SCAN = re.compile(rf"""(?<![\w$.-])(?P<holder>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+[{{\[]|{PAIR.pattern}|(?P<open>[{{\[])|(?P<close>[}}\]])|(?:{QUOTED})(?![ \t]*(?:[:=]))""")
 HOLDER = re.compile(rf"""[ \t]*(?:-[ \t]+)?["']?(?P<name>{NAME})["']?[ \t]*:[ \t]*(?P<block>[|>][+-]?[0-9]?)?[ \t]*\r?\Z""")
 TRIPLE = re.compile(rf"""(?<![\w$.-])(?P<name>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?P<mark>\"\"\"|\'\'\')(?P<body>.*?)(?P=mark)""", re.DOTALL)
 GROUPED = re.compile(rf"""(?<![\w$.-])(?P<name>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+\((?P<right>(?:\s*+\+?\s*+(?:{QUOTED}))++)\s*+\)""")
+TAG = re.compile(r"<(?P<tag>[A-Za-z_][\w.:-]*+)(?P<rest>[^<>]*+)>(?:(?P<body>[^<>]++)</(?P=tag)\s*>)?")
+ATTRIBUTE = re.compile(r"""([A-Za-z_][\w.:-]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""")
+#: Attributes that name what the attribute ``value`` holds.
+NAMING = ("key", "name", "id")
 FRAME = re.compile(r"-----(?:BEGIN|END)[A-Z ]*-----")
 TERMS = re.compile(rf"(?P<quoted>{QUOTED})|(?P<bare>[^\s\"'`,;+(){{}}\[\]]+)")
 IS_NAME = re.compile(rf"{NAME}\Z")
@@ -64,21 +74,65 @@ SUBWORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 Span = tuple[int, int, str]
 
 
-def name_score(name: str) -> float:
-    """How sensitive a name is, 0 to 1."""
+def words_of(name: str) -> list[str]:
     words = [w.lower() for w in SUBWORDS.findall(name)]
-    words = [w[:-1] if w.endswith("s") and w[:-1] in SENSITIVE else w for w in words]
-    joined = {a + b for a, b in zip(words, words[1:])}  # noqa: B905
-    found = [SENSITIVE[w] for w in {*words, *joined} if w in SENSITIVE]
-    if not found or words[-1] in HARMLESS or {"public", "example", "sample"} & {*words}:
+    return [w[:-1] if w.endswith("s") and w[:-1] in SENSITIVE else w for w in words]
+
+
+def sensitive_words(words: list[str]) -> frozenset[str]:
+    """Those of the words, and of two in a row as one, that are sensitive."""
+    return frozenset({*words, *(a + b for a, b in zip(words, words[1:]))} & SENSITIVE.keys())  # noqa: B905
+
+
+def score_of(found: frozenset[str]) -> float:
+    return min(1.0, max(SENSITIVE[w] for w in found) + 0.2 * (len(found) - 1)) if found else 0.0
+
+
+#: What an object hands on: the sensitive words of its name, and its last word where that matters.
+Kind = tuple[frozenset[str], str]
+FULL = frozenset({"password"})
+PUBLIC = {"public", "example", "sample"}
+BEGINNINGS = {w[:i] for w in SENSITIVE for i in range(1, len(w))}
+
+
+@lru_cache(100_000)
+def kind_of(holder: str) -> Kind | None:
+    """The kind of an object's name; None where it makes no name within it more sensitive. Words that suffice for the highest score
+    stand for one another, so there are only so many kinds."""
+    words = words_of(holder)
+    found = sensitive_words(words)
+    if not words or PUBLIC & {*words} or not found and words[-1] not in BEGINNINGS:
+        return None
+    return FULL if score_of(found) == 1.0 else found, words[-1] if words[-1] in BEGINNINGS or words[-1] in HARMLESS else ""
+
+
+@lru_cache(100_000)
+def kinds_within(around: frozenset[Kind], holder: str) -> frozenset[Kind]:
+    kind = kind_of(holder)
+    return around if kind is None or kind in around else around | {kind}
+
+
+def name_score(name: str, around: Iterable[Kind] = ()) -> float:
+    """How sensitive a name is within objects of these kinds, 0 to 1."""
+    words = words_of(name)
+    if PUBLIC & {*words} or words and words[-1] in HARMLESS:
         return 0.0
-    return min(1.0, max(found) + 0.2 * (len(found) - 1))
+    own = sensitive_words(words)
+    best = score_of(own)
+    for found, last in around:
+        if words or last not in HARMLESS:
+            both = found | own | ({last + words[0]} & SENSITIVE.keys() if words and last else set())
+            best = max(best, INHERITED * score_of(both))
+    return best
 
 
 def literal_score(value: str, quoted: bool) -> float:
     """How much a literal looks like a secret, 0 to 1: long, varied, without blanks, no placeholder."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    if len(value) < 8 or PLACEHOLDER.match(value):
         return 0.0
+    if any(c.isspace() for c in value):  # a word with digits may be one among few
+        words = value.split() if quoted and "\n" not in value else []
+        return 0.8 * max((literal_score(w, False) for w in words if any(map(str.isdigit, w))), default=0.0) if len(words) <= 3 else 0.0
     n = len(value)
     entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
     kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + (not value.isalnum())
@@ -106,8 +160,10 @@ class Assignments:
     def __init__(self, text: str):
         self.literals: dict[str, list[tuple[int, int, bool]]] = {}
         self.bare: list[tuple[str, int, int]] = []
-        self.around: dict[str, set[str]] = {}
+        self.around: dict[str, set[Kind]] = {}
         self.text = text
+        if "</" in text or "/>" in text:
+            self.read_tags()
         if '"""' in text or "'''" in text:
             for m in TRIPLE.finditer(text):
                 self.put(m["name"], (), *stripped(text, *m.span("body")), True)
@@ -116,21 +172,29 @@ class Assignments:
                 self.terms(m["name"], (), m["right"], m.start("right"))
         self.read_lines()
 
-    def put(self, name: str, holders: tuple[str, ...], a: int, b: int, quoted: bool) -> None:
+    def read_tags(self) -> None:
+        for m in TAG.finditer(self.text):
+            if m["body"]:
+                self.put(m["tag"], (), *stripped(self.text, *m.span("body")), True)
+            at = {k.lower(): (m.start("rest") + x.start(2 if double is not None else 3), double if double is not None else single) for x in ATTRIBUTE.finditer(m["rest"]) for k, double, single in [x.groups()]}
+            if "value" in at and (name := next((at[n][1] for n in NAMING if n in at), None)):
+                self.put(name, (), at["value"][0], at["value"][0] + len(at["value"][1]), True)
+
+    def put(self, name: str, holders: Iterable[Kind], a: int, b: int, quoted: bool) -> None:
         self.literals.setdefault(name, []).append((a, b, quoted))
         self.around.setdefault(name, set()).update(holders)
 
-    def terms(self, name: str, holders: tuple[str, ...], right: str, at: int) -> None:
+    def terms(self, name: str, holders: Iterable[Kind], right: str, at: int) -> None:
         self.around.setdefault(name, set()).update(holders)
         for t in TERMS.finditer(right):
             a, b = at + t.start(), at + t.end()
             if t["quoted"]:
                 self.put(name, holders, a + 1, b - 1, True)
-            else:
+            elif t["bare"] not in JOINS and self.text[b : b + 1] not in ("(", "["):  # no call, no element
                 self.bare.append((name, a, b))
 
     def read_lines(self) -> None:
-        at, nested, block = 0, [], None  # nested: (indentation, or None for a brace; name)
+        at, nested, block = 0, [], None  # nested: (indentation, or None for a brace; kinds of the names around)
         for line in self.text.split("\n"):
             indent = len(line) - len(line.lstrip(" \t"))
             blank = indent == len(line)
@@ -148,26 +212,26 @@ class Assignments:
 
     def read(self, line: str, at: int, indent: int, nested: list) -> tuple | None:
         """Reads one line; what it says if a block of lines follows that belongs to a name."""
-        holders = lambda: tuple(n for _, n in nested if n)
+        holders = lambda: nested[-1][1] if nested else frozenset()
         braces = any(c in line for c in "{}[]")
         for m in (SCAN if braces else PAIR).finditer(line):
             if not braces or m["name"]:
                 self.terms(m["name"], holders(), m["right"], at + m.start("right"))
             elif m["holder"] or m["open"]:
-                nested.append((None, m["holder"]))
+                nested.append((None, kinds_within(holders(), m["holder"] or "")))
             elif m["close"]:
                 while nested and nested.pop()[0] is not None:
                     pass
         if h := HOLDER.match(line):
             if h["block"]:
                 return h["name"], indent, holders(), at + len(line) + 1
-            nested.append((indent, h["name"]))
+            nested.append((indent, kinds_within(holders(), h["name"])))
         return None
 
 
 def lexed(text: str) -> list[Span]:
     """Literals that reach a sensitive name."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     found = Assignments(text)
     known = found.around.keys()
@@ -178,17 +242,17 @@ def lexed(text: str) -> list[Span]:
         else:
             found.put(name, (), a, b, False)
     best: dict[tuple[int, int, bool], float] = {}
-    for name, holders in found.around.items():
-        score = max([name_score(name), *(INHERITED * name_score(f"{h} {name}") for h in holders)])
-        if score:
-            seen, ahead = {name}, [name]
-            while ahead:
-                now = ahead.pop()
-                for x in found.literals.get(now, ()):
-                    best[x] = max(best.get(x, 0.0), score)
-                new = sources.get(now, set()) - seen
-                seen |= new
-                ahead += new
+    seen: set[str] = set()
+    for score, name in sorted(((name_score(name, kinds), name) for name, kinds in found.around.items()), reverse=True):
+        ahead = [name] if score and name not in seen else []
+        seen.update(ahead)
+        while ahead:  # names that a more sensitive one has reached need no second visit
+            now = ahead.pop()
+            for x in found.literals.get(now, ()):
+                best[x] = max(best.get(x, 0.0), score)
+            new = sources.get(now, set()) - seen
+            seen |= new
+            ahead += new
     return sorted({(a, b, "lexed") for (a, b, quoted), score in best.items() if a < b and score * literal_score(compact(text[a:b]), quoted) >= THRESHOLD})
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
+import pytest
 from compare import DATA
 from pyspark.sql import functions as F
 
@@ -114,6 +116,57 @@ def test_harmless():
     assert values('a = b\nb = a\nsecret_key = a') == []
 
 
+def test_defaults_tags_and_calls():
+    assert values('let secretKey = cfg.key || "Abcd1234xyz"') == ["Abcd1234xyz"] == values("secretKey = cfg.key ?? 'Abcd1234xyz'") == values('secret_key = find(x).y or "z"; secret_key = opts.a or "Abcd1234xyz"')
+    assert values('<add key="ApiKey" value="Abcd1234xyz"/>') == ["Abcd1234xyz"] == values("<config><dbPassword> Abcd1234xyz\n</dbPassword></config>")
+    assert values('<add key="Colour" value="Abcd1234xyz"/><colour>Abcd1234xyz</colour><a href="x" value="Abcd1234xyz">') == []
+    assert values('password = os.environ["PW"]') == [] == values("password = get_password1(x)")
+    assert values('"token": "abc defghijk123"') == ["abc defghijk123"] and values('"token": "for more see chapter12345678 of the book"') == []
+
+
+def test_kinds_of_objects_score_as_their_names():
+    """What an object hands on gives the score that its whole name would, for every object around."""
+    rng = random.Random(5)
+    parts = [*S.SENSITIVE, *S.HARMLESS, "api", "pass", "phrase", "word", "db", "example", "_", "secrets", "x"]
+
+    def whole(name):
+        words = S.words_of(name)
+        found = S.sensitive_words(words)
+        return 0.0 if not found or words[-1] in S.HARMLESS or S.PUBLIC & {*words} else S.score_of(found)
+
+    for _ in range(3000):
+        holders = ["_".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 5))]
+        name = "_".join(rng.choices(parts, k=rng.randint(1, 3)))
+        around = frozenset()
+        for h in holders:
+            around = S.kinds_within(around, h)
+        wanted = max([whole(name), *(S.INHERITED * whole(f"{h} {name}") for h in holders)])
+        assert abs(S.name_score(name, around) - wanted) < 1e-12, (name, holders)
+
+
+@pytest.mark.parametrize("kind", ["open", "chain", "nested", "tags", "marks"])
+def test_time_grows_with_the_text(kind):
+    """A text of a megabyte in which everything stays open, or of a chain of constants, is as quick as its length."""
+    make = {
+        "open": lambda n: "".join(f'a{i} = {{\nb{i} = "Ab12Cd34Ef{i}"\n' for i in range(n)),
+        "chain": lambda n: "".join(f"token{i + 1} = token{i}\n" for i in range(n)) + 'token0 = "Ab12Cd34Ef56"',
+        "nested": lambda n: "".join(f'{"secret key token auth salt access".split()[i % 6]}_{i} = {{ v{i} = "Ab12Cd34Ef{i}" \n' for i in range(n)),
+        "tags": lambda n: "<a key='x' " * n + "<b>" * n,
+        "marks": lambda n: "".join(f"password = {q}\n" for q in ('"""', "(", "{", "[", "`", "'") * (n // 6)),
+    }[kind]
+
+    def seconds(n):
+        best = 1e9
+        for _ in range(2):
+            t = time.process_time()
+            S.lexed(make(n))
+            best = min(best, time.process_time() - t)
+        return best
+
+    short, long = seconds(4_000), seconds(32_000)
+    assert long < 20 * max(short, 0.01), (short, long)
+
+
 def test_redaction(spark, documents):
     docs = documents([(1, 'x token = "Ab12Cd34Ef56" y'), (2, None), (3, "clean text: nothing = here"), (4, "k " + "ab" * 20)])
     found = {r.doc_id: r for r in S.redact_documents(docs).collect()}
