@@ -15,7 +15,7 @@ connected or proven apart. Links are confirmed on full sets.
 
 Cases: a text that is null or has no words has an empty set, links with nothing and is kept. Rows that share an id share
 their component, whatever their texts, and each text links by its own set. A row whose id is null links with nothing, has a
-null component and is kept. Empty tables give empty results; other columns of ``docs`` are ignored, whatever their names.
+null component and is kept. A very long text is read whole, as its words' hashes: about 16 bytes for each word and shingle at once. Empty tables give empty results; other columns of ``docs`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -293,13 +293,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest id. Rows whose id is null stay. Of rows that repeat an
-    id and a text one stays, the smallest by its other columns, which must have an order; texts that differ stay, whatever their id."""
-    kept = near_duplicates(docs, id, text, **parameters).where(F.col("kept") & F.col(id).isNotNull()).select(id).distinct()
-    rest = [F.col(c) for c in docs.columns if c not in (id, text)]
-    rows = docs.where(F.col(id).isNotNull()).join(kept, id, "left_semi")
-    once = rows.groupBy(id, text).agg(F.min(F.struct(F.lit(0).alias("_0"), *rest)).alias("_rest"))
-    back = [F.col(c) if c in (id, text) else F.col("_rest").getField(c).alias(c) for c in docs.columns]
-    return once.select(*back).unionByName(docs.where(F.col(id).isNull()))
+    id and a text one stays, the smallest by its other columns as JSON, whatever their kinds and names; texts that differ stay, whatever their id."""
+    kept = near_duplicates(docs, id, text, **parameters).where(F.col("kept") & F.col(id).isNotNull())
+    place = [f"c{i}" for i in range(len(docs.columns))]  # columns by their places, so that no name clashes
+    rows = docs.toDF(*place)
+    of, said = (place[docs.columns.index(c)] for c in (id, text))
+    rest = [c for c in place if c not in (of, said)]
+    found = rows.where(F.col(of).isNotNull()).join(kept.select(F.col(id).alias(of)).distinct(), of, "left_semi")
+    if rest:
+        other = F.struct(*rest)
+        once = found.groupBy(of, said).agg(F.min_by(other, F.to_json(other, {"ignoreNullFields": "false"})).alias("rest")).select(of, said, "rest.*").select(*place)
+    else:
+        once = found.distinct()
+    return once.unionByName(rows.where(F.col(of).isNull())).toDF(*docs.columns)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

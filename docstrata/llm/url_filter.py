@@ -1,15 +1,16 @@
 """URL filters whose lists change: a temporal list join.
 
 Dated list entries (add or remove of a host, a domain or a URL) become validity intervals, disjoint for each list and
-key. Every capture meets the intervals that were open when it was fetched: an as-of join on the key. Hosts repeat, so
-the join first runs on the distinct (host, day) pairs, and a hot host costs one row a day; the decisions go back to the
-captures on the same pair. An ``allow`` list that matches overrides all ``block`` lists.
+key. Every capture meets the intervals that were open when it was fetched, by an as-of join: the days that a key is asked about and
+the starts of its intervals are sorted together, and each day carries the interval that started last. A key costs a row for each day, list and
+interval, however many hosts or captures ask; the answers go to the distinct (host, day) pairs and from there to the
+captures. An ``allow`` list that matches overrides all ``block`` lists.
 
 Cases: an entry takes effect on its day; several of one day apply in the order add, remove; a remove without an add, and
 an add of what is there, change nothing; a capture with a null or unreadable URL or a null day matches nothing and is not
 blocked; captures that repeat are decided each; host names are compared in lower case and without a dot at their end, an address
 in brackets or of digits has no domains above it, URLs are compared as they are without their fragment; columns of the
-captures named ``lists`` or ``blocked`` are replaced, all others stay, whatever their names. Empty lists block nothing, an
+captures named ``lists`` or ``blocked``, in any case, are replaced, all others stay, whatever their names. Empty lists block nothing, an
 empty table gives an empty result.
 """
 
@@ -47,6 +48,17 @@ def suffixes(host: Column) -> Column:
     return F.when(address, F.array(host)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), ".")))
 
 
+def as_of(asked: DataFrame, open_: DataFrame) -> DataFrame:
+    """(kind, key, at, list, effect): the lists that were open for each distinct (kind, key, at) of ``asked``."""
+    by = ["list", "effect", "kind", "key"]
+    days = asked.select("kind", "key", "at").distinct().join(open_.select(*by).distinct(), ["kind", "key"])
+    starts = open_.select(*by, F.col("opened").alias("at"), F.struct("opened", "closed").alias("started"), F.lit(False).alias("ask"))
+    both = days.select(*by, "at", F.lit(None).cast(starts.schema["started"].dataType).alias("started"), F.lit(True).alias("ask")).unionByName(starts)
+    newest = F.last("started", ignorenulls=True).over(Window.partitionBy(*by).orderBy("at", "ask"))
+    found = both.select(*by, "at", "ask", newest.alias("newest")).where(F.col("ask") & F.col("newest").isNotNull() & (F.col("newest.closed").isNull() | (F.col("at") < F.col("newest.closed"))))
+    return found.select("kind", "key", "at", "list", "effect")
+
+
 def decide(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
     """``captures`` with ``lists`` (names of the matching lists, sorted, comma-joined) and ``blocked``."""
     open_ = intervals(entries)
@@ -54,14 +66,14 @@ def decide(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     pairs = asked.where("host is not null and at is not null").select("host", "at").distinct()
     keys = F.concat(F.array(F.struct(F.lit("host").alias("kind"), F.col("host").alias("key"))), F.transform(suffixes(F.col("host")), lambda s: F.struct(F.lit("domain").alias("kind"), s.alias("key"))))
     probes = pairs.select("host", "at", F.explode(keys).alias("p")).select("host", "at", "p.*")
-    active = (F.col("at") >= F.col("opened")) & (F.col("closed").isNull() | (F.col("at") < F.col("closed")))
+    urls = asked.where("plain is not null and at is not null").select("at", F.lit("url").alias("kind"), F.col("plain").alias("key")).distinct()
+    active = as_of(probes.select("kind", "key", "at").unionByName(urls), open_)
 
     def matched(found: DataFrame, by: list[str], lists: str) -> DataFrame:
-        return found.where(active).groupBy(*by).agg(F.collect_set(F.struct("list", "effect")).alias(lists))  # at most the number of lists
+        return found.groupBy(*by).agg(F.collect_set(F.struct("list", "effect")).alias(lists))  # at most the number of lists
 
-    hosts = matched(probes.join(open_, ["kind", "key"]), ["host", "at"], "by_host")
-    urls = asked.where("at is not null").select("plain", "at").distinct()
-    by_url = matched(urls.join(open_.where("kind = 'url'"), F.col("plain") == F.col("key")), ["plain", "at"], "by_url")
+    hosts = matched(probes.join(active, ["kind", "key", "at"]), ["host", "at"], "by_host")
+    by_url = matched(active.where("kind = 'url'").withColumnRenamed("key", "plain"), ["plain", "at"], "by_url")
     both = asked.join(hosts, ["host", "at"], "left").join(by_url, ["plain", "at"], "left")
     none = F.array().cast("array<struct<list:string,effect:string>>")
     found = both.withColumn("all", F.array_union(F.coalesce("by_host", none), F.coalesce("by_url", none)))
@@ -69,7 +81,7 @@ def decide(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
     def has(effect: str) -> Column:
         return F.exists("all", lambda x: x["effect"] == effect)
 
-    kept = [F.col("row").getField(c).alias(c) for c in captures.columns if c not in ("lists", "blocked")]
+    kept = [F.col("row").getField(c).alias(c) for c in captures.columns if c.lower() not in ("lists", "blocked")]
     return found.select(*kept, F.array_join(F.array_sort(F.array_distinct(F.transform("all", lambda x: x["list"]))), ",").alias("lists"), (has("block") & ~has("allow")).alias("blocked"))
 
 

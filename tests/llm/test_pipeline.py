@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -56,6 +57,20 @@ def test_planted_copies_and_secrets(spark, documents):
     assert {r.doc_id: r.text for r in clean.collect()} == {1: "api_key = '[SECRET]'", 2: "plain words"}
 
 
+def test_odd_rows_and_clashing_names(spark, documents):
+    """Nulls, empty texts, repeated rows and ids, and other columns of any name and kind pass through the filtering stages."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (4, ""), (None, text), (None, None), (5, "Sole words of this text"), (5, "and others under the same id"), (6, "long " * 200_000)]
+    df = documents(rows).select("*", F.lit(1).alias("_0"), F.lit("r").alias("_rest"), F.create_map(F.lit("a"), F.rand(3)).alias("m"), F.lit(b"b").alias("c0"), F.lit(2).alias("component_id"), F.lit(None).cast("int").alias("digest"), F.array(F.struct(F.lit(1).alias("x"))).alias("kept"))
+    kept = materialize(corpus_pipeline.near_duplicates(spark, df, SMALL), "kept")
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, text), (3, None), (4, ""), (None, text), (None, None), *rows[8:]], key=str)
+    for stage in (corpus_pipeline.quality, corpus_pipeline.secrets):
+        found = stage(spark, df, SMALL)
+        assert found.columns == df.columns and found.count() <= len(rows)
+    assert {r.doc_id for r in corpus_pipeline.packing(spark, kept, SMALL).collect()} == {1, 3, 4, 5, 6, None}
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_empty(spark, documents, stage):
     assert corpus_pipeline.STAGES[stage][1](spark, documents([]), SMALL).collect() == []

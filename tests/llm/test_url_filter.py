@@ -76,3 +76,15 @@ def test_empty(spark):
 
 def test_query(spark):
     assert compare(spark, "op8_url_filter", U.op8_url_filter, U.OP8_SQL, str(DATA / "sf0.01")) == ""
+
+
+def test_a_key_that_switches_often(spark):
+    """As many intervals as days cost a row each, whatever the number of hosts; columns named like the results, in any case, are replaced."""
+    days = 400
+    entries = spark.range(days * 2).select(F.lit("a").alias("list"), F.lit("block").alias("effect"), F.lit("domain").alias("kind"), F.lit("x.org").alias("key"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.when(F.col("id") % 2 == 0, "add").otherwise("remove").alias("action"))
+    captures = spark.range(days * 2).select("id", F.concat(F.lit("http://h"), (F.col("id") % 7).cast("string"), F.lit(".x.org/")).alias("url"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.lit(1).alias("Lists"), F.lit(2).alias("BLOCKED"))
+    found = U.decide(captures, entries)
+    assert found.columns == ["id", "url", "day", "lists", "blocked"] and found.select("lists").count() == days * 2
+    assert all(r.blocked == (r.id % 2 == 0) for r in found.collect())
+    asked = captures.select(F.lit("domain").alias("kind"), F.lit("x.org").alias("key"), F.col("day").alias("at"))
+    assert U.as_of(asked.union(asked), U.intervals(entries)).count() == days
