@@ -139,9 +139,11 @@ def fragments(batches: DataFrame, frequent: DataFrame, longest: int) -> DataFram
     """(pivot, cell, fragment, n) from ``batches`` and ``frequent(lang, word, rank, cells)``: a fragment is the place of its pivot and its
     words, ranks, as 32-bit numbers; ``cell`` is -1 where a pivot has only one."""
     each = batches.select("batch", F.posexplode(F.arrays_zip("lang", "word")).alias("code", "x")).select("batch", "code", "x.*")
-    ranks = each.join(frequent, ["lang", "word"]).select(F.col("batch").alias("of"), "code", "rank", "cells")
+    # every word of a batch has an answer, null where it is infrequent: as many rows as words, at any size of the corpus
+    ranks = each.join(frequent, ["lang", "word"], "left").select(F.col("batch").alias("of"), "code", "rank", "cells")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.filter(right.column("rank").is_valid())
         code, known, cells = (right.column(c).to_numpy() for c in ("code", "rank", "cells"))
         codes = left.column("codes").combine_chunks().flatten().to_numpy()  # a batch is one row
         rank = np.full(int(max(codes.max(initial=-1), code.max(initial=-1))) + 2, -1, np.int32)  # the last one is for -1
