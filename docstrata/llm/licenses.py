@@ -17,6 +17,7 @@ are ignored, whatever their names; an empty table gives an empty result. Narrow:
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -257,19 +258,47 @@ def rule_array(rules: list[Rule]) -> Column:
     return F.from_json(F.lit(json.dumps(named)), "array<struct<priority:int,label:string,keyword:string,expression:string,weight:double>>")
 
 
+#: Items that are folded at once.
+BLOCK = 64
+
+
+def folded(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The arrays of ``kind`` that ``step(state, item) -> (state, array)`` gives for the items in turn, one after the other.
+
+    An array grows by being copied, so items are folded in blocks: a block's array stays short, and the blocks' arrays are put
+    together at the end. The time is in proportion to the items."""
+    nothing = F.array().cast(f"array<{kind}>")
+
+    def of_block(so_far: Column, block: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            state_, out = step(a["state"], x)
+            return F.struct(state_.alias("state"), F.concat(a["out"], out).alias("out"))
+
+        inner = F.aggregate(block, F.struct(so_far["state"].alias("state"), nothing.alias("out")), one)
+        # what a block gives is bound to a lambda's argument, else it would be computed for each of its two uses
+        return F.get(F.transform(F.array(inner), lambda i: F.struct(i["state"].alias("state"), F.concat(so_far["outs"], F.array(i["out"])).alias("outs"))), F.lit(0))
+
+    def cut(all_: Column) -> Column:
+        at = F.when(F.size(all_) > 0, F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("outs"))
+    blocks = F.flatten(F.transform(F.array(items), cut))
+    return F.flatten(F.aggregate(blocks, start, of_block, lambda x: x["outs"]))
+
+
 def detections(words: Column, rules: list[Rule]) -> Column:
     """array<struct<a, b, priority, label, weight>>: all matches of the rules whose keyword occurs, as places in ``words``. The
     rules are one constant array: an expression for each of them would take longer to plan than to run."""
 
     def places(s: Column) -> Column:
-        def step(so_far: Column, i: Column) -> Column:
-            a = so_far["at"] + F.length(F.get(s["between"], i))
-            b = a + F.length(F.get(s["found"], i))
-            return F.struct(b.alias("at"), F.concat(so_far["out"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("out"))
+        sizes = F.arrays_zip(F.transform(s["between"], F.length).alias("gap"), F.transform(s["found"], F.length).alias("size"))
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            a = at + x["gap"]
+            return a + x["size"], F.array(F.struct(a.alias("a"), (a + x["size"]).alias("b")))
 
-        at = F.when(F.size(s["found"]) > 0, F.sequence(F.lit(0), F.size(s["found"]) - 1)).otherwise(F.array().cast("array<int>"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-        return F.aggregate(at, start, step, lambda x: x["out"])
+        return folded(F.slice(sizes, F.lit(1), F.size(s["found"])), F.lit(0), "struct<a:int,b:int>", step)
 
     def spans(r: Column) -> Column:
         # what the expression finds is bound to a lambda's argument, else it would be found again at every step
@@ -284,16 +313,15 @@ def unsuppressed(found: Column) -> Column:
     """Detections that lie in none of higher priority. In order of their starts, the longest first, whatever a detection can
     lie in comes before it and is still open where it starts."""
     in_order = F.array_sort(F.transform(found, lambda d: F.struct(d["a"].alias("a"), (-d["b"]).alias("z"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight"))))
-    kind = "array<struct<a:int,z:int,priority:int,label:string,weight:double>>"
-    start = F.struct(F.array().cast(kind).alias("open"), F.array().cast(kind).alias("out"))
+    kind = "struct<a:int,z:int,priority:int,label:string,weight:double>"
+    nothing = F.array().cast(f"array<{kind}>")
 
-    def step(so_far: Column, d: Column) -> Column:
-        alive = F.filter(so_far["open"], lambda e: -e["z"] > d["a"])
-        inside = F.exists(alive, lambda e: (e["z"] <= d["z"]) & (e["priority"] < d["priority"]))
-        return F.struct(F.concat(alive, F.array(d)).alias("open"), F.when(inside, so_far["out"]).otherwise(F.concat(so_far["out"], F.array(d))).alias("out"))
+    def step(open_: Column, d: Column) -> tuple[Column, Column]:
+        alive = F.filter(open_, lambda e: -e["z"] > d["a"])
+        inside = F.exists(open_, lambda e: (-e["z"] > d["a"]) & (e["z"] <= d["z"]) & (e["priority"] < d["priority"]))
+        return F.concat(alive, F.array(d)), F.when(inside, nothing).otherwise(F.array(d))
 
-    kept = F.aggregate(in_order, start, step, lambda x: x["out"])
-    return F.transform(kept, lambda d: F.struct(d["a"].alias("a"), (-d["z"]).alias("b"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight")))
+    return F.transform(folded(in_order, nothing, kind, step), lambda d: F.struct(d["a"].alias("a"), (-d["z"]).alias("b"), d["priority"].alias("priority"), d["label"].alias("label"), d["weight"].alias("weight")))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: list[Rule] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import time
 from re import _constants, _parser
 
 from compare import DATA
@@ -126,6 +127,19 @@ def test_many_detections_in_one_text(spark, documents):
     assert columns(r) == (13 * 3000, 0, None, None, "", "gpl-3,mit", 0.95) and len(r.detections) == 6000
 
 
+def test_time_grows_with_the_detections(spark, documents):
+    """Some 24,000 detections in one text take no more than about twice the time of 12,000."""
+
+    def seconds(n):
+        docs = documents([(1, "the mit license and apache license version 2 under gpl " * n)])
+        began = time.perf_counter()
+        assert len(L.scan(docs).first().detections) == 2 * n
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(12_000) < 3.5 * seconds(6_000)
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet(str(DATA / "sf0.001" / "documents.parquet"))
     texts = {r.doc_id: r.text for r in docs.collect()}
