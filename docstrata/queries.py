@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from docstrata.functions import text as X
 from docstrata.functions.tables import shared_folder
 from docstrata.jobs import retrieval
-from docstrata.operators import chat, chunking, clustering, embedding, long_texts, nodes, search, stats, structure, tables, validation
+from docstrata.operators import bounded, chat, chunking, clustering, embedding, long_texts, nodes, search, stats, structure, tables, validation
+from docstrata.operators.kmeans import kmeans
 from docstrata.registry import ORACLES, QUERIES, Query, query, table
 from docstrata.streaming import conversations as live
 
@@ -93,6 +94,15 @@ def flat_topk(spark, sf_dir):
     return shown(search.flat(view, retrieval.every_hundredth(view), 10))
 
 
+@query(ORACLES["flat_topk"].replace("SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (", "SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, (SELECT count(*) FROM embeddings) AS rows FROM (", 1))
+def exact_tree_topk(spark, sf_dir):
+    """The flat search's result by branch and bound in a tree of two levels; the rows compared and pruned are all rows."""
+    view = retrieval.node_view(table(spark, sf_dir, "embeddings"))
+    index = bounded.build(kmeans(view, ["label"], 4), ["label", "cluster"])
+    hits, counts = bounded.exact(index, retrieval.every_hundredth(view), 10)
+    return shown(hits.join(counts, "query_id").withColumn("rows", F.col("compared") + F.col("pruned")), "rows")
+
+
 SQL_CENTROIDS = """e AS (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
 m AS (SELECT label, dim, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY label, dim),
 k AS (SELECT label, list(x ORDER BY dim) AS v FROM m GROUP BY label)"""
