@@ -124,7 +124,7 @@ ADDED_TOGETHER = 100_000
 def numbered(chunks: DataFrame, file: str = "source_file", idx: str = "chunk_idx") -> DataFrame:
     """``chunk_number``: runs through all chunks in the order (file, idx). Only the counts per file are summed up in
     order, in ranges of files, never the chunks; files are ordered as strings."""
-    counts = chunks.groupBy(file).agg(F.count("*").alias("_n")).withColumn("_name", F.col(file).cast("string"))
+    counts = materialize(chunks.groupBy(file).agg(F.count("*").alias("_n")).withColumn("_name", F.col(file).cast("string")), "file-counts")
     parts = max(1, -(-counts.count() // ADDED_TOGETHER))
     ranges = materialize(counts.repartitionByRange(parts, "_name").withColumn("_range", F.spark_partition_id()), "counts")
     before = lambda x, w: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -11,6 +11,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docstrata import queries as Q
 from docstrata.functions import text as X
@@ -144,6 +145,32 @@ def renest_documents(spark, sf_dir):
     return found.unionByName(shown(thirds, F.format_string("content/%d/subsections/%d/subsubsections/%d", "i", "j", "k"), "n.text_content", none))
 
 
+@query(f"""WITH {SQL_PATHS} SELECT document_name || '_embedded.json' AS file_name, count(*) FILTER (level = 1) AS sections, count(*) FILTER (level = 2) AS subsections, sum(coalesce(nullif(length(title), 0), 0)) AS title_numbers, sum(CASE WHEN level = 1 THEN length(text) ELSE 0 END) AS text_numbers FROM p GROUP BY document_name""")
+def embedded_files(spark, sf_dir):
+    """Documents with their vectors as JSON lines under new names, read again: nodes, and sums over their vectors."""
+    path = new_folder(spark, "embedded-files")
+    _, embedded = embedded_tree(spark, sf_dir)
+    writers.write_embedded(embedded.withColumn("file_path", F.concat(F.lit("/in/"), "document_name", F.lit(".json"))), path)
+    found = spark.read.schema(T.StructType([*embedded.schema.fields, T.StructField("file_name", T.StringType())])).json(path)
+    number = lambda v: F.coalesce(F.get(v, F.lit(0)), F.lit(0.0)).cast("long")
+    total = lambda a, of: F.aggregate(F.coalesce(a, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda s, x: s + x) if of is None else total(F.transform(a, of), None)
+    titles = lambda a: total(a, lambda n: number(n["title"]["embedding"]))
+    subs = F.flatten(F.transform("content", lambda n: F.coalesce(n["subsections"], F.array().cast(embedded.schema["content"].dataType.elementType["subsections"].dataType))))
+    thirds = F.flatten(F.transform(subs, lambda n: F.coalesce(n["subsubsections"], F.array().cast(embedded.schema["content"].dataType.elementType["subsections"].dataType.elementType["subsubsections"].dataType))))
+    counted = (titles(F.col("content")) + titles(subs) + titles(thirds)).alias("title_numbers")
+    return found.select("file_name", F.size("content").cast("long").alias("sections"), F.size(subs).cast("long").alias("subsections"), counted, total(F.col("content"), lambda n: number(n["description"]["embedding"])).alias("text_numbers"))
+
+
+@query(f"""WITH {Q.SQL_CELLS}, w AS (SELECT doc_id, max(col) + 1 AS num_cols, max(row) + 1 AS num_rows FROM c GROUP BY doc_id), r AS (SELECT doc_id, row, string_agg(text, '|' ORDER BY col) AS line FROM c GROUP BY doc_id, row)
+SELECT CAST(doc_id AS VARCHAR) AS filename, '2024-05-06T07:08:09' AS timestamp, 1 AS num_tables, num_cols, num_rows, (SELECT string_agg(line, '/' ORDER BY row) FROM r WHERE r.doc_id = w.doc_id) AS data FROM w""")
+def table_reports(spark, sf_dir):
+    """The JSON report of the tables of each document, read again."""
+    said = tables.report(Q.cells(spark, sf_dir), F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    read = said.select(F.from_json("report", "filename string, timestamp string, num_tables int, tables array<struct<id: int, num_cols: int, num_rows: int, data: array<array<string>>>>").alias("r")).select("r.*")
+    one = F.col("tables")[0]
+    return read.select("filename", "timestamp", "num_tables", one["num_cols"].alias("num_cols"), one["num_rows"].alias("num_rows"), F.array_join(F.transform(one["data"], lambda x: F.array_join(x, "|")), "/").alias("data"))
+
+
 @query(f"""WITH {SQL_PATHS}, n AS (SELECT CASE level WHEN 1 THEN 'section' WHEN 2 THEN 'subsection' ELSE 'subsubsection' END AS level, sha256(document_name || '/' || section_idx || CASE WHEN subsection_idx >= 0 THEN '/' || subsection_idx ELSE '' END || CASE WHEN subsubsection_idx >= 0 THEN '/' || subsubsection_idx ELSE '' END) AS id,
   sha256(document_name || CASE WHEN level > 1 THEN '/' || section_idx ELSE '' END || CASE WHEN level > 2 THEN '/' || subsection_idx ELSE '' END) AS parent_id, title, CASE WHEN level = 1 THEN text END AS description, CASE WHEN level > 1 THEN text END AS text_content,
   CASE WHEN level = 1 AND length(text) > 0 THEN CAST(length(text) AS FLOAT) ELSE nullif(CAST(length(title) AS FLOAT), 0) END AS v FROM p)
