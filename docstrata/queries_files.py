@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 
 from docstrata import queries as Q
 from docstrata.functions import text as X
+from docstrata.functions import vectors
 from docstrata.functions.tables import materialize, shared_folder
 from docstrata.jobs import retrieval
 from docstrata.operators import chat, chunking, embedding, nodes, search, structure, tables, validation
 from docstrata.registry import ORACLES, query, table
-from docstrata.sources import docx, readers, versioned, writers
+from docstrata.sources import docx, readers, vector_index, versioned, writers
 from docstrata.streaming import ingest
 
 
@@ -371,3 +372,18 @@ def stored_changes(spark, sf_dir):
     store.rename(ids.where("conv_id % 5 = 0 AND conv_id % 8 = 1").select("conv_id", F.concat(F.lit("Title "), F.col("conv_id").cast("string")).alias("title")))
     counts = store.read("messages").groupBy("conv_id").agg(F.count("*").alias("messages"))
     return store.read("conversations").join(counts, "conv_id").select("conv_id", "title", "messages")
+
+
+@query("SELECT vec_id AS query_id, CAST(least(10, (SELECT count(*) FROM embeddings)) AS BIGINT) AS hits, true AS scores_exact, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_topk(spark, sf_dir):
+    """Searches of a stored index: hits of each query, whether their scores are exact cosines, and whether nine of ten true neighbours are found overall."""
+    path = new_folder(spark, "vector-index")
+    view = retrieval.node_view(table(spark, sf_dir, "embeddings"))
+    asked = retrieval.every_hundredth(view)
+    vector_index.build(view, path, clusters=16)
+    hits = materialize(vector_index.search(spark, path, asked, 10, n_probe=12, candidates=200)[0], "index-hits")
+    true = search.flat(view, asked, 10).select("query_id", "id", F.lit(True).alias("true"))
+    both = hits.join(view.select("id", F.col("vector").alias("own")), "id").join(asked, "query_id").join(true, ["query_id", "id"], "left")
+    right = F.abs(F.col("score") - vectors.cosine(F.col("own"), F.col("vector"))) < 1e-9
+    recall = both.agg((F.count("true") >= 0.9 * F.count("*")).alias("recalled"))  # one row
+    return both.groupBy("query_id").agg(F.count("*").alias("hits"), F.bool_and(right).alias("scores_exact")).join(F.broadcast(recall))
