@@ -210,22 +210,26 @@ def split_distributed(slices: DataFrame, size: int, overlap: int, keys: tuple[st
                     continue
                 base, words, end, total = (b.column(x)[i].as_py() for x in ("pieces_before", "words_before", "next", "total"))
                 start = words + np.cumsum(n) - n
-                columns = [base + np.arange(len(at)), at, np.append(at[1:], end), start, n]
+                ends = np.append(at[1:], end)
                 of = start // block
                 for k in np.unique(of).tolist():  # the pieces of a block, and for the block before it those of a chunk's length
                     for to, chosen in ((k, of == k), (k - 1, (of == k) & (start <= k * block + size))):
-                        if to >= 0 and chosen.any():
-                            arrays = [pa.array([c[chosen]], pa.list_(pa.int64())) for c in columns]
-                            yield pa.RecordBatch.from_arrays([b.column("key").slice(i, 1), pa.array([to]), pa.array([total]), *arrays], names=["key", "block", "total", "idx", "at", "end", "start", "n"])
+                        if to >= 0 and chosen.any():  # they follow one another
+                            i0, some = int(chosen.argmax()), int(chosen.sum())
+                            arrays = [pa.array([c.astype(np.int32)], pa.list_(pa.int32())) for c in (at[chosen] - at[i0], n[chosen])]
+                            firsts = [pa.array([int(x)]) for x in (total, base + i0, at[i0], ends[i0 + some - 1], start[i0])]
+                            yield pa.RecordBatch.from_arrays([b.column("key").slice(i, 1), pa.array([to]), *firsts, *arrays], names=["key", "block", "total", "idx", "at", "end", "start", "ats", "n"])
 
-    schema = T.StructType([key, *T.StructType.fromDDL("block long, total long, idx array<long>, at array<long>, end array<long>, start array<long>, n array<long>")])
+    schema = T.StructType([key, *T.StructType.fromDDL("block long, total long, idx long, at long, end long, start long, ats array<int>, n array<int>")])
     blocks = materialize(pieces.join(sums, ["key", "cell"]).mapInArrow(dealt, schema), "piece-blocks")
 
     def steps(t: pa.Table) -> tuple | None:
         """The pieces of a block with their next chunks: (columns, number of own pieces, full, after); None if it only has others'."""
-        columns = [np.concatenate([x.values.to_numpy() for x in t.column(c).combine_chunks()]) for c in ("idx", "at", "end", "start", "n")]
-        order = np.argsort(columns[0], kind="stable")
-        columns = [c[order] for c in columns]
+        runs = []
+        for r in sorted(zip(*(t.column(c).to_pylist() for c in ("idx", "at", "end", "start")), t.column("ats"), t.column("n"), strict=True), key=lambda r: r[0]):
+            at, n = r[1] + r[4].values.to_numpy().astype(np.int64), r[5].values.to_numpy().astype(np.int64)
+            runs.append((r[0] + np.arange(len(at)), at, np.append(at[1:], r[2]), r[3] + np.cumsum(n) - n, n))
+        columns = [np.concatenate(c) for c in zip(*runs, strict=True)]
         own = int((columns[3] // block == t.column("block")[0].as_py()).sum())
         return (columns, own, *next_chunks(columns[0], columns[3], columns[4], t.column("total")[0].as_py(), size, overlap)) if own else None
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import text as X
 from docstrata.functions.tables import shared_folder
 from docstrata.jobs import retrieval
-from docstrata.operators import bounded, chat, chunking, clustering, embedding, long_texts, nodes, search, stats, structure, tables, validation
+from docstrata.operators import bounded, chat, chunking, clustering, embedding, long_texts, nodes, overlap_index, search, stats, structure, tables, validation
 from docstrata.operators.kmeans import kmeans
 from docstrata.registry import ORACLES, QUERIES, Query, query, table
 from docstrata.streaming import conversations as live
@@ -127,6 +127,17 @@ def rerank_overlap(spark, sf_dir):
     return found.select("query_id", "id", F.round("overlap", 6).alias("overlap"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+@query("WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\t\\n\\x0b\\x0c\\r ]+'), lambda x: x <> '')) AS w FROM documents), "
+       "o AS (SELECT item_id, doc_id, coalesce(CAST(len(list_intersect(b.w, d.w)) AS DOUBLE) / nullif(len(b.w) + len(d.w) - len(list_intersect(b.w, d.w)), 0), 0) AS overlap FROM b, d) "
+       "SELECT query_id, id, round(overlap, 6) AS overlap, true AS within FROM (SELECT item_id AS query_id, doc_id AS id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY round(overlap, 9) DESC, doc_id) AS r FROM o) WHERE r <= 5")
+def indexed_overlap(spark, sf_dir):
+    """The documents of largest word overlap with each benchmark item, through an inverted index; no more postings are read than there are."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    index = overlap_index.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    hits, counts = overlap_index.search(index, asked, 5)
+    return hits.join(counts, "query_id").select("query_id", "id", F.round("overlap", 6).alias("overlap"), (F.col("read") <= F.col("postings")).alias("within"))
+
+
 @query(f"""{SQL_TREE} SELECT a.query_id, string_agg('[' || a.rank || '] D' || s.parent_id || ' / S' || s.id || ' / U' || a.sub || ': ' || CASE WHEN length(d.text) > 300 THEN substr(d.text, 1, 300) || '...' ELSE d.text END, chr(10)
   ORDER BY a.rank, '[' || a.rank || '] D' || s.parent_id || ' / S' || s.id || ' / U' || a.sub || ': ' || CASE WHEN length(d.text) > 300 THEN substr(d.text, 1, 300) || '...' ELSE d.text END) AS context
   FROM a JOIN u ON u.query_id = a.query_id AND u.id = a.sub JOIN s ON s.query_id = a.query_id AND s.id = u.parent_id JOIN documents d ON d.doc_id = a.id GROUP BY a.query_id""")
