@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstrata.functions.tables import materialize
-from docstrata.operators.chunking import SEPARATORS, word_count
+from docstrata.operators.chunking import SEPARATORS, recursive_chunks, word_count
 
 #: Characters of a cell; words of a block of pieces, at least four chunks; tables that are composed in one task.
 GRID, BLOCK, FAN_IN = 1_000_000, 200_000, 64
@@ -283,6 +283,16 @@ def split_distributed(slices: DataFrame, size: int, overlap: int, keys: tuple[st
     return done.select("key.*", "chunk_idx", "chunk", "n_tokens")
 
 
+def chunks_of_any_length(docs: DataFrame, size: int, overlap: int, keys: tuple[str, ...] = ("doc_id",), text: str = "text", longer_than: int = GRID, separators: tuple[str, ...] = SEPARATORS, grid: int = GRID) -> DataFrame:
+    """(keys, chunk_idx, chunk, n_tokens) of ``docs``, a row for each text: those of more than ``longer_than`` characters go over many tasks,
+    all others are split where they are. The chunks are the same either way; rows that repeat a key are texts of their own."""
+    long_ = F.coalesce(F.length(text) > longer_than, F.lit(False))
+    short = recursive_chunks(docs.where(~long_).select(*keys, text), size, overlap, text, separators)
+    rows = docs.where(long_).select(*keys, text).withColumn("_row", F.monotonically_increasing_id())
+    apart = split_distributed(text_slices(rows, text, grid), size, overlap, (*keys, "_row"), text=text, separators=separators, grid=grid)
+    return short.select(*keys, "chunk_idx", "chunk", "n_tokens").unionByName(apart.drop("_row"))
+
+
 def first_chunks(tables: DataFrame, key: T.StructField) -> DataFrame:
     """(key, block, entry): the piece that begins the first chunk of each block, from ``tables(key, block, entry, exit)`` composed in a tree."""
     found = T.StructType([key, T.StructField("block", T.LongType()), T.StructField("entry", T.LongType())])

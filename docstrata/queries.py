@@ -325,9 +325,9 @@ def recursive_chunks(spark, sf_dir):
 
 @query("SELECT doc_id, true AS same FROM documents WHERE trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> ''")
 def long_text_chunks(spark, sf_dir):
-    """Texts that come in slices, split by many tasks together, have the chunks of the splitter in one task."""
+    """Chunks of texts of any length, those of more than 15,000 characters split by many tasks together, beside the splitter's in one task."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    apart = long_texts.split_distributed(long_texts.text_slices(docs, chars=10_000), 120, 20, grid=50_000)
+    apart = long_texts.chunks_of_any_length(docs, 120, 20, longer_than=15_000, grid=10_000)
     both = apart.withColumnRenamed("chunk", "other").drop("n_tokens").join(chunking.recursive_chunks(docs, 120, 20), ["doc_id", "chunk_idx"], "full")
     return both.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("other"), F.lit(False))).alias("same"))
 

@@ -84,6 +84,16 @@ def test_production_parameters(spark):
     assert len(text) > 5 * long_texts.GRID and [found[7][i][0] for i in range(len(found[7]))] == split and found[8] == {0: ("short one", 2)} and set(found) == {7, 8}
 
 
+def test_texts_of_any_length(spark):
+    """Long and short texts in one table, also under one key."""
+    rng = np.random.default_rng(10)
+    rows = [(i % 9, t) for i, t in enumerate(texts(rng, 30, 300))] + [(3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, long_texts.chunks_of_any_length(docs, 5, 2, longer_than=150, grid=40).collect()))
+    assert found == sorted((d, i, c, len(c.split())) for d, t in rows for i, c in enumerate(chunking.split_text(t or "", 5, 2)))
+    assert sum(len(t or "") > 150 for _, t in rows) > 5
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=40), st.integers(1, 8), st.integers(0, 7))
 def test_next_chunks_follow_the_packing(n, size, overlap):
