@@ -102,7 +102,7 @@ def exact(index: Index, queries: DataFrame, k: int = 10) -> tuple[DataFrame, Dat
         rest = materialize(within(rest.join(chosen, ["query_id", "leaf"], "left_anti"), limits(hits, k)), "search-leaves")
         take *= 2
     leaves = index.levels[-1].select(F.col("node").alias("leaf"), "rows")
-    total = leaves.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"))  # one row
+    total = leaves.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]  # one number
     compared = asked.select("query_id").join(seen.join(leaves, "leaf").groupBy("query_id").agg(F.sum("rows").alias("compared")), "query_id", "left")
-    counts = compared.join(F.broadcast(total)).select("query_id", F.coalesce("compared", F.lit(0)).alias("compared"), (F.col("total") - F.coalesce("compared", F.lit(0))).alias("pruned"))
+    counts = compared.select("query_id", F.coalesce("compared", F.lit(0)).alias("compared"), (F.lit(total) - F.coalesce("compared", F.lit(0))).alias("pruned"))
     return hits.select("query_id", "id", "score", "rank"), counts
