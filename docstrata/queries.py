@@ -328,8 +328,9 @@ def long_text_chunks(spark, sf_dir):
     """Chunks of texts of any length, those of more than 15,000 characters split by many tasks together, beside the splitter's in one task."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     apart = long_texts.chunks_of_any_length(docs, 120, 20, longer_than=15_000, grid=10_000)
-    both = apart.withColumnRenamed("chunk", "other").drop("n_tokens").join(chunking.recursive_chunks(docs, 120, 20), ["doc_id", "chunk_idx"], "full")
-    return both.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("chunk") == F.col("other"), F.lit(False))).alias("same"))
+    digests = lambda chunks, name: chunks.select("doc_id", "chunk_idx", F.md5("chunk").alias(name))
+    both = digests(apart, "digest").join(digests(chunking.recursive_chunks(docs, 120, 20), "other"), ["doc_id", "chunk_idx"], "full")
+    return both.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("digest") == F.col("other"), F.lit(False))).alias("same"))
 
 
 @query()
