@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import uuid
 import zipfile
@@ -20,7 +21,7 @@ from docstrata.functions.tables import materialize, shared_folder
 from docstrata.jobs import retrieval
 from docstrata.operators import chat, chunking, embedding, nodes, search, structure, tables, validation
 from docstrata.registry import ORACLES, query, table
-from docstrata.sources import docx, readers, vector_index, versioned, writers
+from docstrata.sources import docx, readers, vector_index, vector_store, versioned, writers
 from docstrata.streaming import ingest
 
 
@@ -387,3 +388,28 @@ def vector_index_topk(spark, sf_dir):
     right = F.abs(F.col("score") - vectors.cosine(F.col("own"), F.col("vector"))) < 1e-9
     recall = both.agg((F.count("true") >= 0.9 * F.count("*")).alias("recalled"))  # one row
     return both.groupBy("query_id").agg(F.count("*").alias("hits"), F.bool_and(right).alias("scores_exact")).join(F.broadcast(recall))
+
+
+@query("""WITH c AS (SELECT CASE WHEN doc_id % 100 = 0 THEN text || ' (revised)' ELSE text END AS text FROM documents),
+a AS (SELECT count(DISTINCT text) AS n FROM documents), b AS (SELECT count(DISTINCT text) AS n FROM c), f AS (SELECT count(DISTINCT text) AS n FROM c WHERE text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL))
+SELECT 'first' AS step, a.n AS encoded, a.n AS stored, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) AS characters FROM a
+UNION ALL SELECT 'again', 0, a.n, (SELECT CAST(sum(length(text)) AS BIGINT) FROM documents) FROM a
+UNION ALL SELECT 'revised', f.n, a.n + f.n, (SELECT CAST(sum(length(text)) AS BIGINT) FROM c) FROM a, f
+UNION ALL SELECT 'collected', 0, b.n, (SELECT CAST(sum(length(text)) AS BIGINT) FROM c) FROM b""")
+def kept_vectors(spark, sf_dir):
+    """Runs against one vector store: all texts, the same again, with every hundredth text revised, and once more after the vectors that the last run
+    does not refer to are collected. What each run encodes, what is stored after it, and what its vectors add up to."""
+    store = vector_store.create(spark, new_folder(spark, "vectors"), buckets=16)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    revised = docs.withColumn("text", F.when(F.col("doc_id") % 100 == 0, F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text")))
+    length = lambda t: t.withColumn("vector", F.array(F.length("text").cast("float")))
+    steps = []
+    for step, texts in (("first", docs), ("again", docs), ("revised", revised), ("collected", revised)):
+        if step == "collected":
+            for run in ("first", "again"):
+                store.forget(run)
+            store.collected()
+        rows, n = store.encoded(texts, length, step)
+        told = rows.agg(F.sum(F.col("vector")[0].cast("long")).alias("characters")).withColumn("step", F.lit(step)).withColumn("encoded", F.lit(n).cast("long"))
+        steps.append(told.join(F.broadcast(store.vectors().agg(F.count("*").alias("stored")))))  # one row each
+    return functools.reduce(DataFrame.unionByName, steps)
