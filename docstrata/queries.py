@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import text as X
 from docstrata.functions.tables import shared_folder
 from docstrata.jobs import retrieval
-from docstrata.operators import bounded, chat, chunking, clustering, embedding, long_texts, nodes, overlap_index, search, stats, structure, tables, validation
+from docstrata.operators import bounded, chat, chunking, clustering, embedding, long_texts, nodes, overlap_index, quantiles, search, stats, structure, tables, validation
 from docstrata.operators.kmeans import kmeans
 from docstrata.registry import ORACLES, QUERIES, Query, query, table
 from docstrata.streaming import conversations as live
@@ -360,6 +360,28 @@ def store_comparison(spark, sf_dir):
     return stats.store_comparison(with_vector(windows(spark, sf_dir)), with_vector(chunking.character_windows(below, 500, 100)))
 
 
+SQL_WORD_LENGTHS = "v AS (SELECT source, length(text) / CAST(length(text) - length(replace(text, ' ', '')) + 1 AS DOUBLE) AS v FROM documents)"
+SHARES = [0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0]
+
+
+def word_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, v): characters of each document for each of its words."""
+    n = F.length("text")
+    return table(spark, sf_dir, "documents").select("source", (n / (n - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("double")).alias("v"))
+
+
+@query(f"WITH {SQL_WORD_LENGTHS} SELECT source, count(v) AS n, quantile_cont(v, {SHARES}) AS quantiles FROM v GROUP BY source HAVING count(v) > 0")
+def source_quantiles(spark, sf_dir):
+    """How long words are in the documents of each source: exact quantiles."""
+    return quantiles.exact_quantiles(word_lengths(spark, sf_dir), "v", SHARES, ("source",))
+
+
+@query(f"WITH {SQL_WORD_LENGTHS} SELECT count(v) AS n, quantile_cont(v, {SHARES}) AS quantiles FROM v HAVING count(v) > 0")
+def corpus_quantiles(spark, sf_dir):
+    """The same over all documents."""
+    return quantiles.exact_quantiles(word_lengths(spark, sf_dir), "v", SHARES)
+
+
 # ---- vectors and clusters --------------------------------------------------------------------------------------------
 
 
