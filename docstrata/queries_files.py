@@ -102,6 +102,14 @@ def docx_documents(spark, sf_dir):
     return found.select("doc_name", "pos", "kind", "text", "level")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_name, count(*) AS blocks, CAST(ceil(count(*) / 4.0) AS BIGINT) AS headings, CAST(sum(length(line)) AS BIGINT) AS characters FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
+def docx_stream(spark, sf_dir):
+    """Documents that arrive as DOCX files, read as a stream without images: paragraphs, headings and characters of each."""
+    arriving = docx.docx_blocks(docx_files(Q.stream(spark, sf_dir, "documents")), images=False).drop("images", "cells")
+    found = structure.with_headings(Q.drained(spark, arriving, "append", "docx").where("kind = 'paragraph'"))
+    return found.groupBy("doc_name").agg(F.count("*").alias("blocks"), F.count("level").alias("headings"), F.sum(F.length("text")).cast("long").alias("characters"))
+
+
 @query(f"WITH {Q.SQL_WINDOWS} SELECT CAST(doc_id AS VARCHAR) AS source_file, chunk_idx, chunk AS content, CAST(length(chunk) AS FLOAT) AS v FROM w WHERE chunk_idx % 5 <> 3")
 def flat_files(spark, sf_dir):
     """Chunks with vectors as flat JSON files, read again; chunks without a vector are left out."""

@@ -40,8 +40,9 @@ def cells_of(table: ElementTree.Element) -> list[list[tuple[str, str | None]]]:
     return out
 
 
-def blocks_of(content: bytes) -> Iterator[tuple]:
-    """(pos, kind, style, text, images, cells) of the body's paragraphs and tables, in order."""
+def blocks_of(content: bytes, images: bool = True) -> Iterator[tuple]:
+    """(pos, kind, style, text, images, cells) of the body's paragraphs and tables, in order; without ``images`` their bytes are
+    not unpacked, and null."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         styles = {}
@@ -63,30 +64,42 @@ def blocks_of(content: bytes) -> Iterator[tuple]:
             name = styles.get(style.get(f"{W}val"), style.get(f"{W}val")) if style is not None else "Normal"
             # built-in style names are stored in lower case
             name = name[:1].upper() + name[1:] if name else name
-            images = []
+            pictures = []
             for b in e.iter(f"{A}blip"):
                 target = links.get(b.get(f"{R}embed"), "")
                 if f"word/{target}" in names:
-                    images.append((target.rsplit(".", 1)[-1].lower(), z.read(f"word/{target}")))
-            yield pos, "paragraph", name, text_of(e), images, []
+                    pictures.append((target.rsplit(".", 1)[-1].lower(), z.read(f"word/{target}") if images else None))
+            yield pos, "paragraph", name, text_of(e), pictures, []
 
 
-def read_docx(spark: SparkSession, path: str, parts: int = 0) -> DataFrame:
-    """Blocks of all DOCX files; ``parts`` spreads the files by size before they are parsed."""
+#: What Spark's reader of whole files gives, as a stream must be told.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def read_docx(spark: SparkSession, path: str, parts: int = 0, images: bool = True) -> DataFrame:
+    """Blocks of all DOCX files; ``parts`` spreads the files by size before they are parsed. Files of no bytes are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
     files = files.select(X.stem(F.col("path")).alias("doc_name"), "content", "length")
-    return docx_blocks(files.repartition(parts, "length", "doc_name") if parts else files)
+    return docx_blocks(files.repartition(parts, "length", "doc_name") if parts else files, images)
+
+
+def stream_docx(spark: SparkSession, path: str, images: bool = True, batch_bytes: int = 1 << 30) -> DataFrame:
+    """A stream of the blocks of DOCX files: each file is read once, in a batch of about ``batch_bytes``; which were read is kept in
+    the query's checkpoint. A file that is replaced under its name is not read again."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").option("maxBytesPerTrigger", batch_bytes).load(path)
+    return docx_blocks(files.select(X.stem(F.col("path")).alias("doc_name"), "content"), images)
 
 
-def docx_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of files(doc_name, content). A file that can't be read yields one block of kind "unreadable" with the reason as text."""
+def docx_blocks(files: DataFrame, images: bool = True) -> DataFrame:
+    """Blocks of files(doc_name, content), a table or a stream. A file that can't be read, as an empty or null one, yields one block of kind
+    "unreadable" with the reason as text. Without ``images`` only their extensions are told, and no image is unpacked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["doc_name", "pos", "kind", "style", "text", "images", "cells"]
         for pdf in batches:
             for name, content in zip(pdf["doc_name"], pdf["content"], strict=True):
                 try:
-                    rows = [(name, *b) for b in blocks_of(content)]
+                    rows = [(name, *b) for b in blocks_of(content, images)]
                 except Exception as x:  # whatever is wrong with one file, the others are read
                     rows = [(name, 0, "unreadable", None, f"{type(x).__name__}: {x}", [], [])]
                 as_dicts = [(*r[:5], [{"ext": e, "bytes": b} for e, b in r[5]], [[{"text": t, "span": s} for t, s in c] for c in r[6]]) for r in rows]

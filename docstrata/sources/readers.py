@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from docstrata.functions import text as X
 
@@ -16,10 +17,19 @@ DOCUMENT = f"document_name STRING, content ARRAY<STRUCT<title STRING, descriptio
 FLAT = "source_file STRING, file_content ARRAY<STRUCT<chunk STRING, embedding ARRAY<FLOAT>>>"
 
 
+def documents_with(reader: DataFrameReader | DataStreamReader, path: str, recursive: bool) -> DataFrame:
+    reader = reader.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
+    return reader.json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
+
+
 def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """Document JSON files, one row each with ``file_path``; an unreadable file has its text in ``_corrupt``."""
-    reader = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
-    return reader.json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
+    return documents_with(spark.read, path, recursive)
+
+
+def stream_documents(spark: SparkSession, path: str, recursive: bool = True, batch_bytes: int = 1 << 30) -> DataFrame:
+    """The same as a stream: each file once, in batches of about ``batch_bytes``."""
+    return documents_with(spark.readStream.option("maxBytesPerTrigger", batch_bytes), path, recursive)
 
 
 def split_unreadable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
