@@ -99,4 +99,6 @@ def lower_values(left: DataFrame) -> DataFrame:
 
 
 def interpolated(low: Column, high: Column, share: Column) -> Column:
-    return F.when((low == high) | (share == 0), low).otherwise(low + (high - low) * share)
+    """low * (1 - share) + high * share, as SQL's ``quantile_cont`` rounds it: the second product, then the sum with the exact first one."""
+    between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - share, high * share)  # gives a string that reads as the same double
+    return F.when(share == 0, low).otherwise(between.cast("double"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +55,11 @@ def test_empty_and_no_probabilities(spark):
 def test_bad_probability(spark):
     with pytest.raises(ValueError, match="between 0 and 1"):
         Q.exact_quantiles(spark.range(3), "id", [1.5])
+
+
+def test_the_last_bit_is_that_of_sql(spark):
+    """Values with many digits, and groups of equal ones."""
+    rows = spark.range(900).select((F.col("id") % 30).cast("int").alias("g"), (F.when(F.col("id") % 30 < 5, 7.77).otherwise(F.pmod(F.xxhash64("id"), F.lit(99991))) / 1.7).alias("v"))
+    found = {r.g: list(r.quantiles) for r in Q.exact_quantiles(rows, "v", P[:3] + P[4:], ("g",)).collect()}
+    values = ", ".join(f"({r.g}, {r.v!r}::DOUBLE)" for r in rows.collect())
+    assert found == dict(duckdb.sql(f"SELECT g, quantile_cont(v, {P[:3] + P[4:]}) FROM (VALUES {values}) t(g, v) GROUP BY g").fetchall())
