@@ -17,14 +17,15 @@ DOCUMENT = f"document_name STRING, content ARRAY<STRUCT<title STRING, descriptio
 FLAT = "source_file STRING, file_content ARRAY<STRUCT<chunk STRING, embedding ARRAY<FLOAT>>>"
 
 
-def documents_with(reader: DataFrameReader | DataStreamReader, path: str, recursive: bool) -> DataFrame:
-    reader = reader.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
+def documents_with(reader: DataFrameReader | DataStreamReader, path: str, recursive: bool, lines: bool = False) -> DataFrame:
+    reader = reader.schema(DOCUMENT).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
     return reader.json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
-def read_documents(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Document JSON files, one row each with ``file_path``; an unreadable file has its text in ``_corrupt``."""
-    return documents_with(spark.read, path, recursive)
+def read_documents(spark: SparkSession, path: str, recursive: bool = True, lines: bool = False) -> DataFrame:
+    """Document JSON files, one row each with ``file_path``; an unreadable file has its text in ``_corrupt``. With ``lines`` a file holds
+    any number of documents, one a line: a corpus in a file for each document takes its time to create, list and open them."""
+    return documents_with(spark.read, path, recursive, lines)
 
 
 def stream_documents(spark: SparkSession, path: str, recursive: bool = True, batch_bytes: int = 1 << 30) -> DataFrame:
@@ -48,10 +49,15 @@ def read_markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFra
     return read_raw(spark, path, glob).select(F.col("file_name").alias("source_file"), F.col("value").alias("text"))
 
 
-def read_flat_embedded(spark: SparkSession, path: str) -> DataFrame:
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, value) of the files that ``writers.write_packed`` has put together."""
+    return spark.read.schema("file_name string, value string").parquet(path)
+
+
+def read_flat_embedded(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(source_file, chunk_idx, content, embedding) of flat files, each named as it says or else by its own name; entries without
-    a chunk or a vector are left out."""
-    files = spark.read.schema(FLAT).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    a chunk or a vector are left out. With ``lines`` a file holds one flat file a line."""
+    files = spark.read.schema(FLAT).option("multiLine", not lines).option("pathGlobFilter", "*.json").json(path)
     rows = files.select(F.coalesce("source_file", X.file_name(F.col("_metadata.file_path"))).alias("source_file"), F.posexplode("file_content").alias("chunk_idx", "x"))
     return usable_chunks(rows.select("source_file", "chunk_idx", F.col("x.chunk").alias("content"), F.col("x.embedding").alias("embedding")))
 

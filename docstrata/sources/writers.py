@@ -33,10 +33,17 @@ def write_embedded(documents: DataFrame, path: str, name: str = "file_path") ->
     documents.withColumn("file_name", X.swap_suffix(X.file_name(F.col(name)), ".json", "_embedded.json")).write.mode("overwrite").json(path)
 
 
-def write_flat(chunks: DataFrame, path: str, file: str = "source_file") -> None:
-    """A JSON file {"source_file": ..., "file_content": [{chunk, embedding}, ...]} for each source file, chunks in order."""
+def write_packed(files: DataFrame, path: str, name: str = "file_name", value: str = "value") -> None:
+    """Many small text files as rows (file_name, value) of a few large ones, for ``readers.read_packed``; every text comes back as it was."""
+    files.select(F.col(name).cast("string").alias("file_name"), F.col(value).alias("value")).write.mode("overwrite").parquet(path)
+
+
+def write_flat(chunks: DataFrame, path: str, file: str = "source_file", lines: bool = False) -> None:
+    """A JSON file {"source_file": ..., "file_content": [{chunk, embedding}, ...]} for each source file, chunks in order; with ``lines`` a
+    line for each, many in a file."""
     entries = F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", F.col("content").alias("chunk"), "embedding"))), lambda x: F.struct(x["chunk"].alias("chunk"), x["embedding"].alias("embedding")))
-    chunks.groupBy(F.col(file).alias("source_file")).agg(entries.alias("file_content")).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
+    writer = chunks.groupBy(F.col(file).alias("source_file")).agg(entries.alias("file_content")).write.mode("overwrite")
+    (writer if lines else writer.option("maxRecordsPerFile", 1)).json(path)
 
 
 def write_repaired(checked: DataFrame, path: str) -> int:
