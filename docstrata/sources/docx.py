@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,12 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 BLOCKS = "doc_name string, pos int, kind string, style string, text string, images array<struct<ext string, bytes binary>>, cells array<array<struct<text string, span string>>>"
+ARROW = pa.schema([
+    ("doc_name", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("style", pa.string()), ("text", pa.string()),
+    ("images", pa.list_(pa.struct([("ext", pa.string()), ("bytes", pa.binary())]))), ("cells", pa.list_(pa.list_(pa.struct([("text", pa.string()), ("span", pa.string())])))),
+])
+#: Blocks leave a task in batches of about so many bytes, with as many for a row or cell besides its text.
+OUT_BYTES, ROW_BYTES = 8 << 20, 100
 
 
 def text_of(element: ElementTree.Element) -> str:
@@ -93,19 +99,33 @@ def stream_docx(spark: SparkSession, path: str, images: bool = True, batch_bytes
 def docx_blocks(files: DataFrame, images: bool = True) -> DataFrame:
     """Blocks of files(doc_name, content), a table or a stream. A file that can't be read, as an empty or null one, yields one block of kind
     "unreadable" with the reason as text. Without ``images`` only their extensions are told, and no image is unpacked."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_name", "pos", "kind", "style", "text", "images", "cells"]
-        for pdf in batches:
-            for name, content in zip(pdf["doc_name"], pdf["content"], strict=True):
-                try:
-                    rows = [(name, *b) for b in blocks_of(content, images)]
-                except Exception as x:  # whatever is wrong with one file, the others are read
-                    rows = [(name, 0, "unreadable", None, f"{type(x).__name__}: {x}", [], [])]
-                as_dicts = [(*r[:5], [{"ext": e, "bytes": b} for e, b in r[5]], [[{"text": t, "span": s} for t, s in c] for c in r[6]]) for r in rows]
-                yield pd.DataFrame(as_dicts, columns=columns)
-
-    return files.select("doc_name", "content").mapInPandas(run, BLOCKS)
+    return files.select("doc_name", "content").mapInArrow(lambda batches: parsed(batches, images), BLOCKS)
+
+
+def parsed(batches: Iterable[pa.RecordBatch], images: bool) -> Iterator[pa.RecordBatch]:
+    """Blocks of many files in each batch; one for each file would make the conversion the greatest part of the work."""
+    rows, size = [], 0
+    for batch in batches:
+        for name, content in zip(batch["doc_name"], batch["content"], strict=True):
+            name = name.as_py()
+            try:
+                found = [(name, *b) for b in blocks_of(content.as_py(), images)]
+            except Exception as x:  # whatever is wrong with one file, the others are read
+                found = [(name, 0, "unreadable", None, f"{type(x).__name__}: {x}", [], [])]
+            rows += found
+            size += sum(ROW_BYTES + len(r[4] or "") + sum(len(i or b"") for _, i in r[5]) + ROW_BYTES * sum(map(len, r[6])) for r in found)
+            if size >= OUT_BYTES:
+                yield as_batch(rows)
+                rows, size = [], 0
+    if rows:
+        yield as_batch(rows)
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows, strict=True)]
+    columns[5] = [[{"ext": e, "bytes": b} for e, b in x] for x in columns[5]]
+    columns[6] = [[[{"text": t, "span": s} for t, s in r] for r in x] for x in columns[6]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
 def cells(blocks: DataFrame) -> DataFrame:

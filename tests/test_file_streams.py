@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from test_structure import docx_file
 
@@ -65,3 +66,15 @@ def test_document_stream_equals_the_reader(spark, tmp_path):
     assert plain(found) == plain(readers.read_documents(spark, str(folder)))
     good, bad = readers.split_unreadable(found)
     assert good.where("document_name IS NOT NULL").count() == 3 and bad.count() >= 1
+
+
+def test_blocks_of_many_files_leave_together(spark, monkeypatch):
+    """A batch for each file made the conversion the greatest part of the work."""
+    made = []
+    monkeypatch.setattr(docx, "as_batch", lambda rows, f=docx.as_batch: made.append(len(rows)) or f(rows))
+    content = docx_file(PARAGRAPH.format("x"), ["word/media/i.png"])
+    batch = pa.RecordBatch.from_pydict({"doc_name": [f"d{i}" for i in range(50)], "content": [content] * 50})
+    for size, n in ((docx.OUT_BYTES, 1), (1, 50)):
+        monkeypatch.setattr(docx, "OUT_BYTES", size)
+        made.clear()
+        assert sum(b.num_rows for b in docx.parsed([batch, batch], True)) == 100 and len(made) == n * (1 if n == 1 else 2)
