@@ -27,7 +27,9 @@ def merged_cells(cells: DataFrame, by: list[str] = TABLE) -> DataFrame:
 
 
 def forward_filled(cells: DataFrame, by: list[str] = TABLE) -> DataFrame:
-    """Blank cells take the value above, and those still blank the value to the left."""
+    """Blank cells take the value above, and those still blank the value to the left. A document's cells are moved once, for both windows:
+    the first of ``by`` deals them out."""
+    cells = cells.repartition(by[0])
     value = F.when(~X.is_blank(F.col("text")), F.col("text"))
     down = cells.withColumn("text", F.last(value, True).over(Window.partitionBy(*by, "col").orderBy("row")))
     return down.withColumn("text", F.last("text", True).over(Window.partitionBy(*by, "row").orderBy("col")))
@@ -46,8 +48,15 @@ def larger_than(cells: DataFrame, n: int, by: list[str] = TABLE) -> DataFrame:
 
 def rows(cells: DataFrame, by: list[str] = TABLE) -> DataFrame:
     """(…, row, data): the cells of each row in order."""
-    data = F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
-    return cells.groupBy(*by, "row").agg(data.alias("data"))
+    return ordered_rows(cells, by).drop("num_cols")
+
+
+def ordered_rows(cells: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``num_cols``, the last column's number and one. Places and texts are collected side by side, without nulls, which moves
+    a third less than a struct for each cell."""
+    place, text = F.collect_list(F.coalesce("col", F.lit(-(2**31)))), F.collect_list(F.coalesce("text", F.lit("")))
+    both = F.array_sort(F.arrays_zip(place.alias("col"), text.alias("text")))
+    return cells.groupBy(*by, "row").agg(F.transform(both, lambda x: x["text"]).alias("data"), (F.max("col") + 1).alias("num_cols"))
 
 
 def delimited(cells: DataFrame, separator: str = ",", by: list[str] = TABLE) -> DataFrame:
@@ -62,6 +71,7 @@ def delimited(cells: DataFrame, separator: str = ",", by: list[str] = TABLE) ->
 
 def report(cells: DataFrame, at: Column, doc: str = "doc_id", table: str = "table_id") -> DataFrame:
     """(doc, report): a JSON object with filename, timestamp, num_tables and the tables of each document."""
-    grid = rows(cells, [doc, table]).groupBy(doc, table).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "data"))), lambda r: r["data"]).alias("data"))
-    one = grid.join(profile(cells, [doc, table]), [doc, table]).select(doc, F.struct(F.col(table).alias("id"), "num_cols", "num_rows", "data").alias("t"))
+    grid = ordered_rows(cells.repartition(doc), [doc, table]).groupBy(doc, table)  # cells are moved once, for rows, tables and documents
+    data = F.transform(F.array_sort(F.collect_list(F.struct("row", "data"))), lambda r: r["data"]).alias("data")
+    one = grid.agg(F.max("num_cols").alias("num_cols"), (F.max("row") + 1).alias("num_rows"), data).select(doc, F.struct(F.col(table).alias("id"), "num_cols", "num_rows", "data").alias("t"))
     return one.groupBy(doc).agg(F.to_json(F.struct(F.first(F.col(doc).cast("string")).alias("filename"), F.first(X.iso_time(at)).alias("timestamp"), F.count("*").alias("num_tables"), F.array_sort(F.collect_list("t")).alias("tables"))).alias("report"))
