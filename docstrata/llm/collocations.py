@@ -1,8 +1,13 @@
 """Phrases whose words keep company: contiguous n-grams mined by pivot partitioning, scored by their weakest cut.
 
 Texts are cut into pieces and words (A-Z lower-cased; pieces end at ``. , ; : ! ?`` and line breaks, words at blanks and tabs).
-Tasks number the words of a batch of about ``BATCH_BYTES``; only the distinct words of a batch, with their counts, are shuffled
-and summed, and each batch gets back the ranks of its own frequent words: no dictionary is broadcast.
+Tasks number the words of a batch of about ``BATCH_BYTES``; words and codes of a batch are one row of packed columns.
+
+First a filter: each batch sends the 32-bit hashes of its distinct words and word pairs, sorted, as differences, with their counts, in ``parts`` ranges of hashes.
+Where a range is, the counts of all batches are added, and each batch gets back one bit for each hash it sent: whether it occurs ``least`` times in all. A
+phrase that occurs so often consists of pairs that do, so texts are cut at all other pairs before anything else is moved. Hashes that coincide
+only let more through, as all that is left is counted exactly afterwards. Of the words that are left, each with its whole count in every batch, the
+distinct ones of a batch are shuffled and summed, and each batch gets back the ranks of its own frequent ones: no dictionary is broadcast, and no word is joined.
 
 Words are ranked from rare to frequent. An n-gram belongs to its rarest word, its pivot. At each place of a text the word there
 is the pivot of the fragment around it that can hold n-grams of its own: up to ``longest`` - 1 words to the left of higher
@@ -24,6 +29,7 @@ are kept as they are; there may be 2^31 frequent words; other columns are ignore
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +47,10 @@ TOGETHER = 200_000
 LEAST, LONGEST, FIRST = 100, 5, 2000
 #: A-Z to a-z, tabs to blanks, the ends of pieces to line breaks.
 TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
-WORDS = "batch long, lang array<string>, word array<binary>, n array<int>, codes array<int>"
+#: A batch: its languages with their numbers of distinct words and of all words; words by language, counts and codes, packed.
+BATCH = "batch long, langs array<string>, sizes array<int>, totals array<long>, words binary, n binary, codes binary"
+#: Ranges of hashes at least, and batches for each of them.
+PARTS, BATCHES_A_PART = 256, 16
 
 
 class Codes(dict):
@@ -61,8 +70,38 @@ def parts(text: bytes) -> Iterator[bytes]:
     yield text[a:]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 to 2^32 - 1 as compressed planes of their bytes."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True) + len(x).to_bytes(4, "little") if len(x) else b""
+
+
+def unpacked(told: bytes) -> np.ndarray:
+    if not told:
+        return np.zeros(0, np.int64)
+    n = int.from_bytes(told[-4:], "little")
+    planes = np.frombuffer(pa.decompress(told[:-4], 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    """Words, which hold no line breaks, as one compressed text."""
+    joined = b"\n".join(words)
+    return pa.compress(joined, "zstd", asbytes=True) + len(joined).to_bytes(4, "little") if words else b""
+
+
+def unpacked_words(told: bytes) -> list[bytes]:
+    return pa.decompress(told[:-4], int.from_bytes(told[-4:], "little"), "zstd", asbytes=True).split(b"\n") if told else []
+
+
+def batch_row(batch: int, langs: list[str], sizes: list[int], totals: list[int], words: list[bytes], n: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """A row of BATCH; codes are -1 between pieces."""
+    columns = [pa.array([batch]), pa.array([langs], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int32())), pa.array([totals], pa.list_(pa.int64()))]
+    columns += [pa.array([x], pa.binary()) for x in (packed_words(words), packed(n), packed(codes + 1))]
+    return pa.RecordBatch.from_arrays(columns, names=["batch", "langs", "sizes", "totals", "words", "n", "codes"])
+
+
 def coded(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """Batches of texts as WORDS: the distinct words, how often each occurs, and the texts as codes, -1 between pieces. Narrow."""
+    """Batches of texts as BATCH: the distinct words, the most frequent of a language first, how often each occurs, and the texts as codes, -1 between pieces. Narrow."""
 
     def run(batches):
         number, size = 0, 0
@@ -82,20 +121,121 @@ def coded(docs: DataFrame, text: str, lang: str) -> DataFrame:
             yield batch(number, known, codes)
 
     def batch(number, known, codes):
-        flat, words, langs, base = [], [], [], 0
+        flat, words, counts, sizes, totals, base = [], [], [], [], [], 0
         for name, own in known.items():
             x = np.concatenate(codes[name])
-            x = x[x != 1]
-            flat.append(np.where(x == 0, -1, x - 2 + base))
-            words += list(own)[2:]
-            langs += [name] * (len(own) - 2)
-            base += len(own) - 2
-        flat = np.concatenate(flat).astype(np.int32)
-        n = np.bincount(flat[flat >= 0], minlength=base).astype(np.int32)
-        whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + number]), whole(pa.array(langs, pa.string())), whole(pa.array(words, pa.binary())), whole(pa.array(n)), whole(pa.array(flat))], names=["batch", "lang", "word", "n", "codes"])
+            x = x[x != 1] - 2  # -2 between pieces
+            n = np.bincount(x[x >= 0], minlength=len(own) - 2)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(n) + 2, np.int64)
+            place[order], place[-2:] = np.arange(base, base + len(n)), -1
+            flat.append(place[x])
+            names = list(own)[2:]
+            words += [names[i] for i in order.tolist()]
+            counts.append(n[order])
+            sizes.append(len(n))
+            totals.append(int(n.sum()))
+            base += len(n)
+        return batch_row((TaskContext.get().partitionId() << 32) + number, list(known), sizes, totals, words, np.concatenate(counts), np.concatenate(flat))
+
+    return docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")).mapInArrow(run, BATCH)
+
+
+def hashes(langs: list[str], sizes: list[int], words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of the words, and of the word pairs at each place of a text but the last, 0 where there is none."""
+    start = iter([zlib.crc32(name.encode() + b"\n") for name, size in zip(langs, sizes, strict=True) for _ in range(size)])
+    own = np.fromiter(map(zlib.crc32, words, start), np.uint64, len(words))
+    mixed = lambda x: (((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)).astype(np.uint32)
+    ended = np.append(own, np.uint64(0))  # the last one is for -1
+    told = ended[codes[:-1]] * np.uint64(0x9E3779B97F4A7C15) + ended[codes[1:]]
+    return mixed(own * np.uint64(0xD6E8FEB86659FD93)), np.where((codes[:-1] >= 0) & (codes[1:] >= 0), mixed(told), np.uint32(0))
+
+
+def edges(parts: int) -> np.ndarray:
+    """Where the ranges of hashes begin, and the end of the last one."""
+    return (np.arange(parts + 1) * 2**32) // parts
+
+
+def frequent_hashes(batches: DataFrame, least: int, parts: int) -> DataFrame:
+    """(of, part, bits): for each batch and range of hashes, a bit for each distinct hash there, in order: whether it occurs ``least`` times in all batches."""
+
+    def send(rows):
+        for r in rows:
+            for batch, langs, sizes, words, n, codes in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                n, codes = unpacked(n), unpacked(codes) - 1
+                own, pairs = hashes(langs, sizes, unpacked_words(words), codes)
+                pairs, times = np.unique(pairs[pairs > 0], return_counts=True)
+                every = np.concatenate([pairs, own])
+                order = np.argsort(every, kind="stable")
+                every = every[order]
+                first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+                total = np.add.reduceat(np.concatenate([times, n])[order], first) if len(first) else first
+                every = every[first].astype(np.int64)
+                cuts = np.searchsorted(every, edges(parts))
+                some = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+                at = edges(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _, _ in some], pa.int32()), pa.array([batch] * len(some), pa.int64()), pa.array([packed(np.diff(every[a:b], prepend=at[p])) for p, a, b in some], pa.binary()), pa.array([packed(total[a:b]) for _, a, b in some], pa.binary())],
+                    names=["part", "of", "steps", "n"],
+                )
+
+    def add(t: pa.Table) -> pa.Table:
+        at = edges(parts)
+        part = t.column("part")[0].as_py()
+        total = np.zeros(int(at[part + 1] - at[part]), np.int32)
+        each = lambda steps: np.cumsum(unpacked(steps.as_py()))
+        for steps, n in zip(t.column("steps"), t.column("n"), strict=True):
+            i = each(steps)
+            total[i] = np.minimum(total[i] + unpacked(n.as_py()), least)
+        bits = [np.packbits(total[each(steps)] >= least).tobytes() for steps in t.column("steps")]
+        return pa.table([t.column("of"), t.column("part"), pa.array(bits, pa.binary())], names=["of", "part", "bits"])
+
+    sent = batches.select("batch", "langs", "sizes", "words", "n", "codes").mapInArrow(send, "part int, of long, steps binary, n binary")
+    return sent.groupBy("part").applyInArrow(add, "of long, part int, bits binary")
+
+
+def filtered(batches: DataFrame, least: int) -> DataFrame:
+    """``batches`` with the words that may occur ``least`` times in all, and the texts cut wherever two words side by side do not."""
+    parts = max(PARTS, batches.count() // BATCHES_A_PART)
 
-    return docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang")).mapInArrow(run, WORDS)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        words, n, codes = unpacked_words(row["words"]), unpacked(row["n"]), unpacked(row["codes"]) - 1
+        own, pairs = hashes(row["langs"], row["sizes"], words, codes)
+        every, place = np.unique(np.concatenate([own, pairs]), return_inverse=True)
+        # hash 0 was sent if a word has it; of pairs it marks those that do not count
+        sent = every[0 if (own == 0).any() else 1 :] if len(every) and every[0] == 0 else every
+        cuts = np.searchsorted(sent, edges(parts))
+        often = np.zeros(len(sent), bool)
+        for part, bits in zip(right.column("part").to_pylist(), right.column("bits").to_pylist(), strict=True):
+            a, b = int(cuts[part]), int(cuts[part + 1])
+            often[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+        good = np.append(np.zeros(len(every) - len(sent), bool), often)[place]
+        word = good[: len(own)]
+        ok = np.append(word, False)[codes]
+        pair = np.append(good[len(own) :] & (pairs > 0) & ok[:-1] & ok[1:], False)
+        kept = np.flatnonzero(pair | np.append(False, pair[:-1])[: len(pair)])
+        width = 1 + ~pair[kept]
+        short = np.full(int(width.sum()), -1)
+        short[np.cumsum(width) - width] = (np.cumsum(word) - 1)[codes[kept]]
+        ends = np.cumsum(row["sizes"])
+        sizes = np.add.reduceat(np.append(word, False).astype(int), ends - row["sizes"]) * (np.array(row["sizes"]) > 0)
+        return pa.Table.from_batches([batch_row(row["batch"], row["langs"], sizes.tolist(), row["totals"], [words[i] for i in np.flatnonzero(word).tolist()], n[word], short)])
+
+    return batches.groupBy("batch").cogroup(frequent_hashes(batches, least, parts).groupBy("of")).applyInArrow(run, BATCH)
+
+
+def words_of(batches: DataFrame) -> DataFrame:
+    """(batch, code, lang, word, n) of every word of ``batches``. Narrow."""
+
+    def run(rows):
+        for r in rows:
+            for batch, langs, sizes, words, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                words = unpacked_words(words)
+                lang = pa.array(langs, pa.string()).take(pa.array(np.repeat(np.arange(len(langs)), sizes)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), batch)), pa.array(np.arange(len(words), dtype=np.int32)), lang, pa.array(words, pa.binary()), pa.array(unpacked(n))], names=["batch", "code", "lang", "word", "n"])
+
+    return batches.select("batch", "langs", "sizes", "words", "n").mapInArrow(run, "batch long, code int, lang string, word binary, n long")
 
 
 def spans(rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,16 +276,13 @@ def fragments_of(rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fragments(batches: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """(pivot, cell, fragment, n) from ``batches`` and ``frequent(lang, word, rank, cells)``: a fragment is the place of its pivot and its
+    """(pivot, cell, fragment, n) from ``batches``, as BATCH, and ``frequent(rank, places, cells)``: a fragment is the place of its pivot and its
     words, ranks, as 32-bit numbers; ``cell`` is -1 where a pivot has only one."""
-    each = batches.select("batch", F.posexplode(F.arrays_zip("lang", "word")).alias("code", "x")).select("batch", "code", "x.*")
-    # every word of a batch has an answer, null where it is infrequent: as many rows as words, at any size of the corpus
-    ranks = each.join(frequent, ["lang", "word"], "left").select(F.col("batch").alias("of"), "code", "rank", "cells")
+    ranks = frequent.select("rank", "cells", F.explode("places").alias("x")).select(F.col("x.batch").alias("of"), "x.code", "rank", "cells")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.filter(right.column("rank").is_valid())
         code, known, cells = (right.column(c).to_numpy() for c in ("code", "rank", "cells"))
-        codes = left.column("codes").combine_chunks().flatten().to_numpy()  # a batch is one row
+        codes = unpacked(left.column("codes")[0].as_py()) - 1  # a batch is one row
         rank = np.full(int(max(codes.max(initial=-1), code.max(initial=-1))) + 2, -1, np.int32)  # the last one is for -1
         rank[code] = known
         flat, size, at, n = fragments_of(rank[codes], longest)
@@ -222,21 +359,23 @@ def mined(found: DataFrame, least: int, longest: int) -> DataFrame:
 
 
 def ranked_words(words: DataFrame) -> DataFrame:
-    """(lang, word, f, rank): ranks run from 0, from rare to frequent; of the sorted ranges only the sizes are added up."""
+    """(lang, word, f, places, rank): ranks run from 0, from rare to frequent; of the sorted ranges only the sizes are added up."""
     ranges = materialize(words.orderBy("f", "lang", "word").withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "ranges")
     sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranges.join(sizes.select("part", before.alias("before")), "part").select("lang", "word", "f", (F.col("before") + F.col("i")).cast("int").alias("rank"))
+    return ranges.join(sizes.select("part", before.alias("before")), "part").select("lang", "word", "f", "places", (F.col("before") + F.col("i")).cast("int").alias("rank"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``first`` phrases (see the module's text)."""
-    batches = materialize(coded(docs, text, lang), "batches")
-    words = materialize(batches.select(F.explode(F.arrays_zip("lang", "word", "n")).alias("x")).select("x.*").groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    every = materialize(coded(docs, text, lang), "batches")
+    totals = every.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
+    batches = materialize(filtered(every, least), "filtered")
+    # a frequent word's places, one for each batch that has it, travel with it: its rank goes back without a join
+    words = words_of(batches).groupBy("lang", "word").agg(F.sum("n").alias("f"), F.collect_list(F.struct("batch", "code")).alias("places"))
     frequent = materialize(ranked_words(words.where(F.col("f") >= least)), "frequent")
     cells = F.ceil(F.col("f") / HOT).cast("int").alias("cells")
-    grams = materialize(mined(fragments(batches, frequent.select("lang", "word", "rank", cells), longest), least, longest), "grams")
+    grams = materialize(mined(fragments(batches, frequent.select("rank", "places", cells), longest), least, longest), "grams")
     counts = grams.unionByName(frequent.select(F.array("rank").alias("gram"), F.col("f").alias("a")))
     several = grams.select("gram", "a", F.element_at("gram", 1).alias("rank")).join(frequent.select("rank", "lang"), "rank").join(totals, "lang")
     # an n-gram is dropped for one of a word more, of which it is the beginning or the end, that occurs as often

@@ -114,6 +114,23 @@ def test_grams_grow_from_frequent_ones():
         assert found == {g: a for g, a in counts.items() if a >= least}
 
 
+def test_only_frequent_pairs_are_moved(spark, monkeypatch):
+    """Words that are all frequent, side by side with others each time, but for one passage: the rest does not reach the shuffle of fragments."""
+    rng = np.random.default_rng(8)
+    rows = [(" ".join(f"w{x}" for x in rng.permutation(300)), "en") for _ in range(20)] + [("w1 w2 w3. w7", "en")] * 15
+    moved, mined = [], C.mined
+    monkeypatch.setattr(C, "mined", lambda found, *more: moved.append(found.agg(F.count("*"), F.sum("n")).first()) or mined(found, *more))
+    assert mine(spark, rows, 15) == brute(rows, 15) != []
+    assert moved[0][0] <= 8 and moved[0][1] >= 15
+
+
+def test_packed():
+    for x in ([], [0], [2**32 - 1, 0, 7, 7], range(100_000)):
+        assert C.unpacked(C.packed(np.array(x, np.int64))).tolist() == list(x)
+    for x in ([], [b"a"], ["é".encode(), b"\xff", b"--"]):
+        assert C.unpacked_words(C.packed_words(x)) == x
+
+
 def test_empty_table(spark):
     assert mine(spark, [], 1) == [] and mine(spark, [(None, None)], 1) == []
 
