@@ -278,10 +278,21 @@ def fragments_of(rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray
 def fragments(batches: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
     """(pivot, cell, fragment, n) from ``batches``, as BATCH, and ``frequent(rank, places, cells)``: a fragment is the place of its pivot and its
     words, ranks, as 32-bit numbers; ``cell`` is -1 where a pivot has only one."""
-    ranks = frequent.select("rank", "cells", F.explode("places").alias("x")).select(F.col("x.batch").alias("of"), "x.code", "rank", "cells")
+    def answers(rows):
+        """Codes, ranks and cells of the words of each batch, packed."""
+        for r in rows:
+            places = r.column("places").flatten()
+            batch, code = (places.field(c).to_numpy() for c in ("batch", "code"))
+            rank, cells = (np.repeat(r.column(c).to_numpy(), r.column("places").value_lengths().to_numpy()) for c in ("rank", "cells"))
+            order = np.lexsort((code, batch))
+            of, first = np.unique(batch[order], return_index=True)
+            each = [np.split(x[order], first[1:]) if len(of) else [] for x in (code, rank, cells)]
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *(pa.array([packed(x) for x in xs], pa.binary()) for xs in each)], names=["of", "code", "rank", "cells"])
+
+    ranks = frequent.select("rank", "cells", "places").mapInArrow(answers, "of long, code binary, rank binary, cells binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        code, known, cells = (right.column(c).to_numpy() for c in ("code", "rank", "cells"))
+        code, known, cells = (np.concatenate([np.zeros(0, np.int64), *map(unpacked, right.column(c).to_pylist())]) for c in ("code", "rank", "cells"))
         codes = unpacked(left.column("codes")[0].as_py()) - 1  # a batch is one row
         rank = np.full(int(max(codes.max(initial=-1), code.max(initial=-1))) + 2, -1, np.int32)  # the last one is for -1
         rank[code] = known
