@@ -7,13 +7,13 @@ First a filter: each batch sends the 32-bit hashes of its distinct words and wor
 Where a range is, the counts of all batches are added, and each batch gets back one bit for each hash it sent: whether it occurs ``least`` times in all. A
 phrase that occurs so often consists of pairs that do, so texts are cut at all other pairs before anything else is moved. Hashes that coincide
 only let more through, as all that is left is counted exactly afterwards. Of the words that are left, each with its whole count in every batch, the
-distinct ones of a batch are shuffled and summed, and each batch gets back the ranks of its own frequent ones: no dictionary is broadcast, and no word is joined.
+distinct ones of a batch are shuffled, packed, a row for each range of hashes, and summed, and each batch gets back the ranks of its own frequent ones: no dictionary is broadcast, and no word is joined.
 
 Words are ranked from rare to frequent. An n-gram belongs to its rarest word, its pivot. At each place of a text the word there
 is the pivot of the fragment around it that can hold n-grams of its own: up to ``longest`` - 1 words to the left of higher
 rank, and as many to the right of no lower rank, so a fragment ends where a rarer or an infrequent word stands, and an n-gram with
 several occurrences of its pivot belongs to the first one. Equal fragments of a batch become one with a count. Fragments are
-routed to their pivots, and each pivot's n-grams are counted where its fragments are; no other pivot has the same n-gram, so
+routed to their pivots, those of a batch that go to the same part packed as one row, and each pivot's n-grams are counted where its fragments are; no other pivot has the same n-gram, so
 infrequent ones end there. There an n-gram is only counted where those
 of one word less within it are frequent. Very frequent words only keep fragments of words as frequent, so no pivot gets a large share; the
 fragments of a word that occurs more than ``HOT`` times are dealt over several cells by hash, and the counts of these are added afterwards.
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ LEAST, LONGEST, FIRST = 100, 5, 2000
 TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 #: A batch: its languages with their numbers of distinct words and of all words; words by language, counts and codes, packed.
 BATCH = "batch long, langs array<string>, sizes array<int>, totals array<long>, words binary, n binary, codes binary"
-#: Ranges of hashes at least, and batches for each of them.
-PARTS, BATCHES_A_PART = 256, 16
+#: Ranges of hashes at least, and batches for each of them; batches for each part of the fragments.
+PARTS, BATCHES_A_PART, BATCHES_A_MINE = 256, 16, 4
 
 
 class Codes(dict):
@@ -225,17 +226,36 @@ def filtered(batches: DataFrame, least: int) -> DataFrame:
     return batches.groupBy("batch").cogroup(frequent_hashes(batches, least, parts).groupBy("of")).applyInArrow(run, BATCH)
 
 
-def words_of(batches: DataFrame) -> DataFrame:
-    """(batch, code, lang, word, n) of every word of ``batches``. Narrow."""
+def counted_words(batches: DataFrame, least: int, parts: int) -> DataFrame:
+    """(lang, word, f, batches, codes) of the words of ``batches`` that occur ``least`` times, with the batches that have them and their codes there.
+    A batch sends its words, counts and codes packed, a row for each of ``parts`` ranges of hashes, where they are added up."""
 
-    def run(rows):
+    def send(rows):
         for r in rows:
             for batch, langs, sizes, words, n in zip(*(c.to_pylist() for c in r.columns), strict=True):
-                words = unpacked_words(words)
-                lang = pa.array(langs, pa.string()).take(pa.array(np.repeat(np.arange(len(langs)), sizes)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), batch)), pa.array(np.arange(len(words), dtype=np.int32)), lang, pa.array(words, pa.binary()), pa.array(unpacked(n))], names=["batch", "code", "lang", "word", "n"])
+                words, n = unpacked_words(words), unpacked(n)
+                own = hashes(langs, sizes, words, np.zeros(0, np.int64))[0].astype(np.int64)
+                part, lang = own * parts >> 32, np.repeat(np.arange(len(langs)), sizes)
+                order = np.argsort(part, kind="stable")  # by language and code within each
+                sent, first = np.unique(part[order], return_index=True)
+                each = [(p, at, np.bincount(lang[at], minlength=len(langs))) for p, at in zip(sent.tolist(), np.split(order, first[1:]), strict=True)] if len(sent) else []
+                columns = [pa.array([p for p, *_ in each], pa.int32()), pa.array([batch] * len(each), pa.int64()), pa.array([langs] * len(each), pa.list_(pa.string())), pa.array([of.tolist() for *_, of in each], pa.list_(pa.int32()))]
+                columns += [pa.array([told(at) for _, at, _ in each], pa.binary()) for told in (lambda at: packed_words([words[i] for i in at.tolist()]), lambda at: packed(n[at]), lambda at: packed(np.diff(at, prepend=0)))]  # noqa: B023
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "batch", "langs", "sizes", "words", "n", "codes"])
+
+    def add(t: pa.Table) -> pa.Table:
+        each = []
+        for r in t.sort_by("batch").to_pylist():
+            words = unpacked_words(r["words"])
+            lang = pa.array(r["langs"], pa.string()).take(pa.array(np.repeat(np.arange(len(r["langs"])), r["sizes"])))
+            each.append(pa.table({"lang": lang, "word": pa.array(words, pa.binary()), "n": unpacked(r["n"]), "batch": np.full(len(words), r["batch"]), "code": np.cumsum(unpacked(r["codes"])).astype(np.int32)}))
+        of = pa.concat_tables(each)
+        total = of.group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum"), ("batch", "list"), ("code", "list")])
+        total = total.filter(pc.greater_equal(total.column("n_sum"), least))
+        return total.select(["lang", "word", "n_sum", "batch_list", "code_list"]).rename_columns(["lang", "word", "f", "batches", "codes"])
 
-    return batches.select("batch", "langs", "sizes", "words", "n").mapInArrow(run, "batch long, code int, lang string, word binary, n long")
+    sent = batches.select("batch", "langs", "sizes", "words", "n").mapInArrow(send, "part int, batch long, langs array<string>, sizes array<int>, words binary, n binary, codes binary")
+    return sent.groupBy("part").applyInArrow(add, "lang string, word binary, f long, batches array<long>, codes array<int>")
 
 
 def spans(rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,21 +295,21 @@ def fragments_of(rank: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray
     return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (words, sizes, ats, counts))
 
 
-def fragments(batches: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """(pivot, cell, fragment, n) from ``batches``, as BATCH, and ``frequent(rank, places, cells)``: a fragment is the place of its pivot and its
-    words, ranks, as 32-bit numbers; ``cell`` is -1 where a pivot has only one."""
+def fragments(batches: DataFrame, frequent: DataFrame, longest: int, parts: int) -> DataFrame:
+    """The fragments of ``batches``, as BATCH, whose words are ``frequent(rank, batches, codes, cells)``: a row for each batch and each of ``parts`` to which
+    pivots are dealt, with the sum ``n`` of their counts and, packed, in the order of their pivots: these as differences, the cell, or 0 where a pivot has only
+    one, place of the pivot and size as one number, the other words, and counts."""
     def answers(rows):
         """Codes, ranks and cells of the words of each batch, packed."""
         for r in rows:
-            places = r.column("places").flatten()
-            batch, code = (places.field(c).to_numpy() for c in ("batch", "code"))
-            rank, cells = (np.repeat(r.column(c).to_numpy(), r.column("places").value_lengths().to_numpy()) for c in ("rank", "cells"))
+            batch, code = (r.column(c).flatten().to_numpy() for c in ("batches", "codes"))
+            rank, cells = (np.repeat(r.column(c).to_numpy(), r.column("codes").value_lengths().to_numpy()) for c in ("rank", "cells"))
             order = np.lexsort((code, batch))
             of, first = np.unique(batch[order], return_index=True)
             each = [np.split(x[order], first[1:]) if len(of) else [] for x in (code, rank, cells)]
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *(pa.array([packed(x) for x in xs], pa.binary()) for xs in each)], names=["of", "code", "rank", "cells"])
 
-    ranks = frequent.select("rank", "cells", "places").mapInArrow(answers, "of long, code binary, rank binary, cells binary")
+    ranks = frequent.select("rank", "cells", "batches", "codes").mapInArrow(answers, "of long, code binary, rank binary, cells binary")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         code, known, cells = (np.concatenate([np.zeros(0, np.int64), *map(unpacked, right.column(c).to_pylist())]) for c in ("code", "rank", "cells"))
@@ -298,18 +318,50 @@ def fragments(batches: DataFrame, frequent: DataFrame, longest: int) -> DataFram
         rank[code] = known
         flat, size, at, n = fragments_of(rank[codes], longest)
         first = np.cumsum(size) - size
-        pivot = flat[first + at]
+        pivot = flat[first + at].astype(np.int64)
         order = np.argsort(known)
         of = cells[order][np.searchsorted(known[order], pivot)] if len(pivot) else pivot
         place = np.arange(len(flat)) - np.repeat(first, size)
         drawn = np.add.reduceat((flat * 0x9E3779B1 + 1) * (2 * place + 3), first) if len(pivot) else pivot
-        cell = np.where(of > 1, (drawn >> 7) % np.maximum(of, 1), -1)
-        told = np.insert(flat, first, at).astype("<i4")
-        ends = np.append(0, np.cumsum(size + 1) * 4).astype(np.int32)
-        told = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(told)])
-        return pa.table([pa.array(pivot.astype(np.int32)), pa.array(cell.astype(np.int32)), told, pa.array(n)], names=["pivot", "cell", "fragment", "n"])
-
-    return batches.select("batch", "codes").groupBy("batch").cogroup(ranks.groupBy("of")).applyInArrow(run, "pivot int, cell int, fragment binary, n long")
+        cell = np.where(of > 1, (drawn >> 7) % np.maximum(of, 1) + 1, 0)
+        part = (((pivot << 20) + cell) * 0x9E3779B1 >> 16 & 0xFFFFFFFF) * parts >> 32
+        order = np.lexsort((pivot, part))
+        rest = np.delete(np.arange(len(flat)), first + at)  # places of the words that are no pivots
+        before = first - np.arange(len(first))
+        told = []
+        for p, i in zip(*parted(part[order], order), strict=True):
+            width = size[i] - 1
+            others = flat[rest[np.repeat(before[i] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))]]
+            told.append((p, int(n[i].sum()), *(packed(x) for x in (np.diff(pivot[i], prepend=0), cell[i], at[i] * 2 * longest + size[i], others, n[i]))))
+        return pa.Table.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*told, strict=True) if told else [[]] * 7, KINDS, strict=True)], names=["part", "n", "pivots", "cells", "shapes", "words", "counts"])
+
+    return batches.select("batch", "codes").groupBy("batch").cogroup(ranks.groupBy("of")).applyInArrow(run, "part int, n long, pivots binary, cells binary, shapes binary, words binary, counts binary")
+
+
+KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+
+
+def parted(part: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The numbers in ``part``, which are sorted, and what is in ``order`` beside each."""
+    own, first = np.unique(part, return_index=True)
+    return own.tolist(), np.split(order, first[1:]) if len(own) else []
+
+
+def told_fragments(rows: list[dict], longest: int) -> tuple[np.ndarray, ...]:
+    """(words, start, size, place of the pivot, count, cell) of the fragments in rows of ``fragments``, in the order of pivots and cells."""
+    each = [[], [], [], [], [], []]
+    for r in rows:
+        x = (np.cumsum(unpacked(r["pivots"])), unpacked(r["cells"]), *divmod(unpacked(r["shapes"]), 2 * longest), unpacked(r["words"]), unpacked(r["counts"]))
+        for held, a in zip(each, x, strict=True):
+            held.append(a.astype(np.int32))
+    pivot, cell, at, size, others, n = map(np.concatenate, each)
+    start = np.cumsum(size, dtype=np.int64) - size
+    words = np.empty(len(pivot) + len(others), np.int32)
+    is_pivot = np.zeros(len(words), bool)
+    is_pivot[start + at] = True
+    words[is_pivot], words[~is_pivot] = pivot, others
+    order = np.lexsort((cell, pivot))
+    return words, start[order], size[order].astype(np.int64), at[order].astype(np.int64), n[order].astype(np.int64), cell[order]
 
 
 def count_grams(words: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, n: np.ndarray, least: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -338,43 +390,41 @@ def mined(found: DataFrame, least: int, longest: int) -> DataFrame:
     """(gram, a) of all n-grams of 2 to ``longest`` words that occur ``least`` times, counted pivot by pivot."""
 
     def run(batches):
-        held: list[pa.Table] = []
-        rows = 0
+        held: list[dict] = []
         for b in batches:
-            held.append(pa.Table.from_batches([b]))
-            rows += b.num_rows
-            if rows >= TOGETHER:  # all that belongs to the last pivot and cell may not be here yet
-                t = pa.concat_tables(held)
-                pivot, cell = (t.column(c).to_numpy() for c in ("pivot", "cell"))
-                cut = int(np.flatnonzero((pivot != pivot[-1]) | (cell != cell[-1]))[-1]) + 1 if (pivot[0], cell[0]) != (pivot[-1], cell[-1]) else 0
-                if cut:
-                    yield from grams(t.slice(0, cut))
-                    held, rows = [t.slice(cut).combine_chunks()], len(t) - cut
-        if rows:
-            yield from grams(pa.concat_tables(held))
-
-    def grams(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        told = t.column("fragment").combine_chunks()
-        size = np.diff(np.frombuffer(told.buffers()[1], np.int32)[told.offset : told.offset + len(told) + 1]) // 4 - 1
-        flat = np.frombuffer(told.buffers()[2], "<i4")[np.frombuffer(told.buffers()[1], np.int32)[told.offset] // 4 :][: int(size.sum()) + len(size)].astype(np.int64)
-        first = np.cumsum(size + 1) - size - 1
-        cell = t.column("cell").to_numpy()
-        for found_, a, of in count_grams(flat, first + 1, size.astype(np.int64), flat[first], t.column("n").to_numpy(), np.where(cell < 0, least, 1), longest):
-            cuts = np.arange(0, found_.size + 1, found_.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(found_.ravel().astype(np.int32))), pa.array(a), pa.array(cell[of] < 0)], names=["gram", "a", "whole"])
-
-    dealt = found.repartition("pivot", "cell").sortWithinPartitions("pivot", "cell")
+            for r in b.to_pylist():
+                if held and r["part"] != held[0]["part"]:
+                    yield from grams(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield from grams(held)
+
+    def grams(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        words, start, size, at, n, cell = told_fragments(rows, longest)
+        pivot = words[start + at]
+        ends = np.append(np.flatnonzero((pivot[1:] != pivot[:-1]) | (cell[1:] != cell[:-1])) + 1, len(pivot))
+        a = 0
+        while a < len(pivot):  # whole pivots or cells, TOGETHER fragments or the next one's end
+            z = int(ends[np.searchsorted(ends, min(a + TOGETHER, len(pivot)))])
+            whole = cell[a:z] == 0
+            for found_, total, of in count_grams(words, start[a:z], size[a:z], at[a:z], n[a:z], np.where(whole, least, 1), longest):
+                cuts = np.arange(0, found_.size + 1, found_.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(found_.ravel().astype(np.int32))), pa.array(total), pa.array(whole[of])], names=["gram", "a", "whole"])
+            a = z
+
+    dealt = found.repartition("part").sortWithinPartitions("part")
     counted = materialize(dealt.mapInArrow(run, "gram array<int>, a long, whole boolean"), "counted")
     added = counted.where(~F.col("whole")).groupBy("gram").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return counted.where("whole").select("gram", "a").unionByName(added)
 
 
 def ranked_words(words: DataFrame) -> DataFrame:
-    """(lang, word, f, places, rank): ranks run from 0, from rare to frequent; of the sorted ranges only the sizes are added up."""
+    """(lang, word, f, batches, codes, rank): ranks run from 0, from rare to frequent; of the sorted ranges only the sizes are added up."""
     ranges = materialize(words.orderBy("f", "lang", "word").withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "ranges")
     sizes = ranges.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranges.join(sizes.select("part", before.alias("before")), "part").select("lang", "word", "f", "places", (F.col("before") + F.col("i")).cast("int").alias("rank"))
+    return ranges.join(sizes.select("part", before.alias("before")), "part").select("lang", "word", "f", "batches", "codes", (F.col("before") + F.col("i")).cast("int").alias("rank"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, first: int = FIRST, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -382,11 +432,12 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     every = materialize(coded(docs, text, lang), "batches")
     totals = every.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
     batches = materialize(filtered(every, least), "filtered")
-    # a frequent word's places, one for each batch that has it, travel with it: its rank goes back without a join
-    words = words_of(batches).groupBy("lang", "word").agg(F.sum("n").alias("f"), F.collect_list(F.struct("batch", "code")).alias("places"))
-    frequent = materialize(ranked_words(words.where(F.col("f") >= least)), "frequent")
+    n_batches = batches.count()
+    # a frequent word's batches and codes travel with it: its rank goes back without a join
+    frequent = materialize(ranked_words(counted_words(batches, least, max(PARTS, n_batches // BATCHES_A_PART))), "frequent")
     cells = F.ceil(F.col("f") / HOT).cast("int").alias("cells")
-    grams = materialize(mined(fragments(batches, frequent.select("rank", "places", cells), longest), least, longest), "grams")
+    found = fragments(batches, frequent.select("rank", "batches", "codes", cells), longest, max(PARTS, n_batches // BATCHES_A_MINE))
+    grams = materialize(mined(found, least, longest), "grams")
     counts = grams.unionByName(frequent.select(F.array("rank").alias("gram"), F.col("f").alias("a")))
     several = grams.select("gram", "a", F.element_at("gram", 1).alias("rank")).join(frequent.select("rank", "lang"), "rank").join(totals, "lang")
     # an n-gram is dropped for one of a word more, of which it is the beginning or the end, that occurs as often

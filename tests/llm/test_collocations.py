@@ -124,6 +124,19 @@ def test_only_frequent_pairs_are_moved(spark, monkeypatch):
     assert moved[0][0] <= 8 and moved[0][1] >= 15
 
 
+def test_rows_moved_are_bounded_by_batches_and_parts(spark, monkeypatch):
+    """However many fragments and words a batch has, it sends a row for each part; the result is the same."""
+    monkeypatch.setattr(C, "PARTS", 3)
+    rng = np.random.default_rng(9)
+    rows = random_texts(rng, 80, np.array([f"w{x}" for x in range(12)]), np.ones(12) / 12)
+    moved, mined = [], C.mined
+    monkeypatch.setattr(C, "mined", lambda found, *more: moved.append(found.count()) or mined(found, *more))
+    monkeypatch.setattr(C, "TOGETHER", 50)
+    assert mine(spark, rows, 4) == brute(rows, 4) != []
+    batches = C.coded(spark.createDataFrame(rows, "text string, lang string"), "text", "lang").count()
+    assert 0 < moved[0] <= 3 * batches
+
+
 def test_packed():
     for x in ([], [0], [2**32 - 1, 0, 7, 7], range(100_000)):
         assert C.unpacked(C.packed(np.array(x, np.int64))).tolist() == list(x)
