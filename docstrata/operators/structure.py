@@ -28,14 +28,19 @@ def assign(blocks: DataFrame, doc: str = "doc_id", pos: str = "pos") -> DataFram
     A level-1 heading opens a section and closes what is below, and so on; other levels change nothing. Blocks before the
     first section, and those under a heading whose parent level is not open, are not ``attached``."""
     w = Window.partitionBy(doc).orderBy(pos)
-    opens = lambda n: F.coalesce((F.col("level") == n).cast("int"), F.lit(0))
-    out = blocks.withColumn("section_idx", (F.sum(opens(1)).over(w) - 1).cast("int"))
-    w1 = Window.partitionBy(doc, "section_idx").orderBy(pos)
-    out = out.withColumn("subsection_idx", (F.sum(opens(2)).over(w1) - 1).cast("int"))
-    w2 = Window.partitionBy(doc, "section_idx", "subsection_idx").orderBy(pos)
-    out = out.withColumn("subsubsection_idx", (F.sum(opens(3)).over(w2) - 1).cast("int"))
-    title = lambda n, window: F.last(F.when(F.col("level") == n, X.strip(X.clean_nbsp(F.col("text")))), ignorenulls=True).over(window)
-    out = out.withColumn("section_title", title(1, w)).withColumn("subsection_title", title(2, w1)).withColumn("subsubsection_title", title(3, w2))
+    # one order for all: a lower level counts on through the document, less what it had where a higher one last opened
+    level = F.coalesce("level", F.lit(0))
+    sums = lambda n: F.sum((level == n).cast("int")).over(w)
+    since = lambda n: F.coalesce(F.last(F.when(level.between(1, n - 1), F.col(f"_n{n}")), ignorenulls=True).over(w), F.lit(0))
+
+    def title(n: int) -> Column:
+        """The last title of level n since a higher level opened."""
+        own = F.when(level == n, X.strip(X.clean_nbsp(F.col("text"))))
+        told = F.when(level.between(1, n - 1), F.struct(F.lit(None).cast("string").alias("t"))).when(own.isNotNull(), F.struct(own.alias("t")))
+        return F.last(told, ignorenulls=True).over(w)["t"]
+
+    out = blocks.withColumns({"_n1": sums(1), "_n2": sums(2), "_n3": sums(3)})
+    out = out.withColumns({i: (F.col(f"_n{n}") - (since(n) if n > 1 else F.lit(0)) - 1).cast("int") for n, i in enumerate(INDEXES, 1)} | {t: title(n) for n, t in enumerate(TITLES, 1)}).drop("_n1", "_n2", "_n3")
     detached = (F.col("section_idx") < 0) | (F.col("subsubsection_idx") >= 0) & (F.col("subsection_idx") < 0)
     return out.withColumn("attached", ~detached)
 

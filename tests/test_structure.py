@@ -35,6 +35,22 @@ def test_indexes(spark):
     assert indexes(spark, rows) == [(-1, -1, -1, False), (-1, 0, -1, False), (-1, 0, -1, False), (0, -1, -1, True), (0, -1, 0, False), (0, 0, -1, True), (0, 0, 0, True), (0, 0, 0, True), (0, 0, 0, True), (0, 0, 0, True), (1, -1, -1, True)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_tree_costs_one_shuffle_and_one_sort(spark):
+    df = spark.createDataFrame([], "doc_id long, pos int, kind string, level int, text string")
+    plan = plan_of(structure.assign(df))
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+
+
+def test_titles_end_with_their_level(spark):
+    rows = [("Heading 1", "A"), ("Heading 2", "A.1"), ("Heading 3", "A.1.1"), ("Heading 2", "A.2"), ("Normal", "x"), ("Heading 3", None), ("Heading 1", "B"), ("Normal", "y"), ("Heading 3", "lost")]
+    found = placed(spark, rows).orderBy("pos").select(*structure.TITLES).collect()
+    assert [tuple(r) for r in found] == [("A", None, None), ("A", "A.1", None), ("A", "A.1", "A.1.1"), ("A", "A.2", None), ("A", "A.2", None), ("A", "A.2", None), ("B", None, None), ("B", None, None), ("B", None, "lost")]
+
+
 def test_node_text(spark):
     rows = [("Heading 1", "1\tScope\xa0"), ("Normal", " a\xa0b "), ("Normal", "c"), ("Heading 2", "S"), ("Heading", "no number"), ("Normal", "d")]
     found = {(r.section_idx, r.subsection_idx): (r.title, r.text, r.level) for r in structure.node_text(placed(spark, rows)).collect()}
