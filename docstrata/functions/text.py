@@ -67,7 +67,7 @@ def heading_level(style: Column) -> Column:
 
 def starts_caption(text: Column) -> Column:
     """Whether a paragraph is a caption: starts with "fig" or "note" in any case."""
-    low = F.lower(strip(text))
+    low = F.lower(F.substring(F.regexp_replace(text, f"^{WHITE}+", ""), 1, 4))
     return F.coalesce(F.startswith(low, F.lit("fig")) | F.startswith(low, F.lit("note")), F.lit(False))
 
 

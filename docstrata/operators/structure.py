@@ -87,18 +87,21 @@ def figures(assigned: DataFrame, doc: str = "doc_id", pos: str = "pos", reach: i
     far as ``last_paragraph``, image, indexes and titles. Images without a caption are left out.
 
     Captions and texts are found without the images, which join their blocks at the end. A node's text is put
-    together once, with the place in it where each figure stands."""
+    together once, in the group that has its figures too, with the place in it where each figure stands: the characters before it
+    in the document, less those before the node."""
     texts = assigned.withColumn("_images", F.when(F.col("images").isNotNull(), F.size("images")).otherwise(0)).drop("images")
     w = Window.partitionBy(doc).orderBy(pos)
     clean = X.strip(X.clean_nbsp(F.col("text")))
     texts = texts.withColumn("_caption", F.when(X.starts_caption(F.col("text")), clean))
     caption = F.coalesce(*(F.lead("_caption", i).over(w) for i in range(1, reach + 1)))
     paragraph = F.when((F.col("kind") == "paragraph") & F.col("level").isNull(), clean)
-    before = Window.partitionBy(doc, *INDEXES).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    placed = texts.withColumn("figure_name", caption).withColumn("_own", F.coalesce(clean, F.lit(""))).withColumn("_paragraph", paragraph).withColumn("_before", F.coalesce(F.sum(F.length("_paragraph")).over(before), F.lit(0)).cast("int"))
-    found = placed.where("attached and figure_name is not null and _images > 0").drop("_paragraph", "_images", "_caption", "text", "kind", "level")
-    nodes = placed.where("_paragraph is not null").join(found.select(doc, *INDEXES).distinct(), [doc, *INDEXES], "left_semi").groupBy(doc, *INDEXES).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "_paragraph"))), lambda x: x["_paragraph"]), "").alias("_text"))
-    named = found.join(nodes, [doc, *INDEXES], "left").withColumn("last_paragraph", F.concat(F.substring(F.coalesce("_text", F.lit("")), F.lit(1), F.col("_before")), "_own")).drop("_text", "_own", "_before")
+    before = F.coalesce(F.sum(F.length("_paragraph")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = texts.withColumn("figure_name", caption).withColumn("_own", F.coalesce(clean, F.lit(""))).withColumn("_paragraph", paragraph).withColumn("_before", before)
+    paragraphs = F.collect_list(F.when(F.col("_paragraph").isNotNull(), F.struct(F.col(pos).alias("pos"), F.col("_paragraph").alias("text"))))
+    found = F.collect_list(F.when(F.col("attached") & F.col("figure_name").isNotNull() & (F.col("_images") > 0), F.struct(pos, "figure_name", "_own", "_before", *TITLES)))
+    nodes = placed.groupBy(doc, *INDEXES).agg(F.array_sort(paragraphs).alias("_paragraphs"), found.alias("_found"), F.min("_before").alias("_start")).where("size(_found) > 0")
+    named = nodes.select(doc, *INDEXES, "_start", F.array_join(F.transform("_paragraphs", lambda x: x["text"]), "").alias("_text"), F.explode("_found").alias("_f")).select(doc, *INDEXES, "_start", "_text", "_f.*")
+    named = named.withColumn("last_paragraph", F.concat(F.substring("_text", F.lit(1), (F.col("_before") - F.col("_start")).cast("int")), "_own")).drop("_text", "_own", "_before", "_start")
     images = assigned.where("size(images) > 0").select(doc, pos, F.posexplode("images").alias("image_pos", "image"))
     one = named.join(images, [doc, pos])
     return one.select(

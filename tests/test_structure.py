@@ -68,6 +68,14 @@ def test_table_entries(spark):
     assert found == [(2, "", -1), (3, "before", -1), (4, "", -1), (5, "x", 0)]
 
 
+def test_figures_meet_only_their_images(spark):
+    """The texts of nodes are found in one grouping; the one join is that with the images."""
+    rows = [("Heading 1", "A"), ("Normal", "one "), ("Normal", "two", "png"), ("Normal", "Fig. 1"), ("Heading 2", "S"), ("Normal", "three"), ("table", "t"), ("Normal", None, "emf"), ("Normal", "four", "png"), ("Normal", "\xa0 note 2")]
+    found = structure.figures(placed(spark, rows))
+    assert sorted((r.pos, r.figure_name, r.last_paragraph, r.subsection_title) for r in found.collect()) == [(2, "Fig. 1", "onetwo", ""), (7, "note 2", "three", "S"), (8, "note 2", "threefour", "S")]
+    assert sum(plan_of(found.drop("image_bytes")).split("Initial Plan")[0].count(f"{j}Join ") for j in ("SortMerge", "BroadcastHash", "ShuffledHash")) == 1
+
+
 def test_figures(spark):
     rows = [("Heading 1", "A"), ("Normal", "one "), ("Normal", "two", "png"), ("Normal", "x"), ("Normal", "NOTE: n"), ("Normal", "", "emf"), ("Normal", "a"), ("Normal", "b"), ("Normal", "c"), ("Normal", "Figure late")]
     found = structure.figures(placed(spark, rows)).collect()
