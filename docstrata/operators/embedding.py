@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from docstrata.functions import text as X
 
 MAX_TOKENS = 2048
 PLACEHOLDER_WIDTH = 10
+#: Rows whose texts are Python's at once.
+ROWS = 512
 
 
 def embeddable(texts: DataFrame) -> DataFrame:
@@ -29,19 +31,22 @@ def encode(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray
     rows = texts.repartition(parts) if parts else texts
     rows = rows.withColumn("_cut", X.first_tokens(F.col(text), max_tokens))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for pdf in batches:
-            order = pdf["_cut"].str.len().argsort(kind="stable").to_numpy()
-            cut = pdf["_cut"].tolist()
-            out: list = [None] * len(pdf)
-            for a in range(0, len(order), batch):
-                chosen = order[a : a + batch]
-                for i, v in zip(chosen, model([cut[j] for j in chosen]), strict=True):
-                    out[i] = np.asarray(v, np.float32)
-            yield pdf.drop(columns="_cut").assign(**{vector: out})
-
-    return rows.mapInPandas(run, T.StructType([*texts.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))]))
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):  # the texts of so many rows are Python's, the rest stays Arrow's
+                part = whole.slice(first, ROWS)
+                cut = part.column(len(texts_columns)).to_pylist()
+                order = sorted(range(len(cut)), key=lambda i: float("inf") if cut[i] is None else len(cut[i]))  # noqa: B023
+                out: list = [None] * len(cut)
+                for a in range(0, len(order), batch):
+                    chosen = order[a : a + batch]
+                    for i, v in zip(chosen, model([cut[j] for j in chosen]), strict=True):
+                        out[i] = np.asarray(v, np.float32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names=[*texts_columns, vector])
+
+    texts_columns = texts.columns
+    return rows.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))]))
 
 
 def word_chunks(texts: DataFrame, n: int = MAX_TOKENS, text: str = "text") -> DataFrame:

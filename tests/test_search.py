@@ -223,6 +223,15 @@ def test_encoders(spark):
     assert [r.vector for r in seen if r.text is None] == [None]
 
 
+def test_encode_leaves_other_columns_as_they_are(spark, monkeypatch):
+    """Whole numbers beside a null keep all digits, and rows their vectors over several slices of a batch."""
+    monkeypatch.setattr(embedding, "ROWS", 3)
+    rows = [(2**53 + i if i % 4 else None, "x" * (i % 5) if i % 6 else None) for i in range(20)]
+    lengths = lambda: lambda texts: np.array([[-1 if t is None else len(t)] for t in texts], np.float32)
+    found = embedding.encode(spark.createDataFrame(rows, "id long, text string").coalesce(1), lengths, batch=2).collect()
+    assert [(r.id, r.text) for r in found] == rows and [r.vector for r in found] == [[-1.0 if t is None else float(len(t))] for _, t in rows]
+
+
 def test_encoded_texts_are_whole(spark):
     """The vectors of a document's chunks count the letters of all of its words."""
     from compare import DATA
