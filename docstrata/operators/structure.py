@@ -156,24 +156,41 @@ def flatten(documents: DataFrame) -> DataFrame:
     return found
 
 
+def folded(rows: DataFrame, by: list[str], idx: str, child: Column, name: str, carried: list[str]) -> DataFrame:
+    """(by..., carried..., name): for each parent its own columns, from the row whose ``idx`` is negative, and its ``child`` structs in the order of
+    ``idx``, null if there are none. Parents without a row of their own drop out, with what is below. Rows that are together by
+    document stay where they are, as ``by`` begins with it."""
+    listed = F.array_sort(F.collect_list(F.when((F.col(idx) >= 0) & child.isNotNull(), F.struct(idx, child.alias("x")))))
+    own = [F.first(F.when(F.col(idx) < 0, F.struct(*carried)), ignorenulls=True).alias("_own")] if carried else []
+    found = rows.groupBy(*by).agg(*own, F.transform(listed, lambda c: c["x"]).alias(name))
+    found = found.where("_own is not null") if carried else found.where(F.size(name) > 0)
+    return found.select(*by, *(["_own.*"] if carried else []), F.when(F.size(name) > 0, F.col(name)).alias(name))
+
+
 def assemble(nodes: DataFrame, doc: str = "doc_id", tables: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
     """(doc, content): nested documents from node rows (doc, indexes, title, text [, chunks]), deepest level first; with
-    the entries of ``table_entries`` and ``figures`` at their nodes, if given."""
-    rows = nodes
-    extra = []
+    the entries of ``table_entries`` and ``figures`` at their nodes, if given.
+
+    Entries meet their nodes, and children their parents, in groups, not by joins: a join on indexes deals out all texts anew, and computes
+    them once for each side."""
+    key, chunks = [doc, *INDEXES], ["chunks"] if "chunks" in nodes.columns else []
+    rows, extra = nodes.select(*key, F.struct("title", "text", *chunks).alias("_node")), {}
     if tables is not None:
-        entries = tables.groupBy(doc, *INDEXES).agg(F.array_sort(F.collect_list(F.struct("table_number", "description"))).alias("tables"))
-        rows, extra = rows.join(entries, [doc, *INDEXES], "left"), [*extra, "tables"]
+        extra["tables"] = tables.select(*key, F.struct("table_number", "description").alias("tables"))
+    if figures is not None:
+        extra["figures_meta_data"] = figures.select(*key, F.struct("pos", "image_pos", "figure_id", "last_paragraph").alias("figures_meta_data"))
+    if extra:
+        for entries in extra.values():
+            rows = rows.unionByName(entries, allowMissingColumns=True)
+        lists = (F.array_sort(F.collect_list(e)).alias(e) for e in extra)
+        rows = rows.repartition(doc).groupBy(*key).agg(F.first("_node", ignorenulls=True).alias("_node"), *lists).where("_node is not null")
+    rows = rows.select(*key, "_node.*", *(F.when(F.size(e) > 0, F.col(e)).alias(e) for e in extra))
     if figures is not None:
-        known = figures.groupBy(doc, *INDEXES).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "image_pos", "figure_id", "last_paragraph"))), lambda f: F.struct(f["figure_id"].alias("figure_id"), f["last_paragraph"].alias("last_paragraph"))).alias("figures_meta_data"))
-        rows, extra = rows.join(known, [doc, *INDEXES], "left"), [*extra, "figures_meta_data"]
-    chunks = ["chunks"] if "chunks" in rows.columns else []
-    ordered = lambda name, idx, fields: F.transform(F.array_sort(F.collect_list(F.struct(idx, *fields))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name)
-    third = rows.where("subsubsection_idx >= 0").withColumnRenamed("text", "text_content").groupBy(doc, "section_idx", "subsection_idx").agg(ordered("subsubsections", "subsubsection_idx", ["title", "text_content", *chunks, *extra]))
-    second = rows.where("subsection_idx >= 0 and subsubsection_idx < 0").withColumnRenamed("text", "text_content").join(third, [doc, "section_idx", "subsection_idx"], "left")
-    second = second.groupBy(doc, "section_idx").agg(ordered("subsections", "subsection_idx", ["title", "text_content", *chunks, *extra, "subsubsections"]))
-    first = rows.where("subsection_idx < 0 and subsubsection_idx < 0").withColumnRenamed("text", "description").join(second, [doc, "section_idx"], "left")
-    return first.groupBy(doc).agg(ordered("content", "section_idx", ["title", "description", *extra, "subsections"]))
+        rows = rows.withColumn("figures_meta_data", F.transform("figures_meta_data", lambda f: F.struct(f["figure_id"].alias("figure_id"), f["last_paragraph"].alias("last_paragraph"))))
+    node = lambda text, *more: F.struct("title", F.col("text").alias(text), *more)
+    rows = folded(rows, key[:3], INDEXES[2], node("text_content", *chunks, *extra), "subsubsections", ["title", "text", *chunks, *extra])
+    rows = folded(rows, key[:2], INDEXES[1], node("text_content", *chunks, *extra, "subsubsections"), "subsections", ["title", "text", *extra])
+    return folded(rows, [doc], INDEXES[0], node("description", *extra, "subsections"), "content", [])
 
 
 def with_vectors(texts: DataFrame, vectors: DataFrame, doc: str = "document_name", keep: tuple[str, ...] = ("title", "description", "chunk")) -> DataFrame:
@@ -184,47 +201,60 @@ def with_vectors(texts: DataFrame, vectors: DataFrame, doc: str = "document_name
 def renest(embedded: DataFrame, documents: DataFrame, doc: str = "document_name") -> DataFrame:
     """``documents`` with vectors from rows (doc, path, kind, text, vector): titles and descriptions become
     {title | description, embedding}, chunks {chunk, embedding}, in their places; all else stays as it is. A text
-    without a row keeps its text and has no vector; a document without sections has null for its content."""
+    without a row keeps its text and has no vector; a document without sections has null for its content.
+
+    Nodes, chunks and vectors are dealt out once, by document, and meet in groups from the deepest level up; of several rows for
+    one text, one counts."""
     part = F.split("path", "/")
     index = lambda n: F.try_element_at(part, F.lit(n)).try_cast("int")
     place = lambda name, at: F.coalesce(F.when(F.try_element_at(part, F.lit(at)) == name, index(at + 1)), F.lit(-1))
-    rows = embedded.where(F.col("kind").isin("title", "description", "chunk")).select(doc, "kind", F.col("vector"), index(2).alias("section_idx"), place("subsections", 3).alias("subsection_idx"), place("subsubsections", 5).alias("subsubsection_idx"), F.element_at(part, -1).try_cast("int").alias("chunk_idx"))
-    key = [doc, *INDEXES]
-    of = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct("vector")), ignorenulls=True).alias(f"_{kind}")
-    own = rows.where("kind <> 'chunk'").groupBy(*key).agg(of("title"), of("description"))
-    chunk_vectors = rows.where("kind = 'chunk'").select(*key, "chunk_idx", F.col("vector").alias("embedding"))
-
-    def with_children(nodes: DataFrame, children: DataFrame | None, at: list[str], name: str) -> tuple[DataFrame, list[str]]:
-        """``nodes(at..., node)`` with their vectors, their fields as columns, and the next level's nodes in place."""
-        fields = [f for f in nodes.schema["node"].dataType.names if f != name]
-        flat = nodes.select(*at, *(F.lit(-1).alias(i) for i in INDEXES[len(at) - 1 :]), *(F.col("node").getField(f).alias(f) for f in fields)).join(own, key, "left")
-        for f in ("title", "description"):
-            if f in fields:
-                flat = flat.withColumn(f, F.struct(F.col(f).alias(f), F.col(f"_{f}.vector").alias("embedding")))
+    none, key = F.lit(-1), [doc, *INDEXES]
+    of = lambda kind: F.when(F.col("kind") == kind, F.struct("vector")).alias(f"_{kind}")
+    at = [index(2).alias(INDEXES[0]), place("subsections", 3).alias(INDEXES[1]), place("subsubsections", 5).alias(INDEXES[2])]
+    chunk_idx = F.when(F.col("kind") == "chunk", F.element_at(part, -1).try_cast("int")).otherwise(none).alias("chunk_idx")
+    rows = embedded.where(F.col("kind").isin("title", "description", "chunk")).select(doc, *at, chunk_idx, of("title"), of("description"), of("chunk"))
+    others = [c for c in documents.columns if c not in (doc, "content")]
+    rows = rows.unionByName(documents.select(doc, *(none.alias(i) for i in [*INDEXES, "chunk_idx"]), F.struct(F.lit(True).alias("_there"), *others).alias("_head")), allowMissingColumns=True)
+
+    names = ("content", "subsections", "subsubsections", "")
+    levels: list[list[str]] = []
+    nodes = documents.select(doc, F.posexplode("content").alias(INDEXES[0], "node"))
+    while True:
+        n, below = len(levels), names[len(levels) + 1]
+        fields = nodes.schema["node"].dataType.names
+        levels.append([f for f in fields if f != below])
+        own = [*INDEXES[: n + 1], *(none.alias(i) for i in INDEXES[n + 1 :])]
+        texts = (F.col("node").getField(f) for f in levels[-1])
+        held = F.struct(*((t.isNotNull() if f == "chunks" else t).alias(f) for f, t in zip(levels[-1], texts, strict=True))).alias(f"_node{n}")
+        rows = rows.unionByName(nodes.select(doc, *own, none.alias("chunk_idx"), held), allowMissingColumns=True)
         if "chunks" in fields:
-            each = flat.select(*key, F.posexplode("chunks").alias("chunk_idx", "chunk")).join(chunk_vectors, [*key, "chunk_idx"], "left")
-            lists = each.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk", "embedding"))), lambda x: F.struct(x["chunk"].alias("chunk"), x["embedding"].alias("embedding"))).alias("_chunks"))
-            kind = lists.schema["_chunks"].dataType.simpleString()
-            flat = flat.join(lists, key, "left").withColumn("chunks", F.when(F.col("chunks").isNotNull(), F.coalesce("_chunks", F.array().cast(kind)))).drop("_chunks")
-        if children is not None:
-            flat = flat.join(children, at, "left")
-            fields = [*fields, name]
-        return flat, fields
-
-    def gathered(flat: DataFrame, fields: list[str], by: list[str], idx: str, name: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct(idx, *fields)))
-        return flat.groupBy(*by).agg(F.transform(ordered, lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias(name))
-
-    sections = documents.select(doc, F.posexplode("content").alias("section_idx", "node"))
-    level = lambda nodes, name: name in nodes.schema["node"].dataType.names
-    second = third = None
-    if level(sections, "subsections"):
-        subs = sections.select(doc, "section_idx", F.posexplode("node.subsections").alias("subsection_idx", "node"))
-        if level(subs, "subsubsections"):
-            below = subs.select(doc, "section_idx", "subsection_idx", F.posexplode("node.subsubsections").alias("subsubsection_idx", "node"))
-            third = gathered(*with_children(below, None, key, ""), key[:3], "subsubsection_idx", "subsubsections")
-        second = gathered(*with_children(subs, third, key[:3], "subsubsections"), key[:2], "subsection_idx", "subsections")
-    content = gathered(*with_children(sections, second, key[:2], "subsections"), [doc], "section_idx", "content")
-    return documents.drop("content").join(content, doc, "left").select(documents.columns)
-
-
+            each = nodes.select(doc, *own, F.posexplode("node.chunks").alias("chunk_idx", "_t"))
+            rows = rows.unionByName(each.select(*key, "chunk_idx", F.struct(F.col("_t").alias("chunk")).alias("_text")), allowMissingColumns=True)
+        if below not in fields:
+            break
+        nodes = nodes.select(doc, *INDEXES[: n + 1], F.posexplode(F.col("node").getField(below)).alias(INDEXES[n + 1], "node"))
+
+    rows = rows.repartition(doc)
+    firsts = lambda *cols: [F.first(c, ignorenulls=True).alias(c) for c in cols]
+    whole = ["_head", "_title", "_description", *(f"_node{n}" for n in range(len(levels)))]
+    lists = []
+    if "_text" in rows.columns:
+        rows = rows.groupBy(*key, "chunk_idx").agg(*firsts(*whole, "_text", "_chunk"))
+        chunk = F.struct("chunk_idx", F.struct(F.col("_text.chunk").alias("chunk"), F.col("_chunk.vector").alias("embedding")).alias("x"))
+        lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("_text").isNotNull(), chunk))), lambda c: c["x"]).alias("_chunks")]
+    rows = rows.groupBy(*key).agg(*firsts(*whole), *lists)
+
+    def told(n: int) -> Column:
+        """The node of level n in a row, with its vectors; null where the row has none."""
+        node = F.col(f"_node{n}")
+        new = {f: F.struct(node[f].alias(f), F.col(f"_{f}.vector").alias("embedding")) for f in ("title", "description")} | ({"chunks": F.when(node["chunks"], F.col("_chunks"))} if lists else {})
+        return F.when(node.isNotNull(), F.struct(*((new[f] if f in new else node[f]).alias(f) for f in levels[n]))).alias(f"_node{n}")
+
+    rows = rows.select(*key, "_head", *map(told, range(len(levels))))
+    for n in reversed(range(len(INDEXES))):
+        if n >= len(levels):
+            continue
+        lower = [names[n + 1]] if n + 1 < len(levels) else []
+        child = F.when(F.col(f"_node{n}").isNotNull(), F.struct(*(F.col(f"_node{n}").getField(f).alias(f) for f in levels[n]), *lower))
+        rows = folded(rows, key[: n + 1], INDEXES[n], child, names[n], ["_head", *(f"_node{m}" for m in range(n))])
+    return rows.where("_head is not null").select(doc, "content", *(F.col("_head").getField(c).alias(c) for c in others)).select(documents.columns)

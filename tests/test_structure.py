@@ -119,6 +119,38 @@ def test_renest_keeps_the_document(spark):
     assert two.description == ("", None) and not two.subsections and (found["e"].extra, found["f"].extra) == (8, 9)
 
 
+def test_nodes_are_dealt_out_once_on_their_way_up(spark):
+    """A tree with its tables is put together without joins; vectors and texts move once, by document."""
+    df = spark.createDataFrame([], "doc_id string, pos int, kind string, level int, text string")
+    p = structure.assign(df)
+    tree = structure.assemble(structure.node_text(p), tables=structure.table_entries(p))
+    plan = plan_of(tree)
+    assert "Join" not in plan and plan.count("Exchange ") == 2
+    plain = plan_of(structure.assemble(structure.node_text(p)))
+    assert "Join" not in plain and plain.count("Exchange ") == 1
+    rows = spark.createDataFrame([], "document_name string, path string, kind string, vector array<float>")
+    sub = "struct<title:string,text_content:string,chunks:array<string>>"
+    docs = spark.createDataFrame([], f"document_name string, content array<struct<title:string,description:string,subsections:array<{sub}>>>")
+    plan = plan_of(structure.renest(rows, docs))
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
+def test_what_has_no_parent_drops_out(spark):
+    """Nodes without a parent, entries without a node, and vectors without a text leave no trace; a node's entries are in order."""
+    nodes = spark.createDataFrame([("d", 0, -1, -1, "A", "a"), ("d", 0, 0, 0, "lost", "x"), ("d", 0, 1, -1, "A2", "b"), ("d", 0, 1, 0, "A21", "c"), ("d", 1, 0, -1, "lost", "x"), ("e", 0, 0, -1, "lost", "x")], "doc_id string, section_idx int, subsection_idx int, subsubsection_idx int, title string, text string")
+    entries = spark.createDataFrame([("d", 9, 0, 1, -1, 2, "two"), ("d", 5, 0, 1, -1, 1, "one"), ("d", 7, 3, -1, -1, 3, "lost")], "doc_id string, pos int, section_idx int, subsection_idx int, subsubsection_idx int, table_number int, description string")
+    figures = spark.createDataFrame([("d", 8, 0, 0, -1, -1, "f2", "q"), ("d", 6, 1, 0, -1, -1, "f1", "p")], "doc_id string, pos int, image_pos int, section_idx int, subsection_idx int, subsubsection_idx int, figure_id string, last_paragraph string")
+    (row,) = structure.assemble(nodes, tables=entries, figures=figures).collect()
+    assert row.doc_id == "d" and len(row.content) == 1
+    (sub,) = row.content[0].subsections
+    assert (sub.title, [t.description for t in sub.tables], sub.figures_meta_data, [x.title for x in sub.subsubsections]) == ("A2", ["one", "two"], None, ["A21"])
+    assert [f.figure_id for f in row.content[0].figures_meta_data] == ["f1", "f2"] and row.content[0].tables is None
+    docs = structure.assemble(nodes).withColumnRenamed("doc_id", "document_name")
+    vectors = spark.createDataFrame([("d", "content/0/title", "title", [1.0]), ("d", "content/7/title", "title", [2.0]), ("d", "content/0/subsections/5/title", "title", [3.0]), ("z", "content/0/title", "title", [4.0])], "document_name string, path string, kind string, vector array<float>")
+    (row,) = structure.renest(vectors, docs).collect()
+    assert row.content[0].title == ("A", [1.0]) and [s.title.title for s in row.content[0].subsections] == ["A2"]
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_order_does_not_depend_on_partitions(spark, parts):
     rows = [("Heading 1", "A"), *[("Normal", str(i)) for i in range(50)]]
