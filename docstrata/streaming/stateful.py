@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Ids of messages in one entry of the state.
+IDS = 1000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -39,12 +41,11 @@ class Idle(StatefulProcessor):
         """Move the timer to ``idle`` after the newest message, if that is later."""
         if self.idle is None:
             return
-        at = (newest + self.idle) // 1000 + 1
-        if self.clock.exists():
-            was = self.clock.get()[0]
-            if was >= at:
+        at, was = (newest + self.idle) // 1000 + 1, self.clock.get()
+        if was is not None:
+            if was[0] >= at:
                 return
-            self.handle.deleteTimer(was)
+            self.handle.deleteTimer(was[0])
         self.handle.registerTimer(at)
         self.clock.update((at,))
 
@@ -91,54 +92,68 @@ class Newest(Idle):
         yield from ()
 
 
-class Listed(Idle):
-    """First and last time and number of the messages of a conversation while it is at work.
+class Listed(StatefulProcessor):
+    """First and last time and number of the messages of a conversation while it is at work. Its timer follows from the last time.
 
-    Ids of messages are kept until the watermark has passed them: what comes later is late, and dropped before it gets here."""
+    Ids of messages are kept until the watermark has passed them: what comes later is late, and dropped before it gets here. They are
+    kept in runs of up to ``IDS``, in order of time, under the newest time of each: every call to the state is a message between processes,
+    so one for each id would take most of the time. A run leaves the state when all of it has passed."""
 
-    def __init__(self, conv: str, idle: int, closing: bool = True):
-        super().__init__(idle)
-        self.conv, self.closing = conv, closing
+    def __init__(self, conv: str, idle: int):
+        self.conv, self.idle, self.most = conv, idle, IDS
 
     def init(self, handle) -> None:
-        self.start_clock(handle)
+        self.handle = handle
         self.about = handle.getValueState("about", "opened long, first long, last long, messages long")
-        self.seen = handle.getMapState("seen", "id string", "at long")
+        self.seen = handle.getMapState("seen", "newest long, first string", "ids array<string>")
 
     def row(self, key, about: tuple, closed: bool) -> pd.DataFrame:
         return pd.DataFrame({self.conv: [key[0]], "opened": [about[0]], "first": [about[1]], "last": [about[2]], "messages": [about[3]], "closed": [closed]})
 
+    def keep(self, was: tuple | None, about: tuple) -> None:
+        """What is known now, and the timer: ``idle`` after the last time."""
+        self.about.update(about)
+        if was is None or was[2] != about[2]:
+            timer = lambda last: (last + self.idle) // 1000 + 1
+            if was is not None:
+                self.handle.deleteTimer(timer(was[2]))
+            self.handle.registerTimer(timer(about[2]))
+
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for first, last, messages in zip(initialState["first"].tolist(), initialState["last"].tolist(), initialState["messages"].tolist(), strict=True):
-            self.about.update((first, first, last, messages))
-            self.wind(last)
+            self.keep(self.about.get(), (first, first, last, messages))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        seen = {k[0]: v[0] for k, v in self.seen.iterator()}
-        about, new = self.about.get() if self.about.exists() else None, {}
+        was, new = self.about.get(), {}
+        held = [(tuple(k), v[0]) for k, v in self.seen.iterator()] if was is not None else []
+        seen = {id for _, ids in held for id in ids}
         for pdf in rows:
             for id, at in zip(pdf["id"], pdf["at"].tolist(), strict=True):
                 if at >= mark and id not in seen and id not in new:
                     new[id] = at
-        for id, at in seen.items():
-            if at < mark:
-                self.seen.removeKey((id,))
+        for run, _ in held:
+            if run[0] < mark:
+                self.seen.removeKey(run)
         if not new:
             return
-        for id, at in new.items():
-            self.seen.updateValue((id,), (at,))
+        ids = sorted(new, key=new.get)
+        for a in range(0, len(ids), self.most):
+            run = ids[a : a + self.most]
+            self.seen.updateValue((new[run[-1]], run[0]), (run,))
         first, last = min(new.values()), max(new.values())
-        about = (about[0], min(about[1], first), max(about[2], last), about[3] + len(new)) if about else (first, first, last, len(new))
-        self.about.update(about)
-        self.wind(about[2])
+        about = (was[0], min(was[1], first), max(was[2], last), was[3] + len(new)) if was else (first, first, last, len(new))
+        self.keep(was, about)
         yield self.row(key, about, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.about.exists():
             yield self.row(key, tuple(self.about.get()), True)
-        for state in (self.about, self.seen, self.clock):
-            state.clear()
+        self.about.clear()
+        self.seen.clear()
+
+    def close(self) -> None:
+        pass
 
 
 def newest_messages(messages: DataFrame, n: int, conv: str, at: str, id: str | None, ts: str | None, idle: str | None, late: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docstrata.operators import chat
 from docstrata.streaming import conversations as live
+from docstrata.streaming import stateful
 
 MESSAGES = "conv_id long, turn long, role string, text string"
 
@@ -129,6 +130,16 @@ def test_conversations_close_and_open_again(spark, tmp_path):
     assert max(state[4:]) <= max(state[:4]) + 6  # it doesn't grow with the conversations
 
 
+def test_ids_are_kept_in_runs(spark, tmp_path, monkeypatch):
+    """The state has an entry for each run of ids, not for each id; a redelivery is known in every run, and runs leave when the watermark has passed them."""
+    monkeypatch.setattr(stateful, "IDS", 10)
+    row = lambda i: (1, f"m{i}", at(i / 100))
+    batches = [[row(i) for i in range(95)], [row(i) for i in range(0, 95, 3)] + [row(95)], [row(500)], [row(501)], [row(501), row(500)]]
+    out, state = play(spark, tmp_path, batches, "conv_id long, message_id string, ts timestamp", lambda s: live.live_conversations(s, late="1 hour", idle="20 hours"))
+    assert [r.messages for b in out for r in b] == [95, 96, 97, 98]
+    assert max(state) <= 14 and state[-1] < state[0]  # ten runs, an eleventh, and what is known of the conversation
+
+
 def test_sessions_and_late_events(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     at = [(1, start + dt.timedelta(seconds=s)) for s in (0, 600, 1201, 5000)] + [(2, start), (2, start + dt.timedelta(days=3))]
