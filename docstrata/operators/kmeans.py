@@ -3,9 +3,10 @@
 A group is its distinct vectors with their numbers of rows, cut into blocks of ``together`` vectors by hash. Each step of the
 algorithm is a pass over the blocks (``partial``), a sum of what they give (``added``) and a new state of the group
 (``advanced``): k-means|| oversampling, the weights of its candidates, k-means++ among these, Lloyd rounds until nothing
-moves; ``STARTS`` starts go side by side and the one of least inertia counts. A group of one block takes its steps
-within one task; a group of several takes them as Spark jobs that join blocks with states and add up partial results in a
-tree. Both call the same functions, so a size changes where a step runs and nothing else.
+moves; ``STARTS`` starts go side by side and the one of least inertia counts. A group of as many blocks as one task can hold takes its
+steps within one task; a larger one takes them as Spark jobs that join blocks with states and add up partial results in a
+tree, as a job for each step costs seconds whatever its size. Both call the same functions on the same blocks in the same order, so a
+size changes where a step runs and nothing else.
 
 Draws are hashes of a vector, the start and the round: they depend neither on partitions nor on retries. There are
 min(k, distinct vectors) clusters, none of them empty: an empty one moves to the vector that lies farthest from its centre.
@@ -30,6 +31,8 @@ from docstrata.functions.vectors import as_matrix
 SEED, STARTS, OVERSAMPLING_ROUNDS, LLOYD_ROUNDS = 42, 10, 5, 50
 #: Vectors of a block, and numbers of a block.
 TOGETHER, NUMBERS = 4096, 1_000_000
+#: Numbers of the vectors of a group that takes its steps within one task.
+ALONE = 8_000_000
 #: Partial results that are added in one task; blocks of a group that meet one copy of its state.
 FAN_IN, BLOCKS_PER_STATE = 32, 32
 
@@ -172,7 +175,7 @@ def kmeans(vectors: DataFrame, by: list[str], k: int, more_than: int = 0, ranked
     sizes = nodes.groupBy("_g").agg(F.sum("n").alias("rows"), F.count("*").alias("distinct"), F.max(F.size("_v")).alias("width")).where((F.col("rows") > more_than) & (F.col("distinct") > 1))
     most = F.least(F.lit(max(together, ranked)), F.greatest(F.lit(64), F.floor(F.lit(NUMBERS) / F.col("width"))))
     dealt = nodes.join(sizes, "_g").withColumn("blocks", F.ceil(F.col("distinct") / most).cast("int")).withColumn("block", F.pmod(F.xxhash64("_v"), "blocks").cast("int"))
-    blocks = dealt.groupBy("_g", "blocks", "block", "distinct").agg(F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), "n"))).alias("points"))
+    blocks = dealt.groupBy("_g", "blocks", "block", "distinct", "width").agg(F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), "n"))).alias("points"))
     blocks = materialize(blocks, "kmeans-blocks")
     group = blocks.schema["_g"]
 
@@ -194,11 +197,24 @@ def kmeans(vectors: DataFrame, by: list[str], k: int, more_than: int = 0, ranked
                     s = advanced(s, partial(x, n, s))
                 yield told(b, i, labels_of(x, s))
 
+    def in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks of one group, whole."""
+        held = sorted(((b.slice(i, 1), b.column("block")[i].as_py()) for b in batches for i in range(b.num_rows)), key=lambda h: h[1])
+        parts = [points(b.column("points")[0]) for b, _ in held]
+        s = state(held[0][0].column("distinct")[0].as_py())
+        while s.phase != "done":
+            s = advanced(s, added([partial(x, n, s) for x, n in parts], s))
+        for (b, _), (x, _) in zip(held, parts, strict=True):
+            yield told(b, 0, labels_of(x, s))
+
     def told(b: pa.RecordBatch, i: int, label: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("_g").take(pa.array([i] * len(label))), b.column("points")[i].values.field("v"), pa.array(label)], names=["_g", "_v", "cluster"])
 
     found = blocks.where("blocks = 1").mapInArrow(alone, labelled("cluster", T.IntegerType()))
-    large = blocks.where("blocks > 1")
+    several = blocks.where("blocks > 1")
+    small = (F.col("blocks") <= FAN_IN) & (F.col("distinct") * F.col("width") <= ALONE)
+    found = found.unionByName(several.where(small).groupBy("_g").applyInArrow(in_one_task, labelled("cluster", T.IntegerType())))
+    large = several.where(~small)
     if not large.isEmpty():
         found = found.unionByName(by_all_tasks(large, state, told, labelled("cluster", T.IntegerType())))
     out = rows.join(found, ["_g", "_v"], "left").withColumn("cluster", F.coalesce("cluster", F.lit(0)))

@@ -200,6 +200,19 @@ def test_shared_folder(spark, monkeypatch):
     assert tables.shared_folder(cluster) == "hdfs://x/y/docstrata/a"
 
 
+def test_several_blocks_in_one_task(spark, monkeypatch):
+    """A group of several blocks that one task can hold needs no job for each step, and gets the clusters that the jobs give it."""
+    from docstrata.operators import kmeans as K
+
+    df = vectors(spark, 150)
+    run = lambda: {r.id: r.cluster for r in K.kmeans(df, [], 3, starts=2, together=64).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(K, "by_all_tasks", lambda *_: pytest.fail("a job for each step"))
+        within = run()
+    monkeypatch.setattr(K, "ALONE", 0)
+    assert within == run() and set(within.values()) == {0, 1, 2}
+
+
 def test_three_levels(spark):
     found = clustering.three_levels(vectors(spark, 400), 4, 3, 2)
     rows = found.collect()
