@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docstrata.functions import text as X
 
@@ -52,6 +54,11 @@ def issues(files: DataFrame, file: str = "file_name", raw: str = "value") -> Dat
     """(file, section, subsection, chunk, part, message): one row per issue, in the order file, section, subsection,
     chunk, part; indexes are -1 above their level. What lies below something unusable is not looked at. Broken JSON is
     "unreadable". Keys whose value is JSON null count as there. Each text is parsed once; its issues are one array."""
+    return with_issues(files.select(F.col(file).alias("file"), raw), raw).select("file", F.explode("issues").alias("x")).select("file", "x.*")
+
+
+def with_issues(files: DataFrame, raw: str = "value", name: str = "issues") -> DataFrame:
+    """``files`` with an array of the issues of each, in the order and with the fields of ``issues``; empty where there are none."""
     none = F.lit(-1)
     kind_ = "array<struct<section:int,subsection:int,chunk:int,part:int,message:string>>"
 
@@ -101,7 +108,7 @@ def issues(files: DataFrame, file: str = "file_name", raw: str = "value") -> Dat
         ])
         return F.concat(own, below(at(s, "subsections"), of_subsection(i)))
 
-    d = F.col("d")
+    d = F.col("_d")
     top = listed(none, none, none, [
         issue(d.isNull(), "unreadable JSON"),
         issue(d.isNotNull() & ~is_object(d), "JSON data is not a dictionary"),
@@ -109,8 +116,9 @@ def issues(files: DataFrame, file: str = "file_name", raw: str = "value") -> Dat
         issue(is_object(d) & missing(at(d, "content")), "Missing 'content' field"),
         issue(is_object(d) & not_a(at(d, "content"), "ARRAY"), "'content' field is not a list"),
     ])
-    docs = files.select(F.col(file).alias("file"), F.try_parse_json(raw).alias("d"))
-    return docs.select("file", F.explode(F.concat(top, below(at(d, "content"), of_section))).alias("x")).select("file", "x.*")
+    found = F.concat(top, below(at(d, "content"), of_section))
+    # made by a generator, so that no filter on it is moved below and parses each text for every place that asks for it
+    return files.withColumn("_d", F.try_parse_json(raw)).select(*files.columns, F.explode(F.array(found)).alias(name))
 
 
 def repaired(raw: str, name: str = "") -> tuple[str, int]:
@@ -167,27 +175,40 @@ def repaired(raw: str, name: str = "") -> tuple[str, int]:
     return (json.dumps(document, ensure_ascii=False), n) if n else (raw, 0)
 
 
-def repair(files: DataFrame, file: str = "file_name", raw: str = "value") -> DataFrame:
-    """``files`` with ``fixed`` (the repaired text) and ``repairs``; only files with an issue go through Python."""
-    found = issues(files, file, raw).groupBy(F.col("file").alias(file)).agg(F.count("*").alias("n_issues"))
-    marked = files.join(found, file, "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
+#: Rows whose texts are Python's at once.
+ROWS = 64
 
-    @F.pandas_udf("fixed string, repairs int")
-    def fix(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([repaired(t, n or "") for t, n in zip(texts, names, strict=True)], columns=["fixed", "repairs"])
 
-    bad = marked.where("n_issues > 0").withColumn("r", fix(F.col(raw), F.col(file).cast("string"))).select(*marked.columns, "r.fixed", "r.repairs")
-    return bad.unionByName(marked.where("n_issues = 0").select(*marked.columns, F.col(raw).alias("fixed"), F.lit(0).alias("repairs")))
+def repair(files: DataFrame, file: str = "file_name", raw: str = "value") -> DataFrame:
+    """``files`` with ``n_issues``, ``fixed`` (the repaired text) and ``repairs``; only texts with an issue are Python's, ``ROWS`` rows at a time."""
+    found = with_issues(files, raw, "_issues")
+    marked = found.select(*files.columns, F.size("_issues").cast("long").alias("n_issues"), F.col(file).cast("string").alias("_name"))
+    schema = T.StructType([*files.schema.fields, T.StructField("n_issues", T.LongType()), T.StructField("fixed", T.StringType()), T.StructField("repairs", T.IntegerType())])
+
+    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                part = whole.slice(first, ROWS)
+                bad = pc.greater(part.column("n_issues"), 0)
+                texts, names = (part.column(c).filter(bad).to_pylist() for c in (raw, "_name"))
+                done = [repaired(t, n or "") for t, n in zip(texts, names, strict=True)]
+                kept = part.column(raw)
+                fixed = pc.replace_with_mask(kept, bad, pa.array([t for t, _ in done], kept.type))
+                repairs = pc.replace_with_mask(pa.array([0] * part.num_rows, pa.int32()), bad, pa.array([n for _, n in done], pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], fixed, repairs], names=schema.names)
+
+    return marked.mapInArrow(fix, schema)
 
 
 def checked_again(files: DataFrame, file: str = "file_name", raw: str = "value") -> DataFrame:
-    """Validate, repair, validate again: (file, n_issues, repairs, remaining, status, fixed_name, fixed).
+    """Validate, repair, validate again: (file, n_issues, repairs, remaining, status, fixed_name, fixed); a row for each file, nothing is moved.
 
     ``status`` is "ok", "fixed", "fixed, with issues" or "failed" (no JSON object)."""
-    fixed = repair(files, file, raw)
-    left = issues(fixed.select(file, F.col("fixed").alias(raw)), file, raw).groupBy(F.col("file").alias(file)).agg(F.count("*").alias("remaining"), F.max(F.col("message").isin("unreadable JSON", "JSON data is not a dictionary")).alias("hopeless"))
-    out = fixed.join(left, file, "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
-    status = F.when(F.coalesce("hopeless", F.lit(False)), "failed").when(F.col("n_issues") == 0, "ok").when(F.col("remaining") == 0, "fixed").otherwise("fixed, with issues")
+    fixed = repair(files, file, raw).select(file, "n_issues", "repairs", "fixed")
+    out = with_issues(fixed, "fixed", "_left")
+    hopeless = F.exists("_left", lambda x: x["message"].isin("unreadable JSON", "JSON data is not a dictionary"))
+    out = out.select(*fixed.columns, F.size("_left").cast("long").alias("remaining"), hopeless.alias("hopeless"))
+    status = F.when(F.col("hopeless"), "failed").when(F.col("n_issues") == 0, "ok").when(F.col("remaining") == 0, "fixed").otherwise("fixed, with issues")
     return out.select(file, "n_issues", "repairs", "remaining", status.alias("status"), F.concat(X.stem(F.col(file).cast("string")), F.lit("_fixed.json")).alias("fixed_name"), "fixed")
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from docstrata.operators import validation as V
 
@@ -65,6 +66,27 @@ def test_repair(spark):
     assert (s.processed, s.failed) == (len(CASES), 2)
 
 
+def test_repair_moves_nothing_and_holds_few_texts(spark, monkeypatch):
+    """Issues are counted where the file is, without joins; the texts of a few rows are Python's at once, good ones not at all."""
+    rows = [(f"in/f{i}.json", json.dumps(GOOD) if i % 3 else "{}" if i % 2 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "file_name string, value string").coalesce(1)
+    plan = V.checked_again(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange " not in plan
+    monkeypatch.setattr(V, "ROWS", 7)
+    found = {r.file_name: r for r in V.checked_again(df).collect()}
+    for i, (name, raw) in enumerate(rows):
+        r = found[name]
+        assert (r.status, r.repairs, r.n_issues) == (("ok", 0, 0) if i % 3 else ("fixed", 2, 2) if i % 2 else ("failed", 0, 1))
+        assert r.fixed == raw if i % 3 or not i % 2 else json.loads(r.fixed) == {"document_name": f"f{i}", "content": []}
+
+
+def test_a_text_is_parsed_once(spark):
+    """Filters on what is found stay above: the optimized plan has one call to parse each text, or two where it is validated again."""
+    parsed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson")
+    assert parsed(V.issues(files(spark)).where("message = 'unreadable JSON'")) == parsed(files(spark).select(F.try_parse_json("value"))) == 1
+    assert parsed(V.checked_again(files(spark)).where(F.startswith("status", F.lit("fixed")))) == 2
+
+
 @pytest.mark.parametrize(("raw", "fixed"), [
     ('{"document_name": "D", "content": [1, {"subsections": [2, {"title": {}, "chunks": [3, {}]}]}]}',
      {"document_name": "D", "content": [{"title": "Section 1", "description": ""}, {"title": "Section 2", "subsections": [{"title": "Subsection 1", "description": ""}, {"title": {"title": "Subsection 2"}, "chunks": [{"content": "Empty chunk", "embedding": [0.0] * 10}, {"content": "Empty chunk"}]}]}]}),
