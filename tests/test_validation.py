@@ -87,6 +87,14 @@ def test_a_text_is_parsed_once(spark):
     assert parsed(V.checked_again(files(spark)).where(F.startswith("status", F.lit("fixed")))) == 2
 
 
+def test_validated_trees_cost_one_shuffle(spark):
+    """The JSON of a corpus is put together and validated where the blocks of a document are."""
+    from docstrata import queries as Q
+
+    plan = Q.validate_issues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange ") == 1
+
+
 @pytest.mark.parametrize(("raw", "fixed"), [
     ('{"document_name": "D", "content": [1, {"subsections": [2, {"title": {}, "chunks": [3, {}]}]}]}',
      {"document_name": "D", "content": [{"title": "Section 1", "description": ""}, {"title": "Section 2", "subsections": [{"title": "Subsection 1", "description": ""}, {"title": {"title": "Subsection 2"}, "chunks": [{"content": "Empty chunk", "embedding": [0.0] * 10}, {"content": "Empty chunk"}]}]}]}),
